@@ -31,7 +31,7 @@ from .tokens import slices
 MAGIC = b"FBDAC1\0\0"
 BLOCK_BITS = 512
 END_ID = 0
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 800_000
 
 SEGMENT_SCHEMA = "part int, seg int, first_token bigint, n_tokens bigint, n_docs int, payload binary"
 
@@ -133,15 +133,62 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=4)
-def _cache(path: str) -> dict[str, np.ndarray]:
-    return {}
-
-
 def _encode(path: str, texts: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, np.uint32) for e in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
+class PieceCache:
+    """Ids of pieces seen by this worker process, in one pool; emptied when ``CACHE_ENTRIES`` is passed."""
+
+    def __init__(self, path: str):
+        self.path = path
+        vocab = _tokenizer(path).get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes that each id stands for
+        for token, i in vocab.items():
+            self.n_bytes[i] = len(token)  # the byte-level alphabet has a character for each byte
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.sizes, self.pools = [], []
+        self.flat = None
+
+    def add(self, pieces: list[str]) -> None:
+        """Encodes pieces that all start with a space: a run of them is a text whose ids fall apart by byte lengths."""
+        for at in range(0, len(pieces), 4000):
+            part = pieces[at : at + 4000]
+            ids = np.array(_tokenizer(self.path).encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([len(x.encode()) for x in part])
+            upto = np.cumsum(self.n_bytes[ids])
+            cut = np.searchsorted(upto, ends)
+            if not (len(ids) and np.array_equal(upto[np.minimum(cut, len(ids) - 1)], ends)):
+                single = _encode(self.path, part)
+                ids, cut = np.concatenate(single), np.cumsum([len(x) for x in single]) - 1
+            self.slot.update(zip(part, range(len(self.slot), len(self.slot) + len(part))))
+            self.sizes.append(np.diff(cut + 1, prepend=0))
+            self.pools.append(ids)
+        self.flat = None
+
+    def lookup(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(pool of ids, start, size)`` of the pieces."""
+        missing = [x for x in pieces if x not in self.slot]
+        if len(self.slot) + len(missing) > CACHE_ENTRIES:
+            self.clear()
+            missing = pieces
+        if missing:
+            self.add(missing)
+        if self.flat is None:
+            self.sizes, self.pools = [np.concatenate(self.sizes)], [np.concatenate(self.pools)]
+            self.flat = np.concatenate([[0], np.cumsum(self.sizes[0])])
+        k = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+        return self.pools[0], self.flat[k], self.sizes[0][k]
+
+
+@lru_cache(maxsize=2)
+def _cache(path: str) -> PieceCache:
+    return PieceCache(path)
+
+
 #: Texts in which white space stands next to a space, at an end, or that hold the special token are encoded whole.
 _WHOLE = r"^[\s\pZ\x{85}\x1c-\x1f\x0b]|[\s\pZ\x{85}\x1c-\x1f\x0b]$| [\s\pZ\x{85}\x1c-\x1f\x0b]|[\s\pZ\x{85}\x1c-\x1f\x0b] |<\|"
 
@@ -154,30 +201,29 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(texts)
     whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False).astype(bool)
-    cache = _cache(path)
     pieces = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
-    counts = np.diff(pieces.offsets.to_numpy())
+    counts = np.diff(pieces.offsets.to_numpy()).astype(np.int64)
     flat = pieces.flatten().dictionary_encode()
-    codes = flat.indices.to_numpy()
-    first = np.zeros(len(codes), bool)
-    first[np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)[counts > 0]] = True
+    codes = flat.indices.to_numpy().astype(np.int64)
     words = flat.dictionary.to_pylist()
-    # a piece at the start of its text has no space before it: those get codes of their own
-    opening, inverse = np.unique(codes[first], return_inverse=True)
-    codes = codes.astype(np.int64)
-    codes[first] = len(words) + inverse
-    distinct = [" " + w for w in words] + [words[k] for k in opening]
-    missing = [w for w in distinct if w not in cache]
-    if len(cache) + len(missing) > CACHE_ENTRIES:
-        cache.clear()
-        missing = distinct
-    for at in range(0, len(missing), 20_000):
-        part = missing[at : at + 20_000]
-        cache.update(zip(part, _encode(path, part)))
-    found = [cache[w] for w in distinct]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    pool = np.concatenate(found) if found else np.zeros(0, np.uint32)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
+    # a piece at the start of its text has no space before it
+    first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+    later = np.ones(len(codes), bool)
+    later[first] = False
+    used = np.flatnonzero(np.bincount(codes[later], minlength=len(words)))
+    slot = np.zeros(len(words), np.int64)
+    slot[used] = np.arange(len(used))
+    opening, outer = np.unique(codes[first], return_inverse=True)
+    codes[first] = len(used) + outer
+    codes[later] = slot[codes[later]]
+    single = _encode(path, [words[k] for k in opening])
+    pool, starts, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(used):
+        pool, starts, sizes = _cache(path).lookup([" " + words[k] for k in used])
+    extra = np.array([len(x) for x in single], np.int64)
+    starts = np.concatenate([starts, len(pool) + np.cumsum(extra) - extra])
+    sizes = np.concatenate([sizes, extra])
+    pool = np.concatenate([pool, *single])
     # gather the ids of all pieces in order
     each = sizes[codes]
     ends = np.cumsum(each)
