@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, quality_rules, substring_dedup, token_binary, url_filters, warc
+from . import decontaminate, language_id, lm_score, mixing, quality_rules, substring_dedup, token_binary, url_filters, warc
 from .shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = language_id.id_crc() % 4 == 2
@@ -58,6 +62,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_language_id": op2_language_id,
     "op3_warc": op3_warc,
     "op4_url_filters": op4_url_filters,
