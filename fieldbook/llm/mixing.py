@@ -40,11 +40,16 @@ def entropy(weights: list[float]) -> float:
     return -sum(w * math.log(w) for w in weights if w > 0)
 
 
-def solve_weights(tokens: list[int], budget: int, evenness: float = TARGET_EVENNESS, max_repeats: float = MAX_REPEATS) -> tuple[list[float], float]:
+def covering_budget(tokens: list[int], weights: list[float]) -> float:
+    """The least budget under which every source is visited at least once."""
+    return max((t / w for t, w in zip(tokens, weights) if t), default=0.0)
+
+
+def solve_weights(tokens: list[int], budget: int | None, evenness: float = TARGET_EVENNESS, max_repeats: float = MAX_REPEATS) -> tuple[list[float], float]:
     """``(weights, alpha)``: entropy is ``evenness`` times its maximum unless repetition needs a larger alpha.
 
     Both entropy and the largest repetition fall as alpha grows (on [0, 1]), so both are bisected. A natural mix that
-    is more even than the target stays as it is (alpha 1).
+    is more even than the target stays as it is (alpha 1). Without a budget, the covering budget of each alpha counts.
     """
     live = sum(t > 0 for t in tokens)
     if live == 0:
@@ -62,7 +67,12 @@ def solve_weights(tokens: list[int], budget: int, evenness: float = TARGET_EVENN
         return high
 
     alpha = bisect(lambda a: entropy(tempered(tokens, a)) <= target)
-    repeats = lambda a: max(w * budget / t for w, t in zip(tempered(tokens, a), tokens) if t)
+
+    def repeats(a: float) -> float:
+        w = tempered(tokens, a)
+        b = covering_budget(tokens, w) if budget is None else budget
+        return max(x * b / t for x, t in zip(w, tokens) if t)
+
     alpha = max(alpha, bisect(lambda a: repeats(a) <= max_repeats))
     return tempered(tokens, alpha), alpha
 
@@ -76,13 +86,14 @@ def _order(id_col: str, seed: int) -> Column:
 
 
 def plan_mix(
-    docs: DataFrame, budget: int | None = None, evenness: float = TARGET_EVENNESS, max_repeats: float = MAX_REPEATS,
+    docs: DataFrame, budget: int | str | None = None, evenness: float = TARGET_EVENNESS, max_repeats: float = MAX_REPEATS,
     block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(narrow, plan, sources)``.
 
     narrow: ``id, source, n_tokens, cell, order_key`` of every row. plan: ``source, block, epoch, block_rank, cut_key``
     (``cut_key`` null: the whole block; else rows with ``order_key <= cut_key``). sources: weights and quotas.
+    budget: tokens to draw; None: as many as there are; "cover": the least with which every document is drawn.
     """
     spark = docs.sparkSession
     narrow = materialize(
@@ -97,11 +108,11 @@ def plan_mix(
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     tokens = [r["n"] for r in totals]
-    budget = sum(tokens) if budget is None else budget
-    weights, alpha = solve_weights(tokens, budget, evenness, max_repeats)
+    weights, alpha = solve_weights(tokens, None if budget == "cover" else budget or sum(tokens), evenness, max_repeats)
+    budget = covering_budget(tokens, weights) if budget == "cover" else budget or sum(tokens)
     rows = []
     for r, w in zip(totals, weights):
-        quota = int(w * budget)
+        quota = math.floor(w * budget + 0.5)
         whole = quota // r["n"] if r["n"] else 0
         blocks = max(1, min(CELLS, r["n"] // block_tokens))
         rows.append((r["source"], r["n"], w, quota, whole, quota - whole * r["n"], blocks))
