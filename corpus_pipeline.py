@@ -19,7 +19,7 @@ EVENNESS = 0.9
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the base rule and the log-likelihood ratio threshold."""
     trusted = quality_rules.trusted_ids(table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, quality_rules.weights(docs, trusted)).where("kept").select(*docs.columns)
+    return quality_rules.keep(docs, quality_rules.weights(docs, trusted))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,3 +144,13 @@ def judge(docs: DataFrame, weight_row: DataFrame, text_col: str = "text", bucket
     ).drop("_grams", "_w")
     step = step.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return step.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
+
+
+def keep(docs: DataFrame, weight_row: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`judge` keeps.
+
+    The row number stands between verdict and filter so that the optimizer doesn't push the filter below the steps of the
+    verdict, which would repeat every step's expression in the next, over and over.
+    """
+    judged = judge(docs, weight_row, **options).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
