@@ -3,10 +3,12 @@
 * A text is its set of hashed five-word shingles (one shingle of all words if it has fewer). Texts with equal sets form one
   copy group that is joined once, whatever its size.
 * Every set keeps a consistent sample of ``SKETCH`` of its shingles. A run starts from all sets and splits them: under a path
-  of shingles, a set goes on to the ``BRANCH`` of its sampled shingles with the smallest hash under that path. Two similar
-  sets share most samples and so share a path with probability ``1 - Q`` in each run; ``runs_for(recall)`` independent runs are made.
-* Buckets of at most ``LIMIT`` sets are compared by brute force; larger ones are split again along longer paths. What is still
-  large at ``DEPTH`` is compared by pairs of blocks, so no bucket is dropped or capped.
+  of shingles, a set goes on to the sampled shingles with the smallest hash under that path, ``ROOT_BRANCH`` of them at the
+  root and ``BRANCH`` below. Two similar sets share most samples and so share a path with high probability in each run;
+  ``runs_for(recall)`` independent runs are made.
+* Buckets of at most ``LIMIT`` sets are compared by brute force; larger ones are split again along longer paths, so sets that
+  share one passage only drift apart. A large bucket that a split hardly thins out holds near copies: it is compared at once, by
+  pairs of blocks, as is what is still large at ``DEPTH``. No bucket is dropped or capped.
 * Sets whose samples agree loosely (well below the threshold) are tied into candidate groups, and each group's full sets are
   compared exactly, by pairs of blocks where the group is large. Links are counted in place; only one edge per set and block
   leaves a task, so a group of any size gives rows in proportion to its members.
@@ -33,14 +35,16 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 SKETCH = 64
-BRANCH = 4
-LIMIT = 256
-DEPTH = 4
+ROOT_BRANCH = 4
+BRANCH = 2
+LIMIT = 512
+DEPTH = 6
+THINNED = 0.7
 LOOSE = 0.6
 BLOCK = 512
 
 
-def runs_for(recall: float, threshold: float = THRESHOLD, branch: int = BRANCH) -> int:
+def runs_for(recall: float, threshold: float = THRESHOLD, branch: int = ROOT_BRANCH) -> int:
     """Runs until a pair at the threshold shares a path with probability ``recall``.
 
     Of ``branch`` shingles a pair shares about ``branch * 2 t / (1 + t)`` on each level; ``q`` is the chance that a
@@ -109,7 +113,7 @@ def _matrix(sketches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return m, mask
 
 
-def children(paths: np.ndarray, sketch: np.ndarray, mask: np.ndarray, branch: int = BRANCH) -> tuple[np.ndarray, np.ndarray]:
+def children(paths: np.ndarray, sketch: np.ndarray, mask: np.ndarray, branch: int) -> tuple[np.ndarray, np.ndarray]:
     """``(row, child path)``: under its path, each row goes on to its ``branch`` shingles of smallest hash."""
     score = mix64(sketch.astype(np.uint64) ^ paths[:, None], 31)
     score[~mask] = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -121,7 +125,10 @@ def children(paths: np.ndarray, sketch: np.ndarray, mask: np.ndarray, branch: in
 
 
 def _split(rows: DataFrame, roots: int) -> DataFrame:
-    """``path, key`` of the children of ``(path, key, sketch)`` rows; with ``roots``, of that many root paths instead."""
+    """``path, key, was`` of the children of ``(path, key, sketch, n)`` rows; with ``roots``, of that many root paths instead.
+
+    ``was`` is the size of the bucket that a child comes from (0 at the root).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,14 +137,14 @@ def _split(rows: DataFrame, roots: int) -> DataFrame:
                 sketch, mask = _matrix(batch.column("sketch"))
                 keys = batch.column("key").to_numpy()
                 if roots:
-                    starts = [np.full(len(batch), mix64(np.array([r + 1], np.uint64), 41)[0]) for r in range(roots)]
+                    starts, was = [np.full(len(batch), mix64(np.array([r + 1], np.uint64), 41)[0]) for r in range(roots)], np.zeros(len(batch), np.int64)
                 else:
-                    starts = [batch.column("path").to_numpy().view(np.uint64)]
+                    starts, was = [batch.column("path").to_numpy().view(np.uint64)], batch.column("n").to_numpy()
                 for p in starts:
-                    row, child = children(p, sketch, mask)
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(keys[row])], ["path", "key"])
+                    row, child = children(p, sketch, mask, ROOT_BRANCH if roots else BRANCH)
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(keys[row]), pa.array(was[row])], ["path", "key", "was"])
 
-    return rows.mapInArrow(run, "path bigint, key bigint")
+    return rows.mapInArrow(run, "path bigint, key bigint, was bigint")
 
 
 def _overlaps(values: np.ndarray, rows: np.ndarray, n: int, chunk: int = 4096) -> np.ndarray:
@@ -158,20 +165,24 @@ def _overlaps(values: np.ndarray, rows: np.ndarray, n: int, chunk: int = 4096) -
     return out
 
 
-def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric boolean matrix."""
-    n, seen, edges = len(linked), np.zeros(len(linked), bool), []
-    for root in range(n):
+def _stars(linked: np.ndarray, keys: np.ndarray) -> list[tuple[int, int]]:
+    """``(smallest key, other key)`` of every component of a symmetric boolean matrix.
+
+    Buckets that hold the same group mostly name the same smallest key, so their edges coincide.
+    """
+    seen, edges = np.zeros(len(linked), bool), []
+    for root in np.flatnonzero(linked.any(axis=1)).tolist():
         if seen[root]:
             continue
         seen[root] = True
-        stack = [root]
-        while stack:
-            k = stack.pop()
-            new = np.flatnonzero(linked[k] & ~seen)
-            seen[new] = True
-            edges += [(k, int(j)) for j in new]
-            stack += new.tolist()
+        members, front = [root], np.array([root])
+        while len(front):
+            front = np.flatnonzero(linked[front].any(axis=0) & ~seen)
+            seen[front] = True
+            members += front.tolist()
+        own = keys[members]
+        least = own.min()
+        edges += [(int(least), int(k)) for k in own.tolist() if k != least]
     return edges
 
 
@@ -212,7 +223,7 @@ def _blocks(df: DataFrame, group: str, n: str, limit: int) -> DataFrame:
 
 
 def _tie(buckets: DataFrame) -> DataFrame:
-    """``a, b``: forest edges between sets of a bucket whose samples agree loosely. Input: path, key, sketch, n."""
+    """``a, b``: star edges between sets of a bucket whose samples agree loosely. Input: path, key, sketch, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
@@ -229,9 +240,9 @@ def _tie(buckets: DataFrame) -> DataFrame:
                 common = _overlaps(np.concatenate(parts), np.repeat(np.arange(len(parts)), size), len(parts))
                 linked = common >= LOOSE * np.minimum(size[:, None], size[None, :])
                 np.fill_diagonal(linked, False)
-                for x, y in _forest(linked):
-                    a.append(keys[x])
-                    b.append(keys[y])
+                for x, y in _stars(linked, keys):
+                    a.append(x)
+                    b.append(y)
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
@@ -249,8 +260,8 @@ def candidate_edges(classes: DataFrame, recall: float = RECALL) -> DataFrame:
         paths = materialize(_split(rows, roots if depth == 1 else 0), "paths")
         sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         met = paths.join(sizes, "path").join(classes.select("key", "sketch"), "key")
-        met = materialize(met.select("path", "key", "sketch", "n"), "met")
-        big = F.col("n") > LIMIT
+        met = materialize(met.select("path", "key", "sketch", "n", "was"), "met")
+        big = (F.col("n") > LIMIT) & ((F.col("was") == 0) | (F.col("n") < THINNED * F.col("was")))
         done = met.where(~big) if depth < DEPTH else met
         edges = _tie(done)
         ties = edges if ties is None else ties.unionByName(edges)
@@ -263,7 +274,7 @@ def candidate_edges(classes: DataFrame, recall: float = RECALL) -> DataFrame:
 def _exact(sets: DataFrame) -> DataFrame:
     """Links within candidate groups. Input: ``comp, n, key, copies, set``. Output rows: ``a, b, texts, docs``.
 
-    ``b`` set: a forest edge of the links found; else the number of linked texts and documents of ``a`` in one block pair.
+    ``b`` set: a star edge of the links found; else the number of linked texts and documents of ``a`` in one block pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +293,9 @@ def _exact(sets: DataFrame) -> DataFrame:
             hit = np.flatnonzero(linked.any(axis=1))
             if not len(hit):
                 continue
-            edges = _forest(linked)
-            a = [keys[x] for x, _ in edges] + keys[hit].tolist()
-            b = [keys[y] for _, y in edges] + [None] * len(hit)
+            edges = _stars(linked, keys)
+            a = [x for x, _ in edges] + keys[hit].tolist()
+            b = [y for _, y in edges] + [None] * len(hit)
             texts = [0] * len(edges) + linked[hit].sum(axis=1).tolist()
             docs = [0] * len(edges) + (linked[hit] @ copies).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(texts, pa.int64()), pa.array(docs, pa.int64())], ["a", "b", "texts", "docs"])
@@ -340,5 +351,5 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL) -> DataFrame:
     """The rows of ``docs``, all columns, that have the smallest id of their class."""
-    gone = join(docs, id_col, text_col, recall).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = join(docs, id_col, text_col, recall).where("class_id <> doc_id").select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone_id"], "left_anti")

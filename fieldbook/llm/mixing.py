@@ -173,5 +173,6 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
     """The drawn rows with all columns of ``docs``; a row drawn in several epochs comes several times."""
     _, plan, sources = plan_mix(docs, id_col=id_col, source_col=source_col, seed=seed, **options)
-    rows = docs.withColumns({"_source": F.col(source_col), "_cell": _cell(id_col, seed), "_order_key": _order(id_col, seed)})
-    return _placed(rows, plan, sources).select(*[docs[c] for c in docs.columns])
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("_doc")  # extra columns keep their names, whatever they are
+    rows = docs.select(whole, F.col(source_col).alias("_source"), _cell(id_col, seed).alias("_cell"), _order(id_col, seed).alias("_order_key"))
+    return _placed(rows, plan, sources).select("_doc.*")

@@ -152,5 +152,7 @@ def keep(docs: DataFrame, weight_row: DataFrame, **options) -> DataFrame:
     The row number stands between verdict and filter so that the optimizer doesn't push the filter below the steps of the
     verdict, which would repeat every step's expression in the next, over and over.
     """
-    judged = judge(docs, weight_row, **options).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    text_col = options.pop("text_col", "text")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col(text_col).alias("text"))
+    judged = judge(packed, weight_row, **options).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select("_doc.*")
