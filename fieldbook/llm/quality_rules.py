@@ -88,7 +88,8 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
 def judge(docs: DataFrame, weight_row: DataFrame, text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """Adds to every row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
-    Added columns replace columns of the same name.
+    Added columns replace columns of the same name. The row number stands below the verdict so that the optimizer doesn't
+    push a later filter on the verdict below its steps, which would repeat every step's expression in the next.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     has_word = r"[^\x20\x09-\x0D]"
@@ -143,16 +144,12 @@ def judge(docs: DataFrame, weight_row: DataFrame, text_col: str = "text", bucket
         ),
     ).drop("_grams", "_w")
     step = step.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    return step.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
+    step = step.withColumn("_row", F.monotonically_increasing_id())
+    return step.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)) & (F.col("_row") >= 0)).drop("_row")
 
 
 def keep(docs: DataFrame, weight_row: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`judge` keeps.
-
-    The row number stands between verdict and filter so that the optimizer doesn't push the filter below the steps of the
-    verdict, which would repeat every step's expression in the next, over and over.
-    """
+    """The rows of ``docs``, all columns, that :func:`judge` keeps."""
     text_col = options.pop("text_col", "text")
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col(text_col).alias("text"))
-    judged = judge(packed, weight_row, **options).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select("_doc.*")
+    return judge(packed, weight_row, **options).where("kept").select("_doc.*")
