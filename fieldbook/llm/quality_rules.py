@@ -88,8 +88,8 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
 def judge(docs: DataFrame, weight_row: DataFrame, text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """Adds to every row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
-    Added columns replace columns of the same name. The row number stands below the verdict so that the optimizer doesn't
-    push a later filter on the verdict below its steps, which would repeat every step's expression in the next.
+    Added columns replace columns of the same name. They name the row number so that the optimizer doesn't push a
+    later filter on them below the steps of the verdict, which would repeat every step's expression in the next.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     has_word = r"[^\x20\x09-\x0D]"
@@ -144,8 +144,10 @@ def judge(docs: DataFrame, weight_row: DataFrame, text_col: str = "text", bucket
         ),
     ).drop("_grams", "_w")
     step = step.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    step = step.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept"]
     step = step.withColumn("_row", F.monotonically_increasing_id())
-    return step.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)) & (F.col("_row") >= 0)).drop("_row")
+    return step.withColumns({c: F.when(F.col("_row") >= 0, F.col(c)) for c in added}).drop("_row")
 
 
 def keep(docs: DataFrame, weight_row: DataFrame, **options) -> DataFrame:
