@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -398,19 +400,28 @@ def required_reference(spark: SparkSession, d: str) -> DataFrame:
     return sets.required_reference(t(spark, d, "nation"), r, "n_regionkey").select("n_nationkey", "n_name", "r_name")
 
 
-def phrases(spark: SparkSession, d: str) -> list[tuple[int, str]]:
-    """The benchmark items: a bounded query set in curated (id) order."""
-    return [(r[0], r[1]) for r in t(spark, d, "benchmark").orderBy("item_id").limit(2000).collect()]
+PHRASES_PER_BLOCK = 2000
+
+
+def phrase_blocks(spark: SparkSession, d: str) -> list[list[tuple[int, str]]]:
+    """The benchmark items, a stated query set, in curated (id) order and in blocks of a bounded number."""
+    rows = t(spark, d, "benchmark").orderBy("item_id").toLocalIterator()
+    return [[(r["item_id"], r["text"]) for r in block] for block in batched(rows, PHRASES_PER_BLOCK)]
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def evidence_verbatim(spark: SparkSession, d: str) -> DataFrame:
-    return sets.contains_pairs(t(spark, d, "documents"), "doc_id", "text", phrases(spark, d), "item_id").withColumn("item_id", F.col("item_id").cast("bigint"))
+    parts = [sets.contains_pairs(t(spark, d, "documents"), "doc_id", "text", block, "item_id") for block in phrase_blocks(spark, d)]
+    return reduce(DataFrame.unionByName, parts).withColumn("item_id", F.col("item_id").cast("bigint"))
 
 
 @query("SELECT d.doc_id, min(item_id) AS first_item FROM documents d LEFT JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def contains_match_first(spark: SparkSession, d: str) -> DataFrame:
-    return sets.first_containing(t(spark, d, "documents"), "text", phrases(spark, d), "first_item").select("doc_id", F.col("first_item").cast("bigint").alias("first_item"))
+    docs = t(spark, d, "documents")
+    blocks = phrase_blocks(spark, d)
+    for k, block in enumerate(blocks):
+        docs = sets.first_containing(docs, "text", block, f"_first{k}")
+    return docs.select("doc_id", F.coalesce(*[F.col(f"_first{k}") for k in range(len(blocks))]).cast("bigint").alias("first_item"))
 
 
 @query("""
