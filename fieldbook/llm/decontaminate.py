@@ -38,6 +38,7 @@ MAX_REPEATS = 64
 MIN_WORDS = 5
 ITEMS_PER_BLOCK = 20_000
 SEED = 11
+ROWS = 20_000
 
 MATCH_SCHEMA = "doc_id bigint, item_id bigint, edits int, item_words int, start_word bigint, repeats_hit int"
 
@@ -51,36 +52,38 @@ def gram_size(n: int, e: int) -> int:
     return max(1, min(3, n // (e + 1)))
 
 
-def cgk(strings: np.ndarray, walk: int) -> np.ndarray:
-    """CGK embedding of rows of equal length ``n`` to length ``3 n`` under one random walk.
+def cgk_at(strings: np.ndarray, walks: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """Sampled positions of the CGK embedding of rows of equal length ``n`` to length ``3 n``: ``walks x sampled x rows``.
 
     At step ``j`` the current word is written; the pointer moves on if the walk's random bit for (step, word) is set.
-    Past the end a pad symbol (0) is written.
+    Past the end a pad symbol (0) is written. All walks go on together, and only the positions in ``picks`` (one row for
+    each walk) are kept.
     """
     m, n = strings.shape
     padded = np.concatenate([strings, np.zeros((m, 1), np.uint64)], axis=1).ravel()
-    at = np.zeros(m, np.int64)
+    at = np.zeros((len(walks), m), np.int64)
     base = np.arange(m, dtype=np.int64) * (n + 1)
-    out = np.empty((3 * n, m), np.uint64)
-    for j in range(3 * n):
+    out = np.empty((*picks.shape, m), np.uint64)
+    for j in range(int(picks.max()) + 1):
         now = padded[base + at]
-        out[j] = now
-        move = (mix64(now, walk * 1009 + j * 7 + 3) >> np.uint64(33)) & np.uint64(1)
+        for r, k in zip(*np.nonzero(picks == j)):
+            out[r, k] = now[r]
+        move = (mix64(now, (walks * 1009 + j * 7 + 3)[:, None]) >> np.uint64(33)) & np.uint64(1)
         at = np.minimum(at + move.astype(np.int64), n)
-    return out.T
+    return out
 
 
 def lsh_keys(strings: np.ndarray, repeats: int, seed: int = SEED, sampled: int = SAMPLED) -> np.ndarray:
     """``rows x repeats`` bucket keys: one CGK walk and ``sampled`` of its positions each."""
     m, n = strings.shape
+    picks = np.stack([np.sort(np.random.default_rng([seed, r, n]).choice(3 * n, size=min(sampled, 3 * n), replace=False)) for r in range(repeats)])
     keys = np.empty((m, repeats), np.uint64)
-    for r in range(repeats):
-        picks = np.sort(np.random.default_rng([seed, r, n]).choice(3 * n, size=min(sampled, 3 * n), replace=False))
-        e = cgk(strings, seed + 131 * r)[:, picks]
-        key = np.full(m, np.uint64(r + 1))
+    for a in range(0, m, ROWS):
+        e = cgk_at(strings[a : a + ROWS], seed + 131 * np.arange(repeats), picks)
+        key = np.repeat(np.arange(1, repeats + 1, dtype=np.uint64)[:, None], e.shape[2], axis=1)
         for k in range(e.shape[1]):
             key = mix64(key * np.uint64(0x100000001B3) + e[:, k], k + 5)
-        keys[:, r] = key
+        keys[a : a + ROWS] = key.T
     return keys
 
 

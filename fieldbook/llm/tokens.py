@@ -44,10 +44,11 @@ def hash_words(flat: pa.Array) -> np.ndarray:
     return table[d.indices.to_numpy()]
 
 
-def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A bijective 64-bit mix (the finaliser of a multiply-xorshift generator)."""
+def mix64(x: np.ndarray, seed: int | np.ndarray = 0) -> np.ndarray:
+    """A bijective 64-bit mix (the finaliser of a multiply-xorshift generator); seeds may be an array that broadcasts."""
     with np.errstate(over="ignore"):
-        x = x ^ np.uint64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+        key = seed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if isinstance(seed, np.ndarray) else np.uint64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+        x = x ^ key
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
