@@ -71,16 +71,13 @@ def weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     every = docs.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("bucket"))
     rows = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     packed = rows.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("nr"), F.sum("target").alias("nt"))
-    # back-off: the target is smoothed by the raw multinomial, so a bucket that the target lacks is bounded by its own size
+    # the target is smoothed by the raw multinomial: a bucket that it lacks has the ratio of the smoothing's share, however
+    # large it is in the corpus, and with few trusted documents every ratio is near 0
+    mass = SMOOTHING * buckets
+    raw = lambda x: (x["raw"] + SMOOTHING) / (F.col("nr") + mass)
     return packed.select(
         F.transform(
-            "c",
-            lambda x: F.when(F.col("nt") == 0, F.lit(0.0))
-            .otherwise(
-                F.log2((x["target"] + SMOOTHING) / (F.col("nt") + SMOOTHING * buckets))
-                - F.log2((x["raw"] + SMOOTHING) / (F.col("nr") + SMOOTHING * buckets))
-            )
-            .cast("float"),
+            "c", lambda x: F.when(F.col("nt") == 0, F.lit(0.0)).otherwise(F.log2((x["target"] + mass * raw(x)) / (F.col("nt") + mass)) - F.log2(raw(x))).cast("float")
         ).alias("w")
     )
 
