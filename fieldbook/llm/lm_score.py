@@ -2,14 +2,16 @@
 
 ``P(w|h) = l2[b] c(h,w)/c(h) + l1[b] P1(w) + l0[b] / (V+1)``; ``b`` is the frequency bucket of the context ``h``. The weights
 of each bucket are learned by expectation-maximisation: one tenth of the training documents is deleted from the counts
-and its bigrams are the held-out counts (a bounded sample of them, see ``SAMPLE_BIGRAMS``). Counts cover all training
-documents and are exact.
+and all its bigrams are the held-out counts. Counts cover all training documents and are exact.
 
 How the job moves data:
 
 1. Unigram counts of all training words, pre-aggregated, one shuffle by word.
 2. The most frequent words (``VOCABULARY`` of them, a fixed bound) are broadcast. Pairs of the ``TOP`` most frequent ones,
-   which no partitioning could spread, are counted in a dense matrix of fixed size; the same pass counts the sample.
+   which no partitioning could spread, are counted in a dense matrix of fixed size. The same pass sends all other bigrams,
+   pre-aggregated and packed, to the bucket of their hash, where each held-out bigram meets its count in the kept texts;
+   counts of words outside the vocabulary are joined. Expectation-maximisation sees the matrix cell by cell and the other
+   held-out counts summed, all of them, in a fixed grid of probabilities (``GRID`` cells per factor of two) with their means.
 3. Every other bigram occurrence travels once, packed by task and bucket, to the bucket of its hash, where its training
    count is taken and its log probability added up by document. A bucket gets at most a fraction ``1/TOP`` of all tokens
    from one bigram. Words outside the vocabulary take the same way for their exact count (base score), and contexts
@@ -44,7 +46,7 @@ from .tokens import hash_words, mix64, owners, slices, split_words, starts_of
 
 VOCABULARY = 1 << 19
 TOP = 1024
-SAMPLE_BIGRAMS = 200_000
+GRID = 16
 BUCKETS = 16
 EM_ROUNDS = 60
 SLICE = 8 << 20
@@ -53,6 +55,8 @@ NULL_ID = -(1 << 63)
 
 PART_SCHEMA = "bucket int, blob binary, doc bigint, n_tokens bigint, known bigint, base double, score double"
 PACKED_SCHEMA = "bucket int, blob binary"
+COUNT_SCHEMA = "kind int, at bigint, h bigint, w bigint, c2 bigint, ch bigint, cw bigint, m bigint, s2 double, s1 double"
+GRID_SCHEMA = "at bigint, m bigint, s2 double, s1 double"
 SUM_SCHEMA = "doc bigint, n_tokens bigint, known bigint, base double, score double"
 
 
@@ -133,18 +137,16 @@ class Model:
         self.words, self.counts, self.kept = words[order], counts[order], kept[order]
         self.total, self.vocab = totals["total"], totals["vocab"]  # N and V of the base score
         specials = np.isin(self.words, [START])
-        hot_total, hot_kept = int(self.counts[~specials].sum()), int(self.kept[~specials].sum())
+        hot_total = int(self.counts[~specials].sum())
         rest_words = max(0, self.vocab - int((~specials).sum()))
         self.kept_total = totals["kept"]
         self.p_rest = (self.total - hot_total) / self.total / rest_words if self.total and rest_words else 0.0
-        self.kept_rest = (self.kept_total - hot_kept) / self.kept_total / rest_words if self.kept_total and rest_words else 0.0
         self.p0 = 1.0 / (self.vocab + 1)
         forced = np.isin(self.words, [START, END])
         rank = np.argsort(-(self.counts + forced * (1 << 60)), kind="stable")[:TOP]
         self.top = np.full(len(self.words), -1, np.int32)
         self.top[rank] = np.arange(len(rank))
         self.pairs = np.zeros((TOP, TOP), np.int64)
-        self.sample = np.zeros(0, np.uint64)
         self.weights = np.zeros((BUCKETS, 3))
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -196,6 +198,72 @@ def _as_arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
     return [t.column(c).to_numpy() for c in columns]
 
 
+def cells_of(kept_total: int, m: np.ndarray, c2: np.ndarray, ch: np.ndarray, cw: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Held-out counts by grid cell: ``(cell, sum of m, sums of m p2 and m p1)``; a cell is context bucket, p2, p1."""
+    p2, p1 = c2 / np.maximum(ch, 1), cw / max(1, kept_total)
+    step = lambda p: np.where(p > 0, np.clip(np.floor(-np.log2(np.where(p > 0, p, 1)) * GRID) + 1, 1, 1023), 0).astype(np.int64)
+    cell, inverse = np.unique((bucket_of(ch) << 20) | (step(p2) << 10) | step(p1), return_inverse=True)
+    return cell, *(np.bincount(inverse, weights=x, minlength=len(cell)).astype(t) for x, t in ((m, np.int64), (m * p2, float), (m * p1, float)))
+
+
+def _count_rows(kind: int, n: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    names = ["at", "h", "w", "c2", "ch", "cw", "m"]
+    cols = [pa.array(columns[c]) if c in columns else pa.nulls(n, pa.int64()) for c in names]
+    sums = [pa.array(columns[c]) if c in columns else pa.nulls(n, pa.float64()) for c in ("s2", "s1")]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *cols, *sums], ["kind", *names, "s2", "s1"])
+
+
+def _scatter_counts(m: Model, pairs: np.ndarray, part: np.ndarray, prev: np.ndarray, w: np.ndarray, parts: int) -> dict[int, bytes]:
+    """Adds the pairs of top words to ``pairs`` (kept, deleted); blobs of all other bigrams of training texts by bucket."""
+    p, q = m.find(prev), m.find(w)
+    tp, tq = at(m.top, p, -1), at(m.top, q, -1)
+    both = (tp >= 0) & (tq >= 0)
+    cell = tp.astype(np.int64) * len(m.pairs) + tq
+    for k, mine in enumerate((part > 1, part == 1)):
+        pairs[k] += np.bincount(cell[both & mine], minlength=m.pairs.size)
+    key, out = pair_key(prev, w), ~both & (part == 1)
+    kept, n = np.unique(key[~both & (part > 1)], return_counts=True)
+    deleted, index, dn = np.unique(key[out], return_index=True, return_counts=True)
+    dh, dw, dp, dq = (x[out][index] for x in (prev, w, p, q))
+    to = lambda k: ((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # noqa: E731  # ascends with the key
+    ka, da = (np.searchsorted(to(x), np.arange(parts + 1)) for x in (kept, deleted))
+    blobs = {}
+    for k in range(parts):
+        a, b = slice(ka[k], ka[k + 1]), slice(da[k], da[k + 1])
+        if a.stop + b.stop > a.start + b.start:
+            blobs[k] = pack(
+                np.diff(kept[a], prepend=np.uint64(0)), n[a].astype(np.uint32), np.diff(deleted[b], prepend=np.uint64(0)), dn[b].astype(np.uint32),
+                dp[b].astype(np.int32), dq[b].astype(np.int32), dh[b][dp[b] < 0], dw[b][dq[b] < 0],
+            )
+    return blobs
+
+
+def _gather_counts(m: Model, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Held-out bigrams of one bucket with their counts in the kept texts: grid cells, and rows where a word is outside."""
+    cols = [[] for _ in range(7)]
+    for blob in blobs:
+        k, n, d, dn, dp, dq, dh, dw = unpack(blob)
+        h, w = np.zeros(len(d), np.uint64), np.zeros(len(d), np.uint64)
+        h[dp < 0], w[dq < 0] = dh, dw
+        for c, x in zip(cols, (np.cumsum(k, dtype=np.uint64), n, np.cumsum(d, dtype=np.uint64), dn, np.stack([dp, dq], axis=1), h, w)):
+            c.append(x)
+    kept, n, deleted, dn, index, h, w = map(np.concatenate, cols)
+    types, first, inverse = np.unique(deleted, return_index=True, return_inverse=True)
+    if not len(types):
+        return
+    count = np.bincount(inverse, weights=dn).astype(np.int64)
+    i = np.minimum(np.searchsorted(types, kept), len(types) - 1)
+    hit = types[i] == kept
+    c2 = np.bincount(i[hit], weights=n[hit], minlength=len(types)).astype(np.int64)
+    (p, q), h, w = index[first].T, h[first], w[first]
+    ch, cw, hot = at(m.kept, p), at(m.kept, q), (p >= 0) & (q >= 0)
+    cell, s, s2, s1 = cells_of(m.kept_total, count[hot], c2[hot], ch[hot], cw[hot])
+    yield _count_rows(2, len(cell), at=cell, m=s, s2=s2, s1=s1)
+    rest = ~hot
+    outside = lambda x, k: pa.array(x[rest].view(np.int64), mask=k[rest] >= 0)
+    yield _count_rows(0, int(rest.sum()), h=outside(h, p), w=outside(w, q), c2=c2[rest], ch=ch[rest], cw=cw[rest], m=count[rest])
+
+
 def train(rows: DataFrame, vocabulary: int = VOCABULARY) -> Model:
     """Counts, vocabulary, pair matrix and interpolation weights."""
     start = F.lit(int(START))
@@ -213,67 +281,61 @@ def train(rows: DataFrame, vocabulary: int = VOCABULARY) -> Model:
     words, counts, kept = _as_arrays(hot, "h", "n", "kept")
     model = Model(words.view(np.uint64), counts, kept, totals)
     spark = rows.sparkSession
-    first = spark.sparkContext.broadcast(model)
+    first, parts = spark.sparkContext.broadcast(model), shuffle_partitions(spark)
 
-    def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, f, prev, w, counts in _cuts(batches):
-            at = np.repeat(f == 1, counts)
-            pairs, n = np.unique(np.stack([prev[at], w[at]], axis=1), axis=0, return_counts=True)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64)), pa.array(n)], ["h", "w", "m"])
-
-    deleted = rows.where(id_crc("id") % 10 == 1).mapInArrow(held_out, "h bigint, w bigint, m bigint")
-    # the held-out sample: the bigram types with the smallest hashes, with all their held-out occurrences
-    picked = deleted.groupBy("h", "w").agg(F.sum("m").alias("m")).orderBy(F.xxhash64("h", "w"), "h", "w").limit(SAMPLE_BIGRAMS)
-    sh, sw, sm = _as_arrays(picked, "h", "w", "m")
-    sh, sw = sh.view(np.uint64), sw.view(np.uint64)
-    keys = pair_key(sh, sw)
-    order = np.argsort(keys)
-    sh, sw, sm, keys = sh[order], sw[order], sm[order], keys[order]
-    model.sample = keys
-    outside = np.unique(sh[model.find(sh) < 0])
-    second = spark.sparkContext.broadcast(model)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = second.value
-        pairs, sample = np.zeros(TOP * TOP, np.int64), np.zeros(len(m.sample), np.int64)
-        bits = np.zeros(1 << 22, bool)
-        bits[(m.sample >> np.uint64(42)).astype(np.int64)] = True
+    def scatter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, pairs = first.value, np.zeros((2, TOP * TOP), np.int64)
         for _, f, prev, w, counts in _cuts(batches):
-            part = np.repeat(f, counts)
-            p, q = m.find(prev), m.find(w)
-            tp, tq = at(m.top, p, -1), at(m.top, q, -1)
-            both = (part != 0) & (tp >= 0) & (tq >= 0)
-            pairs += np.bincount(tp[both].astype(np.int64) * TOP + tq[both], minlength=TOP * TOP)
-            k = pair_key(prev[part > 1], w[part > 1])
-            k = k[bits[(k >> np.uint64(42)).astype(np.int64)]]
-            if len(k):
-                i = np.minimum(np.searchsorted(m.sample, k), len(m.sample) - 1)
-                sample += np.bincount(i[m.sample[i] == k], minlength=len(sample))
-        a, b = np.flatnonzero(pairs), np.flatnonzero(sample)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.array([0, 1], np.int32), [len(a), len(b)])), pa.array(np.concatenate([a, b])), pa.array(np.concatenate([pairs[a], sample[b]]))], ["kind", "at", "n"]
-        )
-
-    got = rows.mapInArrow(count_pairs, "kind int, at bigint, n bigint").groupBy("kind", "at").agg(F.sum("n").alias("n"))
-    kind, place, n = _as_arrays(got, "kind", "at", "n")  # at most TOP * TOP + SAMPLE_BIGRAMS rows
-    model.pairs.ravel()[place[kind == 0]] = n[kind == 0]
-    c2 = np.zeros(len(keys), np.int64)
-    c2[place[kind == 1]] = n[kind == 1]
-    ch, cw = at(model.kept, model.find(sh)), at(model.kept, model.find(sw))
-    if len(outside):
-        wanted = spark.createDataFrame(pa.table({"h": pa.array(outside.view(np.int64))}))
-        oh, on = _as_arrays(uni.join(F.broadcast(wanted), "h").where("kept > 0"), "h", "kept")  # at most SAMPLE_BIGRAMS rows
-        order = np.argsort(oh.view(np.uint64))
-        oh, on = oh.view(np.uint64)[order], on[order]
-        if len(oh):
-            i = np.minimum(np.searchsorted(oh, sh), len(oh) - 1)
-            ch = np.where((model.find(sh) < 0) & (oh[i] == sh), on[i], ch)
-    p1 = np.where(model.find(sw) < 0, model.kept_rest, cw / max(1, model.kept_total))
-    model.weights = em(sm.astype(float), c2 / np.maximum(ch, 1), p1, model.p0, bucket_of(ch))
-    model.sample = np.zeros(0, np.uint64)
+            blobs = _scatter_counts(m, pairs, np.repeat(f, counts), prev, w, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int32()), pa.array([False] * len(blobs), pa.bool_()), pa.array(list(blobs.values()), pa.binary())], ["bucket", "dense", "blob"])
+        cells = np.flatnonzero(pairs.any(axis=0))
+        for k in range(parts):
+            at = cells[cells % parts == k]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([True]), pa.array([pack(np.diff(at, prepend=0), *(x[at] for x in pairs))], pa.binary())], ["bucket", "dense", "blob"])
+
+    def gather_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        for batch in batches:
+            for k, dense, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "dense", "blob"))):
+                held.setdefault(k, ([], []))[dense].append(blob)
+        while held:
+            sparse, dense = held.popitem()[1]
+            if dense:
+                got = [unpack(x) for x in dense]
+                at, inverse = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
+                kept, out = (np.bincount(inverse, weights=np.concatenate([g[k] for g in got])).astype(np.int64) for k in (1, 2))
+                yield _count_rows(1, len(at), at=at, c2=kept, m=out)
+            if sparse:
+                yield from _gather_counts(first.value, sparse)
+
+    def grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells_of(totals["kept"], *(batch.column(c).to_numpy() for c in ("m", "c2", "ch", "cw")))], ["at", "m", "s2", "s1"])
+
+    sent = rows.where(id_crc("id") % 10 != 0).mapInArrow(scatter_counts, "bucket int, dense boolean, blob binary").repartition(parts, "bucket")
+    found = materialize(sent.mapInArrow(gather_counts, COUNT_SCHEMA), "bigrams")
+    place, n, out = _as_arrays(found.where("kind = 1"), "at", "c2", "m")  # at most TOP * TOP rows
+    model.pairs.ravel()[place] = n + out
+    # held-out bigrams with a word outside the vocabulary: its count in the kept texts is joined
+    rest = found.where("kind = 0").select("h", "w", "c2", "ch", "cw", "m")
+    for word, count in (("h", "ch"), ("w", "cw")):
+        of = uni.select(F.col("h").alias(word), F.col("kept").alias("_kept"))
+        known = rest.where(F.col(word).isNull())
+        joined = rest.where(F.col(word).isNotNull()).join(of, word, "left").withColumn(count, F.coalesce("_kept", F.lit(0))).select(*rest.columns)
+        rest = known.unionByName(joined)
+    cells = rest.select("m", "c2", "ch", "cw").mapInArrow(grid, GRID_SCHEMA).unionByName(found.where("kind = 2").select("at", "m", "s2", "s1"))
+    cell, gm, g2, g1 = _as_arrays(cells.groupBy("at").agg(*(F.sum(c).alias(c) for c in ("m", "s2", "s1"))), "at", "m", "s2", "s1")
+    place, n, out = place[out > 0], n[out > 0], out[out > 0]
+    of_rank = np.zeros(TOP, np.int64)
+    ranked = np.flatnonzero(model.top >= 0)
+    of_rank[model.top[ranked]] = model.kept[ranked]
+    ch, cw = of_rank[place // TOP], of_rank[place % TOP]
+    model.weights = em(
+        np.concatenate([out, gm]).astype(float), np.concatenate([n / np.maximum(ch, 1), g2 / gm]), np.concatenate([cw / max(1, totals["kept"]), g1 / gm]),
+        model.p0, np.concatenate([bucket_of(ch), cell >> 20]),
+    )
     first.unpersist()
-    second.unpersist()
     return model
 
 

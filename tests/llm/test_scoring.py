@@ -81,6 +81,31 @@ def test_em_raises_likelihood():
     assert like(lm_score.em(m, p2, p1, 0.001, b)[3]) > like([0.4, 0.4, 0.2])
 
 
+def test_lm_weights_from_all_held_out_bigrams(spark, docs_of, monkeypatch):
+    """The weights are those of plain counts over every deleted bigram, whatever the vocabulary."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(150)), "en", "s") for i in range(300)]
+    part = lambda i: zlib.crc32(str(i).encode()) % 10
+    kept, out = [tokens(r[1]) for r in rows if part(r[0]) > 1], [tokens(r[1]) for r in rows if part(r[0]) == 1]
+    bigrams = lambda texts: Counter(p for t in texts for p in zip(["\0start", *t], t))
+    c, c2, m = Counter(x for t in kept for x in t), bigrams(kept), bigrams(out)
+    ctx, total = Counter(), sum(c.values())
+    for (h, _), n in c2.items():
+        ctx[h] += n
+    p0 = 1 / (len(set(c) | {w for _, w in m}) + 1)
+    ch = np.array([ctx[h] for h, _ in m])
+    want = lm_score.em(np.array([*m.values()], float), np.array([c2[k] for k in m]) / np.maximum(ch, 1), np.array([c[w] for _, w in m]) / total, p0, lm_score.bucket_of(ch))
+    monkeypatch.setattr(lm_score, "SAMPLE_BIGRAMS", 50, raising=False)  # of an older version: no bound on these counts may matter
+    monkeypatch.setattr(lm_score, "TOP", 8)
+    docs = lm_score._rows(docs_of(rows), "doc_id", "text")
+    for vocabulary in (1 << 19, 40):
+        assert np.abs(lm_score.train(docs, vocabulary).weights - want).max() < 2e-3
+
+
 def test_language_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op2_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text"), "doc_id")
