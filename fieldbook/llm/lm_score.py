@@ -14,11 +14,14 @@ How the job moves data:
    held-out counts summed, all of them, in a fixed grid of probabilities (``GRID`` cells per factor of two) with their means.
 3. Every other bigram occurrence travels once, packed by task and bucket, to the bucket of its hash, where its training
    count is taken and its log probability added up by document. A bucket gets at most a fraction ``1/TOP`` of all tokens
-   from one bigram. Words outside the vocabulary take the same way for their exact count (base score), and contexts
-   outside it bring their successors to one bucket, so their count is exact too.
-4. Sums by document: one shuffle of small rows.
-
-``P1`` is the relative frequency of vocabulary words; the mass of all other training words is shared equally among them.
+   from one bigram. Words outside the vocabulary bring their contexts to one bucket and contexts outside it bring their
+   successors, so their counts are exact too.
+4. Bigrams of two words outside the vocabulary go on from the bucket of the context to that of the word, which has the
+   word's count; the same shuffle adds up the sums by document.
+5. Sums by document: one shuffle of small rows.
+
+``P1`` is the relative frequency in the training texts of every word, 0 for words that they don't have; the size of the
+vocabulary decides only which way an occurrence takes.
 Hashes are 64 bits for words and, within a bucket, 48 bits for bigrams; the chance of a clash does not grow with the corpus,
 as buckets grow in number and not in size.
 
@@ -54,7 +57,8 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # reserved hashes
 NULL_ID = -(1 << 63)
 
 PART_SCHEMA = "bucket int, blob binary, doc bigint, n_tokens bigint, known bigint, base double, score double"
-PACKED_SCHEMA = "bucket int, blob binary"
+PACKED_SCHEMA = "bucket int, kind int, blob binary"  # kind: sums by document, counts of words, bigrams that wait for them
+SUMS, WORDS, WAITING = range(3)
 COUNT_SCHEMA = "kind int, at bigint, h bigint, w bigint, c2 bigint, ch bigint, cw bigint, m bigint, s2 double, s1 double"
 GRID_SCHEMA = "at bigint, m bigint, s2 double, s1 double"
 SUM_SCHEMA = "doc bigint, n_tokens bigint, known bigint, base double, score double"
@@ -136,11 +140,8 @@ class Model:
         order = np.argsort(words)
         self.words, self.counts, self.kept = words[order], counts[order], kept[order]
         self.total, self.vocab = totals["total"], totals["vocab"]  # N and V of the base score
-        specials = np.isin(self.words, [START])
-        hot_total = int(self.counts[~specials].sum())
-        rest_words = max(0, self.vocab - int((~specials).sum()))
         self.kept_total = totals["kept"]
-        self.p_rest = (self.total - hot_total) / self.total / rest_words if self.total and rest_words else 0.0
+        self.p_rest = 0.0  # P1 of words that no training text has
         self.p0 = 1.0 / (self.vocab + 1)
         forced = np.isin(self.words, [START, END])
         rank = np.argsort(-(self.counts + forced * (1 << 60)), kind="stable")[:TOP]
@@ -349,19 +350,19 @@ def _scatter_slice(m: Model, ids: np.ndarray, f: np.ndarray, prev: np.ndarray, w
     d = math.log10(m.total + 0.1 * (m.vocab + 1))
     cw = at(m.counts, q)
     hot_w, hot_h = q >= 0, p >= 0
-    base = np.bincount(own[hot_w], weights=np.log10(cw[hot_w] + 0.1) - d, minlength=docs)
+    base = np.bincount(own[hot_w], weights=np.log10(cw[hot_w] + 0.1) - d, minlength=docs).astype(float)
     known = np.bincount(own[hot_w], weights=cw[hot_w] > 0, minlength=docs).astype(np.int64)
-    p1 = np.where(hot_w, cw / max(1, m.total), m.p_rest)
+    p1 = np.where(hot_w, cw / max(1, m.total), -1.0)  # -1: known in the bucket of the word only
     ch = at(m.counts, p)
     lam = m.weights[bucket_of(ch)]
     low = lam[:, 1] * p1 + lam[:, 2] * m.p0
     tp, tq = at(m.top, p, -1), at(m.top, q, -1)
     matrix = (tp >= 0) & (tq >= 0)
     score = np.zeros(docs)
-    seen = hot_h & (ch > 0)
+    seen = hot_h & hot_w & (ch > 0)
     near = matrix & seen
     score += np.bincount(own[near], weights=np.log10(lam[near, 0] * m.pairs[tp[near], tq[near]] / ch[near] + low[near]), minlength=docs)
-    bare = hot_h & ~seen  # a context of the vocabulary that no training text has: lower orders only
+    bare = hot_h & hot_w & ~seen  # a context of the vocabulary that no training text has: lower orders only
     score += np.bincount(own[bare], weights=np.log10(low[bare]), minlength=docs)
     far = seen & ~matrix
     unit = lam[far, 0] / ch[far]
@@ -376,7 +377,7 @@ def _scatter_slice(m: Model, ids: np.ndarray, f: np.ndarray, prev: np.ndarray, w
     b = (to_b[order], prev[~hot_h][order], w[~hot_h][order], own[~hot_h][order], p1[~hot_h][order].astype(np.float32))
     to_c = (mix64(w[~hot_w], 9) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(to_c, kind="stable")
-    c = (to_c[order], w[~hot_w][order], own[~hot_w][order])
+    c = (to_c[order], w[~hot_w][order], own[~hot_w][order], p[~hot_w][order].astype(np.int32))
     edges = [np.searchsorted(x[0], np.arange(parts + 1)) for x in (a, b, c)]
     small = np.uint16 if docs <= 1 << 16 else np.uint32
     blobs = {}
@@ -388,14 +389,15 @@ def _scatter_slice(m: Model, ids: np.ndarray, f: np.ndarray, prev: np.ndarray, w
             ka = np.diff(a[1][a0:a1], prepend=np.uint64(0))
             blobs[k] = pack(
                 np.diff(ids[used], prepend=np.int64(0)), (f[used] != 0).astype(np.uint8), ka, inverse[: a1 - a0], a[3][a0:a1],
-                b[1][b0:b1], b[2][b0:b1], inverse[a1 - a0 : a1 - a0 + b1 - b0], b[4][b0:b1], c[1][c0:c1], inverse[a1 - a0 + b1 - b0 :],
+                b[1][b0:b1], b[2][b0:b1], inverse[a1 - a0 : a1 - a0 + b1 - b0], b[4][b0:b1], c[1][c0:c1], inverse[a1 - a0 + b1 - b0 :], c[3][c0:c1],
             )
     return blobs, [counts, known, base, score]
 
 
-def _gather_bucket(m: Model, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(doc, known, base, score)`` sums of one bucket."""
-    cols, shift = [[] for _ in range(11)], 0
+def _gather_bucket(m: Model, blobs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """``(doc, known, base, score)`` sums of one bucket, ``(word, count)`` that other buckets need, and bigrams whose word has its
+    count elsewhere: ``(word, doc, bucket of the context, relative frequency)``."""
+    cols, shift = [[] for _ in range(12)], 0
     for blob in blobs:
         u = unpack(blob)
         u[0], u[2] = np.cumsum(u[0]), np.cumsum(u[2], dtype=np.uint64)
@@ -404,7 +406,7 @@ def _gather_bucket(m: Model, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray
         shift += len(u[0])
         for k, x in enumerate(u):
             cols[k].append(x)
-    ids, trained, ka, da, qa, hb, wb, db, pb, wc, dc = map(np.concatenate, cols)
+    ids, trained, ka, da, qa, hb, wb, db, pb, wc, dc, hc = map(np.concatenate, cols)
     trained = trained.astype(bool)
     score, base, known = np.zeros(shift), np.zeros(shift), np.zeros(shift, np.int64)
 
@@ -416,16 +418,29 @@ def _gather_bucket(m: Model, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray
         return np.bincount(inverse, weights=trained[doc]).astype(np.int64)[inverse]
 
     score += np.bincount(da, weights=np.log10(training(ka, da) + qa.astype(np.float64)), minlength=shift)
+    words, waiting = [np.zeros(0, np.uint64), np.zeros(0, np.int64)], [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0)]
     if len(hb):
-        ch, c2 = training(hb, db), training(pair_key(hb, wb), db)
-        lam = m.weights[bucket_of(ch)]
-        p = lam[:, 0] * c2 / np.maximum(ch, 1) + lam[:, 1] * pb.astype(np.float64) + lam[:, 2] * m.p0
-        score += np.bincount(db, weights=np.log10(p), minlength=shift)
+        ch, c2, here = training(hb, db), training(pair_key(hb, wb), db), pb >= 0
+        b, part = bucket_of(ch), c2 / np.maximum(ch, 1)
+        p = interpolate(m, b[here], part[here], pb[here].astype(np.float64))
+        score += np.bincount(db[here], weights=np.log10(p), minlength=shift)
+        waiting = [wb[~here], ids[db[~here]], b[~here].astype(np.uint8), part[~here]]
     if len(wc):
-        c = training(wc, dc)
+        c, here = training(wc, dc), hc >= 0
+        h = hc[here]
+        ch, c2 = m.counts[h], training(pair_key(m.words[h], wc[here]), dc[here])
+        p = interpolate(m, bucket_of(ch), c2 / np.maximum(ch, 1), c[here] / max(1, m.total))
+        score += np.bincount(dc[here], weights=np.log10(p), minlength=shift)
+        words[0], first = np.unique(wc[~here], return_index=True)
+        words[1] = c[~here][first]
         base += np.bincount(dc, weights=np.log10(c + 0.1) - math.log10(m.total + 0.1 * (m.vocab + 1)), minlength=shift)
         known += np.bincount(dc, weights=c > 0, minlength=shift).astype(np.int64)
-    return ids, known, base, score
+    return [ids, known, base, score], words, waiting
+
+
+def interpolate(m: Model, bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    lam = m.weights[bucket]
+    return lam[:, 0] * p2 + lam[:, 1] * p1 + lam[:, 2] * m.p0
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
@@ -446,6 +461,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
             yield pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int32()), pa.array(list(blobs.values()), pa.binary()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names)
             yield pa.RecordBatch.from_arrays([pa.array((np.arange(n) + turn) % parts, pa.int32()), pa.nulls(n, pa.binary()), pa.array(ids), *(pa.array(x) for x in local)], names)
 
+    def packed_rows(kind: int, to: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([kind] * len(to), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+
+    def by_word(kind: int, words: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        """Columns, packed by the bucket of their word."""
+        to = (mix64(words, 9) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[order], np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(edges)).tolist()
+        return packed_rows(kind, full, [pack(*(c[order[edges[k] : edges[k + 1]]] for c in (words, *columns))) for k in full])
+
     def by_document(ids: np.ndarray, tokens: np.ndarray, known: np.ndarray, base: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
         """Parts of sums, packed by the bucket of their document."""
         to = (mix64(ids.view(np.uint64), 12) % np.uint64(parts)).astype(np.int64)
@@ -454,7 +480,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
         edges = np.searchsorted(to[order], np.arange(parts + 1))
         full = np.flatnonzero(np.diff(edges)).tolist()
         blobs = [pack(np.diff(cols[0][edges[k] : edges[k + 1]], prepend=np.int64(0)), *(c[edges[k] : edges[k + 1]] for c in cols[1:])) for k in full]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names[:2])
+        return packed_rows(SUMS, full, blobs)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -466,8 +492,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
             for b, blob in zip(rest.column("bucket").to_pylist(), rest.column("blob").to_pylist()):
                 held.setdefault(b, []).append(blob)
         while held:
-            ids, known, base, value = _gather_bucket(shared.value, held.popitem()[1])
+            (ids, known, base, value), words, waiting = _gather_bucket(shared.value, held.popitem()[1])
             yield by_document(ids, np.zeros(len(ids), np.int64), known, base, value)
+            yield by_word(WORDS, *words)
+            yield by_word(WAITING, *waiting)
+
+    def sums_of(blobs: list[bytes]) -> list[np.ndarray]:
+        got = [unpack(x) for x in blobs]
+        ids, at = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
+        sums = [np.bincount(at, weights=np.concatenate([g[k] for g in got]), minlength=len(ids)) for k in range(1, 5)]
+        return [ids, sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[bytes], ...]] = {}
+        for batch in batches:
+            for b, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "blob"))):
+                held.setdefault(b, ([], [], []))[kind].append(blob)
+        while held:
+            sums, words, waiting = held.popitem()[1]
+            if sums:
+                yield by_document(*sums_of(sums))
+            if waiting:
+                known, c = map(np.concatenate, zip(*map(unpack, words)))
+                order = np.argsort(known)
+                w, docs, b, p2 = map(np.concatenate, zip(*map(unpack, waiting)))
+                p1 = c[order][np.searchsorted(known[order], w)] / max(1, shared.value.total)
+                ids, at = np.unique(docs, return_inverse=True)
+                none = np.zeros(len(ids), np.int64)
+                yield by_document(ids, none, none, none.astype(float), np.bincount(at, weights=np.log10(interpolate(shared.value, b, p2, p1))))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -475,13 +527,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
             for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
                 held.setdefault(b, []).append(blob)
         while held:
-            got = [unpack(x) for x in held.popitem()[1]]
-            ids, at = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
-            sums = [np.bincount(at, weights=np.concatenate([g[k] for g in got]), minlength=len(ids)) for k in range(1, 5)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3])], names[2:])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums_of(held.popitem()[1])], names[2:])
 
     packed = rows.mapInArrow(scatter, PART_SCHEMA).repartition(parts, "bucket").mapInArrow(gather, PACKED_SCHEMA)
-    total = packed.repartition(parts, "bucket").mapInArrow(add_up, SUM_SCHEMA)
+    settled = packed.repartition(parts, "bucket").mapInArrow(settle, PACKED_SCHEMA)
+    total = settled.repartition(parts, "bucket").mapInArrow(add_up, SUM_SCHEMA)
     doc = F.when(F.col("doc") != F.lit(NULL_ID), F.col("doc"))
     return total.select(
         doc.alias("doc_id"), (F.crc32(F.coalesce(doc.cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"), "n_tokens", F.col("known").alias("n_known"),

@@ -106,6 +106,28 @@ def test_lm_weights_from_all_held_out_bigrams(spark, docs_of, monkeypatch):
         assert np.abs(lm_score.train(docs, vocabulary).weights - want).max() < 2e-3
 
 
+@pytest.mark.parametrize("vocabulary, top", [(1 << 19, 1024), (40, 8), (0, 8)])
+def test_lm_score_is_exact_whatever_the_vocabulary(spark, odd, odd_rows, docs_of, monkeypatch, vocabulary, top):
+    """P1 is c(w)/N for every word, 0 for unseen ones."""
+    monkeypatch.setattr(lm_score, "TOP", top)
+    held, train = {}, lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *a: held.setdefault("m", train(*a)))
+    new = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = [*(r[:2] for r in odd_rows), (new, "unseen words w1 w390 w391 unseen w1")]
+    got = lm_score.score(odd.unionByName(docs_of([(*rows[-1], "en", "s")])), vocabulary=vocabulary).collect()
+    texts = [tokens(t) for d, t in rows if zlib.crc32(b"" if d is None else str(d).encode()) % 10]
+    c, pairs, ctx, want = Counter(x for t in texts for x in t), Counter(p for t in texts for p in zip(["\0start", *t], t)), Counter(), Counter()
+    for (h, _), n in pairs.items():
+        ctx[h] += n
+    for d, t in rows:
+        t = tokens(t)
+        for h, w in zip(["\0start", *t], t):
+            lam = held["m"].weights[int(lm_score.bucket_of(ctx[h]))]
+            want[d] += math.log10(lam[0] * pairs[h, w] / max(1, ctx[h]) + lam[1] * c[w] / c.total() + lam[2] / (len(c) + 1))
+    assert len(got) == len(want)
+    assert all(r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-5) for r in got)
+
+
 def test_language_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op2_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text"), "doc_id")
