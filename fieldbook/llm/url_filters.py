@@ -1,7 +1,8 @@
 """URL filters: explicit host/path rules, then host word segmentation with multinomial naive Bayes.
 
-* Unigram model: words of the visible text of every page, counted over all rows; the ``dictionary_size`` most
-  frequent ones (a model size, so the broadcast has a fixed bound) split concatenated host labels by Viterbi.
+* Unigram model: words of the visible text of every page, counted over all rows, split concatenated host labels and path
+  parts by Viterbi. The counts stay a table: rows are dealt into parts by hash, the distinct substrings of a part's
+  letter runs are joined with all counts, and each part splits its runs with the words that it found.
 * Naive Bayes: the pages that a rule decides are its labelled rows (block or allow), together with the fixed
   ``SEED_WORDS``; tokens are hashed into a fixed number of buckets, so the model has a fixed size.
 
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize, shuffle_partitions
+
 # fixed values: (action, host, path)
 RULES = (
     ("allow", "com", "/"),
@@ -34,7 +37,7 @@ SEED_WORDS = {
     "allow": ("news", "blog", "wiki", "docs", "edu", "library", "science", "school"),
 }
 SEED_COUNT = 50
-DICTIONARY_SIZE = 50_000
+SUBSTRINGS = 100_000  # held at once before they are sent on
 BUCKETS = 1 << 15
 MAX_WORD = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,10 +69,10 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 class Segmenter:
-    """Unigram Viterbi over a dictionary of log probabilities."""
+    """Unigram Viterbi over a dictionary of log probabilities; ``total``: of all words, if ``counts`` has only some."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values()) or 1
         self.logp = {w: math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(1.0 / total) - 1.0
         self.seen: dict[str, tuple[str, ...]] = {}
@@ -113,23 +116,59 @@ def _bucket(token: str) -> int:
     return xxhash.xxh64_intdigest(token) & (BUCKETS - 1)
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, dictionary_size: int = DICTIONARY_SIZE) -> DataFrame:
+def with_tokens(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds ``tokens`` of ``host`` and ``path``, split with all word counts."""
+    parts = shuffle_partitions(rows.sparkSession)
+    total = counts.agg(F.sum("n")).first()[0]
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(parts)).cast("int"))
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, found = set(), set()
+            for k, *texts in zip(*(batch.column(c).to_pylist() for c in ("part", "host", "path"))):
+                runs.update((k, r) for t in texts for r in re.findall(r"[a-z]+", t.lower()))
+            for k, run in runs:
+                for start in range(len(run)):
+                    found.update((k, run[start:end]) for end in range(start + 1, min(len(run), start + MAX_WORD) + 1))
+                    if len(found) >= SUBSTRINGS:
+                        yield batch_of(found)
+                        found.clear()
+            if found:
+                yield batch_of(found)
+
+    def batch_of(found: set[tuple[int, str]]) -> pa.RecordBatch:
+        at, words = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words)], ["part", "word"])
+
+    def split(own: pa.Table, known: pa.Table) -> pa.Table:
+        segmenter = Segmenter(dict(zip(known.column("word").to_pylist(), known.column("n").to_pylist())), total)
+        tokens = [segmenter.tokens(h, p) for h, p in zip(own.column("host").to_pylist(), own.column("path").to_pylist())]
+        return own.drop_columns(["part"]).append_column("tokens", pa.array(tokens, pa.list_(pa.string())))
+
+    known = dealt.select("part", "host", "path").mapInArrow(substrings, "part int, word string").distinct().join(counts, "word")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return dealt.where("host <> '' or path <> ''").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(split, f"{schema}, tokens array<string>").unionByName(
+        rows.where("host = '' and path = ''").withColumn("tokens", F.array().cast("array<string>"))
+    )
+
+
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """Per row: ``page_id, host, path, rule, verdict, host_words, block_score``."""
     spark = pages.sparkSession
-    top = word_counts(pages).orderBy(F.desc("n"), "word").limit(dictionary_size).collect()
-    segmenter = spark.sparkContext.broadcast(Segmenter({r["word"]: r["n"] for r in top}))
+    words = materialize(word_counts(pages), "words")
     host, path = split_url(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, action = match_rules(F.col("host"), F.col("path"), rules)
     ruled = parsed.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"))
+    ruled = materialize(with_tokens(ruled, words), "tokens")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {"block": np.zeros(BUCKETS, np.int64), "allow": np.zeros(BUCKETS, np.int64)}
         rows = dict.fromkeys(totals, 0)
         for batch in batches:
-            for h, p, a in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "action"))):
+            for tokens, a in zip(*(batch.column(c).to_pylist() for c in ("tokens", "action"))):
                 rows[a] += 1
-                for t in segmenter.value.tokens(h, p):
+                for t in tokens:
                     totals[a][_bucket(t)] += 1
         for a, counts in totals.items():
             at = np.flatnonzero(counts)
@@ -137,7 +176,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, dic
 
     found = (
         ruled.where("action is not null")
-        .select("host", "path", "action")
+        .select("tokens", "action")
         .mapInArrow(count, "action string, bucket int, n bigint")
         .groupBy("action", "bucket")
         .agg(F.sum("n").alias("n"))
@@ -160,8 +199,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, dic
         ratio, base = model.value
         for batch in batches:
             hosts, scores = [], []
-            for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-                tokens = segmenter.value.tokens(h, p)
+            for tokens in batch.column("tokens").to_pylist():
                 hosts.append(" ".join(t[2:] for t in tokens if t[0] == "h"))
                 scores.append(base + float(sum(ratio[_bucket(t)] for t in tokens)))
             verdict = [a or ("block" if s > 0 else "allow") for a, s in zip(batch.column("action").to_pylist(), scores)]

@@ -95,6 +95,17 @@ def test_viterbi_is_the_best_split():
         assert got == pytest.approx(best(t))
 
 
+def test_url_words_are_all_known(spark):
+    """A word seen once splits hosts, however many other words are more frequent."""
+    common = " ".join(f"{'x' + str(i).translate(str.maketrans('0123456789', 'bcdfghjklm'))} " * 2 for i in range(52_000))
+    rows = [(1, "http://zebraquilt.org/Violinanchor/7", f"<p>{common}</p>"), (2, None, "<p>zebra quilt</p> violin anchor")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["host_words"] for r in url_filters.judge(df).collect()} == {1: "zebra quilt org", 2: ""}
+    parsed = df.select("page_id", *(c.alias(n) for n, c in zip(("host", "path"), url_filters.split_url(F.col("url")))))
+    got = {r["page_id"]: r["tokens"] for r in url_filters.with_tokens(parsed, url_filters.word_counts(df)).collect()}
+    assert got == {1: ["h:zebra", "h:quilt", "h:org", "p:violin", "p:anchor", "p:<num>"], 2: []}
+
+
 def test_mixing_weights():
     tokens = [900, 50, 50, 0]
     w, alpha = mixing.solve_weights(tokens, 1000, evenness=0.9, max_repeats=100)
