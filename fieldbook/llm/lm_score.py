@@ -13,20 +13,25 @@ How the job moves data:
    counts of words outside the vocabulary are joined. Expectation-maximisation sees the matrix cell by cell and the other
    held-out counts summed, all of them, in a fixed grid of probabilities (``GRID`` cells per factor of two) with their means.
 3. Every other bigram occurrence travels once, packed by task and bucket, to the bucket of its hash, where its training
-   count is taken and its log probability added up by document. A bucket gets at most a fraction ``1/TOP`` of all tokens
+   count is taken and its log probability added up by row. A bucket gets at most a fraction ``1/TOP`` of all tokens
    from one bigram. Words outside the vocabulary bring their contexts to one bucket and contexts outside it bring their
    successors, so their counts are exact too.
 4. Bigrams of two words outside the vocabulary go on from the bucket of the context to that of the word, which has the
-   word's count; the same shuffle adds up the sums by document.
-5. Sums by document: one shuffle of small rows.
+   word's count; the same shuffle adds up the sums by row.
+5. Sums by row: one shuffle of packed rows.
+
+Memory: there is a bucket for every ``BUCKET_TOKENS`` training tokens, so buckets grow in number and not in size; a partition
+has several, sorted by bucket, and a task holds one at a time. Texts are read ``SLICE`` bytes at a time into compact columns,
+which are packed every ``FLUSH`` tokens.
 
 ``P1`` is the relative frequency in the training texts of every word, 0 for words that they don't have; the size of the
 vocabulary decides only which way an occurrence takes.
-Hashes are 64 bits for words and, within a bucket, 48 bits for bigrams; the chance of a clash does not grow with the corpus,
-as buckets grow in number and not in size.
+Hashes are 64 bits for words and, within a bucket, 48 bits for bigrams; the chance of a clash does not grow with the corpus.
 
-Defined results: null text is empty (one end token); rows with the same id count as one document (their sums are added);
-a null id counts as the empty string in the fold rule and comes back null; without training documents every token is unknown.
+Defined results: every input row gives one row, also where ids repeat or are null (rows are told apart by a number of their
+own); a null id counts as the empty string in the fold rule and comes back null; null, empty and blank texts have one token,
+the end; equal texts of equal folds get equal scores; a very long text is scored whole, in one slice of its own; without
+training documents every token is unknown; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,13 +57,15 @@ TOP = 1024
 GRID = 16
 BUCKETS = 16
 EM_ROUNDS = 60
-SLICE = 8 << 20
+SLICE = 2 << 20
+FLUSH = 1 << 20
+BUCKET_TOKENS = 2 << 20
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # reserved hashes
 NULL_ID = -(1 << 63)
 
-PART_SCHEMA = "bucket int, blob binary, doc bigint, n_tokens bigint, known bigint, base double, score double"
-PACKED_SCHEMA = "bucket int, kind int, blob binary"  # kind: sums by document, counts of words, bigrams that wait for them
-SUMS, WORDS, WAITING = range(3)
+PACKED_SCHEMA = "bucket int, kind int, blob binary"
+BIGRAMS, SUMS, WORDS, WAITING = range(4)  # kinds of blobs: bigrams, sums by row, counts of words, bigrams that wait for them
+PAIRS = 4  # of training: cells of the pair matrix
 COUNT_SCHEMA = "kind int, at bigint, h bigint, w bigint, c2 bigint, ch bigint, cw bigint, m bigint, s2 double, s1 double"
 GRID_SCHEMA = "at bigint, m bigint, s2 double, s1 double"
 SUM_SCHEMA = "doc bigint, n_tokens bigint, known bigint, base double, score double"
@@ -141,7 +148,6 @@ class Model:
         self.words, self.counts, self.kept = words[order], counts[order], kept[order]
         self.total, self.vocab = totals["total"], totals["vocab"]  # N and V of the base score
         self.kept_total = totals["kept"]
-        self.p_rest = 0.0  # P1 of words that no training text has
         self.p0 = 1.0 / (self.vocab + 1)
         forced = np.isin(self.words, [START, END])
         rank = np.argsort(-(self.counts + forced * (1 << 60)), kind="stable")[:TOP]
@@ -169,31 +175,97 @@ def pair_key(prev: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
-def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(ids, fold, previous, word, counts)`` slice by slice."""
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(rows, fold, previous, word, counts)`` slice by slice."""
     for batch in batches:
         for cut in slices(batch, "text", SLICE):
-            ids = pc.fill_null(cut.column("id"), NULL_ID).to_numpy()
-            yield ids, fold(ids), *sequence(cut.column("text"))
+            yield cut, fold(pc.fill_null(cut.column("id"), NULL_ID).to_numpy()), *sequence(cut.column("text"))
+
+
+def flush_tokens(buckets: int) -> int:
+    """Tokens that a task gathers before it packs them: enough for blobs of some size, up to a fixed bound."""
+    return min(4 * FLUSH, max(FLUSH, 64 * buckets))
 
 
 def unigrams(rows: DataFrame) -> DataFrame:
     """``(h, n, kept)`` of all training tokens; ``kept``: without the deleted tenth. ``START`` counts training texts."""
 
+    def merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        words, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        return [words, *(np.bincount(inverse, weights=np.concatenate([h[k] for h in held]), minlength=len(words)).astype(np.int64) for k in (1, 2))]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for _, f, _, w, counts in _cuts(batches):
             part = np.repeat(f, counts)
-            words, inverse = np.unique(w[part != 0], return_inverse=True)
-            n, kept = np.bincount(inverse, minlength=len(words)), np.bincount(inverse, weights=part[part != 0] != 1, minlength=len(words)).astype(np.int64)
-            words, n, kept = np.append(words, START), np.append(n, (f != 0).sum()), np.append(kept, (f > 1).sum())
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(kept)], ["h", "n", "kept"])
+            trained = part != 0
+            one = [w[trained], np.ones(int(trained.sum()), np.int64), (part[trained] != 1).astype(np.int64)]
+            texts = [np.array([START], np.uint64), np.array([(f != 0).sum()]), np.array([(f > 1).sum()])]
+            held.append(merged([one, texts]))
+            if sum(len(h[0]) for h in held) > FLUSH:
+                yield _unigram_batch(merged(held))
+                held = []
+        if held:
+            yield _unigram_batch(merged(held))
 
     return rows.mapInArrow(count, "h bigint, n bigint, kept bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"))
 
 
+def _unigram_batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), *(pa.array(c) for c in columns[1:])], ["h", "n", "kept"])
+
+
+# ---------------------------------------------------------------- buckets
+
+
+class Buckets:
+    """How hashes are dealt: ``n`` buckets, several to a partition."""
+
+    def __init__(self, tokens: int, partitions: int):
+        self.n = max(partitions, -(-tokens // BUCKET_TOKENS))
+        self.partitions = max(partitions, -(-self.n // 16))
+        self.shift = np.uint64(max(0, 16 - self.n.bit_length()))  # leaves 48 bits or more within a bucket
+
+    def key(self, prev: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Bigram keys, as long as the number of buckets asks for; buckets ascend with them."""
+        return pair_key(prev, w) >> self.shift
+
+    def of_key(self, key: np.ndarray) -> np.ndarray:
+        return (((key << self.shift) >> np.uint64(32)) * np.uint64(self.n) >> np.uint64(32)).astype(np.int32)
+
+    def of_hash(self, x: np.ndarray, seed: int) -> np.ndarray:
+        return (mix64(x, seed) % np.uint64(self.n)).astype(np.int32)
+
+    def edges(self, to: np.ndarray) -> np.ndarray:
+        """First row of each bucket, and the end, of rows sorted by bucket."""
+        return np.searchsorted(to, np.arange(self.n + 1))
+
+    def deal(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.partitions, "bucket").sortWithinPartitions("bucket")
+
+
+def _packed(kinds: int | list[int], to: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    kinds = [kinds] * len(to) if isinstance(kinds, int) else kinds
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """``(bucket, blobs of each kind)`` of rows sorted by bucket: one bucket is held at a time."""
+    now, held = None, None
+    for batch in batches:
+        for b, kind, blob in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob")):
+            if b != now:
+                if held is not None:
+                    yield now, held
+                now, held = b, [[] for _ in range(PAIRS + 1)]
+            held[kind].append(blob.as_py())
+    if held is not None:
+        yield now, held
+
+
 def _as_arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
     t = df.select(*columns).toArrow()
     return [t.column(c).to_numpy() for c in columns]
@@ -214,29 +286,50 @@ def _count_rows(kind: int, n: int, **columns: np.ndarray | pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *cols, *sums], ["kind", *names, "s2", "s1"])
 
 
-def _scatter_counts(m: Model, pairs: np.ndarray, part: np.ndarray, prev: np.ndarray, w: np.ndarray, parts: int) -> dict[int, bytes]:
-    """Adds the pairs of top words to ``pairs`` (kept, deleted); blobs of all other bigrams of training texts by bucket."""
-    p, q = m.find(prev), m.find(w)
-    tp, tq = at(m.top, p, -1), at(m.top, q, -1)
-    both = (tp >= 0) & (tq >= 0)
-    cell = tp.astype(np.int64) * len(m.pairs) + tq
-    for k, mine in enumerate((part > 1, part == 1)):
-        pairs[k] += np.bincount(cell[both & mine], minlength=m.pairs.size)
-    key, out = pair_key(prev, w), ~both & (part == 1)
-    kept, n = np.unique(key[~both & (part > 1)], return_counts=True)
-    deleted, index, dn = np.unique(key[out], return_index=True, return_counts=True)
-    dh, dw, dp, dq = (x[out][index] for x in (prev, w, p, q))
-    to = lambda k: ((k >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # noqa: E731  # ascends with the key
-    ka, da = (np.searchsorted(to(x), np.arange(parts + 1)) for x in (kept, deleted))
-    blobs = {}
-    for k in range(parts):
-        a, b = slice(ka[k], ka[k + 1]), slice(da[k], da[k + 1])
-        if a.stop + b.stop > a.start + b.start:
-            blobs[k] = pack(
-                np.diff(kept[a], prepend=np.uint64(0)), n[a].astype(np.uint32), np.diff(deleted[b], prepend=np.uint64(0)), dn[b].astype(np.uint32),
-                dp[b].astype(np.int32), dq[b].astype(np.int32), dh[b][dp[b] < 0], dw[b][dq[b] < 0],
-            )
-    return blobs
+class CountsOut:
+    """Bigrams of training texts on their way to the buckets: kept ones ``(key, n)``, deleted ones with their words."""
+
+    def __init__(self, m: Model, to: Buckets):
+        self.m, self.to = m, to
+        self.pairs = np.zeros((2, m.pairs.size), np.int64)  # pairs of top words: kept, deleted
+        self.kept, self.deleted, self.size = [], [], 0
+
+    def add(self, part: np.ndarray, prev: np.ndarray, w: np.ndarray) -> None:
+        p, q = self.m.find(prev), self.m.find(w)
+        tp, tq = at(self.m.top, p, -1), at(self.m.top, q, -1)
+        both = (tp >= 0) & (tq >= 0)
+        cell = tp.astype(np.int64) * len(self.m.pairs) + tq
+        for k, mine in enumerate((part > 1, part == 1)):
+            self.pairs[k] += np.bincount(cell[both & mine], minlength=self.m.pairs.size)
+        keep, out = ~both & (part > 1), ~both & (part == 1)
+        self.kept.append(np.unique(self.to.key(prev[keep], w[keep]), return_counts=True))
+        key, index, n = np.unique(self.to.key(prev[out], w[out]), return_index=True, return_counts=True)
+        self.deleted.append((key, n, *(x[out][index] for x in (p.astype(np.int32), q.astype(np.int32), prev, w))))
+        self.size += len(self.kept[-1][0]) + 2 * len(key)
+
+    def flush(self) -> pa.RecordBatch:
+        key, n = map(np.concatenate, zip(*self.kept))
+        kept, inverse = np.unique(key, return_inverse=True)
+        n = np.bincount(inverse, weights=n, minlength=len(kept)).astype(np.uint32)
+        key, dn, dp, dq, dh, dw = map(np.concatenate, zip(*self.deleted))
+        deleted, index, inverse = np.unique(key, return_index=True, return_inverse=True)
+        dn = np.bincount(inverse, weights=dn, minlength=len(deleted)).astype(np.uint32)
+        dp, dq, dh, dw = (x[index] for x in (dp, dq, dh, dw))
+        ka, da = (self.to.edges(self.to.of_key(x)) for x in (kept, deleted))
+        full = np.flatnonzero((np.diff(ka) > 0) | (np.diff(da) > 0)).tolist()
+        blobs = []
+        for k in full:
+            a, b = slice(ka[k], ka[k + 1]), slice(da[k], da[k + 1])
+            blobs.append(pack(np.diff(kept[a], prepend=np.uint64(0)), n[a], np.diff(deleted[b], prepend=np.uint64(0)), dn[b], dp[b], dq[b], dh[b][dp[b] < 0], dw[b][dq[b] < 0]))
+        self.kept, self.deleted, self.size = [], [], 0
+        return _packed(BIGRAMS, full, blobs)
+
+    def cells(self) -> pa.RecordBatch:
+        """The pair matrices of the task, dealt by cell."""
+        cells = np.flatnonzero(self.pairs.any(axis=0))
+        places = min(self.to.n, 64)
+        deal = [(k, x) for k in range(places) if len(x := cells[cells % places == k])]
+        return _packed(PAIRS, [k for k, _ in deal], [pack(np.diff(x, prepend=0), *(p[x] for p in self.pairs)) for _, x in deal])
 
 
 def _gather_counts(m: Model, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -282,39 +375,34 @@ def train(rows: DataFrame, vocabulary: int = VOCABULARY) -> Model:
     words, counts, kept = _as_arrays(hot, "h", "n", "kept")
     model = Model(words.view(np.uint64), counts, kept, totals)
     spark = rows.sparkSession
-    first, parts = spark.sparkContext.broadcast(model), shuffle_partitions(spark)
+    first, to = spark.sparkContext.broadcast(model), Buckets(totals["total"], shuffle_partitions(spark))
+    limit = flush_tokens(to.n)
 
     def scatter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, pairs = first.value, np.zeros((2, TOP * TOP), np.int64)
+        out = CountsOut(first.value, to)
         for _, f, prev, w, counts in _cuts(batches):
-            blobs = _scatter_counts(m, pairs, np.repeat(f, counts), prev, w, parts)
-            yield pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int32()), pa.array([False] * len(blobs), pa.bool_()), pa.array(list(blobs.values()), pa.binary())], ["bucket", "dense", "blob"])
-        cells = np.flatnonzero(pairs.any(axis=0))
-        for k in range(parts):
-            at = cells[cells % parts == k]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([True]), pa.array([pack(np.diff(at, prepend=0), *(x[at] for x in pairs))], pa.binary())], ["bucket", "dense", "blob"])
+            out.add(np.repeat(f, counts), prev, w)
+            if out.size > limit:
+                yield out.flush()
+        if out.size:
+            yield out.flush()
+        yield out.cells()
 
     def gather_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[bytes], list[bytes]]] = {}
-        for batch in batches:
-            for k, dense, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "dense", "blob"))):
-                held.setdefault(k, ([], []))[dense].append(blob)
-        while held:
-            sparse, dense = held.popitem()[1]
-            if dense:
-                got = [unpack(x) for x in dense]
-                at, inverse = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
+        for _, held in _by_bucket(batches):
+            if held[PAIRS]:
+                got = [unpack(x) for x in held[PAIRS]]
+                place, inverse = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
                 kept, out = (np.bincount(inverse, weights=np.concatenate([g[k] for g in got])).astype(np.int64) for k in (1, 2))
-                yield _count_rows(1, len(at), at=at, c2=kept, m=out)
-            if sparse:
-                yield from _gather_counts(first.value, sparse)
+                yield _count_rows(1, len(place), at=place, c2=kept, m=out)
+            if held[BIGRAMS]:
+                yield from _gather_counts(first.value, held[BIGRAMS])
 
     def grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells_of(totals["kept"], *(batch.column(c).to_numpy() for c in ("m", "c2", "ch", "cw")))], ["at", "m", "s2", "s1"])
 
-    sent = rows.where(id_crc("id") % 10 != 0).mapInArrow(scatter_counts, "bucket int, dense boolean, blob binary").repartition(parts, "bucket")
+    sent = to.deal(rows.where(id_crc("id") % 10 != 0).mapInArrow(scatter_counts, PACKED_SCHEMA))
     found = materialize(sent.mapInArrow(gather_counts, COUNT_SCHEMA), "bigrams")
     place, n, out = _as_arrays(found.where("kind = 1"), "at", "c2", "m")  # at most TOP * TOP rows
     model.pairs.ravel()[place] = n + out
@@ -343,196 +431,210 @@ def train(rows: DataFrame, vocabulary: int = VOCABULARY) -> Model:
 # ---------------------------------------------------------------- scoring
 
 
-def _scatter_slice(m: Model, ids: np.ndarray, f: np.ndarray, prev: np.ndarray, w: np.ndarray, counts: np.ndarray, parts: int) -> tuple[dict[int, bytes], list[np.ndarray]]:
-    """Blobs by bucket, and per document what is known without them: tokens, known, base, score."""
-    own, docs = owners(counts), len(ids)
-    p, q = m.find(prev), m.find(w)
-    d = math.log10(m.total + 0.1 * (m.vocab + 1))
-    cw = at(m.counts, q)
-    hot_w, hot_h = q >= 0, p >= 0
-    base = np.bincount(own[hot_w], weights=np.log10(cw[hot_w] + 0.1) - d, minlength=docs).astype(float)
-    known = np.bincount(own[hot_w], weights=cw[hot_w] > 0, minlength=docs).astype(np.int64)
-    p1 = np.where(hot_w, cw / max(1, m.total), -1.0)  # -1: known in the bucket of the word only
-    ch = at(m.counts, p)
-    lam = m.weights[bucket_of(ch)]
-    low = lam[:, 1] * p1 + lam[:, 2] * m.p0
-    tp, tq = at(m.top, p, -1), at(m.top, q, -1)
-    matrix = (tp >= 0) & (tq >= 0)
-    score = np.zeros(docs)
-    seen = hot_h & hot_w & (ch > 0)
-    near = matrix & seen
-    score += np.bincount(own[near], weights=np.log10(lam[near, 0] * m.pairs[tp[near], tq[near]] / ch[near] + low[near]), minlength=docs)
-    bare = hot_h & hot_w & ~seen  # a context of the vocabulary that no training text has: lower orders only
-    score += np.bincount(own[bare], weights=np.log10(low[bare]), minlength=docs)
-    far = seen & ~matrix
-    unit = lam[far, 0] / ch[far]
-    score += np.bincount(own[far], weights=np.log10(unit), minlength=docs)
-    key = pair_key(prev[far], w[far])
-    to = (key % np.uint64(parts)).astype(np.int64)
-    key48 = (key // np.uint64(parts)) & np.uint64((1 << 48) - 1)
-    order = np.lexsort((key48, to))
-    a = (to[order], key48[order], own[far][order], (low[far] / unit)[order].astype(np.float32))
-    to_b = (mix64(prev[~hot_h], 8) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(to_b, kind="stable")
-    b = (to_b[order], prev[~hot_h][order], w[~hot_h][order], own[~hot_h][order], p1[~hot_h][order].astype(np.float32))
-    to_c = (mix64(w[~hot_w], 9) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(to_c, kind="stable")
-    c = (to_c[order], w[~hot_w][order], own[~hot_w][order], p[~hot_w][order].astype(np.int32))
-    edges = [np.searchsorted(x[0], np.arange(parts + 1)) for x in (a, b, c)]
-    small = np.uint16 if docs <= 1 << 16 else np.uint32
-    blobs = {}
-    for k in range(parts):
-        (a0, a1), (b0, b1), (c0, c1) = ((e[k], e[k + 1]) for e in edges)
-        if a1 + b1 + c1 > a0 + b0 + c0:
-            used, inverse = np.unique(np.concatenate([a[2][a0:a1], b[3][b0:b1], c[2][c0:c1]]), return_inverse=True)
-            inverse = inverse.astype(small)
-            ka = np.diff(a[1][a0:a1], prepend=np.uint64(0))
-            blobs[k] = pack(
-                np.diff(ids[used], prepend=np.int64(0)), (f[used] != 0).astype(np.uint8), ka, inverse[: a1 - a0], a[3][a0:a1],
-                b[1][b0:b1], b[2][b0:b1], inverse[a1 - a0 : a1 - a0 + b1 - b0], b[4][b0:b1], c[1][c0:c1], inverse[a1 - a0 + b1 - b0 :], c[3][c0:c1],
+class BigramsOut:
+    """Occurrences on their way to the buckets, in compact columns, and what each row has without them."""
+
+    def __init__(self, m: Model, to: Buckets):
+        self.m, self.to = m, to
+        self.clear()
+
+    def clear(self) -> None:
+        self.far, self.low_h, self.low_w, self.local, self.docs, self.size = [], [], [], [], 0, 0
+
+    def add(self, rows: np.ndarray, ids: pa.Array, f: np.ndarray, prev: np.ndarray, w: np.ndarray, counts: np.ndarray) -> None:
+        m, docs = self.m, len(rows)
+        own = owners(counts).astype(np.int32)
+        p, q = m.find(prev).astype(np.int32), m.find(w).astype(np.int32)
+        hot_h, hot_w = p >= 0, q >= 0
+        ch, cw = at(m.counts, p), at(m.counts, q)
+        weight = np.log10(cw[hot_w] + 0.1) - math.log10(m.total + 0.1 * (m.vocab + 1))
+        base = np.bincount(own[hot_w], weights=weight, minlength=docs).astype(float)
+        known = np.bincount(own[hot_w], weights=cw[hot_w] > 0, minlength=docs).astype(np.int64)
+        p1 = np.where(hot_w, cw / max(1, m.total), -1.0)  # -1: known in the bucket of the word only
+        b = bucket_of(ch).astype(np.int8)
+        l2 = m.weights[:, 0][b]
+        low = m.weights[:, 1][b] * p1 + m.weights[:, 2][b] * m.p0
+        tp, tq = at(m.top, p, -1), at(m.top, q, -1)
+        both, score = hot_h & hot_w, np.zeros(docs)
+        seen = both & (ch > 0)
+        near = seen & (tp >= 0) & (tq >= 0)
+        bare = both & ~seen  # a context of the vocabulary that no training text has: lower orders only
+        far = seen & ~near
+        unit = l2[far] / ch[far]
+        for mask, value in ((near, l2[near] * m.pairs[tp[near], tq[near]] / ch[near] + low[near]), (bare, low[bare]), (far, unit)):
+            score += np.bincount(own[mask], weights=np.log10(value), minlength=docs)
+        shifted = own + np.int32(self.docs)
+        self.far.append((self.to.key(prev[far], w[far]), shifted[far], (low[far] / unit).astype(np.float32)))
+        self.low_h.append((self.to.of_hash(prev[~hot_h], 8), prev[~hot_h], w[~hot_h], shifted[~hot_h], p1[~hot_h].astype(np.float32)))
+        self.low_w.append((self.to.of_hash(w[~hot_w], 9), w[~hot_w], shifted[~hot_w], p[~hot_w]))
+        self.local.append((rows, (f != 0).astype(np.uint8), pc.fill_null(ids, 0).to_numpy(), np.where(ids.is_null(), 2, 1).astype(np.uint8), counts, known, base, score))
+        self.docs += docs
+        self.size += int(far.sum() + (~hot_h).sum() + (~hot_w).sum()) + docs
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        rows, trained, ids, flag, tokens, known, base, score = map(np.concatenate, zip(*self.local))
+        a, b, c = (list(map(np.concatenate, zip(*x))) for x in (self.far, self.low_h, self.low_w))
+        self.clear()
+        for x, by in ((a, a[0]), (b, b[0]), (c, c[0])):
+            order = np.argsort(by, kind="stable")
+            x[:] = [column[order] for column in x]
+        ea, eb, ec = self.to.edges(self.to.of_key(a[0])), self.to.edges(b[0]), self.to.edges(c[0])
+        full = np.flatnonzero((np.diff(ea) > 0) | (np.diff(eb) > 0) | (np.diff(ec) > 0)).tolist()
+        blobs = []
+        for k in full:
+            ia, ib, ic = (slice(e[k], e[k + 1]) for e in (ea, eb, ec))
+            used, own = np.unique(np.concatenate([a[1][ia], b[3][ib], c[2][ic]]), return_inverse=True)
+            own = np.split(own.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32), np.cumsum([ia.stop - ia.start, ib.stop - ib.start]))
+            blobs.append(
+                pack(
+                    np.diff(rows[used], prepend=np.int64(0)), trained[used], np.diff(a[0][ia], prepend=np.uint64(0)), own[0], a[2][ia],
+                    b[1][ib], b[2][ib], own[1], b[4][ib], c[1][ic], own[2], c[3][ic],
+                )
             )
-    return blobs, [counts, known, base, score]
+        yield _packed(BIGRAMS, full, blobs)
+        yield by_row(self.to, rows, tokens, known, base, score, ids, flag)
+
+
+def by_row(to: Buckets, rows: np.ndarray, tokens: np.ndarray, known: np.ndarray, base: np.ndarray, value: np.ndarray, ids: np.ndarray, flag: np.ndarray) -> pa.RecordBatch:
+    """Parts of sums, packed by the bucket of their row; ``flag``: 1 with the row's id, 2 if it is null, 0 without."""
+    bucket = to.of_hash((rows >> 8).view(np.uint64), 12)  # neighbouring rows stay together
+    order = np.lexsort((rows, bucket))
+    cols = [x[order] for x in (rows, tokens.astype(np.int32), known.astype(np.int32), base.astype(np.float64), value.astype(np.float64), ids.astype(np.int64), flag.astype(np.uint8))]
+    edges = to.edges(bucket[order])
+    full = np.flatnonzero(np.diff(edges)).tolist()
+    cut = lambda k: [x[edges[k] : edges[k + 1]] for x in cols]
+    return _packed(SUMS, full, [pack(np.diff(r, prepend=np.int64(0)), *rest) for r, *rest in map(cut, full)])
+
+
+def sums_of(blobs: list[bytes]) -> list[np.ndarray]:
+    """``rows, tokens, known, base, value, ids, flag`` of one bucket, one entry a row."""
+    got = [unpack(x) for x in blobs]
+    rows, place = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
+    tokens, known, base, value, ids, flag = (np.concatenate([g[k] for g in got]) for k in range(1, 7))
+    out = [np.bincount(place, weights=x, minlength=len(rows)).astype(t) for x, t in ((tokens, np.int64), (known, np.int64), (base, float), (value, float))]
+    id_of, flag_of, own = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.uint8), flag > 0
+    id_of[place[own]], flag_of[place[own]] = ids[own], flag[own]
+    return [rows, *out, id_of, flag_of]
+
+
+def by_word(to: Buckets, kind: int, words: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Columns, packed by the bucket of their word."""
+    bucket = to.of_hash(words, 9)
+    order = np.argsort(bucket, kind="stable")
+    edges = to.edges(bucket[order])
+    full = np.flatnonzero(np.diff(edges)).tolist()
+    return _packed(kind, full, [pack(*(c[order[edges[k] : edges[k + 1]]] for c in (words, *columns))) for k in full])
+
+
+def occurrences_by_key(key: np.ndarray, trained: np.ndarray) -> np.ndarray:
+    """Training occurrences of each key, at each of its occurrences."""
+    if not len(key):
+        return np.zeros(0, np.int64)
+    order = np.argsort(key)
+    ordered = key[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    n = np.add.reduceat(trained[order].astype(np.int32), first)
+    out = np.empty(len(key), np.int32)
+    out[order] = np.repeat(n, np.diff(np.append(first, len(key))))
+    return out
 
 
 def _gather_bucket(m: Model, blobs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """``(doc, known, base, score)`` sums of one bucket, ``(word, count)`` that other buckets need, and bigrams whose word has its
-    count elsewhere: ``(word, doc, bucket of the context, relative frequency)``."""
+    """``(row, known, base, score)`` sums of one bucket, ``(word, count)`` that other buckets need, and bigrams whose word has its
+    count elsewhere: ``(word, row, bucket of the context, relative frequency)``."""
     cols, shift = [[] for _ in range(12)], 0
-    for blob in blobs:
-        u = unpack(blob)
+    while blobs:
+        u = unpack(blobs.pop())
         u[0], u[2] = np.cumsum(u[0]), np.cumsum(u[2], dtype=np.uint64)
         for k in (3, 7, 10):
-            u[k] = u[k].astype(np.int64) + shift
+            u[k] = u[k].astype(np.int32) + np.int32(shift)
         shift += len(u[0])
         for k, x in enumerate(u):
             cols[k].append(x)
-    ids, trained, ka, da, qa, hb, wb, db, pb, wc, dc, hc = map(np.concatenate, cols)
+    rows, trained, ka, da, qa, hb, wb, db, pb, wc, dc, hc = map(np.concatenate, cols)
+    cols.clear()
     trained = trained.astype(bool)
     score, base, known = np.zeros(shift), np.zeros(shift), np.zeros(shift, np.int64)
-
-    def training(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Training occurrences of each key, at each of its occurrences."""
-        if not len(key):
-            return np.zeros(0, np.int64)
-        _, inverse = np.unique(key, return_inverse=True)
-        return np.bincount(inverse, weights=trained[doc]).astype(np.int64)[inverse]
-
-    score += np.bincount(da, weights=np.log10(training(ka, da) + qa.astype(np.float64)), minlength=shift)
+    score += np.bincount(da, weights=np.log10(occurrences_by_key(ka, trained[da]) + qa.astype(np.float64)), minlength=shift)
+    del ka, da, qa
     words, waiting = [np.zeros(0, np.uint64), np.zeros(0, np.int64)], [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0)]
     if len(hb):
-        ch, c2, here = training(hb, db), training(pair_key(hb, wb), db), pb >= 0
+        ch, c2, here = occurrences_by_key(hb, trained[db]), occurrences_by_key(pair_key(hb, wb), trained[db]), pb >= 0
         b, part = bucket_of(ch), c2 / np.maximum(ch, 1)
         p = interpolate(m, b[here], part[here], pb[here].astype(np.float64))
         score += np.bincount(db[here], weights=np.log10(p), minlength=shift)
-        waiting = [wb[~here], ids[db[~here]], b[~here].astype(np.uint8), part[~here]]
+        waiting = [wb[~here], rows[db[~here]], b[~here].astype(np.uint8), part[~here]]
     if len(wc):
-        c, here = training(wc, dc), hc >= 0
+        c, here = occurrences_by_key(wc, trained[dc]), hc >= 0
         h = hc[here]
-        ch, c2 = m.counts[h], training(pair_key(m.words[h], wc[here]), dc[here])
+        ch, c2 = m.counts[h], occurrences_by_key(pair_key(m.words[h], wc[here]), trained[dc[here]])
         p = interpolate(m, bucket_of(ch), c2 / np.maximum(ch, 1), c[here] / max(1, m.total))
         score += np.bincount(dc[here], weights=np.log10(p), minlength=shift)
         words[0], first = np.unique(wc[~here], return_index=True)
-        words[1] = c[~here][first]
+        words[1] = c[~here][first].astype(np.int64)
         base += np.bincount(dc, weights=np.log10(c + 0.1) - math.log10(m.total + 0.1 * (m.vocab + 1)), minlength=shift)
         known += np.bincount(dc, weights=c > 0, minlength=shift).astype(np.int64)
-    return [ids, known, base, score], words, waiting
+    return [rows, known, base, score], words, waiting
 
 
 def interpolate(m: Model, bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray) -> np.ndarray:
-    lam = m.weights[bucket]
-    return lam[:, 0] * p2 + lam[:, 1] * p1 + lam[:, 2] * m.p0
+    return m.weights[:, 0][bucket] * p2 + m.weights[:, 1][bucket] * p1 + m.weights[:, 2][bucket] * m.p0
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     rows = _rows(docs, id_col, text_col)
-    spark, parts = docs.sparkSession, shuffle_partitions(docs.sparkSession)
+    spark = docs.sparkSession
     model = train(rows, vocabulary)
-    shared = spark.sparkContext.broadcast(model)
-    names = ["bucket", "blob", "doc", "n_tokens", "known", "base", "score"]
+    shared, to = spark.sparkContext.broadcast(model), Buckets(model.total, shuffle_partitions(spark))
+    limit = flush_tokens(to.n)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
-        for ids, f, prev, w, counts in _cuts(batches):
-            blobs, local = _scatter_slice(shared.value, ids, f, prev, w, counts, parts)
-            n, k = len(ids), len(blobs)
-            turn += 1
-            none = lambda kind: pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(list(blobs), pa.int32()), pa.array(list(blobs.values()), pa.binary()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names)
-            yield pa.RecordBatch.from_arrays([pa.array((np.arange(n) + turn) % parts, pa.int32()), pa.nulls(n, pa.binary()), pa.array(ids), *(pa.array(x) for x in local)], names)
-
-    def packed_rows(kind: int, to: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([kind] * len(to), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
-
-    def by_word(kind: int, words: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-        """Columns, packed by the bucket of their word."""
-        to = (mix64(words, 9) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[order], np.arange(parts + 1))
-        full = np.flatnonzero(np.diff(edges)).tolist()
-        return packed_rows(kind, full, [pack(*(c[order[edges[k] : edges[k + 1]]] for c in (words, *columns))) for k in full])
-
-    def by_document(ids: np.ndarray, tokens: np.ndarray, known: np.ndarray, base: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-        """Parts of sums, packed by the bucket of their document."""
-        to = (mix64(ids.view(np.uint64), 12) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((ids, to))
-        cols = [c[order] for c in (ids, tokens.astype(np.int32), known.astype(np.int32), base, value)]
-        edges = np.searchsorted(to[order], np.arange(parts + 1))
-        full = np.flatnonzero(np.diff(edges)).tolist()
-        blobs = [pack(np.diff(cols[0][edges[k] : edges[k + 1]], prepend=np.int64(0)), *(c[edges[k] : edges[k + 1]] for c in cols[1:])) for k in full]
-        return packed_rows(SUMS, full, blobs)
+        out = BigramsOut(shared.value, to)
+        for cut, f, prev, w, counts in _cuts(batches):
+            out.add(cut.column("row").to_numpy(), cut.column("id"), f, prev, w, counts)
+            if out.size > limit:
+                yield from out.flush()
+        if out.size:
+            yield from out.flush()
+
+    def parts_of(rows: np.ndarray, known: np.ndarray, base: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        """Sums of a bucket, one entry a row; their values have the precision of single floats."""
+        unique, place = np.unique(rows, return_inverse=True)
+        known, base, value = (np.bincount(place, weights=x, minlength=len(unique)) for x in (known, base, value))
+        none = np.zeros(len(unique), np.int64)
+        return by_row(to, unique, none, known, base.astype(np.float32), value.astype(np.float32), none, none)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            ready = batch.filter(pc.is_valid(batch.column("doc")))
-            if len(ready):
-                yield by_document(*(ready.column(c).to_numpy() for c in names[2:]))
-            rest = batch.filter(pc.is_valid(batch.column("blob")))
-            for b, blob in zip(rest.column("bucket").to_pylist(), rest.column("blob").to_pylist()):
-                held.setdefault(b, []).append(blob)
-        while held:
-            (ids, known, base, value), words, waiting = _gather_bucket(shared.value, held.popitem()[1])
-            yield by_document(ids, np.zeros(len(ids), np.int64), known, base, value)
-            yield by_word(WORDS, *words)
-            yield by_word(WAITING, *waiting)
-
-    def sums_of(blobs: list[bytes]) -> list[np.ndarray]:
-        got = [unpack(x) for x in blobs]
-        ids, at = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
-        sums = [np.bincount(at, weights=np.concatenate([g[k] for g in got]), minlength=len(ids)) for k in range(1, 5)]
-        return [ids, sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], sums[3]]
+        for b, held in _by_bucket(batches):
+            yield _packed(SUMS, [b] * len(held[SUMS]), held[SUMS])
+            if held[BIGRAMS]:
+                sums, words, waiting = _gather_bucket(shared.value, held[BIGRAMS])
+                yield parts_of(*sums)
+                yield by_word(to, WORDS, *words)
+                yield by_word(to, WAITING, *waiting)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[bytes], ...]] = {}
-        for batch in batches:
-            for b, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "blob"))):
-                held.setdefault(b, ([], [], []))[kind].append(blob)
-        while held:
-            sums, words, waiting = held.popitem()[1]
-            if sums:
-                yield by_document(*sums_of(sums))
-            if waiting:
-                known, c = map(np.concatenate, zip(*map(unpack, words)))
+        for b, held in _by_bucket(batches):
+            if held[SUMS]:
+                yield by_row(to, *sums_of(held[SUMS]))
+            if held[WAITING]:
+                known, c = map(np.concatenate, zip(*map(unpack, held[WORDS])))
                 order = np.argsort(known)
-                w, docs, b, p2 = map(np.concatenate, zip(*map(unpack, waiting)))
+                w, at_row, level, p2 = map(np.concatenate, zip(*map(unpack, held[WAITING])))
                 p1 = c[order][np.searchsorted(known[order], w)] / max(1, shared.value.total)
-                ids, at = np.unique(docs, return_inverse=True)
-                none = np.zeros(len(ids), np.int64)
-                yield by_document(ids, none, none, none.astype(float), np.bincount(at, weights=np.log10(interpolate(shared.value, b, p2, p1))))
+                none = np.zeros(len(w), np.int64)
+                yield parts_of(at_row, none, none, np.log10(interpolate(shared.value, level, p2, p1)))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
-                held.setdefault(b, []).append(blob)
-        while held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums_of(held.popitem()[1])], names[2:])
-
-    packed = rows.mapInArrow(scatter, PART_SCHEMA).repartition(parts, "bucket").mapInArrow(gather, PACKED_SCHEMA)
-    settled = packed.repartition(parts, "bucket").mapInArrow(settle, PACKED_SCHEMA)
-    total = settled.repartition(parts, "bucket").mapInArrow(add_up, SUM_SCHEMA)
-    doc = F.when(F.col("doc") != F.lit(NULL_ID), F.col("doc"))
+        for _, held in _by_bucket(batches):
+            _, tokens, known, base, value, ids, flag = sums_of(held[SUMS])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=flag == 2), *(pa.array(x) for x in (tokens, known, base, value))], ["doc", "n_tokens", "known", "base", "score"])
+
+    packed = to.deal(rows.mapInArrow(scatter, PACKED_SCHEMA)).mapInArrow(gather, PACKED_SCHEMA)
+    settled = to.deal(packed).mapInArrow(settle, PACKED_SCHEMA)
+    total = to.deal(settled).mapInArrow(add_up, SUM_SCHEMA)
+    doc = F.col("doc")
     return total.select(
         doc.alias("doc_id"), (F.crc32(F.coalesce(doc.cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"), "n_tokens", F.col("known").alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
