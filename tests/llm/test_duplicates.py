@@ -1,4 +1,3 @@
-import hashlib
 import random
 import re
 from collections import defaultdict
@@ -50,8 +49,29 @@ def test_substring_shared_passages(spark, docs_of, k, m):
     assert got == brute_spans([r[:2] for r in rows], k)
 
 
-def test_substring_digest_matches_text():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_substring_repeated_and_null_ids(spark, docs_of):
+    """Rows of one id with different texts each keep their own positions."""
+    rng = random.Random(4)
+    p = " ".join(f"q{i}" for i in range(20))
+    texts = [(1, p), (5, "a b c d e " + p), (5, "n1 n2 n3 n4 n5 n6 n7 n8 n9"), (5, "x " * 30 + p + " tail"), (None, p), (None, "z z z"), (None, "k " + p + " " + sentence(rng, 50)), (1, p), (7, None), (7, p[3:] + " end")]
+    rows = [(d, t, "en", "s") for d, t in texts]
+    got = sorted((tuple(r) for r in substring_dedup.remove_repeats(docs_of(rows).coalesce(1)).collect()), key=repr)
+    assert got == brute_spans([r[:2] for r in rows])
+    assert next(r[2] for r in got if r[0] == 1) == 0
+
+
+@pytest.mark.parametrize("limit", [1, 3000])
+def test_substring_hot_minimiser(spark, docs_of, monkeypatch, limit):
+    """Buckets beyond the limit are judged in chunks and by whole windows."""
+    monkeypatch.setattr(substring_dedup, "LIMIT_BYTES", limit)
+    rng = random.Random(6)
+    common, passages = "hot1 hot2 hot3", [sentence(rng, 20, 10**6) for _ in range(3)]
+    rows = []
+    for d in range(150):
+        around = [sentence(rng, 6, 10**6) for _ in range(8)]
+        rows.append((rng.choice([d, d, 3, None]), f" {common} ".join(around) + " " + rng.choice(passages), "en", "s"))
+    got = sorted((tuple(r) for r in substring_dedup.remove_repeats(docs_of(rows).repartition(7)).collect()), key=repr)
+    assert got == brute_spans([r[:2] for r in rows])
 
 
 def brute_join(rows):
@@ -163,19 +183,56 @@ def test_decontamination_recall_and_cleanness(spark, docs_of):
 def test_best_alignment_is_exact():
     import numpy as np
 
-    def plain(a, t):
-        prev = [0] * (len(t) + 1)
-        for i, w in enumerate(a, 1):
-            cur = [i]
-            for j in range(1, len(t) + 1):
-                cur.append(min(prev[j - 1] + (t[j - 1] != w), prev[j] + 1, cur[j - 1] + 1))
-            prev = cur
-        return min(prev)
-
     rng = np.random.default_rng(1)
     for _ in range(300):
         a, t = rng.integers(0, 4, rng.integers(1, 9)).astype(np.uint64), rng.integers(0, 4, rng.integers(0, 14)).astype(np.uint64)
-        assert decontaminate.best_alignment(a, t)[0] == plain(a, t)
+        assert decontaminate.best_alignment(a, t)[0] == plain_distance(a, t)
+
+
+def plain_distance(item, text):
+    """Least word edits of the item against any stretch of the text."""
+    prev = [0] * (len(text) + 1)
+    for i, w in enumerate(item, 1):
+        cur = [i]
+        for j in range(1, len(text) + 1):
+            cur.append(min(prev[j - 1] + (text[j - 1] != w), prev[j] + 1, cur[j - 1] + 1))
+        prev = cur
+    return min(prev)
+
+
+def test_decontamination_all_pairs(spark, docs_of):
+    """Every document against every item by plain edit distance; also with several blocks of items."""
+    rng = random.Random(12)
+    pool = [f"v{i}" for i in range(60)]
+    items = [[rng.choice(pool) for _ in range(n)] for n in (5, 6, 9, 14, 14, 20, 33, 40, 70)] * 2
+    texts = [[rng.choice(pool) for _ in range(rng.randrange(80))] for _ in range(12)]
+    texts += [[*rng.sample(pool, 8), *edited(rng, it, rng.randrange(len(it) // 4 + 1)), *rng.sample(pool, 5)] for it in items for _ in range(2)]
+    df = docs_of([(None if i % 9 == 0 else i, " ".join(t), "en", "s") for i, t in enumerate(texts)])
+    bench = spark.createDataFrame([(k, " ".join(it), "x") for k, it in enumerate(items)], BENCH)
+    want = {(i, k): e for i, t in enumerate(texts) for k, it in enumerate(items) if (e := plain_distance(it, t)) <= decontaminate.edits_allowed(len(it))}
+    for options in ({}, {"size": 5}, {"most": 300}):
+        found = decontaminate.find_matches(df, bench, **options).collect()
+        got = {(r["doc_id"], r["item_id"]): r["edits"] for r in found if r["doc_id"] is not None}
+        assert all(want[key] == e for key, e in got.items())
+        named = {key for key in want if key[0] % 9}
+        assert len(got) >= 0.97 * len(named)
+        left = decontaminate.remove_contaminated(df, bench, **options).where("doc_id is not null").select("doc_id").collect()
+        assert {r[0] for r in left} == {i for i in range(len(texts)) if i % 9} - {i for i, _ in got}
+
+
+def test_decontamination_repeats_reach_recall():
+    """Held-out random edits of hard items meet as often as the fit promises."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    items = [rng.integers(1, 1 << 40, n).astype(np.uint64) for n in (10, 12, 14, 15) for _ in range(60)]
+    repeats = decontaminate.fit_repeats(items)
+    met = 0
+    for item in items:
+        other = decontaminate.randomly_edited(rng, item, decontaminate.edits_allowed(len(item)), np.concatenate(items))
+        keys = decontaminate.lsh_keys(np.stack([item, other]), repeats)
+        met += bool((keys[0] == keys[1]).any())
+    assert met >= 0.96 * len(items)
 
 
 def test_decontamination_odd_rows(spark, odd, empty):
