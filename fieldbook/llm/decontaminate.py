@@ -8,20 +8,30 @@ distance (at most ``floor(max_rate * n)`` edits for an item of ``n`` lower-cased
 2. CGK: every item and every such window of the item's size walks randomly through its words to a string of length
    ``3 n``, under ``repeats`` independent walks; edit distance becomes Hamming distance.
 3. Bit-sampling LSH: each walk keeps a few sampled positions; window and item meet if all agree in some repeat. The
-   number of repeats is fitted on the items themselves with ``floor(max_rate n)`` random edits to reach ``recall``.
+   number of repeats is fitted for each class of lengths (powers of two): as many as it takes until a share ``recall`` of its
+   items, edited at random as often as is allowed, have met themselves. It has no upper bound.
 4. Exact: semi-global edit distance of the item within the window widened by the allowed edits.
 
-Items are the stated query set; they are taken in blocks of ``ITEMS_PER_BLOCK``, so what is broadcast is bounded. A
-document is judged within its own row: nothing is shuffled and no text is cut.
+The screen is there because embedding every window of every length is out of reach: each word would start a window for each
+item length, and each window takes ``3 n`` steps in each repeat. It leaves the windows that can match; a row is found only if
+its window and item meet in the LSH.
 
-Defined results: null or empty texts and items match nothing; repeated document rows each give their rows; equal items
-all match; an item with fewer than ``MIN_WORDS`` words is not searched (too short to identify a text).
+Items are the stated query set; they are taken in blocks bounded in number and bytes, so what is broadcast is bounded. With
+several blocks each is searched on its own, its matches are written and its broadcast is released. A document is judged within
+its own row: nothing is shuffled and no text is cut.
+
+Defined results: null, empty and blank texts and items match nothing; repeated document rows each give their rows, also with equal
+or null ids; equal items all match; items with a null id are left out (nothing could name them); an item with fewer than
+``min_words`` words (a parameter, 5 by default, as for all operators on word runs here) is not searched, as it names no text; very
+long texts and items are compared whole; an empty table on either side gives no matches and keeps all documents; other columns are
+kept by the filter, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +39,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
 from .tokens import grams, hash_words, inside, mix64, owners, slices, split_words, starts_of
 
 MAX_RATE = 0.2
 RECALL = 0.99
 SAMPLED = 2
-MAX_REPEATS = 64
 MIN_WORDS = 5
 ITEMS_PER_BLOCK = 20_000
+BYTES_PER_BLOCK = 32 << 20
+TRIALS = 400
 SEED = 11
 ROWS = 20_000
 
@@ -87,28 +99,41 @@ def lsh_keys(strings: np.ndarray, repeats: int, seed: int = SEED, sampled: int =
     return keys
 
 
-def fit_repeats(items: list[np.ndarray], max_rate: float = MAX_RATE, recall: float = RECALL, seed: int = SEED, trials: int = 64) -> int:
-    """Repeats that bring items with the allowed number of random edits to the target recall."""
-    rng = np.random.default_rng(seed)
-    pool = np.concatenate(items)
-    hits, probes = 0, 16
+def length_class(n: int) -> int:
+    return n.bit_length()
+
+
+def randomly_edited(rng: np.random.Generator, item: np.ndarray, edits: int, pool: np.ndarray) -> np.ndarray:
+    """The item after some random substitutions, deletions and insertions, cut or padded to its own length."""
+    other = list(item)
+    for _ in range(edits):
+        kind, at = rng.integers(3), int(rng.integers(len(other)))
+        if kind == 0:
+            other[at] = pool[rng.integers(len(pool))]
+        elif kind == 1 and len(other) > 1:
+            del other[at]
+        else:
+            other.insert(at, pool[rng.integers(len(pool))])
+    return np.array((other + [np.uint64(0)] * len(item))[: len(item)], np.uint64)
+
+
+def fit_repeats(items: list[np.ndarray], max_rate: float = MAX_RATE, recall: float = RECALL, seed: int = SEED, trials: int = TRIALS) -> int:
+    """Repeats after which a share ``recall`` of the items, each with the edits it is allowed, have met themselves."""
+    rng, pool, by_length = np.random.default_rng(seed), np.concatenate(items), {}
     for t in range(trials):
         item = items[t % len(items)]
-        n = len(item)
-        other = list(item)
-        for _ in range(edits_allowed(n, max_rate)):
-            kind, at = rng.integers(3), int(rng.integers(len(other)))
-            if kind == 0:
-                other[at] = pool[rng.integers(len(pool))]
-            elif kind == 1 and len(other) > 1:
-                del other[at]
-            else:
-                other.insert(at, pool[rng.integers(len(pool))])
-        fixed = np.array((other + [np.uint64(0)] * n)[:n], np.uint64)
-        keys = lsh_keys(np.stack([item, fixed]), probes, seed)
-        hits += int((keys[0] == keys[1]).sum())
-    p = max(hits / (trials * probes), 1e-3)
-    return int(min(MAX_REPEATS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(p, 0.999))))))
+        by_length.setdefault(len(item), []).append((item, randomly_edited(rng, item, edits_allowed(len(item), max_rate), pool)))
+    repeats = 8
+    while True:
+        first = []  # the repeat in which each trial meets
+        for pairs in by_length.values():
+            a, b = (lsh_keys(np.stack(x), repeats, seed) for x in zip(*pairs))
+            same = a == b
+            first += np.where(same.any(axis=1), same.argmax(axis=1) + 1, repeats + 1).tolist()
+        enough = sorted(first)[math.ceil(recall * len(first)) - 1]
+        if enough <= repeats:
+            return enough
+        repeats *= 2
 
 
 def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -132,11 +157,11 @@ def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class Items:
     """The benchmark block: q-gram index, LSH tables per item length."""
 
-    def __init__(self, ids: list[int], texts: list[str], max_rate: float = MAX_RATE, recall: float = RECALL):
+    def __init__(self, ids: list[int], texts: list[str], max_rate: float = MAX_RATE, recall: float = RECALL, min_words: int = MIN_WORDS):
         self.max_rate = max_rate
         flat, counts = split_words(pc.utf8_lower(pa.array(texts, pa.string())))
         h, at = hash_words(flat), starts_of(counts)
-        keep = [k for k in range(len(ids)) if counts[k] >= MIN_WORDS]
+        keep = [k for k in range(len(ids)) if counts[k] >= max(1, min_words)]
         self.ids = [ids[k] for k in keep]
         self.items = [h[at[k] : at[k + 1]] for k in keep]
         self.n = np.array([len(x) for x in self.items], np.int64)
@@ -149,11 +174,12 @@ class Items:
             rows.sort()
             g = np.array([r[0] for r in rows], np.uint64)
             self.index[q] = (g, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), self._bits(g))
-        self.repeats = fit_repeats(self.items, max_rate, recall) if self.items else 1
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        classes = np.array([length_class(n) for n in self.n.tolist()], np.int64)
+        repeats = {c: fit_repeats([self.items[k] for k in np.flatnonzero(classes == c)], max_rate, recall) for c in set(classes.tolist())}
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # item rows and their keys, by item length
         for n in sorted(set(self.n.tolist())):
             rows = np.flatnonzero(self.n == n)
-            self.tables[n] = (rows, lsh_keys(np.stack([self.items[k] for k in rows]), self.repeats))
+            self.tables[n] = (rows, lsh_keys(np.stack([self.items[k] for k in rows]), repeats[length_class(n)]))
 
     @staticmethod
     def _bits(g: np.ndarray) -> np.ndarray:
@@ -199,10 +225,11 @@ class Items:
             index = places[:, 1][:, None] + np.arange(n)
             ok = (index >= at[places[:, 0]][:, None]) & (index < at[places[:, 0] + 1][:, None])
             strings = np.where(ok, h[np.clip(index, 0, len(h) - 1)], np.uint64(0))
-            keys = lsh_keys(strings, self.repeats)
             items, item_keys = self.tables[n]
+            repeats = item_keys.shape[1]
+            keys = lsh_keys(strings, repeats)
             met: dict[tuple[int, int], int] = {}
-            for r in range(self.repeats):
+            for r in range(repeats):
                 order = np.argsort(item_keys[:, r], kind="stable")
                 sorted_keys = item_keys[order, r]
                 lo, hi = np.searchsorted(sorted_keys, keys[:, r], "left"), np.searchsorted(sorted_keys, keys[:, r], "right")
@@ -224,67 +251,73 @@ class Items:
         return [(d, k, *v) for (d, k), v in sorted(best.items())]
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = ITEMS_PER_BLOCK) -> Iterator[list]:
-    """The query set in blocks of at most ``size`` items, by id."""
-    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").distinct()
-    n = rows.count()
-    if n <= size:
-        if n:
-            yield sorted(rows.collect())
-        return
-    blocks = -(-n // size) * 2
-    keyed = rows.withColumn("_b", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
-    for b in range(blocks):
-        got = sorted(tuple(r)[:2] for r in keyed.where(F.col("_b") == b).collect())
-        if got:
-            yield got
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = ITEMS_PER_BLOCK, most: int = BYTES_PER_BLOCK) -> list[DataFrame]:
+    """The query set in blocks of about ``size`` items and ``most`` bytes at most, dealt by hash."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").distinct()
+    n, n_bytes = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(-(-n // size), -(-(n_bytes or 0) // most))
+    if blocks <= 1:
+        return [rows] * blocks
+    return [rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(2 * blocks)) == b) for b in range(2 * blocks)]
+
+
+def _matcher(block: DataFrame, max_rate: float, recall: float, min_words: int) -> Items:
+    items = sorted(map(tuple, block.collect()))  # one block: bounded by item_blocks
+    return Items([r[0] for r in items], [r[1] for r in items], max_rate, recall, min_words)
 
 
-def _searcher(block: list, max_rate: float, recall: float):
-    return Items([r[0] for r in block], [r[1] for r in block], max_rate, recall)
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    flat, counts = split_words(pc.utf8_lower(texts))
+    return hash_words(flat), counts
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, max_rate: float = MAX_RATE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_matches(
+    docs: DataFrame, benchmark: DataFrame, max_rate: float = MAX_RATE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **blocks: int
+) -> DataFrame:
     """One row per matching ``(document row, item)``: edits, item length, start word, LSH repeats that met."""
-    spark, out = docs.sparkSession, None
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(_searcher(block, max_rate, recall))
+    spark = docs.sparkSession
+    rows, found, several = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), [], item_blocks(benchmark, **blocks)
+    for block in several:
+        shared = spark.sparkContext.broadcast(_matcher(block, max_rate, recall, min_words))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in batches:
                 for cut in slices(batch, "text"):
-                    flat, counts = split_words(pc.utf8_lower(cut.column("text")))
-                    got = items.matches(hash_words(flat), counts)
+                    got = items.matches(*_words(cut.column("text")))
                     if got:
-                        ids = cut.column("id").to_pylist()
+                        row, item, edits, start, hits = map(list, zip(*got))
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array([ids[g[0]] for g in got], pa.int64()), pa.array([items.ids[g[1]] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int32()),
-                                pa.array([int(items.n[g[1]]) for g in got], pa.int32()), pa.array([g[3] for g in got], pa.int64()), pa.array([g[4] for g in got], pa.int32()),
+                                cut.column("id").take(pa.array(row)), pa.array([items.ids[k] for k in item], pa.int64()), pa.array(edits, pa.int32()),
+                                pa.array(items.n[item], pa.int32()), pa.array(start, pa.int64()), pa.array(hits, pa.int32()),
                             ],
                             ["doc_id", "item_id", "edits", "item_words", "start_word", "repeats_hit"],
                         )
 
         part = rows.mapInArrow(search, MATCH_SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], MATCH_SCHEMA)
+        if len(several) > 1:
+            part = materialize(part, "matches")
+            shared.destroy()
+        found.append(part)
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], MATCH_SCHEMA)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, max_rate: float = MAX_RATE, recall: float = RECALL, text_col: str = "text") -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, max_rate: float = MAX_RATE, recall: float = RECALL, text_col: str = "text", min_words: int = MIN_WORDS, **blocks: int) -> DataFrame:
     """The rows of ``docs``, all columns, that match no item."""
-    spark, out = docs.sparkSession, docs
-    for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(_searcher(block, max_rate, recall))
+    spark, out, several = docs.sparkSession, docs, item_blocks(benchmark, **blocks)
+    for block in several:
+        shared = spark.sparkContext.broadcast(_matcher(block, max_rate, recall, min_words))
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for cut in slices(batch, text_col):
-                    flat, counts = split_words(pc.utf8_lower(cut.column(text_col)))
                     keep = np.ones(len(cut), bool)
-                    keep[[g[0] for g in shared.value.matches(hash_words(flat), counts)]] = False
+                    keep[[g[0] for g in shared.value.matches(*_words(cut.column(text_col)))]] = False
                     yield cut.filter(pa.array(keep))
 
         out = out.mapInArrow(clean, docs.schema)
+        if len(several) > 1:
+            out = materialize(out, "clean")
+            shared.destroy()
     return out
