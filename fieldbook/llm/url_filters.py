@@ -1,23 +1,27 @@
 """URL filters: explicit host/path rules, then host word segmentation with multinomial naive Bayes.
 
-* Unigram model: words of the visible text of every page, counted over all rows, split concatenated host labels and path
-  parts by Viterbi. The counts stay a table: rows are dealt into parts by hash, the distinct substrings of a part's
-  letter runs are joined with all counts, and each part splits its runs with the words that it found.
-* Naive Bayes: the pages that a rule decides are its labelled rows (block or allow), together with the fixed
-  ``SEED_WORDS``; tokens are hashed into a fixed number of buckets, so the model has a fixed size.
-
-Defined results: a null url or one without ``://`` has empty host and path, no rule and no tokens, and gets the
-class with the larger prior; equal rows get equal verdicts; without labelled pages the seeds alone decide.
+* Unigram model: words of the visible text of every page, of any length, counted over all rows, split concatenated host labels
+  and path parts by Viterbi. The counts stay a table: rows are dealt into parts of bounded size, the distinct substrings of a
+  part's letter runs (of the lengths that words have) are joined with all counts, and each part splits its runs with the words
+  that it found.
+* Naive Bayes: the pages that a rule decides are its labelled rows (block or allow), all of them; nothing else is known
+  beforehand. Tokens are hashed into ``BUCKETS`` counters, so the model has a fixed size.
+
+Defined results: every row gives one row; a null url or one without ``://`` has empty host and path, no rule and no tokens, and
+gets the class with the larger prior (allow on a tie); equal urls get equal verdicts; without labelled pages every url has score 0
+and is allowed; null html has no words; very long urls and pages are read whole; a null page_id comes back null; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +35,11 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Words that count as seen in blocked or allowed addresses before any page is read (fixed values).
-SEED_WORDS = {
-    "block": ("spam", "casino", "porn", "xxx", "poker", "viagra", "warez", "torrent", "malware", "phishing", "scam", "farm"),
-    "allow": ("news", "blog", "wiki", "docs", "edu", "library", "science", "school"),
-}
-SEED_COUNT = 50
 SUBSTRINGS = 100_000  # held at once before they are sent on
-BUCKETS = 1 << 15
-MAX_WORD = 20
+BUCKETS = 1 << 18
+PART_ROWS = 20_000
+LETTERS = regex.compile(r"\p{L}+")
+RUNS = regex.compile(r"\p{L}+|\p{Nd}+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,34 +61,44 @@ def match_rules(host: Column, path: Column, rules: tuple[tuple[str, str, str], .
 
 
 def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``(word, n)`` of lower-case ASCII words in the visible text of all pages."""
+    """``(word, n)`` of lower-case words in the visible text of all pages."""
     visible = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>|&[a-z]+;", " ")
-    parts = F.split(F.lower(visible), r"[^\p{L}]+")
-    rows = pages.select(F.explode(parts).alias("word")).where(F.col("word").rlike(f"^[a-z]{{1,{MAX_WORD}}}$"))
+    rows = pages.select(F.explode(F.split(F.lower(visible), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     return rows.groupBy("word").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
-    """Unigram Viterbi over a dictionary of log probabilities; ``total``: of all words, if ``counts`` has only some."""
+    """Unigram Viterbi over a dictionary of log probabilities.
 
-    def __init__(self, counts: dict[str, int], total: int | None = None):
+    ``total`` counts all words and ``lengths`` are the lengths they have, if ``counts`` holds only some of them.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None, lengths: list[int] | None = None):
         total = total or sum(counts.values()) or 1
         self.logp = {w: math.log(n / total) for w, n in counts.items()}
-        self.unknown = math.log(1.0 / total) - 1.0
+        self.lengths = sorted(set(map(len, counts)) if lengths is None else lengths, reverse=True)
+        rare = math.log(1.0 / total) - 1.0
+        self.open, self.more = rare, 0.7 * rare  # an unknown stretch: a price to open it, and one for each character
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def split(self, text: str) -> tuple[str, ...]:
         """The likeliest split; unknown stretches cost more with every character. Ties: the longer last word."""
         if text in self.seen:
             return self.seen[text]
+        # best[i]: of the first i characters; stretch: of those that end in an unknown stretch, and where that begins
         best, back = [0.0], [0]
+        stretch, begin = -math.inf, 0
         for end in range(1, len(text) + 1):
-            top, cut = -math.inf, end - 1
-            for start in range(max(0, end - MAX_WORD), end):
-                w = text[start:end]
-                p = self.logp.get(w, self.unknown * (1 + 0.7 * len(w)))
-                if best[start] + p > top:
-                    top, cut = best[start] + p, start
+            stretch += self.more
+            fresh = best[end - 1] + self.open + self.more
+            if fresh > stretch:
+                stretch, begin = fresh, end - 1
+            top, cut = -math.inf, 0
+            for n in self.lengths:
+                if n <= end and (p := self.logp.get(text[end - n : end])) is not None and best[end - n] + p > top:
+                    top, cut = best[end - n] + p, end - n
+            if stretch > top:
+                top, cut = stretch, begin
             best.append(top)
             back.append(cut)
         out, end = [], len(text)
@@ -104,32 +114,32 @@ class Segmenter:
     def tokens(self, host: str, path: str) -> list[str]:
         """Tokens of host labels (``h:``) and path parts (``p:``); digits become one token."""
         out = []
-        for kind, text in (("h:", host), ("p:", path.lower())):
-            for run in re.findall(r"[a-z]+|[0-9]+", text):
-                out += [kind + "<num>"] if run[0].isdigit() else [kind + w for w in self.split(run)]
+        for kind, text in (("h:", host.lower()), ("p:", path.lower())):
+            for run in RUNS.findall(text):
+                out += [kind + w for w in self.split(run)] if LETTERS.match(run) else [kind + "<num>"]
         return out
 
 
 def _bucket(token: str) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(token) & (BUCKETS - 1)
 
 
 def with_tokens(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds ``tokens`` of ``host`` and ``path``, split with all word counts."""
-    parts = shuffle_partitions(rows.sparkSession)
-    total = counts.agg(F.sum("n")).first()[0]
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(parts)).cast("int"))
+    parts = max(shuffle_partitions(rows.sparkSession), -(-rows.count() // PART_ROWS))
+    # rows are numbered once and written, so that both sides below see the same parts, of equal size whatever the rows hold
+    dealt = materialize(rows.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")), "dealt")
+    found = counts.groupBy(F.length("word").alias("l")).agg(F.sum("n").alias("n")).collect()  # a row for each length that words have
+    total, lengths = sum(r["n"] for r in found), sorted(r["l"] for r in found)
 
     def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs, found = set(), set()
-            for k, *texts in zip(*(batch.column(c).to_pylist() for c in ("part", "host", "path"))):
-                runs.update((k, r) for t in texts for r in re.findall(r"[a-z]+", t.lower()))
+            for k, *texts in zip(*(batch.column(c).to_pylist() for c in ("_part", "host", "path"))):
+                runs.update((k, r) for t in texts for r in LETTERS.findall(t.lower()))
             for k, run in runs:
-                for start in range(len(run)):
-                    found.update((k, run[start:end]) for end in range(start + 1, min(len(run), start + MAX_WORD) + 1))
+                for n in lengths:
+                    found.update((k, run[at : at + n]) for at in range(len(run) - n + 1))
                     if len(found) >= SUBSTRINGS:
                         yield batch_of(found)
                         found.clear()
@@ -138,29 +148,23 @@ def with_tokens(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
     def batch_of(found: set[tuple[int, str]]) -> pa.RecordBatch:
         at, words = zip(*found)
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words)], ["part", "word"])
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words)], ["_part", "word"])
 
     def split(own: pa.Table, known: pa.Table) -> pa.Table:
-        segmenter = Segmenter(dict(zip(known.column("word").to_pylist(), known.column("n").to_pylist())), total)
+        segmenter = Segmenter(dict(zip(known.column("word").to_pylist(), known.column("n").to_pylist())), total, lengths)
         tokens = [segmenter.tokens(h, p) for h, p in zip(own.column("host").to_pylist(), own.column("path").to_pylist())]
-        return own.drop_columns(["part"]).append_column("tokens", pa.array(tokens, pa.list_(pa.string())))
+        return own.drop_columns(["_part"]).append_column("tokens", pa.array(tokens, pa.list_(pa.string())))
 
-    known = dealt.select("part", "host", "path").mapInArrow(substrings, "part int, word string").distinct().join(counts, "word")
+    known = dealt.select("_part", "host", "path").mapInArrow(substrings, "_part int, word string").distinct().join(counts, "word")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return dealt.where("host <> '' or path <> ''").groupBy("part").cogroup(known.groupBy("part")).applyInArrow(split, f"{schema}, tokens array<string>").unionByName(
-        rows.where("host = '' and path = ''").withColumn("tokens", F.array().cast("array<string>"))
+    full = F.expr("host <> '' or path <> ''")
+    return dealt.where(full).groupBy("_part").cogroup(known.groupBy("_part")).applyInArrow(split, f"{schema}, tokens array<string>").unionByName(
+        dealt.where(~full).drop("_part").withColumn("tokens", F.array().cast("array<string>"))
     )
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """Per row: ``page_id, host, path, rule, verdict, host_words, block_score``."""
-    spark = pages.sparkSession
-    words = materialize(word_counts(pages), "words")
-    host, path = split_url(F.col("url"))
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rule, action = match_rules(F.col("host"), F.col("path"), rules)
-    ruled = parsed.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"))
-    ruled = materialize(with_tokens(ruled, words), "tokens")
+def learn(ruled: DataFrame) -> tuple[np.ndarray, float]:
+    """``(log2 odds of each bucket, log2 odds of the prior)`` block against allow, from all rows with ``tokens`` and an ``action``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {"block": np.zeros(BUCKETS, np.int64), "allow": np.zeros(BUCKETS, np.int64)}
@@ -174,26 +178,28 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_pydict({"action": pa.array([a] * (len(at) + 1)), "bucket": pa.array([*at, -1], pa.int32()), "n": pa.array([*counts[at], rows[a]], pa.int64())})
 
-    found = (
-        ruled.where("action is not null")
-        .select("tokens", "action")
-        .mapInArrow(count, "action string, bucket int, n bigint")
-        .groupBy("action", "bucket")
-        .agg(F.sum("n").alias("n"))
-        .collect()  # at most 2 * (BUCKETS + 1) rows
-    )
-    counts, prior = {a: np.zeros(BUCKETS) for a in ("block", "allow")}, {"block": 1, "allow": 1}
-    for r in found:
-        if r["bucket"] < 0:
-            prior[r["action"]] += r["n"]
-        else:
-            counts[r["action"]][r["bucket"]] += r["n"]
-    for a, seeds in SEED_WORDS.items():
-        for w in seeds:
-            for kind in ("h:", "p:"):
-                counts[a][_bucket(kind + w)] += SEED_COUNT
-    logs = {a: np.log((c + 1.0) / (c.sum() + BUCKETS)) for a, c in counts.items()}
-    model = spark.sparkContext.broadcast((logs["block"] - logs["allow"], math.log(prior["block"] / prior["allow"])))
+    labelled = ruled.where("action is not null").select("tokens", "action").mapInArrow(count, "action string, bucket int, n bigint")
+    found = labelled.groupBy("action", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * (BUCKETS + 1) rows
+    block = np.array(found.column("action").to_pylist(), object) == "block"
+    bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
+    logs, prior = [], []
+    for mine in (block, ~block):
+        c = np.bincount(bucket[mine & (bucket >= 0)], weights=n[mine & (bucket >= 0)], minlength=BUCKETS).astype(float)
+        logs.append(np.log2((c + 1.0) / (c.sum() + BUCKETS)))
+        prior.append(1 + int(n[mine & (bucket < 0)].sum()))
+    return logs[0] - logs[1], math.log2(prior[0] / prior[1])
+
+
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+    """Per row: ``page_id, host, path, rule, verdict, host_words, block_score``."""
+    spark = pages.sparkSession
+    words = materialize(word_counts(pages), "words")
+    host, path = split_url(F.col("url"))
+    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
+    rule, action = match_rules(F.col("host"), F.col("path"), rules)
+    ruled = parsed.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"))
+    ruled = materialize(with_tokens(ruled, words), "tokens")
+    model = spark.sparkContext.broadcast(learn(ruled))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, base = model.value
