@@ -61,8 +61,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    segments, manifest = token_binary.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
-    return token_binary.read_tokens(segments, manifest)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_binary.read_tokens(spark, token_binary.write_tokens(docs, public_tokenizers.path(TOKENIZER)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,39 +1,48 @@
 """Token-ID output as directly addressable codes (DAC).
 
-An id is split into 8-bit chunks, lowest first. Level ``k`` holds the ``k``-th chunk of every id that has one,
-with a continuation bitmap (bit set: the id goes on in level ``k+1``) and a rank directory (set bits before
-each 512-bit block). Token ``i`` is read with one rank per level; no block is decoded.
-
-Layout of the job: documents are range-partitioned by id, each task encodes its range and writes *segments*
-(one binary row of a Parquet table per few megabytes of text, so every store that Spark writes works and the
-commit protocol covers lost executors); a manifest with one row per task gives the token offsets.
-
-Defined results: null text counts as empty (just the end id); null ids sort first; repeated rows each get their
-own entry, in text order; an empty table writes no segment. Other columns are ignored.
+An id is split into 8-bit chunks, lowest first. Level ``k`` holds the ``k``-th chunk of every id that has one, with a
+continuation bitmap (bit set: the id goes on in level ``k+1``) and a rank directory (set bits before each 512-bit block).
+Token ``i`` is read with one rank per level: a few bytes are read at known places, and no block is decoded.
+
+Layout: documents are range-partitioned by id; each task encodes its range into *segments* of a few megabytes of text, which go
+out as raw bytes (Spark's text writer, uncompressed, with the raw bytes as its lines: so every store that Spark writes works and
+the commit protocol covers lost executors). A file has at most ``SEGMENTS_PER_FILE`` segments, each followed by one line feed;
+a segment's header names its length and the place of each part, so files are walked without a look at their codes. A manifest
+(Parquet) has one row for each segment: file, byte offset, count of all ids before it. :func:`token_at` opens only the files that
+hold the wanted positions and seeks in them.
+
+Defined results: null text counts as empty (just the end id); null ids sort first and come back null; repeated rows each get their
+own entry, in text order; a very long text is one segment of its own; an empty table writes no segment and an empty manifest;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, shuffle_partitions
+from .shared import scratch_dir, shuffle_partitions
 from .tokens import slices
 
-MAGIC = b"FBDAC1\0\0"
+MAGIC = b"FBDAC2\0\0"
+HEAD = struct.Struct("<8sQQQI")  # magic, bytes of the segment, documents, ids, levels
+LEVEL = struct.Struct("<QQQQ")  # chunks of the level; where its chunks, bitmap and directory begin
 BLOCK_BITS = 512
 END_ID = 0
 CACHE_ENTRIES = 800_000
+SEGMENTS_PER_FILE = 64
 
-SEGMENT_SCHEMA = "part int, seg int, first_token bigint, n_tokens bigint, n_docs int, payload binary"
+SEGMENT_SCHEMA = "path string, offset bigint, n_bytes bigint, first_in_file bigint, n_tokens bigint, n_docs bigint"
 
 
 # ---------------------------------------------------------------- codes
@@ -59,65 +68,82 @@ def dac_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def pack_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One self-describing segment: document table, then the levels."""
+    """One self-describing segment: header, level table, document table, then the levels."""
     valid = np.array([x is not None for x in doc_ids], np.uint8)
     keys = np.array([x or 0 for x in doc_ids], "<i8")
     levels = dac_levels(ids)
-    out = [MAGIC, struct.pack("<QQI", len(doc_ids), len(ids), len(levels)), keys.tobytes(), valid.tobytes(), lengths.astype("<u8").tobytes()]
-    for chunks, bitmap, ranks in levels:
-        out += [struct.pack("<QQQ", len(chunks), len(bitmap), len(ranks)), chunks.tobytes(), bitmap.tobytes(), ranks.tobytes()]
-    return b"".join(out)
+    out = [keys.tobytes(), valid.tobytes(), lengths.astype("<u8").tobytes()]
+    at = HEAD.size + LEVEL.size * len(levels) + sum(map(len, out))
+    table = []
+    for parts in levels:
+        places = []
+        for x in parts:
+            places.append(at)
+            out.append(x.tobytes())
+            at += len(out[-1])
+        table.append(LEVEL.pack(len(parts[0]), *places))
+    return b"".join([HEAD.pack(MAGIC, at, len(doc_ids), len(ids), len(levels)), *table, *out])
 
 
 class Segment:
-    """Reader of one segment; ``token(i)`` and ``document(k)`` touch only the bytes they need."""
+    """Reader of one segment of an open file; ``token(i)`` seeks to the few bytes it needs."""
 
-    def __init__(self, payload: bytes):
-        if payload[:8] != MAGIC:
+    def __init__(self, source: BinaryIO, offset: int = 0):
+        self.source, self.offset = source, offset
+        magic, self.n_bytes, self.n_docs, self.n_tokens, n_levels = HEAD.unpack(self._read(0, HEAD.size))
+        if magic != MAGIC:
             raise ValueError("not a token segment")
-        n_docs, self.n_tokens, n_levels = struct.unpack_from("<QQI", payload, 8)
-        at = 28
-
-        def take(dtype: str, n: int) -> np.ndarray:
-            nonlocal at
-            got = np.frombuffer(payload, dtype, n, at)
-            at += got.nbytes
-            return got
-
-        keys, valid, self.lengths = take("<i8", n_docs), take("u1", n_docs), take("<u8", n_docs).astype(np.int64)
-        self.doc_ids = [int(k) if v else None for k, v in zip(keys, valid)]
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.levels = []
-        for _ in range(n_levels):
-            a, b, c = struct.unpack_from("<QQQ", payload, at)
-            at += 24
-            self.levels.append((take("u1", a), take("u1", b), take("<u4", c)))
+        self._docs = HEAD.size + LEVEL.size * n_levels
+        self.levels = list(LEVEL.iter_unpack(self._read(HEAD.size, LEVEL.size * n_levels)))
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.source.seek(self.offset + at)
+        got = self.source.read(n)
+        if len(got) < n:
+            raise ValueError("the file ends within a segment")
+        return got
+
+    def documents(self) -> tuple[list[int | None], np.ndarray]:
+        """``(ids, numbers of token ids)`` of the documents."""
+        raw, n = self._read(self._docs, 17 * self.n_docs), self.n_docs
+        keys, valid, lengths = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "u1", n, 8 * n), np.frombuffer(raw, "<u8", n, 9 * n)
+        return [int(k) if v else None for k, v in zip(keys, valid)], lengths.astype(np.int64)
 
     def token(self, i: int) -> int:
         """Random access to one id."""
         if not 0 <= i < self.n_tokens:
             raise IndexError(i)
         value = 0
-        for k, (chunks, bitmap, ranks) in enumerate(self.levels):
-            value |= int(chunks[i]) << (8 * k)
-            if not bitmap[i >> 3] >> (i & 7) & 1:
-                break
+        for k, (_, chunks, bitmap, ranks) in enumerate(self.levels):
+            value |= self._read(chunks + i, 1)[0] << (8 * k)
             block = i // BLOCK_BITS
-            inside = np.unpackbits(bitmap[block * (BLOCK_BITS // 8) : (i >> 3) + 1], bitorder="little")
-            i = int(ranks[block]) + int(inside[: i - block * BLOCK_BITS].sum())
+            bits = int.from_bytes(self._read(bitmap + block * (BLOCK_BITS // 8), i // 8 - block * (BLOCK_BITS // 8) + 1), "little")
+            inside = i - block * BLOCK_BITS
+            if not bits >> inside & 1:
+                break
+            (before,) = struct.unpack("<I", self._read(ranks + 4 * block, 4))
+            i = before + (bits & ((1 << inside) - 1)).bit_count()
         return value
 
     def all_tokens(self) -> np.ndarray:
         """Every id, level by level (the scan of the read-back)."""
         value = np.zeros(self.n_tokens, np.uint64)
         where = np.arange(self.n_tokens)
-        for k, (chunks, bitmap, _) in enumerate(self.levels):
-            value[where] |= chunks.astype(np.uint64) << np.uint64(8 * k)
-            where = where[np.unpackbits(bitmap, count=len(where), bitorder="little").astype(bool)]
+        for k, (n, chunks, bitmap, ranks) in enumerate(self.levels):
+            value[where] |= np.frombuffer(self._read(chunks, n), np.uint8).astype(np.uint64) << np.uint64(8 * k)
+            where = where[np.unpackbits(np.frombuffer(self._read(bitmap, ranks - bitmap), np.uint8), count=n, bitorder="little").astype(bool)]
         return value.astype("<u4")
 
-    def document(self, k: int) -> np.ndarray:
-        return np.array([self.token(i) for i in range(self.starts[k], self.starts[k + 1])], "<u4")
+
+def walk(source: BinaryIO) -> Iterator[Segment]:
+    """The segments of an open file, in order."""
+    at, end = 0, source.seek(0, io.SEEK_END)
+    while at < end:
+        segment = Segment(source, at)
+        if at + segment.n_bytes > end:
+            raise ValueError("the file ends within a segment")
+        yield segment
+        at += segment.n_bytes + 1  # the line feed after it
 
 
 # ---------------------------------------------------------------- tokenizing
@@ -246,65 +272,91 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- the job
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Writes the segments in ascending id order; returns ``(segments, manifest)`` as read back.
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/tokens").select("path", "content")
 
-    The manifest has one row per task of the range partitioning (a bounded number), with the count of all ids before it.
-    """
+
+def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Writes segment files (``tokens/``) and manifest (``manifest/``) in ascending id order under ``path``, which it returns."""
     spark = docs.sparkSession
+    path = path or scratch_dir(spark, "token_ids")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, seg, done = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for cut in slices(batch, "text"):
-                texts = pc.fill_null(cut.column("text"), "")
-                ids, lengths = encode_texts(texts, tokenizer_path)
-                payload = pack_segment(cut.column("id").to_pylist(), lengths, ids)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array([part], pa.int32()),
-                        "seg": pa.array([seg], pa.int32()),
-                        "first_token": pa.array([done], pa.int64()),
-                        "n_tokens": pa.array([len(ids)], pa.int64()),
-                        "n_docs": pa.array([len(lengths)], pa.int32()),
-                        "payload": pa.array([payload], pa.binary()),
-                    }
-                )
-                seg, done = seg + 1, done + len(ids)
+                ids, lengths = encode_texts(pc.fill_null(cut.column("text"), ""), tokenizer_path)
+                yield pa.RecordBatch.from_arrays([pa.array([pack_segment(cut.column("id").to_pylist(), lengths, ids)], pa.binary())], ["segment"])
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                rows, first = [], 0
+                for x in walk(pa.BufferReader(content.as_buffer())):
+                    rows.append((name, x.offset, x.n_bytes, first, x.n_tokens, x.n_docs))
+                    first += x.n_tokens
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")])
 
     ranged = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         .repartitionByRange(shuffle_partitions(spark), F.col("id"))
         .sortWithinPartitions("id", "text")
     )
-    segments = materialize(ranged.mapInArrow(encode, SEGMENT_SCHEMA), "segments")
-    totals = sorted((r["part"], r["n"]) for r in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    rows, before = [], 0
-    for part, n in totals:
-        rows.append((part, before))
-        before += n
-    return segments, spark.createDataFrame(rows, "part int, base bigint")
-
-
-def read_tokens(segments: DataFrame, manifest: DataFrame) -> DataFrame:
+    # a cast of bytes to a string keeps them as they are, and the text writer writes them so
+    raw = ranged.mapInArrow(encode, "segment binary").select(F.col("segment").cast("string").alias("value"))
+    raw.write.option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", SEGMENTS_PER_FILE).text(f"{path}/tokens")
+    segments = _files(spark, path).mapInArrow(index, SEGMENT_SCHEMA)
+    # files ascend by task, then by number within the task; only totals of files and tasks are added up by windows
+    segments = segments.withColumns({"part": F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("int"), "file": F.regexp_extract("path", r"-c(\d+)[^/]*$", 1).cast("int")})
+    segments.write.parquet(f"{path}/index")
+    segments = spark.read.parquet(f"{path}/index")
+    files = segments.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))
+    parts = files.groupBy("part").agg(F.sum("n").alias("n"))  # one row for each task of the range partitioning
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before(Window.orderBy("part")).alias("base"))
+    files = files.join(parts, "part").select("part", "file", (F.col("base") + before(Window.partitionBy("part").orderBy("file"))).alias("base"))
+    manifest = segments.join(files, ["part", "file"]).select("path", "offset", "n_bytes", (F.col("base") + F.col("first_in_file")).alias("first_token"), "n_tokens", "n_docs")
+    manifest.write.parquet(f"{path}/manifest")
+    return path
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``path, offset, n_bytes, first_token, n_tokens, n_docs`` of every segment."""
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def token_at(spark: SparkSession, path: str, positions: list[int]) -> list[int]:
+    """The ids at some positions of the whole output; reads the manifest rows and the few bytes that they need."""
+    from pyarrow import fs
+
+    m = read_manifest(spark, path)
+    near = F.exists(F.lit(positions), lambda p: (F.col("first_token") <= p) & (p < F.col("first_token") + F.col("n_tokens")))
+    found = sorted((r["first_token"], r["n_tokens"], r["path"], r["offset"]) for r in m.where(near).collect()) if positions else []
+    out = {}
+    for first, n, name, offset in found:
+        store, place = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+        with store.open_input_file(place) as source:
+            segment = Segment(source, offset)
+            out |= {p: segment.token(p - first) for p in positions if first <= p < first + n}
+    if len(out) < len(set(positions)):
+        raise IndexError("no such position")
+    return [out[p] for p in positions]
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document from the files: ``doc_id, start, n_tokens, ids_crc32``."""
+    # one row for each file: the position of its first id
+    first = read_manifest(spark, path).where("offset = 0").select(F.col("path").alias("_path"), F.col("first_token").alias("base"))
+    placed = _files(spark, path).join(first, F.col("path") == F.col("_path")).select("base", "content")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, first, payload in zip(*(batch.column(c) for c in ("base", "first_token", "payload"))):
-                s = Segment(payload.as_py())
-                ids = s.all_tokens()
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(s.starts[:-1], s.starts[1:])]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array(s.doc_ids, pa.int64()),
-                        "start": pa.array(s.starts[:-1] + (base.as_py() + first.as_py()), pa.int64()),
-                        "n_tokens": pa.array(s.lengths, pa.int64()),
-                        "ids_crc32": pa.array(crc, pa.int64()),
-                    }
-                )
-
-    placed = segments.join(F.broadcast(manifest), "part").select("base", "first_token", "payload")
+            for base, content in zip(batch.column("base").to_pylist(), batch.column("content")):
+                for segment in walk(pa.BufferReader(content.as_buffer())):
+                    doc_ids, lengths = segment.documents()
+                    starts, ids = np.concatenate([[0], np.cumsum(lengths)]), segment.all_tokens()
+                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts[:-1] + base), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    base += segment.n_tokens
+
     return placed.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

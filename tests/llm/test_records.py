@@ -1,6 +1,8 @@
 import gzip
 import hashlib
+import io
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -32,17 +34,45 @@ def test_warc_round_trip(spark, pages, tmp_path):
     for p, _, h in rows:
         if len((h or "").encode()) >= 100 and p is not None:
             least[h] = min(least.get(h, p), p)
-    want = set()
+    want = []
     for p, u, h in rows:
         b = (h or "").encode()
         ref = least.get(h)
         ref = ref if p is not None and ref is not None and p > ref else None
-        want.add((p, len(b), hashlib.sha256(b).hexdigest(), "revisit" if ref is not None else "response", ref))
-    assert {tuple(r)[:5] for r in got} == want and len(got) == len({r[:3] for r in rows})
+        want.append((p, len(b), hashlib.sha256(b).hexdigest(), "revisit" if ref is not None else "response", ref, u and u.replace("\r", "%0D").replace("\n", "%0A")))
+    cols = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+    assert sorted((tuple(r[c] for c in cols) for r in got), key=repr) == sorted(want, key=repr)
     full = captures.select("request.record_id", "response.payload", "metadata.record_id").collect()
     assert all(r[0] and r[2] for r in full)
-    text = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*.gz"))
-    assert sum(1 for _ in warc.parse_records(text)) == 3 * len(got)
+    records = [h for f in (tmp_path / "w").glob("*.gz") for h, _ in warc.parse_records(warc.inflate(f.read_bytes()))]
+    assert len(records) == len({h["warc-record-id"] for h in records}) == 3 * len(rows)
+    ids = {h["warc-record-id"] for h in records if h["warc-type"] == "response"}
+    assert {h["warc-refers-to"] for h in records if h["warc-type"] == "revisit"} <= ids
+
+
+def test_warc_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL_PAYLOAD", 1000)
+    monkeypatch.setattr(warc, "CAPTURES_PER_FILE", 8)
+    df = spark.createDataFrame([(i, None, "z" * (10 if i % 4 else 3900)) for i in range(40)], "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archive(df, f"file://{tmp_path}/w")
+    for f in (tmp_path / "w").glob("*.gz"):
+        text = b"".join(warc.inflate(f.read_bytes()))
+        assert text.count(b"WARC/1.1") <= 3 * 8 and text.count(b"z" * 3900) <= 2
+
+
+def test_warc_one_member_per_record(spark, tmp_path):
+    """The usual form of archives; headers with and without a space, and other kinds of records."""
+    parts = [b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <i>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"]
+    for k in range(5):
+        body = b"HTTP/1.1 200 OK\r\n\r\n" + b"p" * (k * 100_000)
+        parts.append(f"WARC/1.0\r\nWARC-Type:response\r\nWARC-Record-ID: <r{k}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n")
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    got = warc.read_archive(spark, f"file://{tmp_path}").collect()
+    assert sorted((r["record_id"], r["payload_bytes"]) for r in got if r["warc_type"] == "response") == [(f"<r{k}>", k * 100_000) for k in range(5)] and len(got) == 6
+    whole = (tmp_path / "a.warc.gz").read_bytes()
+    for cut in (whole[:-20], gzip.compress(gzip.decompress(whole)[:-50])):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(warc.inflate(cut)))
 
 
 def test_warc_orphans_and_empty(spark, pages):
@@ -76,23 +106,52 @@ def test_url_rules(spark):
         r = got[i]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule), u
         assert r["verdict"] == action if action else r["verdict"] in ("allow", "block")
-    assert got[12]["verdict"] == "block"
     assert url_filters.judge(df.where("false")).count() == 0
     assert url_filters.judge(df.union(df)).count() == 2 * len(urls)
 
 
+def price(s, w):
+    return s.logp.get(w, s.open + s.more * len(w))
+
+
 def test_viterbi_is_the_best_split():
-    s = url_filters.Segmenter({"spam": 50, "farm": 40, "spa": 10, "m": 5, "news": 30, "a": 3, "mfarm": 1})
-    assert s.split("spamfarm") == ("spam", "farm") and s.split("") == ()
+    s = url_filters.Segmenter({"spam": 50, "farm": 40, "spa": 10, "m": 5, "news": 30, "a": 3, "mfarm": 1, "donaudampfschifffahrtsgesellschaft": 2, "été": 4})
+    assert s.split("spamfarm") == ("spam", "farm") and s.split("") == () and s.split("étéspam") == ("été", "spam")
+    assert s.split("newsdonaudampfschifffahrtsgesellschaftqq") == ("news", "donaudampfschifffahrtsgesellschaft", "qq")
 
     def best(text):
         if not text:
             return 0.0
-        return max(s.logp.get(text[:k], s.unknown * (1 + 0.7 * k)) + best(text[k:]) for k in range(1, len(text) + 1))
+        return max(price(s, text[:k]) + best(text[k:]) for k in range(1, len(text) + 1))
+
+    for t in ("spamnews", "qqspam", "newsaspa", "xyz", "qspamqfarmq", "ammm"):
+        assert sum(price(s, w) for w in s.split(t)) == pytest.approx(best(t))
+
 
-    for t in ("spamnews", "qqspam", "newsaspa", "xyz"):
-        got = sum(s.logp.get(w, s.unknown * (1 + 0.7 * len(w))) for w in s.split(t))
-        assert got == pytest.approx(best(t))
+def test_url_naive_bayes_against_plain_counts(spark):
+    """Scores and verdicts from the words of the rule-decided urls, counted in plain Python."""
+    rng = random.Random(2)
+    words = ["casino", "poker", "news", "garden", "été", "libraryofcongress" * 2]
+    rows = [(i, f"http://{rng.choice(words[:2])}{rng.choice(words)}.net/es/{rng.choice(words)}/{i}" if i % 2 else f"http://{rng.choice(words[2:])}x.com/{rng.choice(words[2:])}") for i in range(60)]
+    rows += [(100 + i, f"http://{a}{b}.org/{rng.choice(words)}") for i, (a, b) in enumerate((a, b) for a in words for b in words)] + [(200, None), (201, "nohost"), (202, "http://x.org/" + "q" * 20_000)]
+    df = spark.createDataFrame([(i, u, f"<p>{' '.join(words)}</p>", "h", "p", "r", "v", "t", -1) for i, u in rows], "page_id bigint, url string, html string, host string, path string, rule string, verdict string, tokens string, _part int")
+    got = {r["page_id"]: r for r in url_filters.judge(df).collect()}
+    s = url_filters.Segmenter({w: len(rows) for w in words})
+    counts, prior = {"block": Counter(), "allow": Counter()}, {"block": 1, "allow": 1}
+    for _, u in rows:
+        host, path, _, action = plain_rule(u)
+        if action:
+            prior[action] += 1
+            counts[action].update(s.tokens(host, path))
+    n = url_filters.BUCKETS
+    for i, u in rows:
+        host, path, rule, action = plain_rule(u)
+        p = {a: math.log2(prior[a]) + sum(math.log2((counts[a][t] + 1) / (counts[a].total() + n)) for t in s.tokens(host, path)) for a in counts}
+        r = got[i]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["block_score"] == pytest.approx(p["block"] - p["allow"], abs=1e-6)
+        assert r["verdict"] == (action or ("block" if p["block"] > p["allow"] + 1e-9 else "allow"))
+    assert len(got) == len(rows) and got[100]["verdict"] == "block"
 
 
 def test_url_words_are_all_known(spark):
@@ -144,18 +203,42 @@ def test_mixing_odd_rows(spark, odd, empty):
 
 def test_dac_levels():
     ids = np.array([0, 255, 256, 65535, 65536, 2**24, 2**31, 7] * 300, np.uint32)
-    s = token_binary.Segment(token_binary.pack_segment([1, None], np.array([5, len(ids) - 5]), ids))
-    assert np.array_equal(s.all_tokens(), ids) and s.doc_ids == [1, None] and len(s.levels) == 4
-    assert all(s.token(i) == ids[i] for i in range(0, len(ids), 7)) and np.array_equal(s.document(0), ids[:5])
+    raw = token_binary.pack_segment([1, None], np.array([5, len(ids) - 5]), ids)
+    s = token_binary.Segment(io.BytesIO(b"##" + raw), 2)
+    assert np.array_equal(s.all_tokens(), ids) and s.documents()[0] == [1, None] and s.documents()[1].tolist() == [5, len(ids) - 5] and len(s.levels) == 4
+    assert all(s.token(i) == ids[i] for i in range(0, len(ids), 7))
     with pytest.raises(IndexError):
         s.token(len(ids))
+    with pytest.raises(ValueError):
+        list(token_binary.walk(io.BytesIO(raw[:-1])))
 
 
-def test_tokens_round_trip(spark, odd, odd_rows, empty):
+def test_token_access_by_seeking():
+    """One id costs a few bytes of the file, however large the segment."""
+
+    class Counting(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            got = super().read(size)
+            self.n += len(got)
+            return got
+
+    ids = np.random.default_rng(1).integers(0, 50_000, 300_000).astype(np.uint32)
+    f = Counting(token_binary.pack_segment([7], np.array([len(ids)]), ids))
+    s = token_binary.Segment(f)
+    f.n = 0
+    for i in (0, 1, 511, 512, 299_999, 123_456):
+        assert s.token(i) == ids[i]
+    assert f.n < 6 * 2 * (64 + 5)
+
+
+def test_tokens_round_trip(spark, odd, odd_rows, empty, tmp_path, monkeypatch):
     path = public_tokenizers.path(queries.TOKENIZER)
     tok = Tokenizer.from_file(path)
-    got = token_binary.read_tokens(*token_binary.write_tokens(odd, path)).collect()
-    got.sort(key=lambda r: r["start"])
+    monkeypatch.setattr(token_binary, "SEGMENTS_PER_FILE", 1)
+    out = token_binary.write_tokens(odd, path, f"file://{tmp_path}/t")
+    got = sorted(token_binary.read_tokens(spark, out).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted((r[0] for r in odd_rows), key=lambda d: (d is not None, d or 0))
     at, want = 0, Counter()
     for r in got:
@@ -165,7 +248,14 @@ def test_tokens_round_trip(spark, odd, odd_rows, empty):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want[d, len(ids), zlib.crc32(ids.tobytes())] += 1
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
-    assert token_binary.read_tokens(*token_binary.write_tokens(empty, path)).count() == 0
+    # random access through the files, against the texts of documents whose ids are unique
+    texts, seen = {d: t for d, t, *_ in odd_rows}, Counter(d for d, *_ in odd_rows)
+    every = {r["start"] + k: i for r in got if r["doc_id"] is not None and seen[r["doc_id"]] == 1 for k, i in enumerate([*tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 0])}
+    places = sorted(every)[:: len(every) // 40]
+    assert token_binary.token_at(spark, out, places) == [every[p] for p in places]
+    with pytest.raises(IndexError):
+        token_binary.token_at(spark, out, [at])
+    assert token_binary.read_tokens(spark, token_binary.write_tokens(empty, path)).count() == 0
 
 
 def test_piecewise_encoding_equals_whole():
