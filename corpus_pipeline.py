@@ -41,8 +41,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files and returns each drawn document's place in them, read back from the files."""
     import public_tokenizers
 
-    segments, manifest = token_binary.write_tokens(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
-    return token_binary.read_tokens(segments, manifest)
+    return token_binary.read_tokens(spark, token_binary.write_tokens(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER)))
 
 
 STAGES = [
