@@ -139,6 +139,56 @@ def test_join_odd_rows(spark, odd, odd_rows, empty):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_keep_one_of_repeated_and_null_ids(spark, docs_of):
+    """One row of each class stays: no copy of it, and no other document that only shares its id."""
+    rng = random.Random(9)
+    a, b, c, d = (sentence(rng, 40, 10**6) for _ in range(4))
+    rows = [(1, a), (1, a), (1, b), (2, a), (None, a), (None, c), (None, c + " more"), (None, d), (3, d + " x"), (4, None), (4, ""), (5, c + " q r s t u v w x y z a b c d e f g h i")]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs_of([(*r, "en", "s") for r in rows])).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (1, b), (3, d + " x"), (4, None), (4, ""), (5, rows[-1][1]), max((r for r in kept if r[1] and r[1].startswith(c) and r[0] is None), key=len)], key=repr)
+
+
+def exact_links(rows):
+    """All pairs with Jaccard >= 0.8 through an inverted index."""
+    sets = {}
+    for d, t in rows:
+        w = words(t)
+        if len(w) >= 5:
+            sets[d] = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+    index, pairs = defaultdict(list), set()
+    for d in sorted(sets, key=lambda d: (len(sets[d]), d)):
+        x, common = sets[d], defaultdict(int)
+        # a partner that is not longer shares one of the rarest fifth of the shingles, in any fixed order
+        prefix = sorted(x, key=hash)[: len(x) - int(0.8 * len(x) - 1e-9) + 1]
+        for sh in prefix:
+            for e in index[sh]:
+                common[e] += 1
+            index[sh].append(d)
+        pairs |= {(min(d, e), max(d, e)) for e in common if len(x & sets[e]) >= 0.8 * len(x | sets[e]) - 1e-12}
+    return pairs
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_join_recall_against_all_pairs(spark, docs_of, long):
+    if long:
+        rng = random.Random(21)
+        texts = [t for n in (3_000, 9_000) for e in (10, 30) for t in near_copies(rng, 6, n, e * n // 3_000)]
+        rows = [(i, t) for i, t in enumerate(texts)]
+        df = docs_of([(*r, "en", "s") for r in rows])
+    else:
+        df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+        rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    pairs, want = exact_links(rows), defaultdict(int)
+    for a, b in pairs:
+        want[a] += 1
+        want[b] += 1
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.join(df).collect()}
+    assert all(got[d] <= want[d] for d in want)
+    recall = sum(got[d] for d in want) / max(1, sum(want.values()))
+    print("links", len(pairs), "recall", recall)
+    assert recall >= 0.99 and len(pairs) > 10
+
+
 def test_more_recall_needs_more_runs():
     assert jaccard_join.runs_for(0.9) <= jaccard_join.runs_for(0.9999) <= 6
 
