@@ -1,18 +1,23 @@
 """Mixing sources to target weights: temperature mixing realised as budgeted block permutations.
 
 * Weights: ``w_i ~ share_i ** alpha``; ``alpha`` is bisected until the entropy of the weights meets the target, and
-  raised until no source is repeated more than ``max_repeats`` times under the token budget.
+  raised until no source is repeated more than ``max_repeats`` times under the token budget. Each step needs two sums over the
+  sources for each of ``STEPS`` candidate exponents, so sources stay a table, however many there are.
 * Realisation: each source is cut by hash into at most ``CELLS`` blocks. An epoch visits all blocks in an order of
   its own; a source gives whole epochs, then whole blocks, then the documents of one cut block up to its quota.
   Only block totals (at most ``CELLS`` per source) are ordered by a window, never a source's documents.
 
-Defined results: null source is a source of its own; null or empty text has zero tokens and goes with its block;
-equal rows fall into the same block and are drawn together; an empty or token-free table gives no rows.
+Defined results: null source is a source of its own; null, empty or blank text has zero tokens and goes with its block; a source
+without tokens has weight 0 and gives no rows, but with the covering budget all its rows once; rows with equal ids (null ids too)
+fall into the same block and are drawn together; a very long text counts whole; equal sources get equal weights; an empty table
+gives no rows, as does one without tokens unless the budget is the covering one; other columns are kept by
+:func:`mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,58 +28,68 @@ CELLS = 4096
 BLOCK_TOKENS = 200_000
 TARGET_EVENNESS = 0.97
 MAX_REPEATS = 3.0
-MAX_SOURCES = 100_000
+STEPS = 32
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def tempered(tokens: list[int], alpha: float) -> list[float]:
-    """Normalised ``share ** alpha``; a source without tokens keeps weight 0."""
-    total = sum(tokens)
-    raw = [(t / total) ** alpha if t else 0.0 for t in tokens]
-    s = sum(raw)
-    return [r / s for r in raw]
+class Shares:
+    """Sums over sources with tokens that decide the exponent; ``sums(alphas)`` gives ``(sum t**a, sum t**a ln t)`` of each."""
 
+    def __init__(self, live: int, least: int, most: int, total: int, sums: Callable[[list[float]], list[tuple[float, float]]]):
+        self.live, self.least, self.most, self.total, self.sums = live, least, most, total, sums
 
-def entropy(weights: list[float]) -> float:
-    return -sum(w * math.log(w) for w in weights if w > 0)
+    def entropies(self, alphas: list[float]) -> list[float]:
+        """Of the weights ``t**a / z``."""
+        return [math.log(z) - a * s / z for a, (z, s) in zip(alphas, self.sums(alphas))]
 
+    def covering(self, alphas: list[float]) -> list[float]:
+        """The least budget under which every source is visited at least once: ``max t / w``."""
+        return [z * self.most ** (1 - a) for a, (z, _) in zip(alphas, self.sums(alphas))]
 
-def covering_budget(tokens: list[int], weights: list[float]) -> float:
-    """The least budget under which every source is visited at least once."""
-    return max((t / w for t, w in zip(tokens, weights) if t), default=0.0)
+    def repeats(self, alphas: list[float], budget: float | None) -> list[float]:
+        """How often the smallest source is repeated, under the covering budget if none is given."""
+        budgets = self.covering(alphas) if budget is None else [budget] * len(alphas)
+        return [b * self.least ** (a - 1) / z for a, b, (z, _) in zip(alphas, budgets, self.sums(alphas))]
 
 
-def solve_weights(tokens: list[int], budget: int | None, evenness: float = TARGET_EVENNESS, max_repeats: float = MAX_REPEATS) -> tuple[list[float], float]:
-    """``(weights, alpha)``: entropy is ``evenness`` times its maximum unless repetition needs a larger alpha.
+def smallest_alpha(ok: Callable[[list[float]], list[bool]]) -> float:
+    """Smallest exponent in [0, 1] that is ok (1 if none), where all larger ones are too; ``STEPS`` are tried at once."""
+    low, high = 0.0, 1.0
+    if ok([low])[0]:
+        return low
+    while high - low > 1e-10:
+        tried = [low + (high - low) * (k + 1) / (STEPS + 1) for k in range(STEPS)]
+        good = ok(tried)
+        first = good.index(True) if True in good else STEPS
+        low, high = ([low] + tried)[first], (tried + [high])[first]
+    return high
+
+
+def solve_alpha(shares: Shares, budget: float | None, evenness: float = TARGET_EVENNESS, max_repeats: float = MAX_REPEATS) -> float:
+    """The exponent with an entropy of ``evenness`` times its maximum, unless repetition needs a larger one.
 
     Both entropy and the largest repetition fall as alpha grows (on [0, 1]), so both are bisected. A natural mix that
     is more even than the target stays as it is (alpha 1). Without a budget, the covering budget of each alpha counts.
     """
-    live = sum(t > 0 for t in tokens)
-    if live == 0:
-        return [0.0] * len(tokens), 1.0
-    target = evenness * math.log(live)
+    if shares.live == 0:
+        return 1.0
+    target = evenness * math.log(shares.live)
+    even = smallest_alpha(lambda alphas: [h <= target for h in shares.entropies(alphas)])
+    return max(even, smallest_alpha(lambda alphas: [r <= max_repeats for r in shares.repeats(alphas, budget)]))
 
-    def bisect(ok) -> float:
-        """Smallest alpha in [0, 1] that is ok (1 if none)."""
-        low, high = 0.0, 1.0
-        if ok(low):
-            return low
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (low, mid) if ok(mid) else (mid, high)
-        return high
 
-    alpha = bisect(lambda a: entropy(tempered(tokens, a)) <= target)
+def shares_of(sources: DataFrame) -> Shares:
+    """Sums over ``source, n`` rows, by Spark."""
+    live = sources.where("n > 0")
+    r = live.agg(F.count("*").alias("live"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total")).first()
 
-    def repeats(a: float) -> float:
-        w = tempered(tokens, a)
-        b = covering_budget(tokens, w) if budget is None else budget
-        return max(x * b / t for x, t in zip(w, tokens) if t)
+    def sums(alphas: list[float]) -> list[tuple[float, float]]:
+        power = lambda a: F.exp(F.lit(a) * F.log("n"))
+        got = live.agg(*(F.sum(x) for a in alphas for x in (power(a), power(a) * F.log("n")))).first()
+        return list(zip(got[::2], got[1::2]))
 
-    alpha = max(alpha, bisect(lambda a: repeats(a) <= max_repeats))
-    return tempered(tokens, alpha), alpha
+    return Shares(r["live"], r["least"] or 0, r["most"] or 0, r["total"] or 0, sums)
 
 
 def _cell(id_col: str, seed: int) -> Column:
@@ -95,7 +110,6 @@ def plan_mix(
     (``cut_key`` null: the whole block; else rows with ``order_key <= cut_key``). sources: weights and quotas.
     budget: tokens to draw; None: as many as there are; "cover": the least with which every document is drawn.
     """
-    spark = docs.sparkSession
     narrow = materialize(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"),
@@ -104,22 +118,23 @@ def plan_mix(
         "mix",
     )
     cells = materialize(narrow.groupBy("source", "cell").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs")), "cells")
-    totals = cells.groupBy("source").agg(F.sum("n_tokens").alias("n")).orderBy("source").limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    tokens = [r["n"] for r in totals]
-    weights, alpha = solve_weights(tokens, None if budget == "cover" else budget or sum(tokens), evenness, max_repeats)
-    budget = covering_budget(tokens, weights) if budget == "cover" else budget or sum(tokens)
-    rows = []
-    for r, w in zip(totals, weights):
-        quota = math.floor(w * budget + 0.5)
-        whole = quota // r["n"] if r["n"] else 0
-        blocks = max(1, min(CELLS, r["n"] // block_tokens))
-        rows.append((r["source"], r["n"], w, quota, whole, quota - whole * r["n"], blocks))
-    sources = spark.createDataFrame(rows, "source string, source_tokens bigint, weight double, quota bigint, epochs bigint, rest bigint, n_blocks int").withColumn("alpha", F.lit(alpha))
-    # one row per source: bounded by MAX_SOURCES, checked above
+    totals = materialize(cells.groupBy("source").agg(F.sum("n_tokens").alias("n")), "totals")
+    shares, cover = shares_of(totals), budget == "cover"
+    alpha = solve_alpha(shares, None if cover else budget or shares.total, evenness, max_repeats)
+    tokens = (shares.covering([alpha])[0] if cover else budget or shares.total) if shares.live else 0
+    mass = shares.sums([alpha])[0][0] if shares.live else 1.0
+    n = F.col("n")
+    sources = totals.select(
+        "source", n.alias("source_tokens"), F.when(n > 0, F.exp(F.lit(alpha) * F.log(n)) / mass).otherwise(0.0).alias("weight"),
+        F.greatest(F.lit(1), F.least(F.lit(CELLS), F.floor(n / block_tokens))).cast("int").alias("n_blocks"), F.lit(alpha).alias("alpha"),
+    )
+    sources = sources.withColumn("quota", F.floor(F.col("weight") * float(tokens) + 0.5).cast("long"))
+    # a source without tokens is one epoch of its own where all documents are wanted
+    epochs = F.when(F.col("source_tokens") > 0, F.expr("quota div source_tokens")).otherwise(F.lit(int(cover)))
+    sources = sources.withColumn("epochs", epochs.cast("long"))
+    sources = materialize(sources.withColumn("rest", F.col("quota") - F.col("epochs") * F.col("source_tokens")), "sources")
     by_block = (
-        cells.join(F.broadcast(sources.where("quota > 0").withColumnRenamed("source", "_s")), F.expr("source <=> _s"))
+        cells.join(sources.where("quota > 0 or epochs > 0").withColumnRenamed("source", "_s"), F.expr("source <=> _s"))
         .drop("_s")
         .withColumn("block", F.floor(F.col("cell") * F.col("n_blocks") / CELLS).cast("int"))
         .groupBy("source", "block", "epochs", "rest")
@@ -129,16 +144,16 @@ def plan_mix(
     w = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("block", "epoch", F.lit(seed)), "block")
     visits = visits.withColumns({"block_rank": F.row_number().over(w), "_upto": F.sum("n_tokens").over(w)})
     before = F.col("_upto") - F.col("n_tokens")
-    full = (F.col("epoch") < F.col("epochs")) | (F.col("_upto") <= F.col("rest"))
+    full = (F.col("epoch") < F.col("epochs")) | ((F.col("_upto") <= F.col("rest")) & (F.col("rest") > 0))
     visits = materialize(
         visits.where(full | ((before < F.col("rest")) & (F.col("_upto") > F.col("rest"))))
         .select("source", "block", "epoch", "block_rank", F.when(~full, F.col("rest") - before).alias("left")),
         "visits",
     )
     # the cut block of each source: documents in order of their key up to what is left of the quota
-    n_blocks = F.broadcast(sources.select(F.col("source").alias("_s"), "n_blocks"))
+    n_blocks = sources.select(F.col("source").alias("_s"), "n_blocks")
     placed = narrow.join(n_blocks, F.expr("source <=> _s")).withColumn("block", F.floor(F.col("cell") * F.col("n_blocks") / CELLS).cast("int"))
-    cut = F.broadcast(visits.where("left is not null").select(F.col("source").alias("_cs"), F.col("block").alias("_cb"), "left"))
+    cut = visits.where("left is not null").select(F.col("source").alias("_cs"), F.col("block").alias("_cb"), "left")
     inside = placed.join(cut, F.expr("source <=> _cs and block = _cb")).select("source", "block", "order_key", "n_tokens", "left")
     per_key = inside.groupBy("source", "block", "left", "order_key").agg(F.sum("n_tokens").alias("n"))
     run = F.sum("n").over(Window.partitionBy("source", "block").orderBy("order_key"))
@@ -150,11 +165,10 @@ def plan_mix(
 
 def _placed(rows: DataFrame, plan: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows with ``cell, order_key`` and their source as ``_source``, once per epoch that draws them."""
+    # sources and plan are written tables: Spark broadcasts them if their size allows it, and shuffles otherwise
     s = sources.select(F.col("source").alias("_s"), "n_blocks")
-    with_block = rows.join(F.broadcast(s), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_block", F.floor(F.col("_cell") * F.col("n_blocks") / CELLS).cast("int"))
+    with_block = rows.join(s, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_block", F.floor(F.col("_cell") * F.col("n_blocks") / CELLS).cast("int"))
     p = plan.select(F.col("source").alias("_ps"), F.col("block").alias("_pb"), F.col("epoch").alias("_epoch"), F.col("block_rank").alias("_block_rank"), "cut_key")
-    if plan.count() <= 200_000:  # a few megabytes; a larger plan is joined by a shuffle
-        p = F.broadcast(p)
     on = F.col("_source").eqNullSafe(F.col("_ps")) & (F.col("_block") == F.col("_pb"))
     return with_block.join(p, on).where(F.col("cut_key").isNull() | (F.col("_order_key") <= F.col("cut_key")))
 
