@@ -1,13 +1,19 @@
 """Language identification: blended-spectrum n-gram presence kernel, Nyström landmarks, kernel ridge regression.
 
 Kernel: ``k(x, y) = |A & B| / sqrt(|A| |B|)`` over the sets of byte n-grams of lengths 1 to 4 of the whole
-lower-cased texts, hashed into a fixed number of cells. At most ``PER_LANG`` learning documents of each
-language (smallest hashed ids; the documented bound of the fit) give packed presence rows, of which
-``LANDMARKS`` span the Nyström space; one ridge regression per language is solved on the driver. Every text is
-then scored by one matrix product with the landmarks and one with the coefficients, a batch at a time.
-
-Defined results: null text and text without a letter give ``und`` and score 0; so does every text if nothing
-can be learned; ties go to the alphabetically first language; a null id counts as the empty string.
+lower-cased texts, hashed into a fixed number of cells. At most ``PER_LANG`` learning rows of each language (smallest hashes of id
+and text; the documented bound of the fit) give packed presence rows, of which ``LANDMARKS`` span the Nyström space; one ridge
+regression per language is solved on the driver. Every text is then scored by one matrix product with the landmarks and one with
+the coefficients, a batch at a time.
+
+The learning rows are found without sorting any language: rows are counted by language, those whose hash lies below a share that
+should leave twice as many as wanted are packed, repeated rows meet in partial aggregates, and the share grows until it has enough.
+
+Defined results: every row gives one row, also where ids repeat; null, empty and blank texts and texts without a letter give ``und``
+and score 0; so does every text if nothing can be learned; ties go to the alphabetically first language; rows without a text or a
+language teach nothing; a null id counts as the empty string in the fold rule and comes back null; rows that agree in id and text teach
+once; a very long text is read whole (its n-grams are a set, whatever its length); an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialize
 from .tokens import slices
 
-CELLS = 1 << 14
+CELL_BITS = 15
+CELLS = 1 << CELL_BITS
 LENGTHS = (1, 2, 3, 4)
 PER_LANG = 500
 LANDMARKS = 192
@@ -53,7 +61,7 @@ def presence(texts: pa.Array) -> np.ndarray:
             code = (code[:-1] << np.uint32(8)) | base[n - 1 :]
         with np.errstate(over="ignore"):
             h = ((code + np.uint32(n)) * np.uint32(2654435761)) ^ (code >> np.uint32(15))
-            h = (h * np.uint32(2246822519)) >> np.uint32(32 - 14)
+            h = (h * np.uint32(2246822519)) >> np.uint32(32 - CELL_BITS)
         at = row[: len(h)] + h
         x[at[left[: len(h)] >= n]] = True
     return x.reshape(len(low), CELLS)
@@ -98,16 +106,16 @@ def predict(model: dict, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return [model["names"][b] if ok else "und" for b, ok in zip(best, letters)], score.astype(float)
 
 
-def sample_ids(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", per_lang: int = PER_LANG) -> DataFrame:
-    """At most ``per_lang`` rows of each language, by hashed id (a group limit runs before the shuffle)."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    return docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("_rn", F.row_number().over(w)).where(f"_rn <= {per_lang}").drop("_rn")
+def _rank() -> Column:
+    """A place in [0, 1) from the hash of id and text."""
+    return F.pmod(F.xxhash64(F.col("id").cast("string"), "tag"), F.lit(1 << 40)) / float(1 << 40)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> dict:
-    """Learns from rows with text and language; only packed presence rows of the bounded sample reach the driver."""
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sample = sample_ids(known, id_col, lang_col, per_lang).select("id").where("id is not null").distinct()
+def learning_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
+    """``lang, rank, id, tag, bits``: of each language the ``per_lang`` rows of smallest rank, with their packed n-gram presence."""
+    text = F.col(text_col)
+    known = docs.where(text.isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    size = known.groupBy("lang").agg(F.count("*").alias("n"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,11 +123,28 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 for at in range(0, len(cut), ROWS):
                     part = cut.slice(at, ROWS)
                     bits = np.packbits(presence(part.column("text")), axis=1)
-                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], ["id", "lang", "bits"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("lang", "rank", "id", "tag")), pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "rank", "id", "tag", "bits"])
+
+    sizes = {r["lang"]: r["n"] for r in size.collect()}  # a row for each language: the model has a regression for each anyway
+    share = {lang: 2.0 * per_lang / n for lang, n in sizes.items()}
+    found = None
+    while share:  # once, unless many rows of a language repeat
+        upto = docs.sparkSession.createDataFrame(list(share.items()), "lang string, upto double")
+        picked = known.withColumn("rank", _rank()).join(upto, "lang").where("rank < upto").select("lang", "rank", "id", "tag", "text")
+        rows = picked.mapInArrow(pack, "lang string, rank double, id string, tag bigint, bits binary")
+        rows = materialize(rows.groupBy("lang", "rank", "id", "tag").agg(F.first("bits").alias("bits")), "learning")
+        found = rows if found is None else found.join(upto, "lang", "left_anti").unionByName(rows)
+        got = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+        share = {lang: 8 * s for lang, s in share.items() if s < 1 and got.get(lang, 0) < per_lang}
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "lang string, rank double, id string, tag bigint, bits binary")
+    w = Window.partitionBy("lang").orderBy("rank", "id", "tag")  # over about twice the rows that stay
+    return found.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_lang).drop("_rn")
 
-    rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    kind = rows.schema["id"].dataType.simpleString()
-    got = sorted(rows.mapInArrow(pack, f"id {kind}, lang string, bits binary").collect(), key=lambda r: (r["lang"], r["id"], bytes(r["bits"])))
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> dict:
+    """Learns from rows with text and language; only packed presence rows of the bounded sample reach the driver."""
+    got = sorted(learning_rows(docs, id_col, text_col, lang_col, per_lang).collect(), key=lambda r: (r["lang"], r["rank"], r["id"] or "", r["tag"]))
     if not got:
         return {"names": []}
     x = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(bool)
