@@ -228,7 +228,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def span_rows(spans: list[np.ndarray]) -> pa.RecordBatch:
         """Spans need no more counting; they ride along, spread over the buckets."""
         n, types = len(spans[0]), (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(spans[1] % buckets, pa.int32()), pa.nulls(n, pa.binary()), *(pa.array(x, t) for x, t in zip(spans, types))], names)
+        return pa.RecordBatch.from_arrays([pa.array((mix64((spans[0] + spans[2]).astype(np.uint64), 3) % np.uint64(buckets)).astype(np.int32)), pa.nulls(n, pa.binary()), *(pa.array(x, t) for x, t in zip(spans, types))], names)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
