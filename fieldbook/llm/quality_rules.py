@@ -7,8 +7,11 @@ Main path: DataFrame functions only. Each document is judged inside its own row,
   ones with the smallest hashed id; the bound keeps the broadcast of their ids small.
 * Verdict: mean log2 ratio per n-gram below ``threshold`` rejects; no sampling, no randomness.
 
-Defined results: a null or empty text has zero words and fails the base rule; equal rows get equal verdicts;
-rows with a null id are judged like others; without trusted documents both multinomials coincide (ratio 0).
+Defined results: a null, empty or blank text has zero words and fails the base rule; equal texts get equal verdicts, whatever their
+ids; repeated rows and rows with a null id are judged like others; a score equal to the threshold is kept; a very long text is
+judged whole, in its own row; labels with a null id, and ids labelled more than once, count once or not at all (null); without
+trusted documents both multinomials coincide (ratio 0); an empty table gives no rows; other columns stay, but :func:`judge` replaces
+those that have the name of a column it adds, while :func:`keep` returns all as they were.
 """
 
 from __future__ import annotations

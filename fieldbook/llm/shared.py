@@ -20,14 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir`` (shared by driver and executors).
 
-    Only where the session leaves that setting unset (tests on one machine) is a temporary folder used.
+    Where the session leaves that setting unset, a temporary folder serves a local session; on a cluster it is an error.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("fieldbook.scratch", None)
     if not root:
-        root = spark.conf.get("fieldbook.scratch", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="fieldbook-")
-            spark.conf.set("fieldbook.scratch", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="fieldbook-")
+        spark.conf.set("fieldbook.scratch", root)
     return f"{root.rstrip('/')}/fieldbook/{uuid.uuid4().hex}/{name}"
 
 

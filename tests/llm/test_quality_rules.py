@@ -1,7 +1,10 @@
+import math
 import re
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from fieldbook.llm import quality_rules as q
@@ -47,11 +50,38 @@ def test_empty(spark, empty):
     assert q.keep(empty, q.weights(empty, q.trusted_ids(labels))).count() == 0
 
 
-def test_ratio_is_the_formula(spark, docs_of):
-    df = docs_of([(0, "good good text", "en", "s"), (1, "bad bad bad text", "en", "s")])
-    w = q.weights(df, q.trusted_ids(spark.createDataFrame([(0, 1, 0)], LABELS)), buckets=64)
-    got = {r["doc_id"]: r["llr"] for r in q.judge(df, w, buckets=64).collect()}
-    assert got[0] > 0 > got[1]
+def plain_ratios(texts, trusted, buckets):
+    """Mean log2 ratio of each text, from plain counts of hashed words and pairs."""
+    signed = lambda x: struct.pack("<Q", x)
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w.lower(), seed=42) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        pairs = [xxhash.xxh64_intdigest(signed(b), seed=xxhash.xxh64_intdigest(signed(a), seed=42)) for a, b in zip(h, h[1:])]
+        return [x % buckets for x in h + pairs]
+
+    raw, target = Counter(), Counter()
+    for i, t in enumerate(texts):
+        raw.update(grams(t))
+        if i in trusted:
+            target.update(grams(t))
+    n, m = raw.total(), target.total()
+    p = [(raw[b] + 1) / (n + buckets) for b in range(buckets)]
+    ratio = [math.log2((target[b] + buckets * p[b]) / (m + buckets)) - math.log2(p[b]) if m else 0.0 for b in range(buckets)]
+    return [sum(ratio[b] for b in g) / len(g) if (g := grams(t)) else 0.0 for t in texts]
+
+
+@pytest.mark.parametrize("trusted", [{0, 3}, set(), {1}])
+def test_ratio_against_plain_counts(spark, docs_of, odd_rows, trusted):
+    texts = [r[1] for r in odd_rows] + ["Good words and good pairs " * 3, "\u00c9t\u00e9 d'hiver", "a"]
+    df = docs_of([(i, t, "en", "s") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, int(i in trusted), 0) for i in range(len(texts))], LABELS)
+    for buckets in (64, q.BUCKETS):
+        want = plain_ratios(texts, trusted, buckets)
+        got = {r["doc_id"]: r for r in q.judge(df, q.weights(df, q.trusted_ids(labels), buckets=buckets), buckets=buckets).collect()}
+        for i, x in enumerate(want):
+            assert got[i]["llr"] == pytest.approx(x, abs=1e-5), i
+            if abs(x - q.THRESHOLD) > 1e-4:
+                assert got[i]["kept"] == (not got[i]["base_failed"] and x >= q.THRESHOLD)
 
 
 def test_separates_labelled_documents(spark):

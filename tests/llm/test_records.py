@@ -165,35 +165,83 @@ def test_url_words_are_all_known(spark):
     assert got == {1: ["h:zebra", "h:quilt", "h:org", "p:violin", "p:anchor", "p:<num>"], 2: []}
 
 
-def test_mixing_weights():
-    tokens = [900, 50, 50, 0]
-    w, alpha = mixing.solve_weights(tokens, 1000, evenness=0.9, max_repeats=100)
-    assert sum(w) == pytest.approx(1) and w[3] == 0 and mixing.entropy(w) == pytest.approx(0.9 * math.log(3), abs=1e-6)
-    w2, alpha2 = mixing.solve_weights(tokens, 1000, evenness=0.9, max_repeats=2)
-    assert alpha2 > alpha and max(x * 1000 / t for x, t in zip(w2, tokens) if t) <= 2 + 1e-9
-    assert mixing.solve_weights([0, 0], 10)[0] == [0.0, 0.0] and mixing.solve_weights([5, 5], 10)[1] <= 1
+def plain_weights(tokens, alpha):
+    raw = [t**alpha if t else 0.0 for t in tokens]
+    return [r / sum(raw) for r in raw]
+
+
+def plain_alpha(tokens, budget, evenness, max_repeats):
+    """Bisected one step at a time, from the weights themselves."""
+    live = [t for t in tokens if t]
+    entropy = lambda w: -sum(x * math.log(x) for x in w if x)
+
+    def bisect(ok):
+        low, high = 0.0, 1.0
+        if ok(0.0):
+            return 0.0
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (low, mid) if ok(mid) else (mid, high)
+        return high
+
+    def repeats(a):
+        w = plain_weights(live, a)
+        b = max(t / x for t, x in zip(live, w)) if budget is None else budget
+        return max(x * b / t for x, t in zip(w, live))
+
+    return max(bisect(lambda a: entropy(plain_weights(live, a)) <= evenness * math.log(len(live))), bisect(lambda a: repeats(a) <= max_repeats))
+
+
+@pytest.mark.parametrize("tokens", [[900, 50, 50, 0], [5, 5], [1], [7, 1000, 3, 3, 100_000, 0, 12]])
+def test_mixing_weights(spark, tokens):
+    table = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(tokens)], "source string, n bigint")
+    shares = mixing.shares_of(table)
+    for budget, evenness, most in ((sum(tokens), 0.9, 100.0), (sum(tokens), 0.9, 2.0), (None, 0.7, 3.0), (10 * sum(tokens), 0.97, 20.0)):
+        alpha = mixing.solve_alpha(shares, budget, evenness, most)
+        assert alpha == pytest.approx(plain_alpha(tokens, budget, evenness, most), abs=1e-8)
+    assert shares.covering([0.5])[0] == pytest.approx(max(t / w for t, w in zip(tokens, plain_weights(tokens, 0.5)) if t))
+    none = mixing.shares_of(table.where("n < 0"))
+    assert mixing.solve_alpha(none, 10) == 1.0
 
 
 def test_mixing_realises_the_plan(spark, docs_of):
     rows = [(i, "a b c d", "en", "big") for i in range(300)] + [(1000 + i, "a b", "en", "small") for i in range(40)] + [(2000 + i, None, "en", None) for i in range(3)]
     df = docs_of(rows)
-    opts = dict(evenness=0.8, block_tokens=50, max_repeats=10)
+    opts = dict(evenness=0.8, block_tokens=10, max_repeats=10)
     narrow, plan, sources = mixing.plan_mix(df, **opts)
     got = mixing.mix(df, **opts).collect()
-    quota = {r["source"]: (r["quota"], r["source_tokens"], r["epochs"]) for r in sources.collect()}
-    drawn, epochs = Counter(), defaultdict(set)
+    found = {r["source"]: r for r in sources.collect()}
+    tokens, names = [1200, 80, 0], ["big", "small", None]
+    alpha = plain_alpha(tokens, sum(tokens), 0.8, 10)
+    drawn, epochs = Counter(), defaultdict(Counter)
     for r in got:
         drawn[r["source"]] += r["n_tokens"]
-        assert (r["source"], r["epoch"]) and r["doc_id"] not in epochs[r["source"], r["epoch"]]
-        epochs[r["source"], r["epoch"]].add(r["doc_id"])
-    for s, (q, n, whole) in quota.items():
-        if n:
-            assert q - 4 <= drawn[s] <= q
-            ids = {d for d, _, _, src in rows if src == s}
-            assert all(epochs[s, e] == ids for e in range(whole))
+        epochs[r["source"], r["epoch"]][r["doc_id"]] += 1
+    for s, n, w in zip(names, tokens, plain_weights(tokens, alpha)):
+        assert found[s]["weight"] == pytest.approx(w, abs=1e-8) and found[s]["quota"] == math.floor(w * sum(tokens) + 0.5)
+        q, whole = found[s]["quota"], found[s]["epochs"]
+        assert q - 4 <= drawn[s] <= q
+        ids = {d for d, _, _, src in rows if src == s}
+        assert all(set(epochs[s, e]) == ids for e in range(whole)) and whole == (q // n if n else 0)
+    assert all(c == 1 for e in epochs.values() for c in e.values())
+    # the permutation: within an epoch blocks have ranks 1..n, all documents of a whole block are there, epochs differ in order
+    order = defaultdict(dict)
+    for r in got:
+        order[r["source"], r["epoch"]].setdefault(r["block"], set()).add(r["block_rank"])
+    for blocks in order.values():
+        assert all(len(x) == 1 for x in blocks.values()) and sorted(next(iter(x)) for x in blocks.values()) == list(range(1, len(blocks) + 1))
+    rank = lambda e: [b for b, _ in sorted(order["small", e].items(), key=lambda x: min(x[1]))]
+    assert found["small"]["epochs"] >= 2 and found["small"]["n_blocks"] == 8 and rank(0) != rank(1)
     cover = mixing.mixed_documents(df, budget="cover", evenness=0.8, block_tokens=50)
     assert cover.columns == df.columns
-    assert {r[0] for r in cover.select("doc_id").distinct().collect()} >= {d for d, _, _, s in rows if s in ("big", "small")}
+    assert {r[0] for r in cover.select("doc_id").distinct().collect()} == {r[0] for r in rows}
+
+
+def test_mixing_many_sources(spark):
+    """A source for every few rows: sources stay a table."""
+    df = spark.range(30_000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 7 as int)) AS text", "concat('s', id div 3) AS source")
+    got = mixing.mix(df, budget="cover", evenness=0.99, max_repeats=50)
+    assert got.select("doc_id").distinct().count() == 30_000
 
 
 def test_mixing_odd_rows(spark, odd, empty):

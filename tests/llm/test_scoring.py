@@ -143,3 +143,75 @@ def test_language_odd_rows(spark, odd, empty):
     assert language_id.identify(empty, language_id.train(empty)).count() == 0
     nothing = language_id.identify(odd, language_id.train(empty)).select("lang_pred", "score").distinct().collect()
     assert [tuple(r) for r in nothing] == [("und", 0.0)]
+
+
+def gram_set(text):
+    """Byte n-grams of the lower-cased text, as hashed cells."""
+    data, out = text.lower().encode(), set()
+    for n in language_id.LENGTHS:
+        for i in range(len(data) - n + 1):
+            code = int.from_bytes(data[i : i + n], "big")
+            h = ((code + n) * 2654435761 % 2**32) ^ (code >> 15)
+            out.add((h * 2246822519 % 2**32) >> (32 - language_id.CELL_BITS))
+    return out
+
+
+def test_language_model_against_plain_sets():
+    """Kernel from sets, Nyström features and ridge regression from textbook formulas."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    alphabets = {"aa": "abcdef ghé", "bb": "efghij kl", "cc": "klmnop qßr"}
+    make = lambda lang, n: "".join(rng.choice(list(alphabets[lang]), n))
+    learn = [(lang, make(lang, 30 + 10 * i)) for lang in alphabets for i in range(8)]
+    fresh = [make(lang, n) for lang in alphabets for n in (12, 300)] + ["", "a", "\u4e2d\u6587"]
+    langs, texts = [x for x, _ in learn], [t for _, t in learn]
+    model = language_id.fit(language_id.presence(pa.array(texts)), langs, landmarks=9, ridge=0.1)
+    k = lambda a, b: len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+    gram = lambda xs, ys: np.array([[k(gram_set(a), gram_set(b)) for b in ys] for a in xs])
+    land = [texts[i] for r in range(3) for i in (r, 8 + r, 16 + r)]
+    values, vectors = np.linalg.eigh(gram(land, land))
+    keep = values > 1e-6 * values.max()
+    half = vectors[:, keep] / np.sqrt(values[keep])
+    phi = np.hstack([gram(texts, land) @ half, np.ones((len(texts), 1))])
+    weight = np.full(len(texts), 1 / (3 * 8))
+    y = np.array([[1.0 if x == n else -1.0 for n in sorted(alphabets)] for x in langs])
+    w = np.linalg.solve((phi.T * weight) @ phi + 0.1 / len(phi) * np.eye(phi.shape[1]), (phi.T * weight) @ y)
+    want = np.hstack([gram(fresh, land) @ half, np.ones((len(fresh), 1))]) @ w
+    names, score = language_id.predict(model, pa.array(fresh))
+    for i, text in enumerate(fresh):
+        if text:
+            assert names[i] == sorted(alphabets)[want[i].argmax()] and score[i] == pytest.approx(min(1, max(0, (want[i].max() + 1) / 2)), abs=1e-4)
+        else:
+            assert (names[i], score[i]) == ("und", 0.0)
+
+
+def test_language_learning_rows(spark, docs_of):
+    """The rows of smallest rank, each once, however often rows repeat."""
+    rows = [(i, f"text {i}", ["en", "de"][i % 2], "s") for i in range(400)] + [(5, "text 5", "de", "s")] * 5000 + [(7, "other", "de", "s"), (7, "another", "de", "s"), (None, "nameless", "fr", "s"), (None, "nameless too", "fr", "s"), (1, None, "en", "s"), (2, "x", None, "s")]
+    got = language_id.learning_rows(docs_of(rows), "doc_id", "text", "lang", 50).collect()
+    by = Counter(r["lang"] for r in got)
+    assert by == {"en": 50, "de": 50, "fr": 2} and len({(r["lang"], r["id"], r["tag"]) for r in got}) == len(got)
+    every = {r["rank"] for r in language_id.learning_rows(docs_of(rows), "doc_id", "text", "lang", 10**6).collect() if r["lang"] == "de"}
+    assert {r["rank"] for r in got if r["lang"] == "de"} == set(sorted(every)[:50])
+
+
+@pytest.mark.parametrize("chars", [60, 3_000, 300_000])
+def test_language_accuracy_by_length(spark, chars):
+    """Texts cut or joined to a length: the presence of n-grams still tells languages apart in very long ones."""
+    import pyarrow as pa
+
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text").where("text is not null and lang is not null").collect()]
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(df.where(~(language_id.id_crc() % 4 == 2)))
+    held, texts = {}, []
+    for d, lang, text in docs:
+        if zlib.crc32(str(d).encode()) % 4 == 2:
+            held.setdefault(lang, []).append(text)
+    for lang, own in held.items():
+        joined = " ".join(own)
+        joined = joined * (1 + 3 * chars // len(joined))
+        texts += [(lang, joined[k * chars : (k + 1) * chars]) for k in range(3)]
+    names, _ = language_id.predict(model, pa.array([t for _, t in texts]))
+    assert sum(n == lang for n, (lang, _) in zip(names, texts)) >= 0.9 * len(texts)
