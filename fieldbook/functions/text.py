@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,14 +26,25 @@ def word_bound(pattern: str) -> str:
     return rf"(?<![0-9A-Za-z_])(?:{pattern})(?![0-9A-Za-z_])"
 
 
-def first_match(text: Column, rules: list[tuple[str, str]], otherwise: Column | None = None) -> Column:
+def first_match(text: Column, rules: Sequence[tuple[str, object]], otherwise: Column | None = None) -> Column:
     """Value of the first rule whose pattern is found; the order of the rules decides."""
+    return first_match_all(text, [((pattern,), value) for pattern, value in rules], otherwise)
+
+
+def first_match_all(text: Column, rules: Sequence[tuple[tuple[str, ...], object]], otherwise: Column | None = None) -> Column:
+    """Value of the first rule all of whose patterns are found; a value may be a column."""
     out = otherwise if otherwise is not None else F.lit(None)
-    for pattern, value in reversed(rules):
-        out = F.when(text.rlike(pattern), F.lit(value)).otherwise(out)
+    for patterns, value in reversed(rules):
+        hit = reduce(lambda x, y: x & y, (text.rlike(p) for p in patterns))
+        out = F.when(hit, value if isinstance(value, Column) else F.lit(value)).otherwise(out)
     return out
 
 
+def rewrite(text: Column, steps: Sequence[tuple[str, str]]) -> Column:
+    """The text after each ``(pattern, replacement)`` step."""
+    return reduce(lambda c, step: F.regexp_replace(c, *step), steps, text)
+
+
 # fixed values: ordered keyword rules, first hit wins
 RACE_STATUS_RULES = [
     (r"(?i)报名中|开放|registration open", "registration_open"),
@@ -59,77 +73,130 @@ def connector_status(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(None)).otherwise(first_match(text, CONNECTOR_STATUS_RULES, text))
 
 
+# fixed values: race types of a lower-cased text, first rule all of whose patterns are found
+RACE_TYPE_RULES = [
+    ((r"utmb",), "utmb"),
+    ((r"triathlon|铁人三项",), "triathlon"),
+    ((r"ultra|100\s?km|百公里|超级|超马", r"trail|越野|山"), "ultra_trail"),
+    ((r"trail|越野|山地",), "trail"),
+    ((r"半程马拉松|半马|21\.?1",), "half_marathon"),
+    ((r"马拉松|全马|42\.?2|42\.195|marathon",), "marathon"),
+    ((r"跑|run|running|km|公里",), "road_running"),
+]
+# fixed values: what is taken out of names, step by step (the four kinds of names differ on purpose)
+DISPLAY_NAME_STEPS = [
+    (r"[【】\[\]()（）]", " "),
+    (word_bound(r"20\d{2}"), " "),
+    (rf"20\d{{2}}{WS}*年?", " "),
+    (rf"{WS}+", " "),
+    (rf"^第[一二三四五六七八九十\d]+届{WS}*", ""),
+    (r"赛$", ""),
+]
+CONNECTOR_NAME_STEPS = [(rf"^{WS}*20\d{{2}}{WS}*", ""), (rf"{WS}*20\d{{2}}{WS}*$", ""), (r"(?U)^[·・\-—\s]+|[·・\-—\s]+$", ""), (r"赛$", ""), (rf"{WS}+", "")]
+DEDUPE_NAME_STEPS = [(r"[·・\-—“”\"']", ""), (r"（.*?）|\(.*?\)", "")]
+CATALOG_NAME_STEPS = [(rf"^{WS}*20\d{{2}}{WS}*", ""), (rf"{WS}*20\d{{2}}{WS}*$", ""), *DEDUPE_NAME_STEPS, (r"赛$", ""), (rf"{WS}+", "")]
+# fixed values: distances by name (a second pattern rules them out), and units in kilometres
+NAMED_DISTANCES = [(r"半程马拉松|半马|21\.0975|21\.1", None, 21.1), (r"全马|马拉松|42\.195|42\.2", "半", 42.2)]
+DISTANCE_UNITS = [(r"(?:mile|miles|英里)", 1.60934), (r"(?:km|公里|k(?![0-9A-Za-z_]))", 1.0)]
+ELEVATION = r"(?i)(?:D\+|爬升|累计爬升)?\s*(\d{2,5})\s?(?:m|米)?"
+
+
 def race_type(text: Column) -> Column:
-    """Race type of a lower-cased text; the ultra rule needs a distance word and a trail word."""
-    t = F.lower(text)
-    ultra = t.rlike(r"ultra|100\s?km|百公里|超级|超马") & t.rlike(r"trail|越野|山")
-    rest = first_match(
-        t,
-        [(r"trail|越野|山地", "trail"), (r"半程马拉松|半马|21\.?1", "half_marathon"), (r"马拉松|全马|42\.?2|42\.195|marathon", "marathon"), (r"跑|run|running|km|公里", "road_running")],
-        F.lit("other"),
-    )
-    return F.when(t.rlike("utmb"), "utmb").when(t.rlike("triathlon|铁人三项"), "triathlon").when(ultra, "ultra_trail").otherwise(rest)
+    """Race type of a text by its words."""
+    return first_match_all(F.lower(text), RACE_TYPE_RULES, F.lit("other"))
 
 
 def display_name(name: Column) -> Column:
     """Shown name: brackets, years, edition ordinals and a final 赛 removed; empty gives ``unknown``."""
-    x = F.regexp_replace(name, r"[【】\[\]()（）]", " ")
-    x = F.regexp_replace(x, word_bound(r"20\d{2}"), " ")
-    x = F.regexp_replace(x, rf"20\d{{2}}{WS}*年?", " ")
-    x = F.regexp_replace(x, rf"{WS}+", " ")
-    x = F.regexp_replace(x, rf"^第[一二三四五六七八九十\d]+届{WS}*", "")
-    x = F.regexp_replace(x, "赛$", "")
-    return F.when(name.isNull() | (name == ""), F.lit("unknown")).otherwise(js_trim(x))
+    return F.when(name.isNull() | (name == ""), F.lit("unknown")).otherwise(js_trim(rewrite(name, DISPLAY_NAME_STEPS)))
 
 
 def connector_name(name: Column) -> Column:
     """Connector name: leading or final year, edge dots and dashes, a final 赛 and all white space removed."""
-    x = F.regexp_replace(name, rf"^{WS}*20\d{{2}}{WS}*", "")
-    x = F.regexp_replace(x, rf"{WS}*20\d{{2}}{WS}*$", "")
-    x = F.regexp_replace(x, r"(?U)^[·・\-—\s]+|[·・\-—\s]+$", "")
-    x = F.regexp_replace(x, "赛$", "")
-    return js_trim(F.regexp_replace(x, rf"{WS}+", ""))
+    return js_trim(rewrite(name, CONNECTOR_NAME_STEPS))
 
 
 def dedupe_name(name: Column) -> Column:
     """Key for duplicate search: connector name without dots, quotes and bracketed parts, lower-cased."""
-    x = F.regexp_replace(connector_name(name), "[·・\\-—“”\"']", "")
-    return F.lower(F.regexp_replace(x, r"（.*?）|\(.*?\)", ""))
+    return F.lower(rewrite(connector_name(name), DEDUPE_NAME_STEPS))
+
+
+def catalog_name(name: Column) -> Column:
+    """Key of catalog records: as for duplicate search, but marks go before the final 赛, so more of them lose it."""
+    return js_trim(F.lower(rewrite(name, CATALOG_NAME_STEPS)))
 
 
 def flexible_date(text: Column) -> tuple[Column, Column, Column]:
     """``(year, month, date string)`` of a loosely written date; no calendar check."""
-    n = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[年月/.]", "-"), "日", ""), rf"{WS}+", "")
-    full = r"(20\d{2})-(\d{1,2})-(\d{1,2})"
-    part = r"(20\d{2})-(\d{1,2})"
-    has_full, has_part = n.rlike(full), n.rlike(part)
-    pad = lambda k: F.lpad(F.regexp_extract(n, full, k), 2, "0")
-    year = F.when(has_part, F.regexp_extract(n, part, 1)).otherwise(F.regexp_extract(text, r"20\d{2}", 0))
-    month = F.when(has_part, F.regexp_extract(n, part, 2))
-    date = F.when(has_full, F.concat_ws("-", F.regexp_extract(n, full, 1), pad(2), pad(3)))
-    return F.when(year != "", year).cast("int"), month.cast("int"), date
+    dashed = F.translate(rewrite(text, [(rf"{WS}+", "")]), "年月/.日", "----")
+    part = lambda k: F.regexp_extract(dashed, r"(20\d{2})-(\d{1,2})(?:-(\d{1,2}))?", k)
+    # the first full date counts, wherever a shorter one stands before it
+    full = lambda k: F.regexp_extract(dashed, r"(20\d{2})-(\d{1,2})-(\d{1,2})", k)
+    has_full, has_part = full(1) != "", part(1) != ""
+    pick = lambda k: F.when(has_full, full(k)).otherwise(part(k))
+    year = F.when(has_part, pick(1)).otherwise(F.regexp_extract(text, r"20\d{2}", 0))
+    date = F.when(has_full, F.concat_ws("-", full(1), F.lpad(full(2), 2, "0"), F.lpad(full(3), 2, "0")))
+    return F.when(year != "", year).cast("int"), F.when(has_part, pick(2)).cast("int"), date
 
 
 def distance_km(text: Column) -> Column:
     """Kilometres of a distance text; named distances first, then miles, then kilometres."""
     t = F.lower(text)
-    mile = F.regexp_extract(t, r"(\d+(?:\.\d+)?)\s?(?:mile|miles|英里)", 1)
-    km = F.regexp_extract(t, r"(\d+(?:\.\d+)?)\s?(?:km|公里|k(?![0-9A-Za-z_]))", 1)
-    one = lambda c: js_round(c * 10) / 10
-    return (
-        F.when(text.isNull() | (text == ""), F.lit(None).cast("double"))
-        .when(t.rlike(r"半程马拉松|半马|21\.0975|21\.1"), 21.1)
-        .when(t.rlike(r"全马|马拉松|42\.195|42\.2") & ~t.rlike("半"), 42.2)
-        .when(mile != "", one(mile.cast("double") * 1.60934))
-        .when(km != "", one(km.cast("double")))
-    )
+    out = F.lit(None).cast("double")
+    for unit, factor in reversed(DISTANCE_UNITS):
+        n = F.regexp_extract(t, rf"(\d+(?:\.\d+)?)\s?{unit}", 1)
+        out = F.when(n != "", js_round(n.cast("double") * factor * 10) / 10).otherwise(out)
+    for pattern, but, km in reversed(NAMED_DISTANCES):
+        out = F.when(t.rlike(pattern) & (~t.rlike(but) if but else F.lit(True)), F.lit(km)).otherwise(out)
+    return F.when(text != "", out)
 
 
 def elevation_m(text: Column) -> Column:
-    m = F.regexp_extract(text, r"(?i)(?:D\+|爬升|累计爬升)?\s*(\d{2,5})\s?(?:m|米)?", 1)
+    m = F.regexp_extract(text, ELEVATION, 1)
     return F.when(m != "", m.cast("int"))
 
 
+# fixed values: provinces by region
+REGION_PROVINCES = {
+    "east_china": ("上海", "江苏", "浙江", "安徽", "福建", "江西", "山东"),
+    "south_china": ("广东", "广西", "海南"),
+    "hongkong_macao_taiwan": ("香港", "澳门", "台湾"),
+    "north_china": ("北京", "天津", "河北", "山西", "内蒙古"),
+    "central_china": ("河南", "湖北", "湖南"),
+    "southwest_china": ("重庆", "四川", "贵州", "云南", "西藏"),
+    "northwest_china": ("陕西", "甘肃", "青海", "宁夏", "新疆"),
+    "northeast_china": ("辽宁", "吉林", "黑龙江"),
+}
+MUNICIPALITIES = ("北京", "上海", "天津", "重庆")
+OVERSEAS_RULES = [
+    (r"(?i)hong kong|macau|taiwan|香港|澳门|台湾", "hongkong_macao_taiwan"),
+    (r"(?i)japan|korea|thailand|singapore|asia", "asia"),
+    (r"(?i)france|italy|spain|switzerland|europe", "europe"),
+    (r"(?i)usa|canada|america|north america", "north_america"),
+    (r"(?i)[a-z]{3,}", "other_overseas"),
+]
+CITY = r"([\x{4e00}-\x{9fa5}]{2,8}(?:市|自治州|地区|盟|县))"
+CITY_SUFFIX = r"市|自治州|地区|盟|县|区$"
+
+
+def _region(province: Column) -> Column:
+    return first_match(province, [("^(?:" + "|".join(names) + ")$", region) for region, names in REGION_PROVINCES.items()])
+
+
+def location_parts(province: Column, city: Column, location: Column, name: Column) -> tuple[Column, Column, Column]:
+    """``(province, city, region)`` from the stated ones, else from the texts; ``unknown`` where nothing speaks for one."""
+    stated = lambda c: F.when(c != "", c)
+    text = F.concat_ws(" ", stated(province), stated(city), stated(location), stated(name))
+    names = sorted((p for ps in REGION_PROVINCES.values() for p in ps), key=len, reverse=True)  # longer names first
+    found = F.coalesce(*[F.when(text.contains(p), F.lit(p)) for p in names])
+    where = F.coalesce(stated(province), found, F.lit("unknown"))
+    in_text = F.regexp_extract(text, CITY, 1)
+    from_text = F.when(in_text != "", F.regexp_replace(in_text, f"^(.*?)(?:{CITY_SUFFIX})", "$1"))
+    known_city = F.when((city != "") & (city != "unknown"), city)
+    town = F.coalesce(known_city, F.when(where.isin(*MUNICIPALITIES), where), from_text, F.lit("unknown"))
+    return where, town, F.coalesce(_region(where), first_match(text, OVERSEAS_RULES, F.lit("unknown")))
+
+
 # ---- HTML ------------------------------------------------------------------------------------------------
 
 # fixed values: entities that are decoded, in order
@@ -142,18 +209,22 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
+# fixed values: what counts as noise in a page, and what an anchor looks like
+INVISIBLE = ("script", "style")
+NOISE = (*INVISIBLE, "noscript", "svg", "nav", "footer", "form")
+ANCHOR = r"""(?is)<a\b[^>]*?href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+RACE_WORDS = r"(?i)马拉松|半程|半马|越野|跑|trail|marathon|ultra|race|event|calendar|赛事|公里|km"
+
+
 def strip_html(html: Column) -> Column:
     """Text of a page: scripts, styles and tags become spaces, then entities, then runs of white space."""
-    x = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", " ")
-    x = F.regexp_replace(x, r"(?is)<style[^>]*>.*?</style>", " ")
-    x = F.regexp_replace(x, r"(?s)<[^>]+>", " ")
-    return F.btrim(F.regexp_replace(decode_entities(x), r"[ \t\n\r\f\x0B]+", " "))
+    steps = [*((rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ") for tag in INVISIBLE), (r"(?s)<[^>]+>", " ")]
+    return F.btrim(F.regexp_replace(decode_entities(rewrite(html, steps)), r"[ \t\n\r\f\x0B]+", " "))
 
 
 def remove_noise(html: Column) -> Column:
-    """Drops comments and whole script, style, noscript, svg, nav, footer and form elements."""
-    x = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    return F.regexp_replace(x, r"(?is)<(script|style|noscript|svg|nav|footer|form)\b[^>]*>.*?</\1>", " ")
+    """Drops comments and whole elements of the kinds in ``NOISE``."""
+    return rewrite(html, [(r"(?s)<!--.*?-->", " "), (rf"(?is)<({'|'.join(NOISE)})\b[^>]*>.*?</\1>", " ")])
 
 
 def normalize_lines(text: Column) -> Column:
@@ -164,23 +235,44 @@ def normalize_lines(text: Column) -> Column:
 
 def links(html: Column) -> Column:
     """``array<struct<href, label>>`` of the anchors of a page."""
-    pattern = r"""(?is)<a\b[^>]*?href=["']([^"']+)["'][^>]*>(.*?)</a>"""
-    href, label = F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
-    return F.transform(F.arrays_zip(href.alias("href"), label.alias("label")), lambda x: F.struct(x["href"].alias("href"), strip_html(x["label"]).alias("label")))
+    found = F.arrays_zip(*[F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(k)).alias(n) for k, n in ((1, "href"), (2, "label"))])
+    return F.transform(found, lambda x: F.struct(x["href"].alias("href"), strip_html(x["label"]).alias("label")))
+
+
+def race_links(html: Column) -> Column:
+    """Anchors whose label has 4 to 80 characters and a race word, each label and link once."""
+    return F.array_distinct(F.filter(links(html), lambda x: F.length(x["label"]).between(4, 80) & x["label"].rlike(RACE_WORDS)))
 
 
 # ---- URLs ------------------------------------------------------------------------------------------------
 
-TRACKING = r"^(utm_[a-z]+|spm|from|ref)$"
+# fixed values: parameters that are dropped, and those that make an address unfit to be kept
+TRACKING = r"(?i)^(?:utm_|fbclid$|gclid$)"
+SECRET_PARAMETERS = r"(?i)^(?:token|access_token|api_key|password|secret)$"
+
+
+def candidate_url(url: Column, drop: str | None = None) -> Column:
+    """http(s) address for comparing: host in lower case, no fragment, parameters sorted by name, no final slashes.
+
+    Null for other schemes. Parameters of one name keep their order; ``drop`` matches names that are left out.
+    """
+    part = lambda k: F.regexp_extract(url, r"^(?i)(https?)://([^/?#]+)([^?#]*)(?:\?([^#]*))?", k)
+    host = F.regexp_replace(F.lower(part(2)), F.when(F.lower(part(1)) == "https", r":443$").otherwise(r":80$"), F.lit(""))
+    path = F.regexp_replace(part(3), "/+$", "")
+    path = F.when((path == "") | (part(3) == ""), F.lit("/")).otherwise(path)
+    name = lambda p: F.substring_index(p, "=", 1)
+    pairs = F.filter(F.split(part(4), "&"), lambda p: (p != "") & (~name(p).rlike(drop) if drop else F.lit(True)))
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(name(p).alias("name"), i.alias("at"), p.alias("pair"))))
+    query = F.array_join(F.transform(placed, lambda x: x["pair"]), "&")
+    whole = F.concat(F.lower(part(1)), F.lit("://"), host, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+    return F.when(part(1) != "", whole)
 
 
 def normalize_url(url: Column) -> Column:
-    """Without fragment and tracking parameters, remaining parameters sorted."""
-    base = F.regexp_extract(url, r"^[^?#]*", 0)
+    """A public candidate address without tracking parameters; null if it is not public or names a secret."""
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).rlike(TRACKING))
-    sorted_ = F.array_join(F.array_sort(kept), "&")
-    return F.when(sorted_ == "", base).otherwise(F.concat(base, F.lit("?"), sorted_))
+    secret = F.exists(F.split(query, "&"), lambda p: F.substring_index(p, "=", 1).rlike(SECRET_PARAMETERS))
+    return F.when(public_url(url) & ~secret, candidate_url(url, TRACKING))
 
 
 def domain(url: Column) -> Column:
