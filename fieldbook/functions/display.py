@@ -26,7 +26,7 @@ def grouped_number(c: Column) -> Column:
     text = number_text(c)
     whole = F.regexp_replace(F.split_part(text, F.lit("."), F.lit(1)), r"\B(?=(\d{3})+(?!\d))", ",")
     fraction = F.split_part(text, F.lit("."), F.lit(2))
-    return F.when(fraction == "", whole).otherwise(F.concat_ws(".", whole, fraction))
+    return F.when(fraction == "", whole).when(fraction != "", F.concat_ws(".", whole, fraction))
 
 
 def kilometres(c: Column) -> Column:

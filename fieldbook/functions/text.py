@@ -282,7 +282,7 @@ def domain(url: Column) -> Column:
 
 def public_url(url: Column) -> Column:
     """http(s) URL without credentials whose host is neither local nor a private address."""
-    host = F.lower(F.regexp_extract(url, r"^https?://([^/?#]*)", 1))
+    host = F.lower(F.regexp_extract(url, r"^(?i)https?://([^/?#]*)", 1))
     name = F.regexp_replace(host, r":\d+$", "")
     private = name.rlike(r"^(localhost|0\.|10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|198\.1[89]\.|22[4-9]\.|2[3-5]\d\.|\[(::1?|f[cd][0-9a-f]*:|fe[89ab][0-9a-f]:).*\]$)") | name.rlike(r"\.(local|internal|localhost)$")
     return F.coalesce((name != "") & ~host.contains("@") & ~private, F.lit(False))

@@ -129,8 +129,10 @@ def best_quality(quality: Column, order: Sequence[str], value: Column) -> Column
 STRATEGIES = ("First Available", "Merge All", "Latest Timestamp Wins", "Highest Confidence", "Manual Review", "Ignore External", "Derived")
 
 
-def apply_strategy(df: DataFrame, keys: Sequence[str], field: str, strategy: str, source: str, priority: Column, confidence: Column, at: Column, internal: Column) -> DataFrame:
-    """``value, needs_review`` of a field per key under one of the seven documented strategies.
+def apply_strategies(
+    df: DataFrame, keys: Sequence[str], field: str, source: str, priority: Column, confidence: Column, at: Column, internal: Column, strategies: Sequence[str] = STRATEGIES
+) -> DataFrame:
+    """``keys, strategy, value, needs_review`` of a field per key under the documented strategies, from one aggregation.
 
     First Available: by priority. Merge All: all distinct values, sorted. Latest Timestamp Wins, Highest Confidence: as named.
     Manual Review: a value only if all sources agree, else a review. Ignore External: internal sources only. Derived: no
@@ -147,8 +149,23 @@ def apply_strategy(df: DataFrame, keys: Sequence[str], field: str, strategy: str
         "Manual Review": F.when(agreed, F.min(v)),
         "Ignore External": F.min_by(F.when(internal, v), F.when(internal & v.isNotNull(), F.struct(priority.alias("p"), src.alias("s")))),
         "Derived": F.max(F.lit(None).cast("string")),
-    }[strategy]
-    return df.groupBy(*keys).agg(value.alias("value"), (~agreed if strategy == "Manual Review" else F.max(F.lit(False))).alias("needs_review"))
+    }
+    wide = df.groupBy(*keys).agg(*[value[s].alias(s) for s in strategies], (~agreed).alias("_open"))
+    long = wide.unpivot([*keys, "_open"], list(strategies), "strategy", "value")
+    return long.select(*keys, "strategy", "value", ((F.col("strategy") == "Manual Review") & F.col("_open")).alias("needs_review"))
+
+
+def average_confidence(df: DataFrame, keys: Sequence[str], confidence: str) -> DataFrame:
+    """Mean confidence of each group in hundredths, half up; groups of several sources gain six, to 98 at most."""
+    g = df.groupBy(*keys).agg(F.avg(confidence).alias("_m"), F.count("*").alias("n"))
+    mean = F.floor(F.col("_m") * 100 + 0.5)
+    return g.select(*keys, "n", (mean / 100).alias("confidence"), F.when(F.col("n") > 1, F.least(F.lit(98), mean + 6) / 100).otherwise(mean / 100).alias("seed_confidence"))
+
+
+def argmax_name(scores: Mapping[str, Column]) -> Column:
+    """Name of the largest of some scores; the earlier of equal ones."""
+    placed = F.array(*[F.struct((-c).alias("s"), F.lit(k).alias("k"), F.lit(n).alias("n")) for k, (n, c) in enumerate(scores.items())])
+    return F.get(F.array_sort(placed), F.lit(0))["n"]
 
 
 def star_pairs(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:

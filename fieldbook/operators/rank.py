@@ -54,6 +54,23 @@ def nearest(array: str, target: float, key) -> Column:
     return F.get(F.array_sort(scored), 0)["x"]
 
 
+def nearest_others(df: DataFrame, group: str, value: str, id_col: str, k: int = 3) -> DataFrame:
+    """``left_id, right_id, rank``: for each row the ``k`` others of its group with the nearest values, by id among equals.
+
+    Of each value only its ``k + 1`` smallest ids can be an answer, and only the ``k`` values before and after, so a group's rows are
+    reduced to its distinct values before they are ordered, and no pairs of rows are made.
+    """
+    few = top_per_group(df.select(group, value, id_col), [group, value], [F.col(id_col)], k + 1, "_rn")
+    values = few.groupBy(group, value).agg(F.sort_array(F.collect_list(id_col)).alias("_ids"))
+    w = Window.partitionBy(group).orderBy(value)
+    at = lambda n: F.struct(F.lag(value, n).over(w).alias("v"), F.lag("_ids", n).over(w).alias("ids"))
+    around = values.select(group, value, F.array(*[at(n) for n in range(-k, k + 1)]).alias("_near"))
+    near = F.flatten(F.transform(F.filter("_near", lambda x: x["v"].isNotNull()), lambda x: F.transform(x["ids"], lambda i: F.struct(x["v"].alias("v"), i.alias("id")))))
+    rows = df.select(F.col(group), F.col(value), F.col(id_col)).join(around, [group, value])
+    ranked = F.array_sort(F.transform(F.filter(near, lambda x: x["id"] != F.col(id_col)), lambda x: F.struct(F.abs(x["v"] - F.col(value)).alias("gap"), x["id"].alias("id"))))
+    return rows.select(F.col(id_col).alias("left_id"), F.posexplode(F.slice(ranked, 1, k)).alias("_p", "x")).select("left_id", F.col("x.id").alias("right_id"), (F.col("_p") + 1).alias("rank"))
+
+
 # ---- recommender over categories -------------------------------------------------------------------------
 
 # fixed values: allowed types of a target in priority order, wanted tags, ability ranges, nudges, regions
@@ -119,24 +136,26 @@ def recommend_categories(races: DataFrame, profile: Mapping[str, object], top: i
 # ---- recommender over cards ------------------------------------------------------------------------------
 
 TRAIL_GOALS = ("first_trail", "challenge_50k", "challenge_100k", "scenic_trail")
-# fixed values: target distance -> nominal kilometres, and (points, low, low included, high, high included) in order
+# fixed values: target distance -> nominal kilometres, and (points, low, high, low included) in order; highs are included
 NOMINAL_KM = {"lte30": 30, "30_50": 50, "50_100": 100, "gt100": 100}
 DISTANCE_STEPS = {
-    "lte30": ((25, None, 30), (16, None, 50), (7, None, 100)),
-    "30_50": ((25, 30, 50), (16, 20, 60), (7, None, 100)),
-    "50_100": ((25, 50, 100), (16, 40, 120), (7, 29.999999, None)),
-    "gt100": ((25, 100, None), (16, 79.999999, None), (7, 49.999999, None)),
+    "lte30": ((25, None, 30, False), (16, None, 50, False), (7, None, 100, False)),
+    "30_50": ((25, 30, 50, False), (16, 20, 60, False), (7, None, 100, False)),
+    "50_100": ((25, 50, 100, False), (16, 40, 120, False), (7, 30, None, True)),
+    "gt100": ((25, 100, None, False), (16, 80, None, True), (7, 50, None, True)),
 }
 
 
+def within(km: Column, low: float | None, high: float | None, low_included: bool) -> Column:
+    above = F.lit(True) if low is None else (km >= low) if low_included else (km > low)
+    return above & (F.lit(True) if high is None else km <= high)
+
+
 def distance_points(km: Column, target: str) -> Column:
     """Points of one distance for a target interval; null or 0 counts as unknown (10)."""
     out = F.lit(0)
-    for points, low, high in reversed(DISTANCE_STEPS[target]):
-        ok = F.lit(True)
-        ok = ok & (km > low) if low is not None else ok
-        ok = ok & (km <= high) if high is not None else ok
-        out = F.when(ok, F.lit(points)).otherwise(out)
+    for points, *bounds in reversed(DISTANCE_STEPS[target]):
+        out = F.when(within(km, *bounds), F.lit(points)).otherwise(out)
     return F.when(km.isNull() | (km == 0), F.lit(10)).otherwise(out)
 
 
@@ -159,10 +178,9 @@ def card_score(profile: Mapping[str, str]) -> Column:
     if target == "any" or (stage == "any" and goal == "any"):
         distance = F.when(~F.col("hasDistance"), 8).when(F.size("categories") >= 2, 22).otherwise(18)
     else:
-        points, low, high = DISTANCE_STEPS[target][0]
-        inside = lambda d: (d > F.lit(low if low is not None else float("-inf"))) & (d <= F.lit(high if high is not None else float("inf")))
+        points, *bounds = DISTANCE_STEPS[target][0]
         close = F.get(F.array_sort(F.transform(km, lambda d, i: F.struct(F.abs(d - NOMINAL_KM[target]).alias("g"), i.alias("i"), d.alias("d")))), 0)["d"]
-        distance = F.when(F.size(km) == 0, 10).when(F.exists(km, inside), points).otherwise(distance_points(close, target))
+        distance = F.when(F.size(km) == 0, 10).when(F.exists(km, lambda d: within(d, *bounds)), points).otherwise(distance_points(close, target))
     longest = nested_max_floor0(km)
     if goal == "challenge_100k":
         fit = F.when((longest >= 90) & (level == "high_challenge"), 15).when(longest >= 50, 8).otherwise(0)

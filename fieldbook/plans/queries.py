@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -169,11 +167,8 @@ p AS (SELECT a.s_suppkey AS left_id, b.s_suppkey AS right_id,
 SELECT left_id, right_id, CAST(rank AS INTEGER) AS rank FROM p WHERE rank <= 3
 """)
 def next_similar_top3(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest others of the same nation; the pairs stay within one of 25 nations of a dimension table."""
-    s = t(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    b = s.select(F.col("s_suppkey").alias("right_id"), "s_nationkey", F.col("s_acctbal").alias("_b"))
-    pairs = s.join(b, "s_nationkey").where("s_suppkey <> right_id").withColumn("_g", F.abs(F.col("s_acctbal") - F.col("_b")))
-    return rank.top_per_group(pairs, ["s_suppkey"], [F.col("_g"), F.col("right_id")], 3).select(F.col("s_suppkey").alias("left_id"), "right_id", "rank")
+    """The three nearest others of the same nation."""
+    return rank.nearest_others(t(spark, d, "supplier"), "s_nationkey", "s_acctbal", "s_suppkey")
 
 
 @query("""
@@ -311,13 +306,8 @@ UNION ALL SELECT user_id, 'Derived', NULL, false FROM e GROUP BY user_id
 )
 def merge_strategies(spark: SparkSession, d: str) -> DataFrame:
     """The seven documented strategies on one field."""
-    e = t(spark, d, "events")
-    out = None
-    for s in merge.STRATEGIES:
-        pr = F.when(F.col("event_type") == "purchase", 0).otherwise(1)
-        part = merge.apply_strategy(e, ["user_id"], "event_type", s, "event_type", pr, F.col("value"), F.col("ts"), F.col("event_type") == "signup").withColumn("strategy", F.lit(s))
-        out = part if out is None else out.unionByName(part)
-    return out.select("user_id", "strategy", "value", "needs_review")
+    pr = F.when(F.col("event_type") == "purchase", 0).otherwise(1)
+    return merge.apply_strategies(t(spark, d, "events"), ["user_id"], "event_type", "event_type", pr, F.col("value"), F.col("ts"), F.col("event_type") == "signup")
 
 
 # ---- monitoring ------------------------------------------------------------------------------------------
@@ -400,28 +390,16 @@ def required_reference(spark: SparkSession, d: str) -> DataFrame:
     return sets.required_reference(t(spark, d, "nation"), r, "n_regionkey").select("n_nationkey", "n_name", "r_name")
 
 
-PHRASES_PER_BLOCK = 2000
-
-
-def phrase_blocks(spark: SparkSession, d: str) -> list[list[tuple[int, str]]]:
-    """The benchmark items, a stated query set, in curated (id) order and in blocks of a bounded number."""
-    rows = t(spark, d, "benchmark").orderBy("item_id").toLocalIterator()
-    return [[(r["item_id"], r["text"]) for r in block] for block in batched(rows, PHRASES_PER_BLOCK)]
-
-
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def evidence_verbatim(spark: SparkSession, d: str) -> DataFrame:
-    parts = [sets.contains_pairs(t(spark, d, "documents"), "doc_id", "text", block, "item_id") for block in phrase_blocks(spark, d)]
-    return reduce(DataFrame.unionByName, parts).withColumn("item_id", F.col("item_id").cast("bigint"))
+    """Every document with each benchmark item that it holds word for word."""
+    return sets.contains_pairs(t(spark, d, "documents"), "doc_id", "text", t(spark, d, "benchmark"), "item_id", "text")
 
 
 @query("SELECT d.doc_id, min(item_id) AS first_item FROM documents d LEFT JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def contains_match_first(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents")
-    blocks = phrase_blocks(spark, d)
-    for k, block in enumerate(blocks):
-        docs = sets.first_containing(docs, "text", block, f"_first{k}")
-    return docs.select("doc_id", F.coalesce(*[F.col(f"_first{k}") for k in range(len(blocks))]).cast("bigint").alias("first_item"))
+    found = sets.first_containing(t(spark, d, "documents"), "doc_id", "text", t(spark, d, "benchmark"), "item_id", "text", "first_item")
+    return found.select("doc_id", "first_item")
 
 
 @query("""
@@ -467,11 +445,16 @@ def order_facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("o_orderkey")
 
     def some(where, field, value, source, confidence, entity=k.cast("string")):
-        return base.where(where).select(F.lit("Edition").alias("entity_type"), entity.alias("entity_id"), F.lit(field).alias("field"), value.alias("value"), F.lit(source).alias("source_id"), F.lit(confidence).alias("confidence"))
+        fact = {"entity_type": F.lit("Edition"), "entity_id": entity, "field": F.lit(field), "value": value, "source_id": F.lit(source), "confidence": F.lit(confidence)}
+        return F.when(where, F.struct(*[c.alias(n) for n, c in fact.items()]))
 
-    cand = some(k % 3 == 0, "registrationStatus", F.when(k % 5 == 0, "X").otherwise(F.col("registrationStatus")), "a", 0.9)
-    cand = cand.unionByName(some(k % 21 == 0, "registrationStatus", F.lit("Y"), "b", 0.7)).unionByName(some(k % 2 == 0, "raceDate", F.col("raceDate"), "a", 0.9))
-    return snap, cand.unionByName(some(k % 11 == 0, "raceDate", F.col("raceDate"), "c", 0.9, F.concat(F.lit("-"), k.cast("string"))))
+    facts = [
+        some(k % 3 == 0, "registrationStatus", F.when(k % 5 == 0, "X").otherwise(F.col("registrationStatus")), "a", 0.9),
+        some(k % 21 == 0, "registrationStatus", F.lit("Y"), "b", 0.7),
+        some(k % 2 == 0, "raceDate", F.col("raceDate"), "a", 0.9),
+        some(k % 11 == 0, "raceDate", F.col("raceDate"), "c", 0.9, F.concat(F.lit("-"), k.cast("string"))),
+    ]
+    return snap, base.select(F.inline(F.array_compact(F.array(*facts))))
 
 
 @query(f"WITH {CANDIDATES} SELECT * FROM diff")
@@ -637,19 +620,32 @@ SELECT p_partkey, CASE WHEN regexp_matches(s, 'utmb') THEN 'utmb' WHEN regexp_ma
   WHEN regexp_matches(s, 'ultra|100\\s?km|百公里|超级|超马') AND regexp_matches(s, 'trail|越野|山') THEN 'ultra_trail' WHEN regexp_matches(s, 'trail|越野|山地') THEN 'trail'
   WHEN regexp_matches(s, '半程马拉松|半马|21\\.?1') THEN 'half_marathon' WHEN regexp_matches(s, '马拉松|全马|42\\.?2|42\\.195|marathon') THEN 'marathon'
   WHEN regexp_matches(s, '跑|run|running|km|公里') THEN 'road_running' ELSE 'other' END AS race_type,
-  CASE p_partkey % 5 WHEN 3 THEN CAST(21.1 AS DOUBLE) WHEN 4 THEN CAST(100 AS DOUBLE) END AS km FROM x
+  CASE WHEN regexp_matches(s, '半程马拉松|半马|21\\.0975|21\\.1') THEN CAST(21.1 AS DOUBLE) WHEN regexp_matches(s, '全马|马拉松|42\\.195|42\\.2') AND NOT contains(s, '半') THEN CAST(42.2 AS DOUBLE)
+    WHEN regexp_matches(s, '(\\d+(?:\\.\\d+)?)\\s?(?:mile|miles|英里)') THEN floor(CAST(regexp_extract(s, '(\\d+(?:\\.\\d+)?)\\s?(?:mile|miles|英里)', 1) AS DOUBLE) * 1.60934 * 10 + 0.5) / 10
+    WHEN regexp_matches(s, '(\\d+(?:\\.\\d+)?)\\s?(?:km|公里|k\\b)') THEN floor(CAST(regexp_extract(s, '(\\d+(?:\\.\\d+)?)\\s?(?:km|公里|k\\b)', 1) AS DOUBLE) * 10 + 0.5) / 10 END AS km FROM x
 """)
 def type_from_text(spark: SparkSession, d: str) -> DataFrame:
-    return _tagged_parts(spark, d).select("p_partkey", text.race_type(F.col("s")).alias("race_type"), text.distance_km(F.regexp_extract("s", r"(半马.*|100 km)$", 1)).alias("km"))
+    return _tagged_parts(spark, d).select("p_partkey", text.race_type(F.col("s")).alias("race_type"), text.distance_km(F.col("s")).alias("km"))
 
 
-@query("""
-WITH p AS (SELECT page_id, url, regexp_extract(url, '^[^?#]*') AS base, regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS q FROM pages),
-k AS (SELECT page_id, base, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(split_part(x, '=', 1), '^(utm_[a-z]+|spm|from|ref)$'))), '&') AS kept FROM p)
-SELECT page_id, CASE WHEN kept = '' THEN base ELSE base || '?' || kept END AS url, regexp_replace(lower(regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\\.', '') AS domain FROM k
+URL_TAILS = ["", "?utm_source=x&b=2&a=1#f", "/?gclid=9&UTM_medium=q&z=1&z=0", "?token=1&a=2", "//?spm=1&from=2&ref=3", "?a=1&FBCLID=2"]
+
+
+@query(f"""
+WITH u AS (SELECT page_id, url || ({URL_TAILS!r})[1 + page_id % {len(URL_TAILS)}] AS url FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(url, '(?i)^(https?)://', 1)) AS scheme, lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path,
+  list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '') AS q FROM u),
+k AS (SELECT *, list_filter(q, lambda x: NOT regexp_matches(split_part(x, '=', 1), '(?i)^(utm_|fbclid$|gclid$)')) AS kept,
+  len(list_filter(q, lambda x: regexp_matches(split_part(x, '=', 1), '(?i)^(token|access_token|api_key|password|secret)$'))) > 0 AS secret FROM p),
+s AS (SELECT *, array_to_string(list_transform(list_sort(list_transform(range(len(kept)), lambda i: struct_pack(n := split_part(kept[i + 1], '=', 1), i := i, v := kept[i + 1]))), lambda x: x.v), '&') AS sorted FROM k)
+SELECT page_id, CASE WHEN scheme <> '' AND NOT secret THEN scheme || '://' || host || CASE WHEN regexp_replace(path, '/+$', '') = '' THEN '/' ELSE regexp_replace(path, '/+$', '') END
+  || CASE WHEN sorted = '' THEN '' ELSE '?' || sorted END END AS url, regexp_replace(regexp_extract(host, '^[^:]*'), '^www\\.', '') AS domain FROM s
 """)
 def url_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "pages").select("page_id", text.normalize_url(F.col("url")).alias("url"), text.domain(F.col("url")).alias("domain"))
+    """Addresses without tracking parameters, sorted, without final slashes; none where a secret is named."""
+    tail = F.element_at(F.array(*map(F.lit, URL_TAILS)), (F.col("page_id") % len(URL_TAILS) + 1).cast("int"))
+    url = F.concat("url", tail)
+    return t(spark, d, "pages").select("page_id", text.normalize_url(url).alias("url"), text.domain(url).alias("domain"))
 
 
 @query(r"""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.text import links, normalize_lines, remove_noise, strip_html
+from ..functions.text import normalize_lines, race_links, remove_noise, strip_html
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -18,6 +18,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Rows of a JSON array file."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -44,20 +50,30 @@ def first_non_empty(*tables: DataFrame) -> DataFrame:
     return tables[-1]
 
 
-def run_sources(sources: Mapping[str, Callable[[], DataFrame]], schema: str, spark: SparkSession) -> tuple[DataFrame, dict[str, str]]:
-    """Union of all sources and the errors of those that failed."""
+def run_sources(sources: Mapping[str, Callable[[], DataFrame]], schema: str, spark: SparkSession, landing: str) -> tuple[DataFrame, dict[str, str]]:
+    """Union of all sources and the errors of those that failed.
+
+    Each source is read into a table of its own under ``landing`` before it counts, so a read that fails in a task fails
+    its source and nothing else.
+    """
     out, errors = spark.createDataFrame([], schema), {}
     for name, fetch in sources.items():
         try:
             part = fetch()
-            part.schema  # analysis errors count as the source's failure
+            part.write.mode("overwrite").parquet(f"{landing}/{name}")
         except Exception as e:  # noqa: BLE001 a source's failure is data here
             errors[name] = str(e).splitlines()[0]
             continue
-        out = out.unionByName(part, allowMissingColumns=True)
+        out = out.unionByName(spark.read.schema(part.schema).parquet(f"{landing}/{name}"), allowMissingColumns=True)
     return out, errors
 
 
+def connector_outputs(spark: SparkSession, paths: Sequence[str], record_schema: str) -> DataFrame:
+    """Records of several connector files (``{generatedAt, records: [...]}``) in one table."""
+    env = spark.read.schema(f"generatedAt string, records array<struct<{record_schema}>>").option("multiLine", True).option("mode", "FAILFAST").json(list(paths))
+    return env.select(F.inline("records"))
+
+
 def documents(spark: SparkSession, path: str, max_bytes: int = 5 << 20) -> DataFrame:
     """Text files as documents: ``path, text, content_hash``; larger ones are left out by their length."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes)
@@ -66,10 +82,9 @@ def documents(spark: SparkSession, path: str, max_bytes: int = 5 << 20) -> DataF
     return files.select("path", body.alias("text")).withColumn("content_hash", F.sha2("text", 256))
 
 
-def page_links(pages: DataFrame, id_col: str, html_col: str, low: int = 4, high: int = 80) -> DataFrame:
-    """``id, href, label`` of links with a label of a plausible length."""
-    rows = pages.select(id_col, F.explode(links(F.col(html_col))).alias("l")).select(id_col, "l.href", "l.label")
-    return rows.where(F.length("label").between(low, high))
+def page_links(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """``id, href, label`` of links whose label looks like a race, each once a page."""
+    return pages.select(id_col, F.explode(race_links(F.col(html_col))).alias("l")).select(id_col, "l.href", "l.label")
 
 
 def newest_valid(runs: DataFrame, kind: str, run: str, payload: str) -> DataFrame:

@@ -7,8 +7,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.sets import manifest_hash  # noqa: F401  part of this module's surface
-
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -54,3 +52,24 @@ def write_in_order(first: tuple[DataFrame, str], second: tuple[DataFrame, str],
 def sanitized(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
     """Only the approved columns, in their order."""
     return df.select(*[c for c in allowed if c in df.columns])
+
+
+def write_or_restore(new: DataFrame, path: str, then: Callable[[], None]) -> None:
+    """Writes a table, then does what depends on it; if that fails, the table before comes back and the failure goes on."""
+    spark = new.sparkSession
+    fs, Path = _fs(spark, path)
+    before = f"{path}.before-{uuid.uuid4().hex}"
+    had = fs.exists(Path(path))
+    if had:
+        spark.read.parquet(path).write.parquet(before)
+    try:
+        write_validated(new, path, lambda t: True)
+        then()
+    except Exception:
+        if had:
+            write_validated(spark.read.parquet(before), path, lambda t: True)
+        else:
+            fs.delete(Path(path), True)
+        raise
+    finally:
+        fs.delete(Path(before), True)
