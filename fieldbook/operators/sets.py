@@ -58,6 +58,7 @@ def phrase_matches(texts: DataFrame, id_col: str, text_col: str, phrases: DataFr
     """
     words = lambda c: F.filter(F.split(c, _GAP), lambda w: w != "")
     rows = _tagged(texts, id_col, text_col)
+    split = rows.select("_id", "_tag", words(F.col("_text")).alias("_words"))  # a step of its own: its words are used many times
     inner = F.slice(F.split(F.col("_phrase"), _GAP), F.lit(2), F.greatest(F.size(F.split(F.col("_phrase"), _GAP)) - 2, F.lit(0)))
     p = phrases.select(F.col(phrase_id).alias("_p"), F.col(phrase_col).alias("_phrase")).where("_phrase <> ''").withColumn("_inner", inner)
     found = []
@@ -65,7 +66,7 @@ def phrase_matches(texts: DataFrame, id_col: str, text_col: str, phrases: DataFr
         part = p.where((F.size("_inner") >= low) & (F.size("_inner") <= high if high else F.lit(True)))
         spots = F.transform(F.sequence(F.lit(0), F.size("_inner") - width), _spot(F.col("_inner"), width))
         keyed = part.select("_p", "_phrase", F.array_max(spots)["h"].alias("_h"))
-        runs = rows.select("_id", "_tag", F.explode(F.array_distinct(_run_hashes(words(F.col("_text")), width))).alias("_h"))
+        runs = split.select("_id", "_tag", F.explode(F.array_distinct(_run_hashes(F.col("_words"), width))).alias("_h"))
         met = runs.join(keyed, "_h").select("_id", "_tag", "_p", "_phrase").distinct()
         other = rows.withColumnsRenamed({"_id": "_i", "_tag": "_t"})
         found.append(met.join(other, F.expr("_id <=> _i and _tag = _t")).where(F.contains("_text", F.col("_phrase"))).select("_id", "_tag", "_p"))
