@@ -193,9 +193,9 @@ def one_line(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH lineitem AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_quantity) AS l_quantity FROM main.lineitem GROUP BY ALL),
+WITH one_line AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL),
 f AS (SELECT CAST(o_orderkey AS VARCHAR) AS e, o_orderstatus AS v, o_orderkey FROM orders),
-c AS (SELECT CAST(l_orderkey AS VARCHAR) AS e, l_linenumber AS n, CASE WHEN l_linenumber % 4 = 3 THEN 'X' ELSE o_orderstatus END AS v, l_returnflag = 'N' AS auth, l_linenumber % 2 = 1 AS fresh, l_quantity > 10 AS matched FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+c AS (SELECT CAST(l_orderkey AS VARCHAR) AS e, l_linenumber AS n, CASE WHEN l_linenumber % 4 = 3 THEN 'X' ELSE o_orderstatus END AS v, l_returnflag = 'N' AS auth, l_linenumber % 2 = 1 AS fresh, l_quantity > 10 AS matched FROM one_line JOIN orders ON l_orderkey = o_orderkey),
 g AS (SELECT f.e, bool_or(auth AND fresh AND c.v <> f.v) FILTER (matched) AS contrary, bool_or(fresh AND c.v = f.v) FILTER (matched) AS now, bool_or(c.v = f.v) FILTER (matched) AS ever,
   string_agg(DISTINCT CASE WHEN matched AND c.v = f.v THEN CAST(n AS VARCHAR) END, ',' ORDER BY CASE WHEN matched AND c.v = f.v THEN CAST(n AS VARCHAR) END) AS sources FROM f LEFT JOIN c ON f.e = c.e GROUP BY f.e)
 SELECT f.o_orderkey, CASE WHEN v = 'P' THEN 'UNKNOWN' WHEN coalesce(contrary, false) THEN 'NOT_VERIFIED_THIS_RUN' WHEN coalesce(now, false) THEN 'VERIFIED_THIS_RUN' WHEN coalesce(ever, false) THEN 'VERIFIED_INHERITED' ELSE 'NOT_VERIFIED_THIS_RUN' END AS status, coalesce(sources, '') AS sources
@@ -322,9 +322,9 @@ def evidence_tests(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH lineitem AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, min(l_quantity) AS l_quantity, min(l_shipdate) AS l_shipdate FROM main.lineitem GROUP BY ALL),
+WITH one_line AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, min(l_quantity) AS l_quantity, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL),
 p AS (SELECT l_orderkey, l_linenumber AS n, l_orderkey || '-' || CASE WHEN l_linenumber % 5 = 0 THEN 'cp-1' ELSE 'lake' || (l_linenumber % 3) END AS id, CASE WHEN l_returnflag = 'R' THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS km,
-    CASE WHEN l_linestatus = 'O' THEN l_shipdate END AS cut, l_returnflag = 'A' AS bad_type FROM lineitem),
+    CASE WHEN l_linestatus = 'O' THEN l_shipdate END AS cut, l_returnflag = 'A' AS bad_type FROM one_line),
 w AS (SELECT *, last_value(km IGNORE NULLS) OVER a AS before, last_value(cut IGNORE NULLS) OVER a AS cut_before, row_number() OVER (PARTITION BY l_orderkey, id ORDER BY n) > 1 AS again FROM p WINDOW a AS (PARTITION BY l_orderkey ORDER BY n, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT l_orderkey, n AS l_linenumber, array_to_string(list_filter([CASE WHEN n % 5 = 0 THEN 'pointId_identity' END, CASE WHEN n % 5 <> 0 AND again THEN 'pointId_unique' END, CASE WHEN bad_type THEN 'type' END, CASE WHEN km < before THEN 'distance_decreases' END,
   CASE WHEN cut < cut_before THEN 'cutoff_backwards' END], lambda x: x IS NOT NULL), ',') AS issues FROM w
