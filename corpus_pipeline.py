@@ -2,6 +2,13 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read as the next
 stage's documents. All but the last return the columns of ``documents``.
+
+Defined results: null, empty and blank texts fail the base rule and go in the first stage; of repeated rows, near copies and rows
+that only share an id, one row of each class of texts stays (smallest id, null ids last), so no document goes because another has its
+id; a row with a null id is kept or dropped like any other and comes last out with a null id; very long texts are judged whole by
+every stage; the mixing stage leaves no document out and repeats those of small sources; equal ids drawn several times each get their
+own entry in the token files; an empty table, or one of which nothing is kept, gives no rows; further columns of ``documents`` pass
+through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of the Jaccard join."""
+    """Keeps one document of each class of the Jaccard join, that with the smallest id."""
     return jaccard_join.keep_one(docs)
 
 

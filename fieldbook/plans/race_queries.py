@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display, text
-from ..operators import cdc, gates, merge, monitor, normalize, publication, registry, sets, state
+from ..operators import cards, cdc, gates, merge, monitor, normalize, publication, rank, registry, sets, state
 from ..operators import evidence as ev
 from .queries import query, t
 
@@ -440,3 +440,80 @@ def fetch_budget(spark: SparkSession, d: str) -> DataFrame:
     mean = merge.average_confidence(o.withColumn("c", (F.col("o_orderkey") % 4).cast("double") / 4), ["o_custkey"], "c")
     mean = mean.select("o_custkey", F.floor(F.col("confidence") * 100 + 0.5).cast("bigint").alias("mean_hundredths"))
     return registry.fetch_budget(o, ["o_custkey"], ["o_orderkey"]).join(mean, "o_custkey")
+
+
+CARD_NAMES, CARD_STATES, CARD_PROVINCES = ["湖滨马拉松", "莫干山越野", "城市跑", "半程赛", "FUGA 挑战"], [None, "1", "lottery", "候补", "closed", "已结束", "即将开始", "open", "?"], ["浙江", "日本", None, "四川", "某地"]
+RECORD_SQL = f"""
+c AS (SELECT l_orderkey, list(CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity * 2 END) AS km, max(CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_quantity * 2 END) AS longest, bool_or(l_linenumber % 3 <> 0 AND l_quantity * 2 >= 40 AND l_quantity * 2 < 50) AS full_, count(*) FILTER (l_linenumber % 3 <> 0) AS n_km,
+  count(*) AS n, max(CASE WHEN l_linenumber = 2 THEN l_quantity * 40 ELSE 0 END) AS steep FROM lineitem GROUP BY l_orderkey),
+r AS (SELECT o_orderkey, {sql_pick('o_orderkey', CARD_NAMES)} AS name, {sql_pick('o_orderkey', CARD_STATES, 2)} AS st, {sql_pick('o_orderkey', CARD_PROVINCES, 3)} AS province, CASE WHEN o_orderkey % 9 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS date, CASE WHEN o_orderkey % 5 = 0 THEN 'u' END AS url,
+  date_diff('day', DATE '1996-06-30', CAST(o_orderdate AS DATE)) AS days, c.* FROM orders JOIN c ON o_orderkey = l_orderkey)"""
+
+
+def race_records(spark: SparkSession, d: str) -> DataFrame:
+    n, q, k = F.col("l_linenumber"), F.col("l_quantity").cast("double"), F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    item = F.struct(none.alias("category_name"), F.when(n % 3 != 0, q * 2).alias("distance_km"), F.when(n == 2, q * 40).alias("elevation_gain"), F.lit(None).cast("double").alias("registration_fee"), none.alias("cutoff_time"), none.alias("registration_url"))
+    cats = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("categories"))
+    name = pick(k, CARD_NAMES)
+    return t(spark, d, "orders").join(cats, k == F.col("l_orderkey")).select(
+        k.cast("string").alias("id"), name.alias("normalized_name"), F.array(name).alias("original_names"), F.lit(None).cast("int").alias("edition_year"), F.when(k % 9 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("race_date"), pick(k, CARD_PROVINCES, 3).alias("province"), none.alias("city"),
+        none.alias("district"), none.alias("venue"), pick(k, CARD_STATES, 2).alias("registration_status"), F.when(k % 5 == 0, "u").alias("registration_url"), none.alias("source_url"), none.alias("cover_image"), (k % 100).cast("double").alias("confidence"), "categories",
+    )
+
+
+@query(rf"""
+WITH {RECORD_SQL},
+y AS (SELECT *, CASE WHEN regexp_matches(name, '(?i)越野|跑山|山径|trail|贡嘎|FUGA') THEN CASE WHEN longest >= 50 THEN 'ultra_trail' ELSE 'trail' END WHEN full_ THEN 'marathon' WHEN n_km > 0 AND longest <= 22 THEN 'half_marathon' WHEN regexp_matches(name, '半程|半马') THEN 'half_marathon'
+  WHEN contains(name, '马拉松') THEN 'marathon' ELSE 'other' END AS type, CASE WHEN date IS NOT NULL AND days = 0 THEN 'racing' WHEN url IS NOT NULL THEN 'registration_open' WHEN regexp_matches(st, 'lottery|抽签|摇号') THEN 'lottery' WHEN regexp_matches(st, 'waiting|候补|等候') THEN 'registration_open'
+  WHEN regexp_matches(st, 'closed|截止|关闭') THEN 'closed' WHEN regexp_matches(st, 'finished|结束|cancel|取消') THEN 'finished' WHEN date IS NOT NULL AND days < 0 THEN 'finished' WHEN st IS NULL OR st = '1' THEN 'unknown' WHEN regexp_matches(st, 'open|报名|点此') THEN 'registration_open'
+  WHEN regexp_matches(st, 'upcoming|即将') THEN 'upcoming' ELSE 'unknown' END AS status FROM r)
+SELECT o_orderkey, type, status, CASE WHEN province IS NULL THEN 'unknown' ELSE CASE province WHEN '浙江' THEN 'east_china' WHEN '四川' THEN 'southwest_china' WHEN '日本' THEN 'overseas' ELSE 'unknown' END END AS region,
+  CASE WHEN type = 'half_marathon' THEN 'beginner' WHEN type = 'marathon' THEN 'intermediate' WHEN type IN ('trail', 'ultra_trail') THEN CASE WHEN longest >= 100 THEN 'high_challenge' WHEN longest >= 50 THEN 'challenge' ELSE 'intermediate' END ELSE 'unknown' END AS difficulty,
+  CASE WHEN date IS NULL THEN '具体日期待更新' WHEN days > 0 THEN '距离开赛 ' || days || ' 天' WHEN days = 0 THEN '今日开赛' ELSE '已结束' END AS countdown,
+  status NOT IN ('closed', 'finished') AND CASE WHEN date IS NOT NULL THEN days >= 0 ELSE status IN ('registration_open', 'upcoming', 'lottery') END AS valuable FROM y
+""")
+def race_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Card columns of merged records, and whether a card is worth a recommendation."""
+    c = cards.cards(race_records(spark, d), "1996-06-30")
+    good = cards.valuable(c).select("id", F.lit(True).alias("valuable"))
+    out = c.join(good, "id", "left")
+    return out.select(F.col("id").cast("bigint").alias("o_orderkey"), "type", F.col("registration_status").alias("status"), "region", "difficulty", F.col("countdown_text").alias("countdown"), F.coalesce("valuable", F.lit(False)).alias("valuable"))
+
+
+@query(rf"""
+WITH {RECORD_SQL},
+y AS (SELECT *, CASE WHEN regexp_matches(name, '(?i)越野|跑山|山径|穿越|trail|贡嘎|崇礼|柴古|莫干|武功山|168') OR steep >= 500 THEN CASE WHEN longest >= 50 THEN 'ultra_trail' ELSE 'trail' END WHEN regexp_matches(name, '半程|半马') THEN 'half_marathon' WHEN contains(name, '马拉松') OR full_ THEN 'marathon' ELSE 'other' END AS type,
+  CASE WHEN date IS NOT NULL AND days = 0 THEN 'racing' WHEN date IS NOT NULL AND days < 0 THEN 'finished' WHEN url IS NOT NULL THEN 'registration_open' WHEN regexp_matches(st, 'lottery|抽签|摇号') THEN 'lottery' WHEN regexp_matches(st, 'closed|截止|关闭') THEN 'closed' WHEN regexp_matches(st, 'finished|结束') THEN 'finished'
+    WHEN regexp_matches(st, 'upcoming|即将') THEN 'upcoming' WHEN regexp_matches(st, 'open|报名') THEN 'registration_open' ELSE 'unknown' END AS status FROM r)
+SELECT o_orderkey, type, status, n_km AS n_categories, CASE WHEN longest >= 40 THEN '全马' WHEN longest >= 20 THEN '半马' WHEN longest > 0 THEN '短距' END AS road, CASE WHEN date IS NOT NULL AND days > 0 THEN '距离比赛 ' || days || ' 天' WHEN date IS NOT NULL AND days = 0 THEN '今日比赛' END AS countdown,
+  '如何报名' || name || '？' AS question, status = 'registration_open' AND url IS NOT NULL AS open FROM y
+""")
+def decision_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Decision pages of merged records: type, status, categories shown, the verdict of the longest one on the road, questions."""
+    p = cards.decision_pages(race_records(spark, d), "1996-06-30")
+    longest = F.array_max(F.transform("categories", lambda c: c["distance_km"]))
+    road = cards.category_advice(F.lit("marathon"), F.struct(longest.alias("distance_km"), F.lit(None).cast("double").alias("elevation_gain"), F.lit(None).cast("string").alias("cutoff_time")))["verdict"]
+    return p.select(
+        F.col("id").cast("bigint").alias("o_orderkey"), "type", F.col("registration_status").alias("status"), F.size("categories").cast("bigint").alias("n_categories"), F.left(road, F.lit(2)).alias("road"), F.col("countdown_text").alias("countdown"), F.col("faq")[0]["question"].alias("question"),
+        (F.col("faq")[0]["answer"] == cards.ANSWERS["open"]).alias("open"),
+    )
+
+
+PROFILE = {"targetRaceType": "trail", "targetDistance": 30, "longestCompletedRace": "half_marathon", "runnerExperience": "intermediate", "regionPreference": "east_china", "travelScope": "nationwide", "isFirstTrail": True, "hasPersonalBest": True}
+RACE_TYPES, REGIONS = ["trail", "ultra_trail", "marathon", "utmb"], ["east_china", "south_china", "asia"]
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, {sql_pick('p_partkey', RACE_TYPES)} AS type, {sql_pick('p_partkey', REGIONS, 4)} AS region, p_size AS km, 1 + p_partkey % 10 AS level, p_partkey % 2 = 0 AS easy, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS tags FROM part),
+s AS (SELECT p_partkey, CASE type WHEN 'trail' THEN 0 WHEN 'ultra_trail' THEN 1 ELSE 2 END AS pr, CASE type WHEN 'trail' THEN 25 WHEN 'ultra_trail' THEN 16 ELSE 8 END + CASE WHEN abs(km - 30) <= 1 THEN 20 WHEN abs(km - 30) <= 10 THEN 14 WHEN abs(km - 30) <= 25 THEN 8 ELSE 0 END
+  + CASE WHEN level BETWEEN 3 AND 5 THEN 30 ELSE 18 END + CASE WHEN region = 'east_china' THEN 15 ELSE 8 END + least(10, least(8, 2 * tags) + CASE WHEN easy THEN 2 ELSE 0 END + 2) AS score FROM p WHERE type <> 'marathon' AND region <> 'asia' AND level <= 6 AND (level BETWEEN 3 AND 5 OR level <= 6))
+SELECT p_partkey, CAST(pr AS INTEGER) AS type_priority, CAST(score AS INTEGER) AS score FROM s ORDER BY pr, score DESC, p_partkey LIMIT 20
+""")
+def recommended_categories(spark: SparkSession, d: str) -> DataFrame:
+    """The best race categories for a runner profile; the limit is the feature (a top-k report)."""
+    k = F.col("p_partkey")
+    tags = F.when(k % 3 == 0, F.array(F.lit("TRAIL"), F.lit("MOUNTAIN_ROUTE"), F.lit("x"))).otherwise(F.array(F.lit("BEGINNER"), F.lit("y")))
+    item = F.struct(F.col("p_size").cast("double").alias("distanceKm"), F.concat(F.lit("L"), (k % 10 + 1).cast("string")).alias("difficultyLevel"), (k % 2 == 0).alias("beginnerFriendly"))
+    races = t(spark, d, "part").select("p_partkey", pick(k, RACE_TYPES).alias("type"), pick(k, REGIONS, 4).alias("region"), tags.alias("tags"), F.array(item).alias("categories"), k.alias("ord"))
+    return rank.recommend_categories(races, PROFILE, 20).select("p_partkey", "type_priority", "score")
