@@ -21,7 +21,7 @@ several blocks each is searched on its own, its matches are written and its broa
 its own row: nothing is shuffled and no text is cut.
 
 Defined results: null, empty and blank texts and items match nothing; repeated document rows each give their rows, also with equal
-or null ids; equal items all match; items with a null id are left out (nothing could name them); an item with fewer than
+or null ids; of equally good stretches the leftmost counts; equal items all match; items with a null id are left out (nothing could name them); an item with fewer than
 ``min_words`` words (a parameter, 5 by default, as for all operators on word runs here) is not searched, as it names no text; very
 long texts and items are compared whole; an empty table on either side gives no matches and keeps all documents; other columns are
 kept by the filter, whatever their names.

@@ -1,12 +1,16 @@
 """The pipeline against brute-force stages on a small fixture."""
 
+import random
+import re
+
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fieldbook.llm import decontaminate, mixing, quality_rules, queries, token_binary
+from fieldbook.llm import decontaminate, jaccard_join, language_id, lm_score, mixing, quality_rules, queries, substring_dedup, token_binary, url_filters, warc
+from fieldbook.llm.shared import materialize
 
 from .test_duplicates import brute_join
 
@@ -44,6 +48,40 @@ def test_stages_and_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
-@pytest.mark.parametrize("part", [mixing, token_binary])
-def test_modules_are_documented(part):
-    assert "Defined results" in part.__doc__
+MODULES = [lm_score, language_id, warc, url_filters, decontaminate, jaccard_join, mixing, quality_rules, substring_dedup, token_binary, corpus_pipeline]
+
+
+@pytest.mark.parametrize("part", MODULES, ids=lambda m: m.__name__)
+@pytest.mark.parametrize("case", ["null", "empty", "long", "repeat|equal", "empty table", "name"])
+def test_cases_are_stated(part, case):
+    assert re.search(case, part.__doc__[part.__doc__.index("Defined results") :].replace("\n", " "))
+
+
+def in_turn(spark, docs, upto=4):
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:upto]):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        docs = materialize(out, f"stage{k}")
+    return docs
+
+
+def test_odd_rows_through_the_stages(spark, odd_rows, docs_of):
+    """Nulls, repeated rows and ids, near copies, very long texts and clashing columns, behind texts that all pass the base rule."""
+    rng = random.Random(1)
+    good = [r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").orderBy("doc_id").limit(40).collect()]
+    rows = [*odd_rows, *((100 + i, t, "en", f"s{i % 3}") for i, t in enumerate(good)), (100, good[0], "en", "s0"), (100, good[1], "en", None), (None, good[2], "en", "s1"), (None, good[3] + " tail", None, None), (900, " ".join(rng.sample(good, 30)), "en", "s9")]
+    docs = docs_of(rows)
+    kept = in_turn(spark, docs, 2).collect()
+    quality = {(r["doc_id"], r["text"]) for r in corpus_pipeline.quality(spark, docs, SF).collect()}
+    assert {(r["doc_id"], r["text"]) for r in kept} <= quality
+    texts = [r["text"] for r in kept]
+    assert len(texts) == len(set(texts)) and {t for _, t in quality if t in good} <= set(texts)
+    mixed = in_turn(spark, docs)
+    assert {(r["doc_id"], r["text"]) for r in mixed.collect()} <= {(r["doc_id"], r["text"]) for r in kept}
+    tokens = corpus_pipeline.token_ids(spark, mixed, SF)
+    assert tokens.count() == mixed.count()
+
+
+def test_empty_table_through_the_stages(spark, empty):
+    docs = in_turn(spark, empty)
+    assert docs.count() == 0 and corpus_pipeline.token_ids(spark, docs, SF).count() == 0
