@@ -134,3 +134,48 @@ def abnormal_transition(old: Column, new: Column) -> Column:
     back = (old == "registration_closed") & new.isin("registration_open", "lottery", "waiting_list")
     ended = old.isin("race_finished", "cancelled") & (new != old)
     return F.coalesce(back | ended, F.lit(False))
+
+
+CHANGE_COLUMNS = ("change_id", "event_id", "edition_id", "category_id", "entity_type", "field")
+EVIDENCE_COLUMNS = ("source_id", "source_url", "evidence_text", "evidence_locator", "confidence", "fetched_at", "content_hash", "extraction_method")
+
+
+def pending_rows(changes: DataFrame, created_at: str) -> DataFrame:
+    """Changes as pending rows: the first evidence beside the row, no candidate value where sources conflict. A change without evidence fails.
+
+    changes: ``CHANGE_COLUMNS, old_value, new_value, conflict, risk, reason, evidence`` (array of structs of ``EVIDENCE_COLUMNS``).
+    """
+    first = F.get("evidence", F.lit(0))
+    ok = F.assert_true(F.coalesce(F.size("evidence") > 0, F.lit(False)), F.concat(F.lit("pending change without evidence: "), F.col("change_id")))
+    rows = changes.where(ok.isNull())
+    none = F.lit(None).cast("string")
+    return rows.select(
+        *CHANGE_COLUMNS, F.col("old_value").alias("current_value"), F.when(~F.col("conflict"), F.col("new_value")).alias("candidate_value"), *[first[c].alias(c) for c in EVIDENCE_COLUMNS], "evidence", "conflict", "risk", "reason",
+        F.lit("pending").alias("status"), F.lit(created_at).alias("created_at"), none.alias("reviewed_at"), none.alias("review_reason"), none.alias("applied_at"),
+    )
+
+
+def change_rows(pending: DataFrame) -> DataFrame:
+    """Pending rows as changes again, with the sources of all their evidence. A row without a selected value fails."""
+    ok = F.assert_true(F.col("candidate_value").isNotNull(), F.concat(F.lit("pending change without a value: "), F.col("change_id")))
+    each = lambda c: F.transform("evidence", lambda e: e[c])
+    return pending.where(ok.isNull()).select(
+        *CHANGE_COLUMNS, F.col("current_value").alias("old_value"), F.col("candidate_value").alias("new_value"), each("source_id").alias("source_ids"), each("source_url").alias("source_urls"), F.col("created_at").alias("detected_at"), "risk",
+        F.lit("pending_review").alias("action"), "reason", "evidence", F.coalesce("conflict", F.lit(False)).alias("conflict"),
+    )
+
+
+def same_fact(pending: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``incoming_id, change_id`` of the stored change that says the same: equal id, else equal target and values.
+
+    Of several equal ones a reviewed row with the same evidence stands before a pending one; a conflict is the same only by its
+    target. Rows: ``change_id, status`` (stored), target columns, ``old_value, new_value, conflict, evidence_hash``.
+    """
+    fact = [*TARGET, F.coalesce("old_value", F.lit("\u0000")).alias("_o"), F.coalesce("new_value", F.lit("\u0000")).alias("_n")]
+    key = lambda df, keep: df.select(*keep, *fact[: len(TARGET)], F.when(F.col("conflict"), "").otherwise(F.xxhash64(*fact[len(TARGET) :]).cast("string")).alias("_v"), "conflict", "evidence_hash")
+    a = key(incoming, [F.col("change_id").alias("incoming_id")])
+    b = key(pending, ["change_id", "status"]).withColumnRenamed("evidence_hash", "_e")
+    by_id = incoming.select(F.col("change_id").alias("incoming_id")).join(pending.select("change_id"), F.col("incoming_id") == F.col("change_id"))
+    met = a.join(b, [*TARGET, "_v", "conflict"]).where((F.col("status") == "pending") | (F.col("_e") == F.col("evidence_hash")))
+    best = met.groupBy("incoming_id").agg(F.min_by("change_id", F.struct((F.col("status") == "pending").alias("p"), "change_id")).alias("change_id"))
+    return by_id.unionByName(best.join(by_id.select("incoming_id"), "incoming_id", "left_anti"))

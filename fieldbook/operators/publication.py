@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import strict_date
-from ..functions.display import date_range_text, location_text, number_text
+from ..functions.display import date_range_text, grouped_number, location_text, number_text, start_text
 from ..functions.text import js_trim
 from .catalog import publishable
 from .gates import course_point_issues
@@ -218,3 +218,17 @@ def json_ld(details: DataFrame) -> DataFrame:
         place.alias("location"), F.col("cover_image").alias("image"), F.col("registration_url").alias("url"), F.when(distances != "", distances).alias("description"),
     )
     return details.select("edition_id", F.to_json(event).alias("json_ld"))
+
+
+def fact_rows(c: Column) -> Column:
+    """Key, label and value of the facts of a public category, in order; a place that is start and finish is shown once."""
+    row = lambda key, label, value: F.when(value.isNotNull() & (value != ""), F.struct(F.lit(key).alias("key"), F.lit(label).alias("label"), value.alias("value")))
+    amount = lambda x, unit: F.concat(grouped_number(x), F.lit(unit))
+    start, finish = c["start_location"], c["finish_location"]
+    both = F.coalesce((start != "") & (start == finish), F.lit(False))
+    return F.array_compact(
+        F.array(
+            row("distance", "距离", amount(c["distance_km"], " km")), row("elevationGain", "爬升", amount(c["elevation_gain"], " m")), row("elevationLoss", "下降", amount(c["elevation_loss"], " m")), row("cutoff", "关门时间", amount(c["cutoff_time_hours"], " h")),
+            row("startAt", "出发时间", start_text(c["start_at"])), F.when(both, row("startFinish", "起终点", start)), F.when(~both, row("start", "起点", start)), F.when(~both, row("finish", "终点", finish)),
+        )
+    )
