@@ -270,7 +270,8 @@ def candidate_edges(classes: DataFrame, recall: float = RECALL) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         paths = materialize(_split(rows, roots if depth == 1 else 0), "paths")
         sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        met = paths.join(sizes, "path").join(classes.select("key", "sketch"), "key")
+        # samples grow with the corpus, so they are shuffled at every size and never broadcast
+        met = paths.join(sizes, "path").join(classes.select("key", "sketch").hint("merge"), "key")
         met = materialize(met.select("path", "key", "sketch", "n", "was"), "met")
         big = (F.col("n") > LIMIT) & ((F.col("was") == 0) | (F.col("n") < THINNED * F.col("was")))
         done = met.where(~big) if depth < DEPTH else met
