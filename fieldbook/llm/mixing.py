@@ -84,10 +84,15 @@ def shares_of(sources: DataFrame) -> Shares:
     live = sources.where("n > 0")
     r = live.agg(F.count("*").alias("live"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total")).first()
 
+    known: dict[float, tuple[float, float]] = {}
+
     def sums(alphas: list[float]) -> list[tuple[float, float]]:
         power = lambda a: F.exp(F.lit(a) * F.log("n"))
-        got = live.agg(*(F.sum(x) for a in alphas for x in (power(a), power(a) * F.log("n")))).first()
-        return list(zip(got[::2], got[1::2]))
+        new = [a for a in alphas if a not in known]
+        if new:
+            got = live.agg(*(F.sum(x) for a in new for x in (power(a), power(a) * F.log("n")))).first()
+            known.update(zip(new, zip(got[::2], got[1::2])))
+        return [known[a] for a in alphas]
 
     return Shares(r["live"], r["least"] or 0, r["most"] or 0, r["total"] or 0, sums)
 
