@@ -34,6 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lm_score import pack, unpack
 from .shared import shuffle_partitions
 from .tokens import grams, hash_words, mix64, slices, split_words, starts_of
 
@@ -66,23 +67,30 @@ def super_kmers(h: np.ndarray, counts: np.ndarray, k: int = K, m: int = M) -> tu
 
 
 def _pack(minimisers: np.ndarray, docs: np.ndarray, tags: np.ndarray, places: np.ndarray, strings: list[bytes]) -> bytes:
-    """One blob: 32 bits of each minimiser (they only group; a chance meeting costs a comparison), ids and tags, places, strings."""
-    pack = zstandard.ZstdCompressor(6).compress
-    columns = ((minimisers >> np.uint64(32), "<u4"), (docs, "<i8"), (tags, "<i8"), (places, "<u4"))
-    meta, text = pack(b"".join(c.astype(t).tobytes() for c, t in columns)), b"\n".join(strings)
-    return struct.pack("<III", len(strings), len(meta), len(text)) + meta + pack(text)
+    """One blob of super-k-mers in ascending order of their minimisers: 32 bits of each (they only group; a chance meeting costs a
+    comparison), the row of each in a table of ids and tags, its place, the strings."""
+    order = np.lexsort((tags, docs))
+    d, t = docs[order], tags[order]
+    new = np.concatenate([[True], (np.diff(d) != 0) | (np.diff(t) != 0)])
+    row = np.empty(len(order), np.int64)
+    row[order] = np.cumsum(new) - 1
+    small = np.uint16 if new.sum() <= 1 << 16 else np.uint32
+    low = (minimisers >> np.uint64(32)).astype(np.uint32)
+    meta = pack(np.diff(low, prepend=np.uint32(0)), row.astype(small), places.astype(np.uint32), np.diff(d[new], prepend=np.int64(0)), t[new])
+    text = b"\n".join(strings)
+    return struct.pack("<II", len(meta), len(text)) + meta + zstandard.ZstdCompressor(6).compress(text)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """The packed strings stay compressed: most blobs hold nothing that is shared."""
-    n, a, _ = struct.unpack_from("<III", blob)
-    meta = zstandard.ZstdDecompressor().decompress(blob[12 : 12 + a])
-    return *(np.frombuffer(meta, t, n, at * n) for t, at in (("<u4", 0), ("<i8", 4), ("<i8", 12), ("<u4", 20))), blob[12 + a :]
+    """``(minimisers, ids, tags, places, strings)``; the strings stay compressed: most blobs hold nothing that is shared."""
+    size, _ = struct.unpack_from("<II", blob)
+    low, row, places, docs, tags = unpack(blob[8 : 8 + size])
+    return np.cumsum(low, dtype=np.uint32), np.cumsum(docs)[row], tags[row], places, blob[8 + size :]
 
 
 def text_bytes(blob: bytes) -> int:
     """Length of a blob's strings, unpacked."""
-    return struct.unpack_from("<III", blob)[2]
+    return struct.unpack_from("<II", blob)[1]
 
 
 def spaced_words(flat: pa.Array) -> tuple[bytes, np.ndarray]:
