@@ -130,7 +130,8 @@ def learning_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     found = None
     while share:  # once, unless many rows of a language repeat
         upto = docs.sparkSession.createDataFrame(list(share.items()), "lang string, upto double")
-        picked = known.withColumn("rank", _rank()).join(upto, "lang").where("rank < upto").select("lang", "rank", "id", "tag", "text")
+        # a row for each language, which the driver holds anyway: no text is shuffled
+        picked = known.withColumn("rank", _rank()).join(F.broadcast(upto), "lang").where("rank < upto").select("lang", "rank", "id", "tag", "text")
         rows = picked.mapInArrow(pack, "lang string, rank double, id string, tag bigint, bits binary")
         rows = materialize(rows.groupBy("lang", "rank", "id", "tag").agg(F.first("bits").alias("bits")), "learning")
         found = rows if found is None else found.join(upto, "lang", "left_anti").unionByName(rows)
