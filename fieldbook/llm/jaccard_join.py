@@ -374,7 +374,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     rows = placed.groupBy("id", "tag").agg(F.count("*").alias("n"), F.first(F.expr("first.id <=> id and first.tag = tag")).alias("stays"))
     rows = materialize(rows.where("not stays or n > 1").select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "stays"), "decided")
     same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__tag"))
-    out = docs.join(rows, same, "left_anti")
+    out = docs.join(rows.hint("merge"), same, "left_anti")  # grows with the corpus: shuffled at every size, never broadcast
     if not rows.where("stays").isEmpty():  # the row that stays is there several times
         packed = docs.join(rows.where("stays"), same, "left_semi").select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_tag"))
         w = Window.partitionBy("_id", "_tag").orderBy("_tag")  # a group limit leaves one row of each task before the shuffle
