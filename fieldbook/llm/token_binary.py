@@ -39,8 +39,8 @@ HEAD = struct.Struct("<8sQQQI")  # magic, bytes of the segment, documents, ids,
 LEVEL = struct.Struct("<QQQQ")  # chunks of the level; where its chunks, bitmap and directory begin
 BLOCK_BITS = 512
 END_ID = 0
-CACHE_ENTRIES = 800_000
-SEGMENTS_PER_FILE = 32  # about 100 MB of text: a file is read back as one value
+CACHE_ENTRIES = 400_000
+SEGMENTS_PER_FILE = 4  # about 12 MB of text: a file is read back as one value
 
 SEGMENT_SCHEMA = "path string, offset bigint, n_bytes bigint, first_in_file bigint, n_tokens bigint, n_docs bigint"
 
