@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, lm_score, mixing, quality_rules, substring_dedup, token_binary, url_filters, warc
+from . import decontaminate, hard_negatives, jaccard_join, language_id, lm_score, main_text, mixing, prefix_trie, quality_rules, substring_dedup, token_binary, url_filters, warc
 from .shared import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,6 +65,18 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.read_tokens(spark, token_binary.write_tokens(docs, public_tokenizers.path(TOKENIZER)))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_language_id": op2_language_id,
@@ -76,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_binary": op10_token_binary,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_main_text": op13_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -96,5 +111,35 @@ c AS (SELECT doc_id, i, word, max(CAST(again AS INTEGER)) OVER (PARTITION BY doc
 s AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
 FROM d LEFT JOIN s USING (doc_id)
+""",
+    "op11_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS k
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 5
+""",
+    "op12_prefix_trie": """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM c),
+i AS (SELECT DISTINCT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h FROM c),
+r AS (SELECT i.conv_id, o.i, o.role, o.text FROM i JOIN o ON o.conv_id = i.conv_id - i.conv_id % 100 AND o.i <= h
+  UNION ALL SELECT i.conv_id, o.i, o.role, o.text FROM i JOIN o ON o.conv_id = i.conv_id AND o.i > h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d, length(text) AS size, sha256(length(role) || ':' || role || text) AS t FROM r),
+w AS (SELECT conv_id, d, size, string_agg(t, ',') OVER (PARTITION BY conv_id ORDER BY d) AS k FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM i),
+p AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS up, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM w),
+n AS (SELECT k, d, up, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS e FROM p GROUP BY k, d, up),
+m AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.up = n.k) AS kids FROM n),
+a AS (SELECT p.k, sum(CASE WHEN m.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((m.n - 1) * m.size) AS saved FROM m JOIN p ON p.conv_id = m.conv_id AND p.d <= m.d GROUP BY p.k)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, m.n AS n_convs, m.kids AS n_children, CAST(a.leaves AS BIGINT) AS n_leaves,
+  CAST(a.saved AS BIGINT) AS saved_tokens, sha256(m.e) AS ends_sha256
+FROM m JOIN a USING (k) LEFT JOIN m u ON u.k = m.up
 """,
 }

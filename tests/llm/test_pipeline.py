@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fieldbook.llm import decontaminate, jaccard_join, language_id, lm_score, mixing, quality_rules, queries, substring_dedup, token_binary, url_filters, warc
+from fieldbook.llm import decontaminate, hard_negatives, jaccard_join, language_id, lm_score, main_text, mixing, prefix_trie, quality_rules, queries, substring_dedup, token_binary, url_filters, warc
 from fieldbook.llm.shared import materialize
 
 from .test_duplicates import brute_join
@@ -48,7 +48,7 @@ def test_stages_and_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
-MODULES = [lm_score, language_id, warc, url_filters, decontaminate, jaccard_join, mixing, quality_rules, substring_dedup, token_binary, corpus_pipeline]
+MODULES = [lm_score, language_id, warc, url_filters, decontaminate, jaccard_join, mixing, quality_rules, substring_dedup, token_binary, hard_negatives, prefix_trie, main_text, corpus_pipeline]
 
 
 @pytest.mark.parametrize("part", MODULES, ids=lambda m: m.__name__)
