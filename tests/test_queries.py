@@ -4,7 +4,7 @@ import oracle
 import pytest
 
 from fieldbook.plans import queries as q
-from fieldbook.plans import race_queries  # noqa: F401  adds its queries
+from fieldbook.plans import daily_queries, race_queries  # noqa: F401  add their queries
 
 SF = "/root/testdata/sf0.001"
 
