@@ -115,18 +115,22 @@ def write_archive(pages: DataFrame, path: str) -> None:
         )
 
 
-def inflate(data: bytes, step: int = 1 << 22) -> Iterator[bytes]:
-    """The bytes of all gzip members of a file, at most ``step`` at a time."""
-    while data:
+def inflate(data: bytes, step: int = 1 << 22, piece: int = 1 << 15) -> Iterator[bytes]:
+    """The bytes of all gzip members of a file, at most ``step`` at a time.
+
+    A member is fed pieces of the file and the next one begins where it stopped reading, so no rest of the file is ever copied.
+    """
+    view, at = memoryview(data), 0
+    while at < len(view):
         member = zlib.decompressobj(31)
         while not member.eof:
-            out = member.decompress(data, step)
-            data = member.unconsumed_tail
+            fed = view[at : at + piece]
+            out = member.decompress(fed, step)
+            at += len(fed) - len(member.unconsumed_tail) - len(member.unused_data)
             if out:
                 yield out
-            elif not data and not member.eof:
+            elif not fed:
                 raise ValueError("the archive ends within a gzip member")
-        data = member.unused_data
 
 
 def parse_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -3,6 +3,7 @@ import hashlib
 import io
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -322,3 +323,22 @@ def test_warc_query_digests(spark):
     got = queries.op3_warc(spark, sf)
     want = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.sha2("html", 256).alias("d"), F.octet_length("html").cast("long").alias("n"))
     assert got.join(want, "page_id").where("payload_digest = d and payload_bytes = n").count() == want.count()
+
+
+def test_archives_of_many_members_are_read_in_linear_time():
+    """One member for each record of 4 KB: twice the archive takes about twice the time, and 100 MB a few seconds."""
+    rng = random.Random(2)
+    members = [gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 4000\r\n\r\n" + rng.randbytes(4000) + b"\r\n\r\n", 1) for _ in range(50)]
+    seconds = []
+    for n in (12_500, 25_000):
+        data = b"".join(members * (n // 50))
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.parse_records(warc.inflate(data))) == n
+        seconds.append(time.perf_counter() - began)
+    assert len(data) > 100_000_000 and seconds[1] < 10 and seconds[1] < 3.5 * seconds[0]
+
+
+def test_cut_archive_is_an_error():
+    data = gzip.compress(b"WARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
+    with pytest.raises(ValueError, match="gzip member"):
+        list(warc.inflate(data + data[:15]))
