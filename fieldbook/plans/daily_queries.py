@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts
+from ..operators import alerts, extractors
 from .queries import query, t
 
 AS_OF = "1997-06-17T12:00:00Z"
@@ -129,3 +129,26 @@ def edition_alerts(spark: SparkSession, sf: str) -> DataFrame:
     found = alerts.edition_alerts(records, alerts.fact_evidence(records, facts, registry, reports, candidates), alerts.edition_sources(registry, reports), AS_OF)
     lists = {c: F.array_join(c, "|") for c in ("affected_fields", "available_evidence", "source_ids")}
     return found.withColumns(lists).select("edition_id", "reason_code", "severity", *lists, "trigger_reason", "alert_id")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, 'u' || page_id AS url, 'G' || (page_id % 5) AS name, page_id % 11 = 0 AS other, page_id % 4 = 0 AS no_distance, page_id % 13 = 0 AS no_track, length(html) AS gain,
+    nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '') AS host, nullif(regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1), '') AS folder FROM pages),
+e AS (SELECT *, CASE WHEN other THEN 'ValueError: identity' WHEN no_distance THEN 'ValueError: facts' WHEN no_track THEN 'ValueError: track_link' END AS error FROM p)
+SELECT url, 'elevationGain' AS field, CAST(gain AS VARCHAR) AS "candidateValue", name || ' data.elevationGain: ' || gain AS "evidenceText", error FROM e WHERE error IS NULL
+UNION ALL SELECT url, 'startLocation', '"' || host || '"', name || ' data.startPoint: ' || host, error FROM e WHERE error IS NULL AND host IS NOT NULL
+UNION ALL SELECT url, 'finishLocation', '"' || folder || '"', name || ' data.endPoint: ' || folder, error FROM e WHERE error IS NULL AND folder IS NOT NULL
+UNION ALL SELECT url, NULL, NULL, NULL, error FROM e WHERE error IS NOT NULL
+""")
+def extracted_facts(spark: SparkSession, sf: str) -> DataFrame:
+    k, name = F.col("page_id"), F.concat(F.lit("G"), (F.col("page_id") % 5).cast("string"))
+    part = lambda pattern: F.regexp_extract("url", pattern, 1)
+    data = F.struct(
+        F.when(k % 11 == 0, k + 1).otherwise(k).alias("id"), name.alias("name"), F.when(k % 4 == 0, 0).otherwise(42).alias("distance"), F.length("html").alias("elevationGain"), part(r"^[a-z]+://([^/?#]+)").alias("startPoint"),
+        part(r"^[a-z]+://[^/]+/([a-z]+)/").alias("endPoint"), F.array(F.struct(F.when(k % 13 == 0, "https://x.test/page").otherwise("https://x.test/t.gpx").alias("linkUrl"))).alias("buttons"),
+    )
+    docs = t(spark, sf, "pages").select(
+        F.concat(F.lit("s"), (k % 7).cast("string")).alias("source_id"), F.concat(F.lit("u"), k.cast("string")).alias("url"), F.sha2("html", 256).alias("content_hash"), F.to_json(F.struct(F.lit(0).alias("code"), data.alias("data"))).alias("body"),
+        F.lit("ev").alias("event_id"), F.lit("ev-2026").alias("edition_id"), F.concat(F.lit("ev-2026-"), name).alias("category_id"), k.alias("group_id"), name.alias("group_name"),
+    )
+    return extractors.extracted_facts(docs, extractors.CategoryJson, salts=4).select("url", "field", "candidateValue", "evidenceText", "error")
