@@ -39,7 +39,7 @@ HEAD = struct.Struct("<8sQQQI")  # magic, bytes of the segment, documents, ids,
 LEVEL = struct.Struct("<QQQQ")  # chunks of the level; where its chunks, bitmap and directory begin
 BLOCK_BITS = 512
 END_ID = 0
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 SEGMENTS_PER_FILE = 4  # about 12 MB of text: a file is read back as one value
 
 SEGMENT_SCHEMA = "path string, offset bigint, n_bytes bigint, first_in_file bigint, n_tokens bigint, n_docs bigint"
@@ -164,7 +164,11 @@ def _encode(path: str, texts: list[str]) -> list[np.ndarray]:
 
 
 class PieceCache:
-    """Ids of pieces seen by this worker process, in one pool; emptied when ``CACHE_ENTRIES`` is passed."""
+    """Ids of pieces seen by this worker process, in one pool.
+
+    When ``CACHE_ENTRIES`` would be passed, the pieces that were looked up more than once stay, at most half of them all: most pieces
+    of a corpus are met once and take no room for long, the common ones are encoded once.
+    """
 
     def __init__(self, path: str):
         self.path = path
@@ -178,6 +182,29 @@ class PieceCache:
         self.slot: dict[str, int] = {}
         self.sizes, self.pools = [], []
         self.flat = None
+        self.hits = np.zeros(CACHE_ENTRIES, np.int32)
+
+    def shrink(self) -> None:
+        """Keeps the pieces in use, the most used ones first."""
+        n = len(self.slot)
+        if not n:
+            return
+        self._flatten()
+        hits = self.hits[:n]
+        keep = hits > 1
+        if keep.sum() > CACHE_ENTRIES // 2:
+            keep = hits > np.partition(hits, n - CACHE_ENTRIES // 2)[n - CACHE_ENTRIES // 2]
+        names = [x for x, k in zip(self.slot, keep) if k]
+        sizes = self.sizes[0][keep]
+        self.pools, self.sizes, self.flat = [self.pools[0][np.repeat(keep, self.sizes[0])]], [sizes], None
+        self.slot = dict(zip(names, range(len(names))))
+        self.hits[: len(names)] = hits[keep] // 2
+        self.hits[len(names) :] = 0
+
+    def _flatten(self) -> None:
+        if self.flat is None:
+            self.sizes, self.pools = [np.concatenate(self.sizes)], [np.concatenate(self.pools)]
+            self.flat = np.concatenate([[0], np.cumsum(self.sizes[0])])
 
     def add(self, pieces: list[str]) -> None:
         """Encodes pieces that all start with a space: a run of them is a text whose ids fall apart by byte lengths."""
@@ -199,14 +226,18 @@ class PieceCache:
         """``(pool of ids, start, size)`` of the pieces."""
         missing = [x for x in pieces if x not in self.slot]
         if len(self.slot) + len(missing) > CACHE_ENTRIES:
-            self.clear()
-            missing = pieces
+            self.shrink()
+            missing = [x for x in pieces if x not in self.slot]
+            if len(self.slot) + len(missing) > CACHE_ENTRIES:  # one slice has more pieces than there is room for beside the rest
+                self.clear()
+                missing = pieces
         if missing:
             self.add(missing)
-        if self.flat is None:
-            self.sizes, self.pools = [np.concatenate(self.sizes)], [np.concatenate(self.pools)]
-            self.flat = np.concatenate([[0], np.cumsum(self.sizes[0])])
+        self._flatten()
         k = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+        if len(self.slot) > len(self.hits):
+            self.hits = np.concatenate([self.hits, np.zeros(len(self.slot) - len(self.hits), np.int32)])
+        self.hits[k] += 1
         return self.pools[0], self.flat[k], self.sizes[0][k]
 
 

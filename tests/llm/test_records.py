@@ -342,3 +342,22 @@ def test_cut_archive_is_an_error():
     data = gzip.compress(b"WARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
     with pytest.raises(ValueError, match="gzip member"):
         list(warc.inflate(data + data[:15]))
+
+
+def test_piece_cache_keeps_what_is_used(monkeypatch):
+    """The same ids whatever the room; common pieces stay when others have to go, and a slice larger than the room is taken too."""
+    monkeypatch.setattr(token_binary, "CACHE_ENTRIES", 60)
+    path = public_tokenizers.path(queries.TOKENIZER)
+    tok = Tokenizer.from_file(path)
+    cache = token_binary.PieceCache(path)
+    common = [f" common{k}" for k in range(20)]
+    for n in (30, 30, 45, 25, 90, 10):
+        pieces = common + [f" rare{n}x{k}" for k in range(n)]
+        pool, starts, sizes = cache.lookup(pieces)
+        assert [pool[a : a + b].tolist() for a, b in zip(starts, sizes)] == [tok.encode(x, add_special_tokens=False).ids for x in pieces]
+        assert n == 90 or all(x in cache.slot for x in common)
+    kept = token_binary.PieceCache(path)
+    for k in range(6):
+        kept.lookup(common + [f" once{k}-{j}" for j in range(20)])
+    kept.shrink()
+    assert set(common) == set(kept.slot)
