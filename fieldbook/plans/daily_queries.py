@@ -5,10 +5,10 @@ Inputs come from the columns of the given tables: an order is an edition, its li
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import alerts, extractors
+from ..operators import alerts, apply, daily, extractors, history, identity, monitor, release
 from .queries import query, t
 
 AS_OF = "1997-06-17T12:00:00Z"
@@ -152,3 +152,123 @@ def extracted_facts(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("ev").alias("event_id"), F.lit("ev-2026").alias("edition_id"), F.concat(F.lit("ev-2026-"), name).alias("category_id"), k.alias("group_id"), name.alias("group_name"),
     )
     return extractors.extracted_facts(docs, extractors.CategoryJson, salts=4).select("url", "field", "candidateValue", "evidenceText", "error")
+
+
+@query(r"""
+WITH a AS (SELECT item_id AS event_id, regexp_replace(lower(nfc_normalize(array_to_string(list_slice(string_split(text, ' '), k, k + 1), ''))), '[^\p{L}\p{N}]+', '', 'g') AS name FROM benchmark, range(1, 10, 3) r(k)),
+d AS (SELECT doc_id, regexp_replace(lower(nfc_normalize(text)), '[^\p{L}\p{N}]+', '', 'g') AS hay FROM documents)
+SELECT DISTINCT doc_id, event_id FROM d, (SELECT DISTINCT event_id, name FROM a WHERE length(name) >= 3) n WHERE contains(hay, name)
+""")
+def document_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Word pairs of benchmark items as names of events, looked up in all documents."""
+    words = F.split("text", " ")
+    events = t(spark, sf, "benchmark").select(F.col("item_id").alias("event_id"), F.array(*[F.array_join(F.slice(words, k, 2), "") for k in (1, 4, 7)]).alias("names"))
+    return identity.name_hits(t(spark, sf, "documents"), identity.identity_names(events))
+
+
+@query("""
+WITH h AS (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type <> 'purchase' GROUP BY user_id, ts)
+SELECT e.event_id, e.user_id, h.event_id AS prior_id, epoch_us(e.ts) - epoch_us(h.ts) AS since_us FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN h ON e.user_id = h.user_id AND e.ts > h.ts
+""")
+def prior_event(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases with the newest other event of their user before them."""
+    e = t(spark, sf, "events")
+    rows, old = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type <> 'purchase'").select("user_id", "ts", F.struct("ts", "event_id").alias("of"))
+    out = history.as_of(rows, old, ["user_id"], "ts")
+    return out.select("event_id", "user_id", F.col("prior.of.event_id").alias("prior_id"), (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prior.of.ts").cast("timestamp"))).alias("since_us"))
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, l_quantity > 40 AS withdraws, l_discount < 0.05 AS by_first,
+    'v' || (l_suppkey % 3) AS old_value, 'v' || (l_partkey % 3) AS new_value, l_tax > 0.07 AS conflict FROM lineitem),
+f AS (SELECT o_orderkey AS k, CAST(0 AS BIGINT) AS seq, 'v' || (o_custkey % 3) AS value, false AS gone, CAST(NULL AS VARCHAR) AS outcome FROM orders
+  UNION ALL SELECT c.k, c.seq, CASE WHEN NOT conflict AND NOT withdraws AND NOT (gone AND by_first) AND value = old_value THEN new_value ELSE value END,
+    gone OR (NOT conflict AND withdraws), CASE WHEN conflict THEN 'conflict' WHEN withdraws THEN 'applied' WHEN gone AND by_first THEN 'evidence:not_eligible' WHEN value = old_value THEN 'applied' ELSE 'stale' END
+  FROM f JOIN c ON c.k = f.k AND c.seq = f.seq + 1)
+SELECT 'o' || k AS edition_id, 'change' AS kind, k || '-' || seq AS change_id, outcome, CAST(NULL AS VARCHAR) AS value FROM f WHERE seq > 0
+UNION ALL SELECT 'o' || k, 'value', NULL, NULL, arg_max(value, seq) FROM f GROUP BY k
+""")
+def ordered_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as changes of their order, in order: values that follow each other, and lines that withdraw a source."""
+    own, none = F.concat(F.lit("o"), "edition"), F.lit(None).cast("string")
+    orders = t(spark, sf, "orders").select(F.col("o_orderkey").alias("edition"), (F.col("o_custkey") % 3).cast("string").alias("start"))
+    snapshot = orders.select(F.lit("ev").alias("event_id"), own.alias("edition_id"), none.alias("category_id"), F.lit("Edition").alias("entity_type"), F.lit("registrationStatus").alias("field"), F.concat(F.lit("v"), "start").alias("value"))
+    sources = orders.select(own.alias("edition_id"), F.explode(F.array(F.lit("s1"), F.lit("s2"))).alias("source_id")).select("edition_id", "source_id", F.concat(F.lit("https://"), "source_id").alias("url"), none.alias("content_hash"), F.lit(True).alias("eligible"), F.lit(True).alias("auto"))
+    lines = t(spark, sf, "lineitem").withColumn("edition", F.col("l_orderkey")).withColumn("seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    withdraws = F.col("l_quantity") > 40
+    by = F.when((F.col("l_discount") < 0.05) & ~withdraws, "s1").otherwise("s2")
+    proof = F.array(F.struct(by.alias("source_id"), F.concat(F.lit("https://"), by).alias("source_url"), F.sha2(F.lit("text"), 256).alias("content_hash"), F.lit("said").alias("evidence_text"), F.lit("text").alias("evidence_locator"), F.lit(1.0).alias("confidence")))
+    changes = lines.select(
+        "seq", F.concat_ws("-", "edition", "seq").alias("change_id"), F.lit("ev").alias("event_id"), own.alias("edition_id"), F.when(withdraws, "s1").alias("category_id"), F.when(withdraws, "Source").otherwise("Edition").alias("entity_type"),
+        F.when(withdraws, "status").otherwise("registrationStatus").alias("field"), F.concat(F.lit("v"), (F.col("l_suppkey") % 3).cast("string")).alias("old_value"),
+        F.when(withdraws, "withdrawn").otherwise(F.concat(F.lit("v"), (F.col("l_partkey") % 3).cast("string"))).alias("new_value"), F.lit("low").alias("risk"), F.lit("pending_review").alias("action"), (F.col("l_tax") > 0.07).alias("conflict"), proof.alias("evidence"),
+    )
+    out = apply.apply_in_order(snapshot, sources, changes, reviewed=True)
+    return out.select("edition_id", "kind", "change_id", "outcome", F.when(F.col("kind") == "value", F.col("value")).alias("value"))
+
+
+@query("""
+WITH e AS (SELECT '/api/races/' || page_id AS path, sha256(html) AS body FROM pages WHERE page_id % 23 <> 5),
+l AS (SELECT '/api/races/' || page_id AS path, CASE WHEN page_id % 17 = 3 THEN '{"rawData":1}' ELSE sha256(html) END AS body FROM pages WHERE page_id % 19 <> 7),
+d AS (SELECT coalesce(e.path, l.path) AS path, CASE WHEN l.path IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'unexpected' WHEN e.body <> l.body THEN 'changed' END AS issue, l.body FROM e FULL JOIN l ON e.path = l.path)
+SELECT path, issue FROM d WHERE issue IS NOT NULL UNION ALL SELECT path, 'leak:rawData' FROM d WHERE issue IN ('changed', 'unexpected') AND contains(body, '"rawData":')
+""")
+def release_check(spark: SparkSession, sf: str) -> DataFrame:
+    pages = t(spark, sf, "pages").select("page_id", F.concat(F.lit("/api/races/"), F.col("page_id").cast("string")).alias("path"), F.sha2("html", 256).alias("body"))
+    live = pages.where("page_id % 19 <> 7").withColumn("body", F.when(F.col("page_id") % 17 == 3, '{"rawData":1}').otherwise(F.col("body")))
+    return release.release_check(live.drop("page_id"), pages.where("page_id % 23 <> 5").drop("page_id"))
+
+
+@query("""
+WITH s AS (SELECT CASE l_returnflag WHEN 'A' THEN 'success' WHEN 'N' THEN 'unchanged' ELSE 'fetch_error' END AS x, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'success' END AS f, CASE WHEN l_tax < 0.02 THEN 'rejected' WHEN l_tax < 0.04 THEN 'uncertain' ELSE 'matched' END AS i,
+    CASE WHEN l_linestatus = 'O' THEN 'success' ELSE 'skipped' END AS r, * FROM lineitem)
+SELECT (SELECT count(*) FROM orders) AS editions_checked, count(*) AS sources_checked, count(*) FILTER (f = 'success') AS sources_fetched, count(*) FILTER (x = 'fetch_error') AS sources_failed,
+  count(*) FILTER (i = 'rejected') AS sources_identity_rejected, count(*) FILTER (i = 'uncertain') AS sources_identity_uncertain, count(*) FILTER (x = 'unchanged') AS sources_unchanged,
+  count(*) FILTER (r = 'success' AND x = 'success') AS sources_extracted, count(*) FILTER (r = 'success') AS model_calls, CAST(sum(l_partkey) FILTER (r = 'success') AS BIGINT) AS input_tokens,
+  CAST(sum(l_suppkey) FILTER (r = 'success') AS BIGINT) AS output_tokens, CAST(sum(l_partkey + l_suppkey) FILTER (r = 'success') AS BIGINT) AS total_tokens, CAST(sum(l_linenumber) AS BIGINT) AS candidates,
+  count(*) FILTER (l_linenumber > 2) AS accepted, count(*) FILTER (l_linenumber <= 2) AS rejected, (SELECT count(*) FROM events) AS changes, (SELECT count(*) FROM events WHERE event_type = 'signup') AS pending_created,
+  (SELECT count(*) FROM events WHERE event_type <> 'signup') AS pending_deduped, (SELECT count(*) FROM part) AS semantic_reviews, CAST(0 AS BIGINT) AS canonical_writes, (SELECT count(*) FROM customer) AS verification_alerts,
+  (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS verification_alerts_high, (SELECT count(*) FROM customer WHERE c_acctbal >= 0) AS verification_alerts_review FROM s
+""")
+def daily_summary(spark: SparkSession, sf: str) -> DataFrame:
+    flag, asked = F.col("l_returnflag"), F.col("l_linestatus") == "O"
+    sources = t(spark, sf, "lineitem").select(
+        F.when(flag == "A", "success").when(flag == "N", "unchanged").otherwise("fetch_error").alias("extraction"), F.when(flag == "R", "failed").otherwise("success").alias("fetch"),
+        F.when(F.col("l_tax") < 0.02, "rejected").when(F.col("l_tax") < 0.04, "uncertain").otherwise("matched").alias("identity"), F.when(asked, "success").otherwise("skipped").alias("request"),
+        F.when(asked, F.col("l_partkey")).alias("input_tokens"), F.when(asked, F.col("l_suppkey")).alias("output_tokens"), F.when(asked, F.col("l_partkey") + F.col("l_suppkey")).alias("total_tokens"),
+        F.col("l_linenumber").alias("n_candidates"), (F.col("l_linenumber") > 2).cast("int").alias("n_accepted"), (F.col("l_linenumber") <= 2).cast("int").alias("n_rejected"), F.lit(False).alias("written"),
+    )
+    relations = {
+        "editions": t(spark, sf, "orders"), "sources": sources, "changes": t(spark, sf, "events").select((F.col("event_type") == "signup").alias("created")), "reviews": t(spark, sf, "part"),
+        "alerts": t(spark, sf, "customer").select(F.when(F.col("c_acctbal") < 0, "HIGH").otherwise("REVIEW").alias("severity")),
+    }
+    return daily.summary(relations, daily.daily_metrics())
+
+
+@query("""
+WITH r AS (SELECT o_orderpriority AS "by", 1 AS n, 0 AS fresh, 0 AS open, 0 AS moved, 0 AS c, CASE WHEN o_totalprice < 50000 THEN 1 ELSE 0 END AS failed, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS bare FROM orders
+  UNION ALL SELECT o_orderpriority, 0, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END, CASE WHEN l_quantity > 30 THEN 1 ELSE 0 END, 1, 0, 0 FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT "by", CAST(sum(n) AS BIGINT) AS editions_checked, CAST(sum(fresh) AS BIGINT) AS new_sources, CAST(sum(c) AS BIGINT) AS candidates, CAST(sum(open) AS BIGINT) AS unresolved_review, CAST(sum(moved) AS BIGINT) AS changed_candidates,
+  CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(bare) AS BIGINT) AS not_covered FROM r GROUP BY GROUPING SETS (("by"), ())
+""")
+def discovery_summary(spark: SparkSession, sf: str) -> DataFrame:
+    orders = t(spark, sf, "orders")
+    runs = orders.select(F.col("o_orderpriority").alias("by"), (F.col("o_totalprice") < 50_000).cast("int").alias("n_errors"), F.when(F.col("o_orderstatus") == "P", "NOT_COVERED").alias("status"))
+    lines = t(spark, sf, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("by")), "l_orderkey")
+    found = lines.select("by", (F.col("l_returnflag") == "N").alias("is_new"), F.when(F.col("l_linestatus") == "O", "unresolved").alias("review"), (F.col("l_quantity") > 30).alias("changed"))
+    return daily.summary({"runs": runs, "found": found}, daily.discovery_metrics(), "by").drop("is_total")
+
+
+@query(f"""
+WITH {RECORDS_SQL}, {STATUS_SQL}, h AS (SELECT monitored, sum(CAST(effective AS INTEGER)) AS ok, count(edition_id) AS n FROM (SELECT r.monitored, r.edition_id AS e, l.edition_id, l.effective FROM rec r LEFT JOIN lin l USING (edition_id)) GROUP BY e, monitored),
+f AS (SELECT count(*) AS facts_checked, count(*) FILTER (status = 'VERIFIED_THIS_RUN') AS facts_verified_this_run, count(*) FILTER (status = 'VERIFIED_INHERITED') AS facts_verified_inherited, count(*) FILTER (status = 'NOT_VERIFIED_THIS_RUN') AS facts_not_verified_this_run,
+    count(*) FILTER (status = 'UNKNOWN') AS facts_unknown, count(*) FILTER (status LIKE 'VERIFIED%') AS facts_verified FROM st)
+SELECT count(*) FILTER (n > 0 AND ok = n) AS health_healthy, count(*) FILTER (ok > 0 AND ok < n) AS health_partial, count(*) FILTER (n > 0 AND ok = 0) AS health_failed, count(*) FILTER (n = 0) AS health_no_source,
+  any_value(f.facts_verified_this_run) AS facts_verified_this_run, any_value(f.facts_verified_inherited) AS facts_verified_inherited, any_value(f.facts_not_verified_this_run) AS facts_not_verified_this_run,
+  any_value(f.facts_unknown) AS facts_unknown, any_value(f.facts_checked) AS facts_checked, any_value(f.facts_verified) AS facts_verified FROM h, f
+""")
+def verification_summary(spark: SparkSession, sf: str) -> DataFrame:
+    records, facts, registry, reports, candidates = check_inputs(spark, sf)
+    good = F.col("official") & (F.col("identity") == "matched")
+    health = monitor.coverage_health(records, alerts.official_reports(registry, reports), "edition_id", F.coalesce(good, F.lit(False)))
+    return daily.summary({"editions": health, "facts": alerts.fact_evidence(records, facts, registry, reports, candidates)}, daily.verification_metrics())
