@@ -23,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 from typing import BinaryIO
 
 import numpy as np
@@ -40,7 +41,8 @@ LEVEL = struct.Struct("<QQQQ")  # chunks of the level; where its chunks, bitmap
 BLOCK_BITS = 512
 END_ID = 0
 CACHE_ENTRIES = 700_000
-SEGMENTS_PER_FILE = 4  # about 12 MB of text: a file is read back as one value
+SEGMENT_BYTES = 6 << 20  # of text
+SEGMENTS_PER_FILE = 2  # about 12 MB of text: a file is read back as one value
 
 SEGMENT_SCHEMA = "path string, offset bigint, n_bytes bigint, first_in_file bigint, n_tokens bigint, n_docs bigint"
 
@@ -222,23 +224,28 @@ class PieceCache:
             self.pools.append(ids)
         self.flat = None
 
-    def lookup(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(pool of ids, start, size)`` of the pieces."""
-        missing = [x for x in pieces if x not in self.slot]
+    def lookup(self, pieces: list[str]) -> pa.ListArray:
+        """The ids of each piece."""
+        k = self._places(pieces)
+        missing = np.flatnonzero(k < 0)
         if len(self.slot) + len(missing) > CACHE_ENTRIES:
             self.shrink()
-            missing = [x for x in pieces if x not in self.slot]
+            k = self._places(pieces)
+            missing = np.flatnonzero(k < 0)
             if len(self.slot) + len(missing) > CACHE_ENTRIES:  # one slice has more pieces than there is room for beside the rest
                 self.clear()
-                missing = pieces
-        if missing:
-            self.add(missing)
+                missing = np.arange(len(pieces))
+        if len(missing):
+            k[missing] = len(self.slot) + np.arange(len(missing))
+            self.add([pieces[j] for j in missing.tolist()])
         self._flatten()
-        k = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
         if len(self.slot) > len(self.hits):
             self.hits = np.concatenate([self.hits, np.zeros(len(self.slot) - len(self.hits), np.int32)])
         self.hits[k] += 1
-        return self.pools[0], self.flat[k], self.sizes[0][k]
+        return pa.ListArray.from_arrays(pa.array(self.flat.astype(np.int32)), pa.array(self.pools[0])).take(pa.array(k))
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.slot.get, pieces, repeat(-1)), np.int64, len(pieces))
 
 
 @lru_cache(maxsize=2)
@@ -274,22 +281,14 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     codes[first] = len(used) + outer
     codes[later] = slot[codes[later]]
     single = _encode(path, [words[k] for k in opening])
-    pool, starts, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(used):
-        pool, starts, sizes = _cache(path).lookup([" " + words[k] for k in used])
-    extra = np.array([len(x) for x in single], np.int64)
-    starts = np.concatenate([starts, len(pool) + np.cumsum(extra) - extra])
-    sizes = np.concatenate([sizes, extra])
-    pool = np.concatenate([pool, *single])
-    # gather the ids of all pieces in order
-    each = sizes[codes]
-    ends = np.cumsum(each)
-    total = int(ends[-1]) if len(ends) else 0
-    ids = pool[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)]
-    cum = np.concatenate([[0], ends])
-    edges = cum[np.concatenate([[0], np.cumsum(counts)])]
-    lengths = np.diff(edges) + 1
-    out = np.insert(ids, edges[1:], np.uint32(END_ID)) if n else ids
+    known = _cache(path).lookup([" " + words[k] for k in used]) if len(used) else pa.array([], pa.list_(pa.uint32()))
+    # a last list is the end id; each text's pieces are followed by it
+    lists = pa.concat_arrays([known, pa.array([*single, np.array([END_ID], np.uint32)], pa.list_(pa.uint32()))])
+    edges = np.cumsum(counts)
+    codes = np.insert(codes, edges, len(lists) - 1)
+    out = lists.take(pa.array(codes)).flatten().to_numpy()
+    upto = np.cumsum(np.diff(lists.offsets.to_numpy())[codes], dtype=np.int64)
+    lengths = np.diff(upto[edges + np.arange(n)], prepend=0)
     if whole.any():
         parts = np.split(out, np.cumsum(lengths)[:-1])
         rows = np.flatnonzero(whole)
@@ -314,7 +313,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cut in slices(batch, "text"):
+            for cut in slices(batch, "text", SEGMENT_BYTES):
                 ids, lengths = encode_texts(pc.fill_null(cut.column("text"), ""), tokenizer_path)
                 yield pa.RecordBatch.from_arrays([pa.array([pack_segment(cut.column("id").to_pylist(), lengths, ids)], pa.binary())], ["segment"])
 

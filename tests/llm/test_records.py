@@ -353,11 +353,46 @@ def test_piece_cache_keeps_what_is_used(monkeypatch):
     common = [f" common{k}" for k in range(20)]
     for n in (30, 30, 45, 25, 90, 10):
         pieces = common + [f" rare{n}x{k}" for k in range(n)]
-        pool, starts, sizes = cache.lookup(pieces)
-        assert [pool[a : a + b].tolist() for a, b in zip(starts, sizes)] == [tok.encode(x, add_special_tokens=False).ids for x in pieces]
+        assert cache.lookup(pieces).to_pylist() == [tok.encode(x, add_special_tokens=False).ids for x in pieces]
         assert n == 90 or all(x in cache.slot for x in common)
     kept = token_binary.PieceCache(path)
     for k in range(6):
         kept.lookup(common + [f" once{k}-{j}" for j in range(20)])
     kept.shrink()
     assert set(common) == set(kept.slot)
+
+
+def test_mix_of_the_given_documents_meets_its_target(spark):
+    """More even than the target by nature: the exponent passes 1, large sources are repeated and small ones are cut."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    narrow, _, sources = mixing.plan_mix(docs)
+    rows = sources.collect()
+    w = [r["weight"] for r in rows if r["weight"] > 0]
+    assert sum(w) == pytest.approx(1) and -sum(x * math.log(x) for x in w) == pytest.approx(mixing.TARGET_EVENNESS * math.log(len(w)), abs=1e-6)
+    assert rows[0]["alpha"] > 1 and any(r["epochs"] >= 1 and r["rest"] > 0 for r in rows) and any(r["epochs"] == 0 for r in rows)
+    drawn = {r["source"]: r["n"] for r in mixing.mix(docs).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    longest = narrow.agg(F.max("n_tokens")).first()[0]
+    assert all(r["quota"] - longest <= drawn.get(r["source"], 0) <= r["quota"] for r in rows)
+
+
+def test_exponent_beyond_one():
+    tokens = [100, 101, 103, 99, 120]
+    logs = np.log(np.array(tokens) / max(tokens))
+    shares = mixing.Shares(5, 99, 120, sum(tokens), lambda alphas: [(float(np.exp(a * logs).sum()), float((np.exp(a * logs) * logs).sum())) for a in alphas])
+    entropy = lambda a: -sum(x * math.log(x) for x in plain_weights(tokens, a))
+    alpha = mixing.solve_alpha(shares, sum(tokens), 0.9, 10)
+    assert alpha > 1 and entropy(alpha) == pytest.approx(0.9 * math.log(5), abs=1e-8)
+    held = mixing.solve_alpha(shares, sum(tokens), 0.9, 1.5)
+    assert 1 < held < alpha and sum(tokens) * max(plain_weights(tokens, held)) / 120 == pytest.approx(1.5, abs=1e-8)
+    assert mixing.solve_alpha(shares, sum(tokens), 0.9, 10, sharpen=False) == 1.0
+    equal = mixing.Shares(3, 7, 7, 21, lambda alphas: [(3.0, 0.0) for _ in alphas])
+    assert mixing.solve_alpha(equal, 21, 0.9, 10) == 1.0
+    top = mixing.Shares(3, 1, 7, 15, lambda alphas: [(2 + (1 / 7) ** a, (1 / 7) ** a * math.log(1 / 7)) for a in alphas])
+    assert mixing.solve_alpha(top, 15, 0.5, 10) == mixing.STEEPEST
+
+
+def test_sums_of_many_sources_by_spark(spark):
+    sources = spark.createDataFrame([(f"s{k}", k * k) for k in range(40)], "source string, n bigint")
+    few, many = mixing.shares_of(sources), mixing.shares_of(sources, few=0)
+    for a, b in zip(few.sums([0.0, 0.3, 1.0, 7.0]), many.sums([0.0, 0.3, 1.0, 7.0])):
+        assert a == pytest.approx(b)
