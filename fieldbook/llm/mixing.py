@@ -1,8 +1,9 @@
 """Mixing sources to target weights: temperature mixing realised as budgeted block permutations.
 
-* Weights: ``w_i ~ share_i ** alpha``; ``alpha`` is bisected until the entropy of the weights meets the target, and
-  raised until no source is repeated more than ``max_repeats`` times under the token budget. Each step needs two sums over the
-  sources for each of ``STEPS`` candidate exponents, so sources stay a table, however many there are.
+* Weights: ``w_i ~ share_i ** alpha``; ``alpha`` is bisected until the entropy of the weights meets the target, below 1 for a mix less even
+  than it and above 1 for a more even one, and held where no source is repeated more than ``max_repeats`` times under the token
+  budget. Each step needs two sums over the sources for each of ``STEPS`` candidate exponents: over their totals on the driver up to
+  ``FEW_SOURCES``, by Spark beyond, so sources stay a table, however many there are.
 * Realisation: each source is cut by hash into at most ``CELLS`` blocks. An epoch visits all blocks in an order of
   its own; a source gives whole epochs, then whole blocks, then the documents of one cut block up to its quota.
   Only block totals (at most ``CELLS`` per source) are ordered by a window, never a source's documents.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +31,19 @@ BLOCK_TOKENS = 200_000
 TARGET_EVENNESS = 0.97
 MAX_REPEATS = 3.0
 STEPS = 32
+#: Largest exponent that is tried.
+STEEPEST = 64.0
+#: Sources whose totals the driver may hold (a number each).
+FEW_SOURCES = 100_000
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 class Shares:
-    """Sums over sources with tokens that decide the exponent; ``sums(alphas)`` gives ``(sum t**a, sum t**a ln t)`` of each."""
+    """Sums over sources with tokens that decide the exponent, each source's tokens taken as a share ``t`` of the largest one's.
+
+    ``sums(alphas)`` gives ``(sum t**a, sum t**a ln t)`` of each exponent.
+    """
 
     def __init__(self, live: int, least: int, most: int, total: int, sums: Callable[[list[float]], list[tuple[float, float]]]):
         self.live, self.least, self.most, self.total, self.sums = live, least, most, total, sums
@@ -43,19 +52,22 @@ class Shares:
         """Of the weights ``t**a / z``."""
         return [math.log(z) - a * s / z for a, (z, s) in zip(alphas, self.sums(alphas))]
 
+    def _power(self, tokens: int, alpha: float) -> float:
+        """Tokens over the power of their share: ``tokens / t**alpha``."""
+        return tokens * (self.most / tokens) ** alpha
+
     def covering(self, alphas: list[float]) -> list[float]:
-        """The least budget under which every source is visited at least once: ``max t / w``."""
-        return [z * self.most ** (1 - a) for a, (z, _) in zip(alphas, self.sums(alphas))]
+        """The least budget under which every source is visited at least once; the largest source is the last up to 1, the smallest beyond."""
+        return [z * max(self._power(self.most, a), self._power(self.least, a)) for a, (z, _) in zip(alphas, self.sums(alphas))]
 
     def repeats(self, alphas: list[float], budget: float | None) -> list[float]:
-        """How often the smallest source is repeated, under the covering budget if none is given."""
+        """How often the source that is repeated most is drawn, under the covering budget if none is given."""
         budgets = self.covering(alphas) if budget is None else [budget] * len(alphas)
-        return [b * self.least ** (a - 1) / z for a, b, (z, _) in zip(alphas, budgets, self.sums(alphas))]
+        return [b / (z * min(self._power(self.most, a), self._power(self.least, a))) for a, b, (z, _) in zip(alphas, budgets, self.sums(alphas))]
 
 
-def smallest_alpha(ok: Callable[[list[float]], list[bool]]) -> float:
-    """Smallest exponent in [0, 1] that is ok (1 if none), where all larger ones are too; ``STEPS`` are tried at once."""
-    low, high = 0.0, 1.0
+def smallest_alpha(ok: Callable[[list[float]], list[bool]], low: float = 0.0, high: float = 1.0) -> float:
+    """Smallest exponent from ``low`` to ``high`` that is ok (``high`` if none), where all larger ones are too; ``STEPS`` are tried at once."""
     if ok([low])[0]:
         return low
     while high - low > 1e-10:
@@ -66,31 +78,42 @@ def smallest_alpha(ok: Callable[[list[float]], list[bool]]) -> float:
     return high
 
 
-def solve_alpha(shares: Shares, budget: float | None, evenness: float = TARGET_EVENNESS, max_repeats: float = MAX_REPEATS) -> float:
-    """The exponent with an entropy of ``evenness`` times its maximum, unless repetition needs a larger one.
+def solve_alpha(shares: Shares, budget: float | None, evenness: float = TARGET_EVENNESS, max_repeats: float = MAX_REPEATS, sharpen: bool = True) -> float:
+    """The exponent whose weights have an entropy of ``evenness`` times its maximum, as far as the repetition limit lets it.
 
-    Both entropy and the largest repetition fall as alpha grows (on [0, 1]), so both are bisected. A natural mix that
-    is more even than the target stays as it is (alpha 1). Without a budget, the covering budget of each alpha counts.
+    Entropy falls as alpha grows. A mix less even than the target is flattened (alpha below 1; small sources are repeated, which sets a
+    least alpha), a more even one is sharpened (alpha above 1; large sources are repeated, which sets a largest alpha) unless ``sharpen``
+    is false. Sources as large as the largest never part from it, so a target below their own entropy ends at ``STEEPEST`` (equal sources stay as they are).
     """
     if shares.live == 0:
         return 1.0
     target = evenness * math.log(shares.live)
-    even = smallest_alpha(lambda alphas: [h <= target for h in shares.entropies(alphas)])
-    return max(even, smallest_alpha(lambda alphas: [r <= max_repeats for r in shares.repeats(alphas, budget)]))
+    even = lambda alphas: [h <= target for h in shares.entropies(alphas)]
+    if even([1.0])[0]:
+        return max(smallest_alpha(even), smallest_alpha(lambda alphas: [r <= max_repeats for r in shares.repeats(alphas, budget)]))
+    if not sharpen or shares.least == shares.most:
+        return 1.0
+    high = 2.0
+    while high < STEEPEST and not even([high])[0]:
+        high *= 2
+    high = smallest_alpha(even, 1.0, high)
+    return smallest_alpha(lambda alphas: [r >= max_repeats for r in shares.repeats(alphas, budget)], 1.0, high)
 
 
-def shares_of(sources: DataFrame) -> Shares:
-    """Sums over ``source, n`` rows, by Spark."""
+def shares_of(sources: DataFrame, few: int = FEW_SOURCES) -> Shares:
+    """Sums over ``source, n`` rows: on the driver from their totals where sources are few, by Spark where they are many."""
     live = sources.where("n > 0")
     r = live.agg(F.count("*").alias("live"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total")).first()
-
     known: dict[float, tuple[float, float]] = {}
+    logs = np.sort(np.log([x[0] / r["most"] for x in live.select("n").collect()])) if 0 < r["live"] <= few else None
 
     def sums(alphas: list[float]) -> list[tuple[float, float]]:
-        power = lambda a: F.exp(F.lit(a) * F.log("n"))
+        if logs is not None:
+            return [(float(p.sum()), float((p * logs).sum())) for p in (np.exp(a * logs) for a in alphas)]
+        share = F.log(F.col("n") / F.lit(float(r["most"])))
         new = [a for a in alphas if a not in known]
         if new:
-            got = live.agg(*(F.sum(x) for a in new for x in (power(a), power(a) * F.log("n")))).first()
+            got = live.agg(*(F.sum(x) for a in new for x in (F.exp(F.lit(a) * share), F.exp(F.lit(a) * share) * share))).first()
             known.update(zip(new, zip(got[::2], got[1::2])))
         return [known[a] for a in alphas]
 
@@ -107,7 +130,7 @@ def _order(id_col: str, seed: int) -> Column:
 
 def plan_mix(
     docs: DataFrame, budget: int | str | None = None, evenness: float = TARGET_EVENNESS, max_repeats: float = MAX_REPEATS,
-    block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED,
+    block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, sharpen: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(narrow, plan, sources)``.
 
@@ -125,12 +148,12 @@ def plan_mix(
     cells = materialize(narrow.groupBy("source", "cell").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs")), "cells")
     totals = materialize(cells.groupBy("source").agg(F.sum("n_tokens").alias("n")), "totals")
     shares, cover = shares_of(totals), budget == "cover"
-    alpha = solve_alpha(shares, None if cover else budget or shares.total, evenness, max_repeats)
+    alpha = solve_alpha(shares, None if cover else budget or shares.total, evenness, max_repeats, sharpen)
     tokens = (shares.covering([alpha])[0] if cover else budget or shares.total) if shares.live else 0
     mass = shares.sums([alpha])[0][0] if shares.live else 1.0
     n = F.col("n")
     sources = totals.select(
-        "source", n.alias("source_tokens"), F.when(n > 0, F.exp(F.lit(alpha) * F.log(n)) / mass).otherwise(0.0).alias("weight"),
+        "source", n.alias("source_tokens"), F.when(n > 0, F.exp(F.lit(alpha) * F.log(n / F.lit(float(shares.most)))) / mass).otherwise(0.0).alias("weight"),
         F.greatest(F.lit(1), F.least(F.lit(CELLS), F.floor(n / block_tokens))).cast("int").alias("n_blocks"), F.lit(alpha).alias("alpha"),
     )
     sources = sources.withColumn("quota", F.floor(F.col("weight") * float(tokens) + 0.5).cast("long"))
