@@ -40,8 +40,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws documents by tempered source weights; small sources are repeated, no document is left out."""
-    return mixing.mixed_documents(docs, budget="cover", evenness=EVENNESS)
+    """Draws documents by tempered source weights; small sources are repeated, no document is left out. A mix that is even enough is not sharpened."""
+    return mixing.mixed_documents(docs, budget="cover", evenness=EVENNESS, sharpen=False)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
