@@ -1,7 +1,9 @@
 import random
+import time
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 
 from fieldbook.llm import decontaminate, jaccard_join, substring_dedup
@@ -291,3 +293,50 @@ def test_decontamination_odd_rows(spark, odd, empty):
     assert decontaminate.find_matches(odd, none).count() == 0 and decontaminate.find_matches(odd, odd_bench).count() == 0
     assert decontaminate.remove_contaminated(odd, odd_bench).count() == odd.count()
     assert decontaminate.remove_contaminated(empty, odd_bench).columns == empty.columns
+
+
+def test_decontamination_finds_short_items_exactly(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(12)]
+    docs = [(k, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for k in range(80)]
+    items = [(k, " ".join(rng.choices(words, k=1 + k % 4)).upper()) for k in range(24)]
+    got = decontaminate.find_matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), min_words=1).collect()
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            t, x = text.split(), item.lower().split()
+            at = next((p for p in range(len(t) - len(x) + 1) if t[p : p + len(x)] == x), None)
+            if at is not None:
+                want[d, i] = (0, len(x), at)
+    assert {(r["doc_id"], r["item_id"]): (r["edits"], r["item_words"], r["start_word"]) for r in got} == want and len(want) > 200
+
+
+def test_decontamination_with_a_shared_template():
+    """Many items that share half their words, and documents that repeat the template: no match, in bounded time; a real copy is found."""
+    rng = random.Random(9)
+    template = [f"t{k}" for k in range(11)]
+    items = [" ".join(template + [f"x{rng.randrange(50_000)}" for _ in range(rng.randint(11, 14))]) for _ in range(8_000)]
+    block = decontaminate.Items(list(range(len(items))), items)
+    text = " ".join(" ".join(template + [f"y{rng.randrange(50_000)}" for _ in range(6)]) for _ in range(400))
+    copy = items[77].split()
+    copy[15] = "changed"
+    began = time.perf_counter()
+    h, counts = decontaminate._words(pa.array([text, " ".join(copy), text + " " + items[5]]))
+    found = block.matches(h, counts)
+    assert {(d, k) for d, k, *_ in found} == {(1, 77), (2, 5)} and time.perf_counter() - began < 60
+
+
+def test_repeats_are_bounded_and_the_rest_is_exact(monkeypatch):
+    rng = random.Random(10)
+    items = [" ".join(f"v{rng.randrange(30)}" for _ in range(20)) for _ in range(15)]
+    text = " ".join(f"v{rng.randrange(30)}" for _ in range(200))
+    docs = [text, text + " " + " ".join(items[3].split()[:-2]) + " " + text, items[9]]
+    plain = decontaminate.Items(list(range(15)), items)
+    monkeypatch.setattr(decontaminate, "MOST_REPEATS", 0)
+    monkeypatch.setattr(decontaminate.fit_repeats, "__defaults__", (*decontaminate.fit_repeats.__defaults__[:-1], 0))
+    monkeypatch.setattr(decontaminate, "PLACES", 5)
+    exact = decontaminate.Items(list(range(15)), items)
+    assert all(t is None for t in exact.tables.values())
+    h, counts = decontaminate._words(pa.array(docs))
+    a, b = ({(d, k): e for d, k, e, *_ in x.matches(h, counts)} for x in (plain, exact))
+    assert a == b and {(1, 3), (2, 9)} <= set(b)
