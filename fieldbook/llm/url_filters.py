@@ -5,10 +5,10 @@
   part's letter runs (of the lengths that words have) are joined with all counts, and each part splits its runs with the words
   that it found.
 * Naive Bayes: the pages that a rule decides are its labelled rows (block or allow), all of them; nothing else is known
-  beforehand. Tokens are hashed into ``BUCKETS`` counters, so the model has a fixed size.
+  beforehand, and both classes count the same. Tokens are hashed into ``BUCKETS`` counters, so the model has a fixed size.
 
 Defined results: every row gives one row; a null url or one without ``://`` has empty host and path, no rule and no tokens, and
-gets the class with the larger prior (allow on a tie); equal urls get equal verdicts; without labelled pages every url has score 0
+is allowed (score 0), as is one of whose tokens no ruled url has any; equal urls get equal verdicts; without labelled pages every url has score 0
 and is allowed; null html has no words; very long urls and pages are read whole; a null page_id comes back null; an empty table
 gives no rows; other columns are ignored, whatever their names.
 """
@@ -36,6 +36,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 SUBSTRINGS = 100_000  # held at once before they are sent on
+#: Count that every seen bucket has in each class beforehand.
+SMOOTHING = 0.1
 BUCKETS = 1 << 18
 PART_ROWS = 20_000
 LETTERS = regex.compile(r"\p{L}+")
@@ -163,8 +165,12 @@ def with_tokens(rows: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def learn(ruled: DataFrame) -> tuple[np.ndarray, float]:
-    """``(log2 odds of each bucket, log2 odds of the prior)`` block against allow, from all rows with ``tokens`` and an ``action``."""
+def learn(ruled: DataFrame, balanced: bool = True) -> tuple[np.ndarray, float]:
+    """``(log2 odds of each bucket, log2 odds of the prior)`` block against allow, from all rows with ``tokens`` and an ``action``.
+
+    Counts are smoothed over the buckets that were seen; a bucket that no ruled url has says nothing. Rules decide far more urls one way
+    than the other, which says nothing about the rest, so the classes count the same unless ``balanced`` is false.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {"block": np.zeros(BUCKETS, np.int64), "allow": np.zeros(BUCKETS, np.int64)}
@@ -182,24 +188,34 @@ def learn(ruled: DataFrame) -> tuple[np.ndarray, float]:
     found = labelled.groupBy("action", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * (BUCKETS + 1) rows
     block = np.array(found.column("action").to_pylist(), object) == "block"
     bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
+    seen = np.bincount(bucket[bucket >= 0], minlength=BUCKETS) > 0
     logs, prior = [], []
     for mine in (block, ~block):
         c = np.bincount(bucket[mine & (bucket >= 0)], weights=n[mine & (bucket >= 0)], minlength=BUCKETS).astype(float)
-        logs.append(np.log2((c + 1.0) / (c.sum() + BUCKETS)))
+        logs.append(np.log2((c + SMOOTHING) / (c.sum() + SMOOTHING * max(1, int(seen.sum())))))
         prior.append(1 + int(n[mine & (bucket < 0)].sum()))
-    return logs[0] - logs[1], math.log2(prior[0] / prior[1])
+    return np.where(seen, logs[0] - logs[1], 0.0), 0.0 if balanced else math.log2(prior[0] / prior[1])
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """Per row: ``page_id, host, path, rule, verdict, host_words, block_score``."""
-    spark = pages.sparkSession
+def tokenized(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+    """``page_id, host, path, rule, action, tokens`` of every row, written."""
     words = materialize(word_counts(pages), "words")
     host, path = split_url(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, action = match_rules(F.col("host"), F.col("path"), rules)
-    ruled = parsed.select("page_id", "host", "path", rule.alias("rule"), action.alias("action"))
-    ruled = materialize(with_tokens(ruled, words), "tokens")
-    model = spark.sparkContext.broadcast(learn(ruled))
+    return materialize(with_tokens(parsed.select("page_id", "host", "path", rule.alias("rule"), action.alias("action")), words), "tokens")
+
+
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+    """Per row: ``page_id, host, path, rule, verdict, host_words, block_score``."""
+    ruled = tokenized(pages, rules)
+    return scored(ruled, *learn(ruled))
+
+
+def scored(ruled: DataFrame, odds: np.ndarray, prior: float) -> DataFrame:
+    """Verdicts of tokenized rows by a model of :func:`learn`."""
+    spark = ruled.sparkSession
+    model = spark.sparkContext.broadcast((odds, prior))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, base = model.value
@@ -214,5 +230,5 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) ->
                 ["page_id", "host", "path", "rule", "verdict", "host_words", "block_score"],
             )
 
-    id_type = parsed.schema["page_id"].dataType.simpleString()
+    id_type = ruled.schema["page_id"].dataType.simpleString()
     return ruled.mapInArrow(score, f"page_id {id_type}, host string, path string, rule string, verdict string, host_words string, block_score double")

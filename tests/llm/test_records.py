@@ -138,16 +138,16 @@ def test_url_naive_bayes_against_plain_counts(spark):
     df = spark.createDataFrame([(i, u, f"<p>{' '.join(words)}</p>", "h", "p", "r", "v", "t", -1) for i, u in rows], "page_id bigint, url string, html string, host string, path string, rule string, verdict string, tokens string, _part int")
     got = {r["page_id"]: r for r in url_filters.judge(df).collect()}
     s = url_filters.Segmenter({w: len(rows) for w in words})
-    counts, prior = {"block": Counter(), "allow": Counter()}, {"block": 1, "allow": 1}
+    counts = {"block": Counter(), "allow": Counter()}
     for _, u in rows:
         host, path, _, action = plain_rule(u)
         if action:
-            prior[action] += 1
             counts[action].update(s.tokens(host, path))
-    n = url_filters.BUCKETS
+    known = set(counts["block"]) | set(counts["allow"])
+    k = url_filters.SMOOTHING
     for i, u in rows:
         host, path, rule, action = plain_rule(u)
-        p = {a: math.log2(prior[a]) + sum(math.log2((counts[a][t] + 1) / (counts[a].total() + n)) for t in s.tokens(host, path)) for a in counts}
+        p = {a: sum(math.log2((counts[a][t] + k) / (counts[a].total() + k * len(known))) for t in s.tokens(host, path) if t in known) for a in counts}
         r = got[i]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["block_score"] == pytest.approx(p["block"] - p["allow"], abs=1e-6)
@@ -396,3 +396,21 @@ def test_sums_of_many_sources_by_spark(spark):
     few, many = mixing.shares_of(sources), mixing.shares_of(sources, few=0)
     for a, b in zip(few.sums([0.0, 0.3, 1.0, 7.0]), many.sums([0.0, 0.3, 1.0, 7.0])):
         assert a == pytest.approx(b)
+
+
+def test_url_verdicts_on_held_out_rule_pages(spark):
+    """Of rule pages that the model has not seen it agrees with both kinds of rules, and host words alone change verdicts."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    ruled = url_filters.tokenized(pages)
+    held = F.pmod(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(4)) == 0
+    odds, prior = url_filters.learn(ruled.where(~held))
+    own = ruled.where(held & F.col("action").isNotNull())
+    judged = url_filters.scored(own.withColumn("action", F.lit(None).cast("string")), odds, prior).join(own.select("page_id", "action"), "page_id").collect()
+    share = {a: sum(r["verdict"] == a for r in judged if r["action"] == a) / sum(r["action"] == a for r in judged) for a in ("block", "allow")}
+    assert min(share.values()) > 0.9, share
+    free = ruled.where("action is null")
+    bare = free.withColumn("tokens", F.filter("tokens", lambda t: ~t.startswith("h:")))
+    whole, without = ({r["page_id"]: r["verdict"] for r in url_filters.scored(x, odds, prior).collect()} for x in (free, bare))
+    blocked = sum(v == "block" for v in whole.values()) / len(whole)
+    assert 0.05 < blocked < 0.95 and sum(whole[k] != without[k] for k in whole) > 0.02 * len(whole), blocked
+    print("held-out agreement", share, "blocked without a rule", blocked, "changed by host words", sum(whole[k] != without[k] for k in whole) / len(whole))
