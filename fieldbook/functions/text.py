@@ -179,22 +179,26 @@ CITY = r"([\x{4e00}-\x{9fa5}]{2,8}(?:市|自治州|地区|盟|县))"
 CITY_SUFFIX = r"市|自治州|地区|盟|县|区$"
 
 
-def _region(province: Column) -> Column:
-    return first_match(province, [("^(?:" + "|".join(names) + ")$", region) for region, names in REGION_PROVINCES.items()])
+#: Region of each place, longer names first: a name may hold a shorter one.
+REGION_OF = dict(sorted(((p, region) for region, places in REGION_PROVINCES.items() for p in places), key=lambda x: -len(x[0])))
 
 
 def location_parts(province: Column, city: Column, location: Column, name: Column) -> tuple[Column, Column, Column]:
-    """``(province, city, region)`` from the stated ones, else from the texts; ``unknown`` where nothing speaks for one."""
-    stated = lambda c: F.when(c != "", c)
-    text = F.concat_ws(" ", stated(province), stated(city), stated(location), stated(name))
-    names = sorted((p for ps in REGION_PROVINCES.values() for p in ps), key=len, reverse=True)  # longer names first
-    found = F.coalesce(*[F.when(text.contains(p), F.lit(p)) for p in names])
-    where = F.coalesce(stated(province), found, F.lit("unknown"))
-    in_text = F.regexp_extract(text, CITY, 1)
-    from_text = F.when(in_text != "", F.regexp_replace(in_text, f"^(.*?)(?:{CITY_SUFFIX})", "$1"))
-    known_city = F.when((city != "") & (city != "unknown"), city)
-    town = F.coalesce(known_city, F.when(where.isin(*MUNICIPALITIES), where), from_text, F.lit("unknown"))
-    return where, town, F.coalesce(_region(where), first_match(text, OVERSEAS_RULES, F.lit("unknown")))
+    """``(province, city, region)``, each by its levels of evidence: what is stated, what follows from the province, what the texts name.
+
+    ``unknown`` stands where no level speaks. The texts are joined once and looked up in the table of places.
+    """
+    unknown, said = F.lit("unknown"), [F.nullif(c, F.lit("")) for c in (province, city, location, name)]
+    places, regions = F.array(*map(F.lit, REGION_OF)), F.create_map(*[F.lit(x) for pair in REGION_OF.items() for x in pair])
+
+    def found(text: Column) -> Column:
+        town = F.regexp_replace(F.regexp_extract(text, CITY, 1), f"^(.*?)(?:{CITY_SUFFIX})", "$1")
+        return F.struct(F.get(F.filter(places, lambda p: F.contains(text, p)), F.lit(0)).alias("place"), F.nullif(town, F.lit("")).alias("town"), first_match(text, OVERSEAS_RULES, unknown).alias("region"))
+
+    of_texts = F.get(F.transform(F.array(F.concat_ws(" ", *said)), found), F.lit(0))
+    where = F.coalesce(said[0], of_texts["place"], unknown)
+    own_city = F.when(where.isin(*MUNICIPALITIES), where)
+    return where, F.coalesce(F.nullif(said[1], unknown), own_city, of_texts["town"], unknown), F.coalesce(F.try_element_at(regions, where), of_texts["region"])
 
 
 # ---- HTML ------------------------------------------------------------------------------------------------
