@@ -53,6 +53,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base rule of the quality rules alone: its columns can be written in SQL."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -91,9 +96,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_hard_negatives": op11_hard_negatives,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_main_text": op13_main_text,
+    "quality_base": quality_base,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "quality_base": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+x AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT r, i, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS k FROM x WINDOW f AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+m AS (SELECT r, i, n = 5 AND count(*) OVER (PARTITION BY r, k, n) > 1 AS again FROM g),
+c AS (SELECT r, max(CAST(again AS INTEGER)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit FROM m),
+s AS (SELECT r, sum(hit) AS n FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(s.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(s.n, 0) > 20 * len(w) AS base_failed
+FROM d LEFT JOIN l USING (r) LEFT JOIN s USING (r)
+""",
     "op3_warc": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, url, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
