@@ -71,10 +71,13 @@ def phrase_matches(texts: DataFrame, id_col: str, text_col: str, phrases: DataFr
         other = rows.withColumnsRenamed({"_id": "_i", "_tag": "_t"})
         found.append(met.join(other, F.expr("_id <=> _i and _tag = _t")).where(F.contains("_text", F.col("_phrase"))).select("_id", "_tag", "_p"))
     short = p.where(F.size("_inner") == 0).select("_p", "_phrase")
-    lengths = short.select(F.length("_phrase").alias("_n")).distinct()
-    # texts are cut into every stretch of a length that a short phrase has, and those are joined with the phrases of that length
-    pieces = rows.join(lengths, F.length("_text") >= F.col("_n")).select("_id", "_tag", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_text") - F.col("_n") + 1), lambda i: F.substr("_text", i, F.col("_n"))))).alias("_phrase"))
-    found.append(pieces.join(short, "_phrase").select("_id", "_tag", "_p"))
+    lengths = [r[0] for r in short.select(F.length("_phrase")).distinct().collect()]  # a number for each length
+    if lengths:
+        # texts are cut into every stretch of a length that a short phrase has, and those are joined with the phrases of that length
+        stretches = lambda n: F.transform(F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i: F.substr("_text", i, n))
+        whole = F.flatten(F.transform(F.filter(F.lit(lengths), lambda n: n <= F.length("_text")), stretches))
+        pieces = rows.select("_id", "_tag", F.explode(F.array_distinct(whole)).alias("_phrase"))
+        found.append(pieces.join(short, "_phrase").select("_id", "_tag", "_p"))
     return reduce(DataFrame.unionByName, found).distinct().withColumnRenamed("_p", phrase_id)
 
 
