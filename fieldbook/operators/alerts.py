@@ -22,7 +22,7 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import ZONED, local_date
+from ..functions.dates import ZONED
 from .registry import active_sources
 
 IMMINENT_DAYS = 14
@@ -74,16 +74,26 @@ def no(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def known_zone(records: DataFrame) -> DataFrame:
+    """Records with null for a time zone that isn't one; done once, as the list of zones is long."""
+    return records.withColumn("timezone", F.when(F.col("timezone").isin(ZONES), F.col("timezone")))
+
+
+def local_day(at: Column, zone: Column) -> Column:
+    """Local day of an instant in a known zone; null without one."""
+    return F.when(zone.isNotNull(), F.to_date(F.from_utc_timestamp(at, F.coalesce(zone, F.lit("UTC")))))
+
+
 def past_boundary(value: Column, zone: Column, at: Column) -> Column:
     """A date is past when its local day is over, a zoned time when it is before ``at``; anything else never is."""
     day = value.rlike(r"^\d{4}-\d{2}-\d{2}$")
-    return no(F.when(day, value < F.date_format(local_date(at, zone, ZONES), "yyyy-MM-dd")).when(value.rlike(ZONED), F.try_to_timestamp(value) < at))
+    return no(F.when(day, value < F.date_format(local_day(at, zone), "yyyy-MM-dd")).when(value.rlike(ZONED), F.try_to_timestamp(value) < at))
 
 
 def days_until(race_date: Column, zone: Column, at: Column) -> Column:
     """Days from the local day of ``at`` to the race; null where one of them is not known."""
     day = F.substring(race_date, 1, 10)
-    return F.datediff(F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(day, "yyyy-MM-dd")), local_date(at, zone, ZONES))
+    return F.datediff(F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(day, "yyyy-MM-dd")), local_day(at, zone))
 
 
 def crossed_boundary(before: Column, after: Column) -> Column:
@@ -119,7 +129,7 @@ def fact_evidence(records: DataFrame, facts: DataFrame, registry: DataFrame, rep
     # many candidates say the same: one row for each thing that a source says
     said = said.groupBy(*keys).agg(F.max(F.col("_direct") & F.col("_asked") & F.col("source_url").eqNullSafe(F.col("_url"))).alias("_direct"))
     said = said.withColumnsRenamed({"value": "_value", "event_id": "_event"})
-    about = records.where("monitored").select("edition_id", "event_id", "timezone", *BOUNDARIES)
+    about = known_zone(records.where("monitored")).select("edition_id", "event_id", "timezone", *BOUNDARIES)
     rows = facts.withColumn("_c", F.coalesce("category_id", F.lit(""))).join(about, "edition_id").join(said, ["edition_id", "_c", "field"], "left")
     same_event, same = F.col("_event") == F.col("event_id"), F.col("_value").eqNullSafe(F.col("value"))
     fresh = F.col("extraction") == "success"
@@ -177,7 +187,7 @@ def edition_alerts(records: DataFrame, evidence: DataFrame, sources: DataFrame,
     named = F.when(F.col("category_id").isNull(), F.concat(F.lit("Edition."), "field")).otherwise(F.concat(F.lit("Category."), "field", F.lit(":"), "category_id"))
     open_fact = F.col("present") & ~F.col("status").isin(*CONFIRMED) & ((F.col("field") == "raceDate") | F.col("category_id").isNotNull())
     facts = evidence.groupBy("edition_id").agg(F.max(F.when(about_status, F.col("status"))).alias("_status"), F.sort_array(F.collect_set(F.when(open_fact, named))).alias("_open"))
-    rows = records.where("monitored").join(facts, "edition_id", "left").join(sources, "edition_id", "left")
+    rows = known_zone(records.where("monitored")).join(facts, "edition_id", "left").join(sources, "edition_id", "left")
     lists = ("official", "effective", "failed_primary", "uncertain", "auxiliary", "_open")
     rows = rows.withColumns({c: F.coalesce(c, none) for c in lists}).withColumns(
         {"_days": days_until(F.col("race_date"), zone, at), "_closed": past_boundary(F.col("registration_close_date"), zone, at), "_drawn": past_boundary(F.col("lottery_result_date"), zone, at)}
