@@ -107,6 +107,29 @@ def candidate_scores(df: DataFrame) -> DataFrame:
     return scored.withColumn("total", F.col("attention") + F.col("search") + F.col("commercial") + F.col("complexity") + F.col("completeness"))
 
 
+# fixed values: what a score from a bound on speaks for, and the texts of the reason; at most four stand
+ADVANTAGES = (
+    ("attention", 22, "跑者认知或赛事品牌信号较强"), ("search", 20, "赛事名和类型具备明确搜索价值"), ("commercial", 15, "住宿、交通、装备或旅行商业场景较强"),
+    ("complexity", 13, "用户报名决策复杂，需要 {site} 提供判断"), ("completeness", 8, "现有 P0/P1 字段基础较好"),
+)
+TRAIL_ADVANTAGE, MOST_ADVANTAGES = "可验证越野赛事高决策成本场景", 4
+SCORE_NAMES = {"attention": "runnerAttention", "search": "searchValue", "commercial": "commercialValue", "complexity": "decisionComplexity", "completeness": "dataCompleteness"}
+BEST_SCORE = "当前候选主要优势来自 {}。"
+
+
+def advantages(scored: DataFrame, site: str) -> DataFrame:
+    """Adds what speaks for a scored candidate (``advantages``) and the ``reason``: those, or its best score where there are none.
+
+    ``site`` is the name by which the texts call the site.
+    """
+    said = [F.when(F.col(c) >= least, F.lit(words.replace("{site}", site))) for c, least, words in ADVANTAGES]
+    trail = F.when(F.col("candidate_type").isin(*TRAIL), F.lit(TRAIL_ADVANTAGE))
+    best = F.array_sort(F.array(*[F.struct((-F.col(c)).cast("double").alias("down"), F.lit(k).alias("k"), F.lit(name).alias("name")) for k, (c, name) in enumerate(SCORE_NAMES.items())]))
+    prefix, suffix = BEST_SCORE.split("{}")
+    out = scored.withColumn("advantages", F.slice(F.array_compact(F.array(*said, trail)), 1, MOST_ADVANTAGES))
+    return out.withColumn("reason", F.when(F.size("advantages") > 0, F.array_join("advantages", "；")).otherwise(F.concat(F.lit(prefix), F.get(best, F.lit(0))["name"], F.lit(suffix))))
+
+
 def candidate_notes(scored: DataFrame) -> DataFrame:
     """Adds issue codes in order, the completion cost and the role of a scored candidate."""
     trail = F.col("candidate_type").isin(*TRAIL)

@@ -38,6 +38,26 @@ def priority_pick(df: DataFrame, keys: Sequence[str], field: str, source: str, p
     return out if rules is None else out.join(F.broadcast(rules), "field", "left")
 
 
+# fixed values: sources whose address of a race comes first, by kind of address
+URL_SOURCES = {"official_url": ("runchina", "itra"), "registration_url": ("zuicool",)}
+
+
+def pick_urls(df: DataFrame, keys: Sequence[str], source: str, priority: Column, confidence: Column, order: Column) -> DataFrame:
+    """``official_url, registration_url`` of each key by their special rule: the preferred sources' best row with either address gives it.
+
+    If that row has none of this kind, or there is no such row, the best row with one does. Best: priority, confidence (both descending), ``order``.
+    """
+    rank = F.struct((-priority).alias("p"), (-confidence).alias("c"), order.alias("o"))
+    any_url = has_value(F.col("official_url")) | has_value(F.col("registration_url"))
+
+    def picked(name: str, sources: Sequence[str]) -> Column:
+        value = F.struct(F.col(name).alias("v"))
+        first = lambda c: F.min_by(value, F.when(c, rank))["v"]
+        return F.coalesce(first(F.col(source).isin(*sources) & any_url), first(has_value(F.col(name))), first(F.lit(True))).alias(name)
+
+    return df.groupBy(*keys).agg(*[picked(*x) for x in URL_SOURCES.items()])
+
+
 def conflicts(df: DataFrame, keys: Sequence[str], field: str, source: str) -> DataFrame:
     """Keys whose field has several distinct values: ``field, n_values, options`` (source=value, sorted)."""
     ok = df.where(has_value(F.col(field))).select(*keys, F.col(field).cast("string").alias("v"), F.col(source).alias("s"))

@@ -93,3 +93,29 @@ def test_pick_in_turn(spark):
     got = c.pick_in_turn(df, rules, ["ord"], "id", 4).orderBy("turn")
     assert [r["id"] for r in got.collect()] == ["t", "m", "n", "h"]
     assert c.pick_in_turn(df.limit(0), rules, ["ord"], "id", 4).count() == 0
+
+
+def test_advantages(spark):
+    from fieldbook.operators import candidates
+
+    rows = [("trail", 30, 25, 20, 15, 10), ("trail", 0, 0, 0, 5, 0), ("marathon", 5, 19, 14, 12, 7), ("marathon", 22, 0, 0, 13, 8), ("other", 3, 3, 3, 2, 0)]
+    df = spark.createDataFrame(rows, "candidate_type string, attention int, search int, commercial int, complexity int, completeness int")
+    got = candidates.advantages(df, "X").collect()
+    texts = [t.replace("{site}", "X") for *_, t in candidates.ADVANTAGES]
+    assert [r["advantages"] for r in got] == [texts[:4], [candidates.TRAIL_ADVANTAGE], [], [texts[0], texts[3], texts[4]], []]
+    assert got[0]["reason"] == "；".join(texts[:4]) and got[2]["reason"] == "当前候选主要优势来自 searchValue。" and got[4]["reason"] == "当前候选主要优势来自 runnerAttention。"
+
+
+def test_pick_urls(spark):
+    from pyspark.sql import functions as F
+
+    from fieldbook.operators import merge
+
+    rows = [
+        ("a", "zuicool", 1, 0.9, 0, "o-z", "r-z"), ("a", "itra", 3, 0.5, 1, None, "r-i"), ("a", "runchina", 2, 0.5, 2, "o-r", None), ("b", "itra", 3, 0.5, 0, None, None), ("b", "runchina", 2, 0.5, 1, "o-r", "r-r"), ("b", "zuicool", 1, 0.9, 2, "o-z", None),
+        ("c", "other", 9, 0.5, 0, "o-x", "r-x"), ("c", "zuicool", 1, 0.5, 1, None, "r-z"), ("d", "other", 1, 0.5, 0, None, ""), ("e", "zuicool", 1, 0.5, 1, None, "second"), ("e", "zuicool", 1, 0.5, 0, None, "first"), ("e", "zuicool", 1, 0.6, 2, None, "surest"),
+    ]
+    df = spark.createDataFrame(rows, "k string, source string, priority int, confidence double, n int, official_url string, registration_url string")
+    got = {r["k"]: (r["official_url"], r["registration_url"]) for r in merge.pick_urls(df, ["k"], "source", F.col("priority"), F.col("confidence"), F.col("n")).collect()}
+    # a: the best preferred row has only the other kind of address, so the general rule finds the official one
+    assert got == {"a": ("o-r", "r-z"), "b": ("o-r", "r-r"), "c": ("o-x", "r-z"), "d": (None, ""), "e": (None, "surest")}
