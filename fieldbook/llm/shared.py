@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +27,31 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("fieldbook.scratch", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="fieldbook-")
         spark.conf.set("fieldbook.scratch", root)
-    return f"{root.rstrip('/')}/fieldbook/{uuid.uuid4().hex}/{name}"
+    scope = spark.conf.get("fieldbook.scope", None)
+    return f"{root.rstrip('/')}/fieldbook/{f'{scope}/' if scope else ''}{uuid.uuid4().hex}/{name}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at its end, so results must be written before. Scopes may lie in one another."""
+    outer = spark.conf.get("fieldbook.scope", None)
+    scope = f"{outer}/{uuid.uuid4().hex}" if outer else uuid.uuid4().hex
+    spark.conf.set("fieldbook.scope", scope)
+    try:
+        yield
+    finally:
+        if outer:
+            spark.conf.set("fieldbook.scope", outer)
+        else:
+            spark.conf.unset("fieldbook.scope")
+        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("fieldbook.scratch", None)
+        if root:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/fieldbook/{scope}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
