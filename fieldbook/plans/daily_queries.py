@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import alerts, apply, daily, extractors, history, identity, monitor, release
+from ..operators import alerts, apply, candidates, daily, extractors, history, identity, merge, monitor, release
 from .queries import query, t
 
 AS_OF = "1997-06-17T12:00:00Z"
@@ -272,3 +272,37 @@ def verification_summary(spark: SparkSession, sf: str) -> DataFrame:
     good = F.col("official") & (F.col("identity") == "matched")
     health = monitor.coverage_health(records, alerts.official_reports(registry, reports), "edition_id", F.coalesce(good, F.lit(False)))
     return daily.summary({"editions": health, "facts": alerts.fact_evidence(records, facts, registry, reports, candidates)}, daily.verification_metrics())
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, ['runchina', 'zuicool', 'itra', 'other'][l_partkey % 4 + 1] AS s, CAST(l_quantity AS INTEGER) AS p, l_discount AS c, (l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS o,
+    CASE WHEN l_tax < 0.04 THEN 'https://o.test/' || l_partkey END AS u, CASE l_returnflag WHEN 'N' THEN 'https://r.test/' || l_suppkey WHEN 'R' THEN '' END AS r FROM lineitem),
+a AS (SELECT *, coalesce(u <> '', false) OR coalesce(r <> '', false) AS either FROM l)
+SELECT l_orderkey, coalesce(first(u ORDER BY p DESC, c DESC, o) FILTER (s IN ('runchina', 'itra') AND either), first(u ORDER BY p DESC, c DESC, o) FILTER (u <> ''), first(u ORDER BY p DESC, c DESC, o)) AS official_url,
+  coalesce(first(r ORDER BY p DESC, c DESC, o) FILTER (s = 'zuicool' AND either), first(r ORDER BY p DESC, c DESC, o) FILTER (r <> ''), first(r ORDER BY p DESC, c DESC, o)) AS registration_url FROM a GROUP BY l_orderkey
+""")
+def merged_urls(spark: SparkSession, sf: str) -> DataFrame:
+    source = F.element_at(F.array(*map(F.lit, ("runchina", "zuicool", "itra", "other"))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    flag = F.col("l_returnflag")
+    rows = t(spark, sf, "lineitem").withColumns({
+        "source": source, "official_url": F.when(F.col("l_tax") < 0.04, F.concat(F.lit("https://o.test/"), F.col("l_partkey").cast("string"))),
+        "registration_url": F.when(flag == "N", F.concat(F.lit("https://r.test/"), F.col("l_suppkey").cast("string"))).when(flag == "R", ""),
+    })
+    return merge.pick_urls(rows, ["l_orderkey"], "source", F.col("l_quantity").cast("int"), F.col("l_discount"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+
+
+@query("""
+WITH s AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'trail' WHEN 'MACHINERY' THEN 'ultra_trail' WHEN 'AUTOMOBILE' THEN 'marathon' ELSE 'other' END AS kind,
+    c_custkey % 31 AS a, c_custkey % 26 AS b, c_nationkey % 21 AS c, 5 + c_custkey % 11 AS d, c_custkey % 11 AS e FROM customer),
+w AS (SELECT *, list_slice(list_filter([CASE WHEN a >= 22 THEN '跑者认知或赛事品牌信号较强' END, CASE WHEN b >= 20 THEN '赛事名和类型具备明确搜索价值' END, CASE WHEN c >= 15 THEN '住宿、交通、装备或旅行商业场景较强' END,
+    CASE WHEN d >= 13 THEN '用户报名决策复杂，需要 X 提供判断' END, CASE WHEN e >= 8 THEN '现有 P0/P1 字段基础较好' END, CASE WHEN kind IN ('trail', 'ultra_trail') THEN '可验证越野赛事高决策成本场景' END], lambda x: x IS NOT NULL), 1, 4) AS said FROM s)
+SELECT c_custkey, len(said) AS n, CASE WHEN len(said) > 0 THEN array_to_string(said, '；') ELSE '当前候选主要优势来自 ' || CASE greatest(a, b, c, d, e) WHEN a THEN 'runnerAttention' WHEN b THEN 'searchValue' WHEN c THEN 'commercialValue'
+  WHEN d THEN 'decisionComplexity' ELSE 'dataCompleteness' END || '。' END AS reason FROM w
+""")
+def candidate_advantages(spark: SparkSession, sf: str) -> DataFrame:
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    kind = F.when(segment == "BUILDING", "trail").when(segment == "MACHINERY", "ultra_trail").when(segment == "AUTOMOBILE", "marathon").otherwise("other")
+    scored = t(spark, sf, "customer").select(
+        "c_custkey", kind.alias("candidate_type"), (k % 31).alias("attention"), (k % 26).alias("search"), (F.col("c_nationkey") % 21).alias("commercial"), (k % 11 + 5).alias("complexity"), (k % 11).alias("completeness")
+    )
+    return candidates.advantages(scored, "X").select("c_custkey", F.size("advantages").cast("bigint").alias("n"), "reason")
