@@ -47,18 +47,20 @@ def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
 def release_diff(live: DataFrame, expected: DataFrame, live_tree: dict[int, DataFrame] | None = None, expected_tree: dict[int, DataFrame] | None = None, bits: int = LEAF_BITS) -> DataFrame:
     """``path, change`` (missing, unexpected, changed) of two releases ``path, body``.
 
-    Trees that were stored with their release are compared from the root: level by level only groups below differing ones are looked at, and
-    only rows of differing leaf groups are compared. Without stored trees they are made first.
+    Trees that were stored with their releases (:func:`tree`, written) are compared from the root: level by level only groups below differing
+    ones are looked at. Without both of them the leaf groups are hashed and compared at once. Either way only rows of differing leaf groups are
+    compared.
     """
-    a, b = live_tree or tree(live, bits=bits), expected_tree or tree(expected, bits=bits)
-    levels = sorted(a)
-    groups = _differing(a[0], b[0])
-    for above, level in zip(levels, levels[1:]):
-        under = lambda d: d.withColumn("_up", F.shiftrightunsigned("g", level - above)).join(groups.select(F.col("g").alias("_up")), "_up", "left_semi")  # noqa: B023, E731
-        groups = _differing(under(a[level]), under(b[level]))
-        if groups.isEmpty():
-            return live.sparkSession.createDataFrame([], "path string, change string")
-    leaf = F.shiftrightunsigned(F.conv(F.substring(F.sha2(F.coalesce(F.col("path"), F.lit("")), 256), 1, 8), 16, 10).cast("long"), 32 - levels[-1])
+    if live_tree and expected_tree:
+        levels = sorted(live_tree)
+        bits = levels[-1]
+        groups = _differing(live_tree[0], expected_tree[0])
+        for above, level in zip(levels, levels[1:]):
+            under = lambda d: d.withColumn("_up", F.shiftrightunsigned("g", level - above)).join(groups.select(F.col("g").alias("_up")), "_up", "left_semi")  # noqa: B023, E731
+            groups = _differing(under(live_tree[level]), under(expected_tree[level]))
+    else:
+        groups = _differing(tree(live, bits=bits)[bits], tree(expected, bits=bits)[bits])
+    leaf = F.shiftrightunsigned(F.conv(F.substring(F.sha2(F.coalesce(F.col("path"), F.lit("")), 256), 1, 8), 16, 10).cast("long"), 32 - bits)
     of = lambda df, name: df.withColumn("g", leaf).join(groups, "g", "left_semi").groupBy("path").agg(F.sort_array(F.collect_list(F.coalesce(F.sha2("body", 256), F.lit(EMPTY)))).alias(name))
     x, y = of(live, "_l"), of(expected, "_e").withColumnRenamed("path", "_p")
     j = x.join(y, F.expr("path <=> _p"), "full_outer").select(F.coalesce("path", "_p").alias("path"), "_l", "_e")

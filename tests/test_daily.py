@@ -179,6 +179,10 @@ def test_release_diff_equals_except_all(spark):
     for bits in (0, 4, 9, 16):
         got = {r["path"] for r in release.release_diff(live, expected, bits=bits).collect()}
         assert got == {r["path"] for r in live.exceptAll(expected).union(expected.exceptAll(live)).collect()} and len(got) > 5
+    stored = lambda x: {k: spark.createDataFrame(d.collect(), d.schema) for k, d in release.tree(x, bits=8).items()}
+    trees = stored(live), stored(expected)
+    assert sorted(trees[0]) == [0, 4, 8] and {r["path"] for r in release.release_diff(live, expected, *trees).collect()} == got
+    assert release.release_diff(live, live, trees[0], trees[0]).isEmpty()
     kinds = {r["path"]: r["change"] for r in release.release_diff(live, expected).collect()}
     assert kinds["/api/races/new"] == "unexpected" and kinds["/api/races/r1"] == "changed" and "missing" in kinds.values()
     assert release.release_diff(live, live).isEmpty() and release.release_diff(live.limit(0), live.limit(0)).isEmpty()
