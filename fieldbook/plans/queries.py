@@ -72,11 +72,13 @@ SELECT o_orderkey, o_orderstatus, string_agg(CAST(l_partkey AS VARCHAR), ',' ORD
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey = 7 GROUP BY ALL
 """)
 def catalog_point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Point lookup with its nested rows in display order; the key reaches both scans."""
+    """Point lookup with its nested rows in display order; the key reaches both scans. Lines of one number stay in the table's order."""
     o = catalog.point_lookup(t(spark, d, "orders"), "o_orderkey", 7)
-    lines = t(spark, d, "lineitem").where("l_orderkey = 7").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
-    j = o.join(lines, o.o_orderkey == lines.l_orderkey)
-    return j.select("o_orderkey", "o_orderstatus", F.array_join(F.transform("lines", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"), F.size("lines").cast("bigint").alias("n_lines"))
+    place = F.struct(F.col("l_linenumber").isNull().alias("unnumbered"), "l_linenumber", "_metadata.file_path", "_metadata.row_index")
+    lines = catalog.point_lookup(t(spark, d, "lineitem"), "l_orderkey", 7).select("l_orderkey", "l_partkey", place.alias("place"))
+    j = o.join(lines, o.o_orderkey == lines.l_orderkey).groupBy("o_orderkey", "o_orderstatus").agg(F.array_sort(F.collect_list(F.struct("place", "l_partkey"))).alias("lines"))
+    parts = F.array_compact(F.transform("lines", lambda x: x["l_partkey"].cast("string")))
+    return j.select("o_orderkey", "o_orderstatus", F.when(F.size(parts) > 0, F.array_join(parts, ",")).alias("parts"), F.size("lines").cast("bigint").alias("n_lines"))
 
 
 @query("""
