@@ -168,6 +168,26 @@ def test_earlier_changes_decide_over_later_ones(spark):
     assert values["e2", None, "registrationStatus"] == ("registration_closed", "s2", 0.9) and values["e1", "c1", "distanceKm"] == ("42", None, None)
 
 
+def test_missing_evidence_and_flat_columns_of_the_fold(spark):
+    outcome, _ = run_apply(spark, [{"evidence": [None]}, {"say": [("s1", H1, "\ufeff")]}, {"say": [("s1", H1, "said", float("nan"))]}, {"evidence": None}, {"say": [("s1", H1, "said", None)]}, {"new_value": None}])
+    assert outcome == {"x0": "evidence:unregistered", "x1": "evidence:incomplete", "x2": "evidence:incomplete", "x3": "no_evidence", "x4": "evidence:incomplete", "x5": "value:empty"}
+    out = apply.apply_in_order(*(spark.createDataFrame([], x) for x in (SNAP, SRC, CH)), True)
+    fold = out._jdf.queryExecution().analyzed().child().schema().simpleString()  # rows of nested structs took most of the time in Python
+    assert fold.count("struct<") == 1 and out.count() == 0
+
+
+def test_fold_over_many_batches(spark):
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        turn = [("lottery", "registration_open"), ("registration_open", "lottery")]
+        outcome, values = run_apply(spark, [{"old_value": turn[k % 2][0], "new_value": turn[k % 2][1], "conflict": k == 4} for k in range(11)])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+    assert [outcome[f"x{k}"] for k in range(11)] == ["applied"] * 4 + ["conflict"] + ["stale", "applied"] + ["applied"] * 4
+    assert values["e1", None, "registrationStatus"] == ("registration_open", "s1", 0.9) and len(values) == 5
+
+
 # ---------------------------------------------------------------- releases
 
 
