@@ -91,22 +91,21 @@ def core_points_complete(c: Column) -> Column:
     return F.forall(points, lambda p: _yes(whole(p))) & (F.size(F.array_distinct(F.transform(points, lambda p: p["display_order"]))) == F.size(points))
 
 
-def categories_with_verdict(records: DataFrame) -> DataFrame:
-    """One row per category: ``edition_id, category`` and whether it may be shown.
+def category_sound(c: Column, edition_id: Column) -> Column:
+    """Whether a category may be shown as far as its own row tells; the order of its course points is checked as rows."""
+    return (
+        _full(c["category_id"]) & _yes(c["edition_id"] == edition_id) & _full(c["category_name"]) & _yes(F.abs(c["display_order"]) < float("inf"))
+        & (c["elevation_loss"].isNull() | _yes((c["elevation_loss"] >= 0) & (c["elevation_loss"] < float("inf"))))
+        & _yes(points_status_valid(c, core_points_complete(c))) & (governance_publishable(c["governance"]) | localized_conflict(c))
+    )
 
-    Course points are checked as rows (their order matters), not inside the record.
-    """
+
+def bad_points(records: DataFrame) -> DataFrame:
+    """``edition_id, category_id`` of the categories whose course points have issues."""
     c = F.col("category")
     rows = records.select(F.col("edition.edition_id").alias("edition_id"), F.explode("categories").alias("category"))
-    points = rows.select(c["category_id"].alias("category_id"), F.explode(c["course_points"]).alias("p")).select("category_id", "p.*")
-    checked = course_point_issues(points).groupBy("category_id").agg(F.max(F.size("issues")).alias("_issues"))
-    j = rows.join(checked.withColumnRenamed("category_id", "_cid"), F.expr("category.category_id = _cid"), "left").drop("_cid")
-    ok = (
-        _full(c["category_id"]) & _yes(c["edition_id"] == F.col("edition_id")) & _full(c["category_name"]) & _yes(F.abs(c["display_order"]) < float("inf"))
-        & (c["elevation_loss"].isNull() | _yes((c["elevation_loss"] >= 0) & (c["elevation_loss"] < float("inf")))) & (F.coalesce("_issues", F.lit(0)) == 0)
-        & _yes(points_status_valid(c, core_points_complete(c))) & (governance_publishable(c["governance"]) | localized_conflict(c))
-    )
-    return j.select("edition_id", "category", ok.alias("publishable"))
+    points = rows.select("edition_id", c["category_id"].alias("category_id"), F.explode(c["course_points"]).alias("p")).select("edition_id", "category_id", "p.*")
+    return course_point_issues(points).where(F.size("issues") > 0).select("edition_id", "category_id").distinct()
 
 
 def public_category(c: Column, primary: Column) -> Column:
@@ -128,25 +127,28 @@ def publishable_details(records: DataFrame, gate: DataFrame) -> DataFrame:
     dates in order, verified governance, an open gate, and its primary category among those that may be shown.
     """
     e, v = F.col("edition"), F.col("event")
-    judged = categories_with_verdict(records).where("publishable")
-    shown = judged.groupBy("edition_id").agg(F.collect_list("category").alias("_shown"))  # the categories of one edition
-    r = records.withColumn("_id", e["edition_id"]).join(gate.select(F.col("edition_id").alias("_id"), "gate_publishable"), "_id", "left").join(shown.withColumnRenamed("edition_id", "_id"), "_id", "left")
     start, end = strict_date(e["race_date"]), strict_date(e["end_date"])
-    primary = F.when(e["primary_category_id"] != "", e["primary_category_id"])
     conditions = [
         _full(v["event_id"]), _full(e["edition_id"]), e["event_id"] == v["event_id"], _full(e["edition_name"]), v["lifecycle_status"] == "active", e["lifecycle_status"] == "active",
         e["race_date"].isNull() | start.isNotNull(), e["end_date"].isNull() | _yes(end >= start), governance_publishable(v["governance"]), governance_publishable(e["governance"]),
-        F.col("gate_publishable"), primary.isNull() | F.exists("_shown", lambda c: c["category_id"] == primary),
     ]
-    ok = r.where(publishable(F.array().cast("array<string>"), (), *conditions))
+    none, primary = F.array().cast("array<string>"), F.when(F.col("_primary") != "", F.col("_primary"))
+    has_primary = primary.isNull() | F.exists("categories", lambda c: c["category_id"] == primary)
+    # an edition is judged in its own row, and only what may be shown then travels
+    own = records.where(publishable(none, (), *conditions)).withColumn("_shown", F.filter(F.coalesce("categories", F.array()), lambda c: category_sound(c, e["edition_id"])))
     place = [e[x] for x in ("country", "province", "city", "district", "venue")]
-    return ok.select(
+    rows = own.select(
         e["edition_id"].alias("edition_id"), v["event_id"].alias("event_id"), e["edition_id"].alias("slug"), e["edition_name"].alias("name"), v["event_type"].alias("race_type"), e["race_date"].alias("race_date"),
         e["end_date"].alias("end_date"), date_range_text(e["race_date"], e["end_date"]).alias("date_display"), F.struct(*[x.alias(n) for x, n in zip(place, ("country", "province", "city", "district", "venue"))]).alias("location"),
         location_text(*place).alias("location_display"), e["cover_image"].alias("cover_image"), e["hero_image"].alias("hero_image"), e["registration_status"].alias("registration_status"), e["registration_url"].alias("registration_url"),
-        F.array_sort(F.transform(F.coalesce("_shown", F.array()), lambda c: public_category(c, e["primary_category_id"]))).alias("categories"), e["primary_category_id"].alias("_primary"),
+        F.array_sort(F.transform("_shown", lambda c: public_category(c, e["primary_category_id"]))).alias("categories"), e["primary_category_id"].alias("_primary"),
         F.transform("categories", lambda c: c["category_id"]).alias("_category_ids"),
     )
+    rows = rows.where(has_primary)
+    bad = bad_points(records).groupBy("edition_id").agg(F.collect_set("category_id").alias("_bad"))  # categories of one edition
+    j = rows.join(gate.select("edition_id", "gate_publishable"), "edition_id").where("gate_publishable").join(bad, "edition_id", "left").drop("gate_publishable")
+    kept = F.when(F.col("_bad").isNull(), F.col("categories")).otherwise(F.filter("categories", lambda c: ~F.array_contains("_bad", c["category_id"])))
+    return j.withColumn("categories", kept).drop("_bad").where(has_primary)
 
 
 def with_editorial(details: DataFrame, content: DataFrame, rooms: DataFrame) -> DataFrame:

@@ -242,18 +242,23 @@ def public_editions(spark: SparkSession, d: str) -> DataFrame:
         }
         return F.struct(*[c.alias(n) for n, c in fields.items()])
 
-    n, q, returned = F.col("l_linenumber"), F.col("l_quantity").cast("double"), F.col("l_returnflag") == "R"
     trace = F.array(F.struct(F.lit("elevationGain").alias("field"), F.lit("placeholder").alias("selected_source"), F.lit(2).alias("n_candidates")))
-    official = F.array(F.struct(F.lit("official").alias("source_type"), F.create_map(F.lit("startLocation"), F.lit("A"), F.lit("finishLocation"), F.when(n % 2 == 0, "B").otherwise("other")).alias("raw_data")))
-    facts = F.create_map(F.lit("distanceKm"), F.when(q > 5, "official").otherwise("media"), F.lit("cutoffTimeHours"), F.lit("official"))
-    pending = governance(F.lit(False), F.lit("pending"), strings("elevation_conflict_needs_review"), strings("elevationGain"), facts, trace, official)
-    ready = governance(F.lit(True), F.lit("verified"), none("array<string>"), none("array<string>"), facts, trace, official)
-    category = {
-        "category_id": F.concat_ws("-", "l_orderkey", n.cast("string")), "edition_id": F.col("l_orderkey").cast("string"), "category_name": F.lit("c"), "short_name": none(), "distance_km": q, "elevation_gain": none("double"), "elevation_loss": none("double"), "cutoff_time_hours": F.lit(6.0),
-        "start_at": none(), "start_location": F.lit("A"), "finish_location": F.lit("B"), "registration_url": none(), "display_order": (100 - n).cast("int"), "course_points": none("array<struct<point_id:string,display_order:int,name:string,type:string,distance_km:double,cutoff_at:string>>"),
-        "course_point_data_status": none(), "updated_at": F.lit("t"), "governance": F.when(returned, pending).otherwise(ready),
-    }
-    cats = l.groupBy("l_orderkey").agg(F.collect_list(F.struct(*[c.alias(k) for k, c in category.items()])).alias("categories"))
+
+    def category(line):
+        n, q, returned = line["l_linenumber"], line["l_quantity"].cast("double"), line["l_returnflag"] == "R"
+        official = F.array(F.struct(F.lit("official").alias("source_type"), F.create_map(F.lit("startLocation"), F.lit("A"), F.lit("finishLocation"), F.when(n % 2 == 0, "B").otherwise("other")).alias("raw_data")))
+        facts = F.create_map(F.lit("distanceKm"), F.when(q > 5, "official").otherwise("media"), F.lit("cutoffTimeHours"), F.lit("official"))
+        pending = governance(F.lit(False), F.lit("pending"), strings("elevation_conflict_needs_review"), strings("elevationGain"), facts, trace, official)
+        ready = governance(F.lit(True), F.lit("verified"), none("array<string>"), none("array<string>"), facts, trace, official)
+        fields = {
+            "category_id": F.concat_ws("-", "l_orderkey", n.cast("string")), "edition_id": F.col("l_orderkey").cast("string"), "category_name": F.lit("c"), "short_name": none(), "distance_km": q, "elevation_gain": none("double"), "elevation_loss": none("double"), "cutoff_time_hours": F.lit(6.0),
+            "start_at": none(), "start_location": F.lit("A"), "finish_location": F.lit("B"), "registration_url": none(), "display_order": (100 - n).cast("int"), "course_points": none("array<struct<point_id:string,display_order:int,name:string,type:string,distance_km:double,cutoff_at:string>>"),
+            "course_point_data_status": none(), "updated_at": F.lit("t"), "governance": F.when(returned, pending).otherwise(ready),
+        }
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    # lines travel as they are and become categories in their order's row
+    cats = l.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag")).alias("lines")).select("l_orderkey", F.transform("lines", category).alias("categories"))
     k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
     own = governance(k % 7 != 0, F.lit("auto_verified"), F.when(k % 11 == 0, strings("test_only")).otherwise(strings("other")))
     fine = governance(F.lit(True), F.lit("verified"), none("array<string>"))

@@ -48,6 +48,18 @@ def test_edition_conditions(spark):
     assert shown(spark, record(), gate=False).count() == 0
 
 
+def test_editions_are_judged_in_their_own_rows(spark):
+    """Categories were taken apart, joined and collected again with all their governance; two rows of one id got each other's categories."""
+    point = lambda at, km: (f"lake-2026-late-{at}", {"a": 1, "b": 2}[at], at, "aid", km, None)
+    late = category("late", display_order=3, course_points=[point("a", 9.0), point("b", 5.0)], course_point_data_status="partial")
+    fine = category("fine", display_order=2)
+    out = shown(spark, record(categories=[category(), late, fine]))
+    assert [c["category_id"] for c in out.first()["categories"]] == ["lake-2026-full", "lake-2026-fine"]
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    twice = shown(spark, record(), record(categories=[category(), fine])).collect()
+    assert sorted(len(x["categories"]) for x in twice) == [1, 1, 2, 2]  # the gate has two rows too
+
+
 def conflict(**more):
     g = {"verified": False, "verification_status": "pending", "internal_flags": ["elevation_conflict_needs_review"], "missing_fields": ["elevationGain"], "field_sources": {"distanceKm": "official", "cutoffTimeHours": "official"},
          "merge_trace": [{"field": "elevationGain", "selected_source": "placeholder", "n_candidates": 2}], "sources": [{"source_type": "official", "raw_data": {"startLocation": "A", "finishLocation": "B"}}]}
