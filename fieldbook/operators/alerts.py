@@ -107,40 +107,52 @@ def crossed_boundary(before: Column, after: Column) -> Column:
     return a.isNull() | b.isNull() | no(a > b) | moved | no(near)
 
 
+def official_ids(registry: DataFrame) -> DataFrame:
+    return active_sources(registry).where(F.col("tier") == OFFICIAL).select("edition_id", "source_id", F.lit(True).alias("_o")).distinct()
+
+
 def official_reports(registry: DataFrame, reports: DataFrame) -> DataFrame:
     """Reports with ``official``: their source is an eligible official source of the edition."""
-    ids = active_sources(registry).where(F.col("tier") == OFFICIAL).select("edition_id", "source_id", F.lit(True).alias("_o")).distinct()
-    return reports.join(ids, ["edition_id", "source_id"], "left").withColumn("official", no(F.col("_o"))).drop("_o")
+    return reports.join(official_ids(registry), ["edition_id", "source_id"], "left").withColumn("official", no(F.col("_o"))).drop("_o")
 
 
 def fact_evidence(records: DataFrame, facts: DataFrame, registry: DataFrame, reports: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each critical fact of a monitored edition: ``edition_id, category_id, field, present, n_effective, status, sources``."""
-    matched = F.col("official") & (F.col("source_tier") == OFFICIAL) & (F.col("identity") == "matched") & F.col("extraction").isin("success", "unchanged")
-    usable = official_reports(registry, reports).where(no(matched))
-    effective = usable.groupBy("edition_id").agg(F.count_distinct("source_id").alias("n_effective"))
-    direct_text = (F.trim("evidence_text") != "") & (F.trim("evidence_locator") != "")
-    said = candidates.withColumns(
-        {"_direct": no((F.col("action") == "no_change") & (F.col("diff") == "UNCHANGED") & direct_text & F.col("value").eqNullSafe(F.col("current_value"))), "_c": F.coalesce("category_id", F.lit(""))}
-    ).where((F.col("authority") == "authoritative") & (F.col("target_edition_id") == F.col("edition_id")) & (F.col("entity_type") == F.when(F.col("category_id").isNull(), "Edition").otherwise("Category")))
+    """Each critical fact of a monitored edition: ``edition_id, category_id, field, present, n_effective, status, sources``.
+
+    What a row tells by itself is decided before it travels, so only reports and candidates that can count do, with the columns that count.
+    """
+    matched = (F.col("source_tier") == OFFICIAL) & (F.col("identity") == "matched") & F.col("extraction").isin("success", "unchanged")
     request = (F.col("request") == "success") | ((F.col("extraction") == "unchanged") & (F.col("request") == "skipped"))
-    said = said.join(usable.select("edition_id", "source_id", F.col("source_url").alias("_url"), "extraction", "fetched_at", no(request).alias("_asked")), ["edition_id", "source_id"])
-    fresh = F.col("extraction") == "success"
-    keys = ["edition_id", "_c", "field", "event_id", "value", "source_id", "extraction", F.when(fresh, None).otherwise(F.col("evidence_verified_at")).alias("_since"), F.when(fresh, None).otherwise(F.col("fetched_at")).alias("_until")]
-    # many candidates say the same: one row for each thing that a source says
-    said = said.groupBy(*keys).agg(F.max(F.col("_direct") & F.col("_asked") & F.col("source_url").eqNullSafe(F.col("_url"))).alias("_direct"))
-    said = said.withColumnsRenamed({"value": "_value", "event_id": "_event"})
-    about = known_zone(records.where("monitored")).select("edition_id", "event_id", "timezone", *BOUNDARIES)
-    rows = facts.withColumn("_c", F.coalesce("category_id", F.lit(""))).join(about, "edition_id").join(said, ["edition_id", "_c", "field"], "left")
-    same_event, same = F.col("_event") == F.col("event_id"), F.col("_value").eqNullSafe(F.col("value"))
     fresh = F.col("extraction") == "success"
-    holds = fresh | ((F.coalesce("_since", F.lit("")) != "") & ~crossed_boundary(F.col("_since"), F.col("_until")))
-    agrees, contrary = no(F.col("_direct") & same_event & same & holds), no(fresh & same_event & ~same)
-    out = rows.groupBy("edition_id", "category_id", "field", "value").agg(
-        F.max(contrary).alias("_no"), F.max(agrees & fresh).alias("_now"), F.max(agrees).alias("_ever"), F.sort_array(F.collect_set(F.when(agrees, F.col("source_id")))).alias("sources")
+    usable = reports.where(matched).select("edition_id", "source_id", F.when(no(request), F.col("source_url")).alias("_url"), no(request).alias("_asked"), fresh.alias("_fresh"), F.when(~fresh, F.col("fetched_at")).alias("_until"))
+    usable = usable.join(official_ids(registry), ["edition_id", "source_id"], "left_semi")
+    effective = usable.groupBy("edition_id").agg(F.count_distinct("source_id").alias("n_effective"))
+    direct_text = (F.trim("evidence_text") != "") & (F.trim("evidence_locator") != "")
+    direct = no((F.col("action") == "no_change") & (F.col("diff") == "UNCHANGED") & direct_text & F.col("value").eqNullSafe(F.col("current_value")))
+    entity = F.when(F.col("category_id").isNull(), "Edition").otherwise("Category")
+    said = candidates.where((F.col("authority") == "authoritative") & (F.col("target_edition_id") == F.col("edition_id")) & (F.col("entity_type") == entity)).select(
+        "edition_id", "source_id", F.coalesce("category_id", F.lit("")).alias("_c"), "field", F.col("event_id").alias("_event"), F.col("value").alias("_value"), direct.alias("_direct"), F.when(direct, F.col("source_url")).alias("_said_url"), F.when(direct, F.col("evidence_verified_at")).alias("_since")
+    )
+    said = said.join(usable, ["edition_id", "source_id"])
+    told = F.col("_direct") & F.col("_asked") & F.col("_said_url").eqNullSafe(F.col("_url"))
+    # what neither confirms nor contradicts goes no further; of what contradicts, neither source nor time counts
+    said = said.withColumn("_direct", told).where(F.col("_direct") | F.col("_fresh"))
+    stale = F.col("_direct") & ~F.col("_fresh")
+    said = said.select("edition_id", "_c", "field", "_event", "_value", "_direct", "_fresh", F.when(F.col("_direct"), F.col("source_id")).alias("source_id"), F.when(stale, F.col("_since")).alias("_since"), F.when(stale, F.col("_until")).alias("_until"))
+    # many candidates say the same: one row for each thing that a source says; it meets its record, so that facts needn't carry boundaries
+    about = known_zone(records.where("monitored")).select("edition_id", F.col("event_id").alias("_event"), "timezone", *BOUNDARIES)
+    said = said.distinct().join(about, ["edition_id", "_event"])
+    holds = F.col("_fresh") | ((F.coalesce("_since", F.lit("")) != "") & ~crossed_boundary(F.col("_since"), F.col("_until")))
+    said = said.select("edition_id", "_c", "field", "_value", "_fresh", F.when(F.col("_direct") & holds, F.col("source_id")).alias("_by")).where(F.col("_fresh") | F.col("_by").isNotNull())
+    checked = records.where("monitored").select("edition_id").distinct().join(effective, "edition_id", "left")
+    rows = facts.withColumn("_c", F.coalesce("category_id", F.lit(""))).join(checked, "edition_id").join(said, ["edition_id", "_c", "field"], "left")
+    same = F.col("_value").eqNullSafe(F.col("value"))
+    agrees, contrary = F.col("_by").isNotNull() & same, no(F.col("_fresh") & ~same)
+    out = rows.groupBy("edition_id", "_c", "category_id", "field", "value").agg(
+        F.max(contrary).alias("_no"), F.max(agrees & F.col("_fresh")).alias("_now"), F.max(agrees).alias("_ever"), F.sort_array(F.collect_set(F.when(agrees, F.col("_by")))).alias("sources"), F.max("n_effective").alias("n_effective")
     )
     present = F.coalesce(~F.col("value").isin("", "null", '""', "[]", '"unknown"'), F.lit(False))
     status = F.when(~present, "UNKNOWN").when(no(F.col("_no")), "NOT_VERIFIED_THIS_RUN").when(no(F.col("_now")), CONFIRMED[0]).when(no(F.col("_ever")), CONFIRMED[1]).otherwise("NOT_VERIFIED_THIS_RUN")
-    out = out.join(effective, "edition_id", "left")
     return out.select("edition_id", "category_id", "field", present.alias("present"), F.coalesce("n_effective", F.lit(0)).alias("n_effective"), status.alias("status"), "sources")
 
 
@@ -152,14 +164,15 @@ def edition_sources(registry: DataFrame, reports: DataFrame) -> DataFrame:
     """One row for each edition that has sources or reports: what its sources are and did, as sorted ids."""
     good = F.col("extraction").isin("success", "unchanged")
     own = active_sources(registry).where(F.col("tier") == OFFICIAL).select("edition_id", "source_id", F.lit(True).alias("_own"), no(F.col("is_primary")).alias("_primary"))
-    what = official_reports(registry, reports).select(
-        "edition_id", "source_id", (no(F.col("official") & (F.col("source_tier") == OFFICIAL) & (F.col("identity") == "matched") & good)).alias("_effective"),
-        no(F.col("official") & (F.col("extraction") == "identity_uncertain")).alias("_uncertain"), no(~F.col("official") & good).alias("_auxiliary"),
-    )
+    what = reports.select(
+        "edition_id", "source_id", no((F.col("source_tier") == OFFICIAL) & (F.col("identity") == "matched") & good).alias("_effective"), no(F.col("extraction") == "identity_uncertain").alias("_uncertain"), no(good).alias("_auxiliary")
+    )
     flags = ("_own", "_primary", "_effective", "_uncertain", "_auxiliary")
-    both = own.unionByName(what, allowMissingColumns=True)
-    # reports of one source meet first, so the sets of an edition grow with its sources and not with its reports
+    # one shuffle by edition serves both steps; a source's registry rows and reports meet first, so the sets of an edition grow with its sources and not with its reports
+    both = own.unionByName(what, allowMissingColumns=True).repartition("edition_id")
     each = both.groupBy("edition_id", "source_id").agg(*[no(F.max(f)).alias(f) for f in flags], F.count_if(F.col("_uncertain")).alias("_n"))
+    mine = F.col("_own") & F.col("source_id").isNotNull()
+    each = each.withColumns({"_effective": mine & F.col("_effective"), "_uncertain": mine & F.col("_uncertain"), "_auxiliary": ~mine & F.col("_auxiliary"), "_n": F.when(mine, F.col("_n")).otherwise(0)})
     return each.groupBy("edition_id").agg(
         _ids(F.col("_own")).alias("official"), _ids(F.col("_effective")).alias("effective"), _ids(F.col("_own") & F.col("_primary") & ~F.col("_effective")).alias("failed_primary"),
         _ids(F.col("_uncertain")).alias("uncertain"), _ids(F.col("_auxiliary")).alias("auxiliary"), F.sum("_n").alias("n_uncertain"),

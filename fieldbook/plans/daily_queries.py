@@ -30,7 +30,7 @@ def edition_records(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("e"), "o_custkey").alias("event_id"), F.concat(F.lit("o"), "o_orderkey").alias("edition_id"), F.when(F.col("o_custkey") % 5 != 0, "UTC").alias("timezone"),
         after(F.col("o_custkey") % 60).alias("race_date"), F.lit(None).cast("string").alias("end_date"), F.lit(None).cast("string").alias("registration_open_date"),
         F.when(F.col("o_orderstatus") != "P", after(F.col("o_custkey") % 17)).alias("registration_close_date"),
-        F.when(F.col("o_orderkey") % 3 == 0, after(F.lit(20))).alias("lottery_result_date"), status.alias("registration_status"), (F.col("o_totalprice") > 2_000).alias("monitored"), "o_custkey",
+        F.when(F.col("o_orderkey") % 3 == 0, after(F.lit(20))).alias("lottery_result_date"), status.alias("registration_status"), (F.col("o_totalprice") > 2_000).alias("monitored"), "o_custkey", "o_orderkey",
     )
 
 
@@ -41,14 +41,16 @@ def check_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
     said = [(none, "registrationStatus", quoted(F.col("registration_status"))), (none, "raceDate", quoted(F.col("race_date"))), *((F.lit(f"c{k}"), "distanceKm", (F.col("o_custkey") % 5 + k).cast("string")) for k in (0, 1))]
     own = F.inline(F.array(*[F.struct(c.alias("category_id"), F.lit(field).alias("field"), v.alias("value")) for c, field, v in said]))
     facts = records.select("edition_id", own)
-    lines = t(spark, sf, "lineitem").withColumns({"edition_id": F.concat(F.lit("o"), "l_orderkey"), "source_id": F.concat_ws("-", F.concat(F.lit("s"), "l_linenumber"), "l_partkey", "l_suppkey")})
+    ids = {"edition_id": F.concat(F.lit("o"), "l_orderkey"), "source_id": F.concat_ws("-", F.concat(F.lit("s"), "l_linenumber"), "l_partkey", "l_suppkey")}
+    lines = t(spark, sf, "lineitem").withColumns(ids)
     official = F.col("l_linestatus") == "O"
     tier = F.when(official, alerts.OFFICIAL).otherwise("trusted_structured")
     registry = lines.select("edition_id", "source_id", tier.alias("tier"), F.when(official, "notice").otherwise("structured_connector").alias("source_type"), F.when(F.col("l_tax") < 0.07, "active").otherwise("paused").alias("status"), (F.col("l_linenumber") <= 2).alias("is_primary"))
     fate = F.when(F.col("l_returnflag") == "A", "success").when(F.col("l_returnflag") == "N", "unchanged").when(F.col("l_discount") > 0.05, "fetch_error").otherwise("identity_uncertain")
     url = F.concat(F.lit("https://"), "source_id", F.lit(".test/"))
     reports = lines.select("edition_id", "source_id", url.alias("source_url"), tier.alias("source_tier"), F.when(F.col("l_returnflag") != "R", "matched").alias("identity"), fate.alias("extraction"), F.when(F.col("l_returnflag") == "A", "success").otherwise("skipped").alias("request"), F.lit(AS_OF).alias("fetched_at"))
-    j = lines.join(records.select("edition_id", "event_id", "race_date", "registration_status", "o_custkey"), "edition_id")
+    own = records.select("o_orderkey", "event_id", "race_date", "registration_status", "o_custkey")
+    j = t(spark, sf, "lineitem").join(own, F.col("l_orderkey") == F.col("o_orderkey")).withColumns(ids)  # keys are short: texts are made after the shuffle
     kind = F.col("l_suppkey") % 3
     value = F.when(kind == 0, F.when(F.col("l_partkey") % 4 == 0, '"lottery"').otherwise(quoted(F.col("registration_status")))).when(kind == 1, quoted(F.when(F.col("l_partkey") % 6 == 0, day(F.col("l_shipdate"))).otherwise(F.col("race_date"))))
     value = value.otherwise((F.col("o_custkey") % 5 + F.col("l_linenumber") % 2).cast("string"))

@@ -147,3 +147,18 @@ def test_ids_and_attention(judged, spark):
     before = al.signature(alerts).where("edition_id <> 'degraded'").selectExpr("alert_id", "if(edition_id = 'lottery', 'x', signature) as signature")
     new = {r["edition_id"] for r in al.attention(before, alerts).where("is_new").collect()}
     assert new == {"degraded", "lottery"} and al.attention(None, alerts).where("not is_new").isEmpty()
+
+
+def test_few_shuffles(spark):
+    """Sources of editions take one shuffle, and facts none after they met what is said about them."""
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    registry, reports = empty(REGISTRY), empty(REPORT)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert plan(al.edition_sources(registry, reports)).count("Exchange hashpartitioning(edition_id") == 1
+        shuffles = [x for x in plan(al.fact_evidence(empty(RECORD), empty(FACT), registry, reports, empty(CANDIDATE))).split("\n") if "Exchange hashpartitioning" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert shuffles and not any("category_id" in x for x in shuffles)
