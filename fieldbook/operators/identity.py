@@ -19,6 +19,8 @@ from ..functions.unicode import identity_text
 #: Bounds of a block: what an executor holds as an automaton.
 BLOCK_NAMES, BLOCK_CHARS = 100_000, 4 << 20
 SHORTEST = 3
+#: Hits that a task holds before it gives them on.
+BATCH_HITS = 10_000
 
 
 def identity_names(events: DataFrame) -> DataFrame:
@@ -60,13 +62,19 @@ def name_hits(documents: DataFrame, names: DataFrame, key: str = "doc_id", text:
             for name, events in shared.value:
                 automaton.add_word(name, automaton.get(name, []) + list(events))
             automaton.make_automaton()
+            def found(keys: list, hits: list) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(hits, EVENT_TYPES[of])], [key, "event_id"])
+
             for batch in batches:
-                keys, found = [], []
-                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    hits = {e for _, events in automaton.iter(t) for e in events}
-                    keys += [k] * len(hits)
-                    found += hits
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(found, EVENT_TYPES[of])], [key, "event_id"])
+                keys, events = [], []
+                for k, t in zip(*batch.columns):  # a batch of long texts is never held as Python strings
+                    hits = {e for _, own in automaton.iter(t.as_py()) for e in own}
+                    keys += [k.as_py()] * len(hits)
+                    events += hits
+                    if len(keys) >= BATCH_HITS:
+                        yield found(keys, events)
+                        keys, events = [], []
+                yield found(keys, events)
 
         out = out.unionByName(hay.mapInArrow(walk, out.schema))
     return out.distinct()

@@ -29,6 +29,16 @@ def test_name_hits_equal_contains(spark, monkeypatch):
     assert got == want and len(want) > 30 and names.count() > 14
 
 
+def test_texts_are_normalized_without_python_strings(spark, monkeypatch):
+    monkeypatch.setattr(identity, "BATCH_HITS", 2, raising=False)
+    docs = spark.createDataFrame([(1, "Ｌａｋｅ ﬁne 北京"), (2, None), (3, "hill lake hill")], "doc_id bigint, text string")
+    names = spark.createDataFrame([("a", "lake"), ("b", "fine"), ("c", "hill"), ("d", "ake"), ("e", "北京北")], "event_id string, name string")
+    hits = identity.name_hits(docs, names)
+    assert {tuple(r) for r in hits.collect()} == {(1, "a"), (1, "b"), (1, "d"), (3, "a"), (3, "c"), (3, "d")}
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "nfkc" in plan and "pandas" not in plan.lower() and "ArrowEvalPython [nfkc" in plan and ", 200" not in plan.split("ArrowEvalPython [nfkc")[1].split("\n")[0]  # 200: a pandas function
+
+
 RECORDS = "event_id string, edition_id string, edition_year int, names array<string>, category_names array<string>"
 PAGES = "edition_id string, source_id string, source_domain string, title string, text string, url string, category_name string, track_url string"
 
