@@ -25,7 +25,6 @@ BUCKETS = 1 << 15
 THRESHOLD = -0.25
 MAX_TRUSTED = 20_000
 SMOOTHING = 1.0
-SPACE_CHAR = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -33,20 +32,28 @@ def _hashes(w: Column) -> Column:
     return F.transform(w, lambda x: F.xxhash64(F.lower(x)))
 
 
-def _grams(h: Column, n: Column, buckets: int) -> Column:
-    """Bucket numbers of the unigrams and bigrams of an array of word hashes."""
-    mask = F.lit(buckets - 1)
-    uni = F.transform(h, lambda x: x.bitwiseAND(mask).cast("int"))
-    pairs = F.when(n < 2, F.array().cast("array<int>")).otherwise(
-        F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(h[i], h[i + 1]).bitwiseAND(mask).cast("int"))
-    )
-    return F.concat(uni, pairs)
+def _bucket(h: Column, buckets: int) -> Column:
+    return h.bitwiseAND(F.lit(buckets - 1))
+
+
+def _pairs(h: Column) -> Column:
+    """Hashes of the neighbours in an array of word hashes."""
+    n = F.greatest(F.lit(0), F.size(h) - 1)
+    return F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), lambda a, b: F.xxhash64(a, b))
+
+
+def _met_again(s: Column) -> Column:
+    """Positions in a sorted array of ``(h, i)`` whose hash occurs more than once, by comparing neighbours."""
+    return F.transform(F.filter(s, lambda x, k: (F.get(s, k + 1)["h"] == x["h"]) | (F.get(s, k - 1)["h"] == x["h"])), lambda x: x["i"])
 
 
 def bucket_counts(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """``(bucket, n)``: how often each hashed n-gram bucket occurs in all rows."""
     h = docs.select(_hashes(words(text_col)).alias("_h"))
-    grams = h.select(F.explode(_grams(F.col("_h"), F.size("_h"), buckets)).alias("bucket"))
+    # an inner explode would be given a filter on the array's size, which works the array out once more
+    word = h.select("_h", F.posexplode_outer("_h").alias("_i", "_a")).where(F.col("_a").isNotNull()).select("_a", F.get("_h", F.col("_i") + 1).alias("_b"))
+    pair = F.when(F.col("_b").isNotNull(), _bucket(F.xxhash64("_a", "_b"), buckets))
+    grams = word.select(F.explode(F.array(_bucket(F.col("_a"), buckets), pair).cast("array<int>")).alias("bucket")).where(F.col("bucket").isNotNull())
     return grams.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
@@ -94,53 +101,41 @@ def judge(docs: DataFrame, weight_row: DataFrame, text_col: str = "text", bucket
     text = F.coalesce(F.col(text_col), F.lit(""))
     has_word = r"[^\x20\x09-\x0D]"
     step = docs.withColumns({"_words": words(text_col)})
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(has_word))
     step = step.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "_lines": lines,
-            "_exact": F.transform("_words", lambda x: F.xxhash64(x)),
+            "_lines": F.array_remove(F.split(text, "\n", -1), ""),
             "_lower": _hashes(F.col("_words")),
-            "word_chars": (F.length(text) - F.regexp_count(text, F.lit(SPACE_CHAR))).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         }
-    ).drop("_words")
-    e = F.col("_exact")
-    step = step.withColumn(
-        "_win",
-        F.when(F.col("n_words") < 5, F.array().cast("array<bigint>")).otherwise(
-            F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 5), lambda i: F.xxhash64(e[i], e[i + 1], e[i + 2], e[i + 3], e[i + 4]))
-        ),
     )
-    step = step.withColumns(
-        {
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_dup": F.size("_win") > F.size(F.array_distinct("_win")),
-            "_grams": _grams(F.col("_lower"), F.size("_lower"), buckets),
-        }
-    ).drop("_lines", "_exact", "_lower")
-    # start positions of windows found more than once: sort (hash, position), compare with the neighbours
-    step = step.withColumn("_sorted", F.when(F.col("_dup"), F.sort_array(F.transform("_win", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))).drop("_win", "_dup")
-    s = F.col("_sorted")
-    step = step.withColumn(
-        "_starts",
-        F.sort_array(
-            F.transform(
-                F.filter(s, lambda x, i: (F.get(s, i + 1)["h"] == x["h"]) | (F.get(s, i - 1)["h"] == x["h"])), lambda x: x["i"]
-            )
-        ),
-    ).drop("_sorted")
+    with_word = lambda lines: F.size(F.filter(lines, lambda x: x.rlike(has_word)))
+    once = F.array_distinct("_lines")
+    again = F.when(F.size("_lines") > F.size(once), with_word("_lines") - with_word(once)).otherwise(0)
+    step = step.withColumns({"n_dup_lines": again.cast("long"), "_pairs": _pairs(F.col("_lower"))}).drop("_lines")
+    # equal windows have equal first and last pairs in lower case; only windows that agree in these with another are compared whole
+    n = F.greatest(F.lit(0), F.size("_words") - 4)
+    ends = F.zip_with(F.slice("_pairs", 1, n), F.slice("_pairs", 4, n), lambda a, b: a.bitwiseXOR(b))
+    step = step.withColumns({"_ends": ends, "_grams": F.concat("_lower", "_pairs")}).drop("_lower", "_pairs")
+    entry = lambda h, i: F.struct(h.alias("h"), i.alias("i"))
+    alike = F.size("_ends") > F.size(F.array_distinct("_ends"))
+    step = step.withColumn("_sorted", F.when(alike, F.sort_array(F.transform("_ends", entry)))).drop("_ends")
+    step = step.withColumn("_at", _met_again(F.col("_sorted"))).drop("_sorted")
+    w = F.col("_words")
+    step = step.withColumn("_sorted", F.sort_array(F.transform("_at", lambda i: entry(F.xxhash64(F.slice(w, i + 1, 5)), i)))).drop("_at", "_words")
+    step = step.withColumn("_starts", F.sort_array(_met_again(F.col("_sorted")))).drop("_sorted")
     p = F.col("_starts")
     covered = F.aggregate(
         F.transform(p, lambda x, i: F.when(i == 0, F.lit(5)).otherwise(F.least(F.lit(5), x - F.get(p, i - 1)))), F.lit(0), lambda a, x: a + x
     )
-    w = weight_row.select("w").scalar()
+    w = weight_row.select(F.col("w").cast("array<double>")).scalar()
     step = step.withColumns({"n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"), "_w": w}).drop("_starts")
     wc = F.col("_w")
     step = step.withColumn(
         "llr",
         F.when(F.size("_grams") == 0, F.lit(0.0)).otherwise(
-            F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(wc, g).cast("double")) / F.size("_grams")
+            F.aggregate("_grams", F.lit(0.0), lambda a, g: a + wc[_bucket(g, buckets)]) / F.size("_grams")
         ),
     ).drop("_grams", "_w")
     step = step.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))

@@ -96,3 +96,12 @@ def test_separates_labelled_documents(spark):
 def test_trusted_is_bounded(spark, n):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], LABELS)
     assert q.trusted_ids(labels, max_trusted=n).count() == n
+
+
+def test_windows_alike_but_not_equal(spark, docs_of):
+    """Windows that agree in lower case, in their outer pairs or in both pairs swapped are no repeats; no step looks words up by a list of positions."""
+    texts = ["a b c d e x A b c d e", "a b c d e x a b Q d e", "a b c d e x d e c a b", "a b c d e x A b c d e y a b c d e", "a b a b a b a b a b a", "\n\n \n\nl a\n\nl a\n \nm b", "İx b c d e i̇x b c d e"]
+    df = docs_of([(i, t, "en", "s") for i, t in enumerate([*texts, None, " "])])
+    check(spark, df, spark.createDataFrame([], LABELS))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (q.bucket_counts(df), q.judge(df, q.weights(df, q.trusted_ids(spark.createDataFrame([], LABELS)))))]
+    assert not any("sequence(" in x for x in plans)
