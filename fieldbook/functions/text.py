@@ -126,17 +126,25 @@ def catalog_name(name: Column) -> Column:
     return js_trim(F.lower(rewrite(name, CATALOG_NAME_STEPS)))
 
 
-def flexible_date(text: Column) -> tuple[Column, Column, Column]:
-    """``(year, month, date string)`` of a loosely written date; no calendar check."""
+def date_match(text: Column) -> Column:
+    """The date in a loosely written text as ``y-m-d``, ``y-m`` or ``y``; null where there is none."""
     dashed = F.translate(rewrite(text, [(rf"{WS}+", "")]), "年月/.日", "----")
-    part = lambda k: F.regexp_extract(dashed, r"(20\d{2})-(\d{1,2})(?:-(\d{1,2}))?", k)
     # the first full date counts, wherever a shorter one stands before it
-    full = lambda k: F.regexp_extract(dashed, r"(20\d{2})-(\d{1,2})-(\d{1,2})", k)
-    has_full, has_part = full(1) != "", part(1) != ""
-    pick = lambda k: F.when(has_full, full(k)).otherwise(part(k))
-    year = F.when(has_part, pick(1)).otherwise(F.regexp_extract(text, r"20\d{2}", 0))
-    date = F.when(has_full, F.concat_ws("-", full(1), F.lpad(full(2), 2, "0"), F.lpad(full(3), 2, "0")))
-    return F.when(year != "", year).cast("int"), F.when(has_part, pick(2)).cast("int"), date
+    found = [F.regexp_extract(t, pattern, 0) for t, pattern in ((dashed, r"20\d{2}-\d{1,2}-\d{1,2}"), (dashed, r"20\d{2}-\d{1,2}"), (text, r"20\d{2}"))]
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in found])
+
+
+def date_parts(match: Column) -> tuple[Column, Column, Column]:
+    """``(year, month, date string)`` of a :func:`date_match`."""
+    parts = F.split(match, "-")
+    part = lambda k: F.get(parts, F.lit(k))
+    date = F.when(part(2).isNotNull(), F.concat_ws("-", part(0), F.lpad(part(1), 2, "0"), F.lpad(part(2), 2, "0")))
+    return part(0).cast("int"), part(1).cast("int"), date
+
+
+def flexible_date(text: Column) -> tuple[Column, Column, Column]:
+    """``(year, month, date string)`` of a loosely written date; no calendar check."""
+    return date_parts(date_match(text))
 
 
 def distance_km(text: Column) -> Column:
@@ -145,15 +153,14 @@ def distance_km(text: Column) -> Column:
     out = F.lit(None).cast("double")
     for unit, factor in reversed(DISTANCE_UNITS):
         n = F.regexp_extract(t, rf"(\d+(?:\.\d+)?)\s?{unit}", 1)
-        out = F.when(n != "", js_round(n.cast("double") * factor * 10) / 10).otherwise(out)
+        out = F.coalesce(js_round(n.try_cast("double") * factor * 10) / 10, out)
     for pattern, but, km in reversed(NAMED_DISTANCES):
         out = F.when(t.rlike(pattern) & (~t.rlike(but) if but else F.lit(True)), F.lit(km)).otherwise(out)
     return F.when(text != "", out)
 
 
 def elevation_m(text: Column) -> Column:
-    m = F.regexp_extract(text, ELEVATION, 1)
-    return F.when(m != "", m.cast("int"))
+    return F.regexp_extract(text, ELEVATION, 1).try_cast("int")
 
 
 # fixed values: provinces by region

@@ -105,13 +105,18 @@ def normalized_races(raw: DataFrame, as_of: str) -> DataFrame:
     """
     c = F.col
     text = lambda *names: F.coalesce(*[F.when(c(n) != "", c(n)) for n in names])
-    year, month, date = tx.flexible_date(F.when(c("raw_date") != "", c("raw_date")))
+    year, month, date = tx.date_parts(c("_date"))
     province, city, region = tx.location_parts(c("raw_province"), c("raw_city"), c("raw_location"), c("raw_name"))
     words = F.concat_ws(" ", *[F.coalesce(c(n), F.lit("")) for n in ("raw_type", "raw_name", "raw_distance")], F.array_join(F.coalesce("raw_tags", F.array().cast("array<string>")), " "))
+    # what several rules read is worked out once, in a step of its own: branches of rules don't share it
     r = raw.withColumns(
+        {
+            "_date": tx.date_match(F.when(c("raw_date") != "", c("raw_date"))), "_words": F.lower(words), "_km": F.lower(F.coalesce("raw_distance", "raw_type", "raw_name")),
+        }
+    ).withColumns(
         {
             "name": tx.display_name(c("raw_name")), "year": year, "month": month, "date": date, "province": province, "city": city, "region": region,
-            "type": tx.race_type(words), "distance_km": tx.distance_km(F.coalesce("raw_distance", "raw_type", "raw_name")),
+            "type": tx.race_type(c("_words")), "distance_km": tx.distance_km(c("_km")),
             "elevation_gain": tx.elevation_m(F.coalesce("raw_elevation_gain", "raw_difficulty")),
         }
     )
@@ -154,7 +159,7 @@ def normalized_races(raw: DataFrame, as_of: str) -> DataFrame:
             F.coalesce("elevation_gain", F.lit(0)).alias("elevation_gain"), F.lit("L1").alias("difficulty_level"), F.lit(0).alias("difficulty_score"), F.lit(False).alias("beginner_friendly"),
         )).alias("categories"),
         "source", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SOURCE_PRIORITY.items() for x in kv]), c("source")), F.lit(0)).alias("source_priority"), "source_url", "raw_id",
-        F.map_from_arrays(F.array(*map(F.lit, sources)), F.array(*map(source_if, sources.values()))).alias("field_sources"),
+        F.create_map(*[x for n, ok in sources.items() for x in (F.lit(n), source_if(ok))]).alias("field_sources"),
         sum((F.when(F.coalesce(ok, F.lit(False)), p).otherwise(0) for ok, p in points), F.lit(0)).alias("confidence"), flags((ok, n) for n, ok in lacking.items()).alias("missing_fields"),
         F.when(has("raw_name") & c("date").isNotNull() & (c("city") != "unknown"), "partially_verified").when(has("raw_name"), "unverified").otherwise("placeholder").alias("data_quality"),
         ((c("source") == "runchina") & has("raw_name")).alias("verified"), F.concat(F.array(F.concat(F.lit("source="), c("source"))), flags(notes)).alias("notes"),

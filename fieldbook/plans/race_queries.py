@@ -143,8 +143,9 @@ def normalized_races(spark: SparkSession, d: str) -> DataFrame:
         pick(k, PLACES, 7).alias("raw_location"), pick(k, DISTANCES, 11).alias("raw_distance"), pick(k, CLIMBS, 2).alias("raw_elevation_gain"), none.alias("raw_difficulty"), none.alias("raw_type"), F.lit(None).cast("array<string>").alias("raw_tags"),
         pick(k, STATES, 9).alias("raw_registration_status"), F.when(k % 4 == 0, "https://o").alias("raw_official_url"), F.when(k % 5 == 0, "https://r").when(k % 5 == 1, "").alias("raw_registration_url"),
     )
-    c = F.col("categories")[0]
-    return normalize.normalized_races(raw, AS_OF).select(
+    c = F.col("category")
+    # read once without its id, so that Spark drops the ids and their hashes, which no column of the result needs
+    return normalize.normalized_races(raw, AS_OF).withColumn("category", F.col("categories")[0].dropFields("id")).select(
         F.col("raw_id").cast("bigint").alias("o_orderkey"), "name", "type", "year", "date", "province", "city", "region", "status", c["distance_km"].alias("km"), c["elevation_gain"].alias("gain"), c["name"].alias("category"), "country", "source_priority",
         F.col("confidence").cast("int").alias("confidence"), F.array_join("missing_fields", ",").alias("missing"), F.col("data_quality").alias("quality"), "verified", F.col("field_sources.city").alias("city_source"), F.col("field_sources.categories").alias("categories_source"),
     )

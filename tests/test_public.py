@@ -312,3 +312,11 @@ def test_race_links_and_names(spark):
     page = "<a href='/1'>湖滨马拉松</a><a href='/1'>湖滨马拉松</a><a href='/2'>更多内容在此</a><a href='/3'>跑步</a>"
     assert [x["href"] for x in values(spark, text.race_links, "string", [page])[0]] == ["/1"]
     assert values(spark, text.catalog_name, "string", ["2026 湖滨·马拉松（站）赛", "湖滨赛 2026"]) == ["湖滨马拉松", "湖滨"]
+
+
+def test_normalized_races_query_drops_ids(spark):
+    """The query shows no ids, so neither their slugs nor their hashes may be worked out for its rows."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["normalized_races"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "nfkd" not in plan and "conv(" not in plan
